@@ -19,9 +19,32 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), percent=85)
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilis.llm.packing import pack
+
+    return pack(_documents(spark, sf_dir), _tokenizer())
+
+
+def op10_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilis.llm.shared import shared_folder
+    from mobilis.llm.store import read_summary, write_store
+
+    path = shared_folder(spark)
+    write_store(_documents(spark, sf_dir), path, _tokenizer())
+    return read_summary(spark, path)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
+        "op5_packing": op5_packing,
+        "op10_store": op10_store,
     }
 
 
