@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,49 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilis.llm.quality import judge
+
+    return judge(_documents(spark, sf_dir))
+
+
+#: The rules that the contract of the query names.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilis.llm.urls import judge_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilis.llm.mixing import mix
+
+    return mix(_documents(spark, sf_dir), power=0.7)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilis.llm.pii import find
+
+    return find(_documents(spark, sf_dir))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document lies in a folder of its language in one of its source."""
+    from mobilis.llm.licenses import scan
+
+    docs = _documents(spark, sf_dir).withColumn("path", F.concat_ws("/", "source", "lang", "doc_id"))
+    return scan(docs, "path")
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilis.llm.lines import repeated_lines
+
+    return repeated_lines(_documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mobilis.llm.packing import pack
 
@@ -43,10 +87,34 @@ def op10_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
+        "op2_quality": op2_quality,
+        "op3_urls": op3_urls,
+        "op4_mixing": op4_mixing,
+        "op7_pii": op7_pii,
+        "op8_licenses": op8_licenses,
+        "op9_lines": op9_lines,
         "op5_packing": op5_packing,
         "op10_store": op10_store,
     }
 
 
+def _url_sql() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    return f"""
+WITH rules(h, p, v) AS (VALUES {rules}),
+cut AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fits AS (
+  SELECT page_id, host, path, h || p AS rule, v,
+         row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(h || p) DESC NULLS LAST, length(h) DESC) AS place
+  FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fits WHERE place = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from mobilis.llm import mixing
+
+    return {"op3_urls": _url_sql(), "op4_mixing": mixing.ORACLE_SQL}

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -51,16 +51,18 @@ class Block:
     """Whole texts ``first .. first + len(starts) - 1`` of a column, as bytes.
 
     ``offsets`` has one entry more than there are texts.  ``word_start`` and
-    ``word_end`` bound the words ``[^\\x20\\x09-\\x0D]+``; ``word_offsets`` gives each
+    ``word_end`` bound the words, runs of bytes that ``between`` does not mark
+    (``[^\\x20\\x09-\\x0D]+`` by default); ``word_offsets`` gives each
     text's run of words.
     """
 
     first: int
     data: np.ndarray
     offsets: np.ndarray
+    between: np.ndarray = field(default_factory=lambda: _SPACE)
 
     def __post_init__(self) -> None:
-        solid = ~_SPACE[self.data]
+        solid = ~self.between[self.data]
         n = len(self.data)
         opens, closes = solid.copy(), solid.copy()
         if n:
@@ -103,14 +105,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(column: pa.Array) -> Iterator[Block]:
+def blocks(column: pa.Array, between: np.ndarray = _SPACE) -> Iterator[Block]:
     data, offsets = text_bytes(column)
     n, first = len(offsets) - 1, 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, side="right")) - 1
         last = min(max(last, first + 1), n)
         own = offsets[first : last + 1]
-        yield Block(first, data[own[0] : own[-1]], own - own[0])
+        yield Block(first, data[own[0] : own[-1]], own - own[0], between)
         first = last
 
 
