@@ -75,6 +75,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), _tokenizer())
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilis.llm.vectors import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mobilis.llm.shared import shared_folder
     from mobilis.llm.store import read_summary, write_store
@@ -94,6 +100,7 @@ def queries() -> dict[str, Query]:
         "op8_licenses": op8_licenses,
         "op9_lines": op9_lines,
         "op5_packing": op5_packing,
+        "op6_vectors": op6_vectors,
         "op10_store": op10_store,
     }
 
