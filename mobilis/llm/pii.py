@@ -394,3 +394,31 @@ def masked(text: str, spans: list[Span]) -> str:
             out += [text[last:a], f"[{kind.upper()}]"]
         last = max(last, b)
     return "".join(out) + text[last:]
+
+
+def mask(docs: DataFrame, model: Model | None = None, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with every span of personal data in the text replaced by its kind in brackets.
+
+    ``chars_col``, where the table has it, becomes the length of the new text for
+    rows whose text changed.  All other columns and rows stay as they are.
+    """
+    model = model or train(labelled_rows())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            changed = [k for k, (t, base, new) in enumerate(found) if base or new] if (found := list(column_spans(batch.column(text_col), model))) else []
+            if changed:
+                sizes = batch.column(chars_col).to_pylist() if chars_col in batch.schema.names else None
+                for k in changed:
+                    text, base, new = found[k]
+                    texts[k] = masked(text, base + new)
+                    if sizes:
+                        sizes[k] = len(texts[k])
+                batch = batch.set_column(batch.schema.get_field_index(text_col), batch.schema.field(text_col), pa.array(texts, batch.schema.field(text_col).type))
+                if sizes:
+                    at = batch.schema.get_field_index(chars_col)
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)

@@ -80,6 +80,40 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def measured(column: pa.Array) -> list[np.ndarray]:
+    """The columns of :func:`judge` after the id, for the texts of one column."""
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=LEVEL)
+    out: list[list[np.ndarray]] = [[] for _ in range(10)]
+    for block in blocks(column):
+        n = len(block.offsets) - 1
+        n_words = np.diff(block.word_offsets)
+        raw = block.data.tobytes()
+        repeats = repeated_words(block)
+        ratio, n_chunks, outside, lines = np.full(n, np.nan), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for k, (a, b) in enumerate(pairwise(block.offsets.tolist())):
+            text = raw[a:b]
+            if not text:
+                continue
+            lines[k] = duplicate_lines(text)
+            ratio[k] = len(text) / len(packer.compress(text))
+            parts = [text[i : i + CHUNK_BYTES] for i in range(0, len(text), CHUNK_BYTES)]
+            if len(parts) > 1 and 2 * len(parts[-1]) < CHUNK_BYTES:
+                parts.pop()
+            own = np.array([len(x) / len(packer.compress(x)) for x in parts])
+            low, high = band(np.array([len(x) for x in parts]))
+            n_chunks[k], outside[k] = len(parts), ((own < low) | (own > high)).sum()
+        low, high = band(np.diff(block.offsets))
+        failed = (n_words < LEAST_WORDS) | (100 * repeats > REPEAT_PERCENT * n_words)
+        kept = ~failed & (ratio >= low) & (ratio <= high) & (100 * outside <= OUTSIDE_PERCENT * n_chunks)
+        chars = _per_text(block.solid & _CHAR[block.data], block.offsets)
+        symbols = _per_text(_SYMBOL[block.data], block.offsets)
+        for part, value in zip(out, (n_words, chars, symbols, lines, repeats, failed, ratio, n_chunks, outside, kept), strict=True):
+            part.append(value)
+    return [np.concatenate(c) if c else np.zeros(0) for c in out]
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: base counts, compression figures and ``kept``.
 
@@ -92,45 +126,22 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        packer = zstandard.ZstdCompressor(level=LEVEL)
+        names = [f.split()[0] for f in _SCHEMA.split(", ")]
+        kinds = {5: pa.bool_(), 6: pa.float64(), 9: pa.bool_()}
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(10)]
-            for block in blocks(batch.column("text")):
-                n = len(block.offsets) - 1
-                n_words = np.diff(block.word_offsets)
-                raw = block.data.tobytes()
-                sizes = np.diff(block.offsets)
-                repeats = repeated_words(block)
-                ratio, n_chunks, outside, lines = np.full(n, np.nan), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-                for k, (a, b) in enumerate(pairwise(block.offsets.tolist())):
-                    text = raw[a:b]
-                    lines[k] = duplicate_lines(text)
-                    if not text:
-                        continue
-                    ratio[k] = len(text) / len(packer.compress(text))
-                    parts = [text[i : i + CHUNK_BYTES] for i in range(0, len(text), CHUNK_BYTES)]
-                    if len(parts) > 1 and 2 * len(parts[-1]) < CHUNK_BYTES:
-                        parts.pop()
-                    if len(parts) > 1:
-                        own = np.array([len(x) / len(packer.compress(x)) for x in parts])
-                        low, high = band(np.array([len(x) for x in parts]))
-                        outside[k] = ((own < low) | (own > high)).sum()
-                    n_chunks[k] = len(parts)
-                low, high = band(sizes)
-                failed = (n_words < LEAST_WORDS) | (100 * repeats > REPEAT_PERCENT * n_words)
-                kept = ~failed & (ratio >= low) & (ratio <= high) & (100 * outside <= OUTSIDE_PERCENT * n_chunks)
-                chars = _per_text(block.solid & _CHAR[block.data], block.offsets)
-                symbols = _per_text(_SYMBOL[block.data], block.offsets)
-                for column, value in zip(out, (n_words, chars, symbols, lines, repeats, failed, ratio, n_chunks, outside, kept), strict=True):
-                    column.append(value)
-            joined = [np.concatenate(c) if c else np.zeros(0) for c in out]
-            names = [f.split()[0] for f in _SCHEMA.split(", ")]
-            kinds = {5: pa.bool_(), 6: pa.float64(), 9: pa.bool_()}
-            arrays = [pa.array(c, kinds.get(i, pa.int64()), mask=np.isnan(c) if i == 6 else None) for i, c in enumerate(joined)]
+            arrays = [pa.array(c, kinds.get(i, pa.int64()), mask=np.isnan(c) if i == 6 else None) for i, c in enumerate(measured(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, _SCHEMA)
 
+
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(measured(batch.column(text_col))[9].astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)

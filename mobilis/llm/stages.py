@@ -1,3 +1,66 @@
 """The stages of ``corpus_pipeline``: each applies one operator to ``documents``."""
-def quality_rules(spark, docs, sf_dir): raise NotImplementedError
-minhash_dedup = mask_personal_data = mix_sources = pack_sequences = quality_rules
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mobilis.llm import minhash, mixing, packing, pii, quality
+from mobilis.llm.shared import stored
+
+#: Sources count by their characters to this power: large ones weigh less than they are.
+SOURCE_POWER = 0.7
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep."""
+    return quality.keep_good(docs)
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the least id.
+
+    Of rows that repeat an id one stays.  Rows without an id are not compared.
+    """
+    found = stored(minhash.near_duplicates(docs, percent=80).where("doc_id IS NOT NULL"))
+    dropped = found.where("NOT kept").select("doc_id").distinct()
+    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if not repeated.head(1):
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by marks."""
+    return pii.mask(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order that mixes their sources; the files hold it in order.
+
+    Documents without an id come last.
+    """
+    placed = stored(mixing.mix(docs, power=SOURCE_POWER).where("doc_id IS NOT NULL").select("doc_id", "slot", "unit_start").dropDuplicates(["doc_id"]))
+    last = placed.agg(F.max("slot")).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = docs.join(placed.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    slot = F.coalesce("slot", F.lit(last))
+    part = F.floor(slot * parts / (last + 1)).cast("int")
+    return met.repartitionById(parts, part).sortWithinPartitions(F.col("slot").asc_nulls_last(), "unit_start").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences; each group of sequences is a stretch of the mixed order."""
+    import public_tokenizers
+
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    try:
+        named = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:  # not read from files: there is no order to keep
+        return packing.pack(docs, tokenizer)
+    file = F.coalesce(F.regexp_extract("file", r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+    group = file * 65536 + F.floor(F.col("at") / packing.GROUP_DOCUMENTS)
+    return packing.pack(named, tokenizer, group=group)
