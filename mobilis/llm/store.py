@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mobilis.llm.shared import stored
-from mobilis.llm.text import mix64
 from mobilis.llm.tokens import ID, encoder
 
 WINDOW, ZERO_BITS, LEAST, MOST = 8, 8, 64, 1024
 
+_KEYS = np.random.Generator(np.random.PCG64(3)).integers(0, 2**32, 1 << 16, dtype=np.uint32)
+
 
 def digest(ids: bytes) -> bytes:
     return hashlib.blake2b(ids, digest_size=16).digest()
@@ -55,11 +56,11 @@ def boundaries(ids: np.ndarray) -> list[int]:
     n = len(ids)
     ends: list[int] = []
     if n > LEAST:
-        keyed = mix64(ids.astype(np.uint64) + np.uint64(1))
-        rolled = np.zeros(n - WINDOW + 1, dtype=np.uint64)
+        keyed = _KEYS[ids & np.uint32(0xFFFF)] ^ (ids >> np.uint32(16))
+        rolled = np.zeros(n - WINDOW + 1, dtype=np.uint32)
         for j in range(WINDOW):
-            rolled = (rolled << np.uint64(1)) + keyed[j : j + len(rolled)]
-        marks = np.flatnonzero((rolled >> np.uint64(64 - ZERO_BITS)) == 0) + WINDOW
+            rolled = (rolled << np.uint32(1)) + keyed[j : j + len(rolled)]
+        marks = np.flatnonzero(rolled < np.uint32(1 << (32 - ZERO_BITS))) + WINDOW
         last = 0
         for m in marks.tolist():
             while m - last > MOST:
@@ -76,11 +77,6 @@ def boundaries(ids: np.ndarray) -> list[int]:
     return ends
 
 
-def _narrow(ids: bytes) -> bytes:
-    wide = np.frombuffer(ids, dtype=ID)
-    return wide.astype("<u2").tobytes() if len(wide) and wide.max() < 1 << 16 else ids
-
-
 def _wide(body: bytes, n: int) -> bytes:
     return np.frombuffer(body, dtype="<u2").astype(ID).tobytes() if len(body) == 2 * n else body
 
@@ -125,21 +121,27 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
             for first in range(0, len(texts), 512):
                 out: dict[str, list] = {c: [] for c in ("kind", "key", "doc_id", "n_ids", "chunks", "root", "body")}
                 seen: set[bytes] = set()
+                chunks: list[tuple[bytes, int, bytes]] = []
                 for name, ids in zip(names[first : first + 512], encoder(tokenizer).encode(texts[first : first + 512]), strict=True):
                     ids += end
                     values, last, recipe = np.frombuffer(ids, dtype=ID), 0, []
+                    body = values.astype("<u2").tobytes() if values.max() < 1 << 16 else ids
+                    width = len(body) // len(values)
                     for stop in boundaries(values):
-                        part = ids[last * ID.itemsize : stop * ID.itemsize]
-                        recipe.append(digest(part))
-                        if recipe[-1] not in seen:
-                            seen.add(recipe[-1])
-                            for c, v in zip(out.values(), (1, recipe[-1], None, stop - last, None, None, _narrow(part)), strict=True):
-                                c.append(v)
+                        part = digest(ids[last * ID.itemsize : stop * ID.itemsize])
+                        recipe.append(part)
+                        if part not in seen:
+                            seen.add(part)
+                            chunks.append((part, stop - last, body[last * width : stop * width]))
                         last = stop
                     key = task.to_bytes(8) + row.to_bytes(8)
                     row += 1
                     for c, v in zip(out.values(), (0, key, name, len(values), recipe, merkle_root(recipe), None), strict=True):
                         c.append(v)
+                n = len(chunks)
+                keys, sizes, bodies = zip(*chunks, strict=True) if n else ((), (), ())
+                for c, v in zip(out.values(), ([1] * n, keys, [None] * n, sizes, [None] * n, [None] * n, bodies), strict=True):
+                    c.extend(v)
                 kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), kinds, strict=True)], list(out))
 
@@ -264,7 +266,8 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
                 crcs.append(crc)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_ids"), pa.array(crcs, pa.int64())], ["doc_id", "n_tokens", "ids_crc32"])
 
-    found = listed.select("doc_id", "n_ids", "root", "parts").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long")
+    # sorting by range reads its input twice
+    found = stored(listed.select("doc_id", "n_ids", "root", "parts").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long"))
     return with_starts(found, "n_tokens", ["doc_id", "ids_crc32"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

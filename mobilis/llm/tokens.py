@@ -11,21 +11,22 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: A blank run in which a later space would not begin a pretoken of its own.
 _RUN = re.compile(r"[^\S ] (?:\s|$)")
-#: Latin letters below U+0250, then up to eight ASCII marks.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]{1,48})([!-/:-@\\[-`{-~]{0,8})")
+#: Marks that end a word (ASCII, without letters, digits and blanks).
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+#: Letters below U+0250.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Byte-level vocabularies write bytes that do not print as the letters from U+0100 on, in order.
 _PRINT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
 #: A newline beside another blank than a space.
 _NEAR = re.compile(r"[^\S \n]\n|\n[^\S \n]")
-_MEMO_WORDS = 500_000
+_MEMO_WORDS = 1_000_000
 _MEMO_CHARS = 48
 _CALL_CHARS = 2_000_000
 ID = np.dtype("<u4")
@@ -40,8 +41,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.newline = self.whole(["\n"])[0]
+        self.tails: dict[str, list[int]] = {}
+        self.newline = np.frombuffer(self.whole(["\n"])[0], dtype=ID).tolist()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -54,24 +55,40 @@ class Encoder:
         merge model takes directly; all else goes through the whole tokenizer.
         """
         model, tails = self.tokenizer.model.tokenize, self.tails
-        out: list[bytes | None] = []
-        for w in words:
-            lead, opens = (self.newline, "") if w[:1] == "\n" else (b"", "\u0120")
-            m = _PLAIN.fullmatch(w[1:] if lead else w)
-            if m is None:
-                out.append(None)
-                continue
-            core, tail = m.groups()
-            if not core.isascii():
+        flat: list[int] = []
+        ends: list[int] = []
+        rest: list[int] = []
+        for k, w in enumerate(words):
+            if w[:1] == "\n":
+                flat += self.newline
+                core, opens = w[1:], ""
+            else:
+                core, opens = w, "\u0120"
+            whole, core = core, core.rstrip(_MARKS)
+            if not (core.isascii() and core.isalpha()):
+                if not _LATIN.fullmatch(core):
+                    rest.append(k)
+                    ends.append(len(flat))
+                    continue
                 core = core.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids = array("I", [t.id for t in model(opens + core)]).tobytes()
+                tail = whole[len(whole.rstrip(_MARKS)) :]
+            else:
+                tail = whole[len(core) :]
+            flat += [t.id for t in model(opens + core)]
             if tail:
                 if tail not in tails:
-                    tails[tail] = self.whole([tail])[0]
-                ids += tails[tail]
-            out.append(lead + ids)
-        rest = iter(self.whole([w if w[:1] == "\n" else " " + w for w, x in zip(words, out, strict=True) if x is None]))
-        return [next(rest) if x is None else x for x in out]
+                    tails[tail] = np.frombuffer(self.whole([tail])[0], dtype=ID).tolist()
+                flat += tails[tail]
+            ends.append(len(flat))
+        ids = np.array(flat, dtype=ID).tobytes()
+        out, last = [], 0
+        for end in ends:
+            end *= ID.itemsize
+            out.append(ids[last:end])
+            last = end
+        for k, found in zip(rest, self.whole([w if w[:1] == "\n" else " " + w for w in map(words.__getitem__, rest)]), strict=True):
+            out[k] = found
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
