@@ -87,7 +87,7 @@ def _pack(room: int):
         cuts = group_cuts(group)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             bins, offset[a:b] = first_fit_decreasing(length[a:b], room)
-            sequence[a:b] = (group[a] << np.int64(32)) + bins
+            sequence[a:b] = (int(group[a]) << 28) + bins
         keep = [n for n in table.column_names if n != "group"]
         out = table.select(keep).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
         yield from out.to_batches()

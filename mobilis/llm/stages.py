@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mobilis.llm import minhash, mixing, packing, pii, quality
@@ -52,6 +52,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return met.repartitionById(parts, part).sortWithinPartitions(F.col("slot").asc_nulls_last(), "unit_start").select(*docs.columns)
 
 
+def _stretch(file: Column, at: Column) -> Column:
+    return file * 4096 + F.floor(at / packing.GROUP_DOCUMENTS)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences; each group of sequences is a stretch of the mixed order."""
     import public_tokenizers
@@ -61,6 +65,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         named = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
     except AnalysisException:  # not read from files: there is no order to keep
         return packing.pack(docs, tokenizer)
-    file = F.coalesce(F.regexp_extract("file", r"part-(\d+)", 1).try_cast("long"), F.lit(0))
-    group = file * 65536 + F.floor(F.col("at") / packing.GROUP_DOCUMENTS)
+    file = F.regexp_extract("file", r"part-(\d+)", 1).try_cast("long")
+    row = F.monotonically_increasing_id()  # where rows come from no file: task and row in it
+    group = F.coalesce(_stretch(file, F.col("at")), _stretch(F.shiftrightunsigned(row, 33), row.bitwiseAND((1 << 33) - 1)))
     return packing.pack(named, tokenizer, group=group)
