@@ -44,7 +44,7 @@ def checked_moves(moves: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def decided(recommendations: DataFrame, actions: DataFrame, moves: DataFrame) -> DataFrame:
     """State after each action; approval waits while any requirement is pending."""
-    met = actions.join(recommendations, "recommendation_id").join(F.broadcast(moves), [F.col("action") == moves["action"], F.col("state") == moves["from_state"]], "left").drop(moves["action"])
+    met = actions.join(recommendations, "recommendation_id").join(F.broadcast(moves.withColumnRenamed("from_state", "state")), ["action", "state"], "left")
     waits = F.col("to_state").isin("approved", "awaiting_approval") & (F.col("n_pending") > 0)
     return met.withColumn("next_state", F.when(F.col("to_state").isNull(), F.col("state")).when(waits, "awaiting_approval").otherwise(F.col("to_state"))).withColumn("valid", F.col("to_state").isNotNull())
 
