@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mobilis.functions.coerce import stable_id
+from mobilis.functions.coerce import canonical_hash, stable_id
 from mobilis.functions.time import valid_at
 
 
@@ -98,6 +98,45 @@ def change_log(versions: DataFrame, key: str, order: list[str]) -> DataFrame:
     return changed.withColumn("version", F.row_number().over(w))
 
 
+#: What a change of a node is; labels, owners and the start of validity are not among it.
+NODE_STATE = ["state", "geometry", "quality_flags", "active", "valid_until"]
+
+
+def state_hash(columns: list[str]) -> Column:
+    return canonical_hash(*[F.to_json(F.struct(c)) for c in columns])
+
+
+def merged(state: DataFrame, batch: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
+    """Stored entities after a batch (one row a key), with ``change`` and the next version.
+
+    A row whose hash over ``columns`` is the stored one is unchanged, whatever else
+    differs, and keeps what is stored; entities the batch does not name are untouched.
+    """
+    columns = columns or NODE_STATE
+    old = state.withColumn("old_hash", state_hash(columns)).select(key, F.struct(*[c for c in state.columns if c not in (key, "version")]).alias("old"), "old_hash", "version")
+    kept = [c for c in state.columns if c not in (key, "version")]
+    new = batch.withColumn("new_hash", state_hash(columns)).select(key, F.struct(*kept).alias("new"), "new_hash")
+    met = old.join(new, key, "full")
+    change = F.when(F.col("new_hash").isNull(), "untouched").when(F.col("old_hash").isNull(), "created").when(F.col("old_hash") == F.col("new_hash"), "unchanged").otherwise("updated")
+    row = F.when(change.isin("created", "updated"), F.col("new")).otherwise(F.col("old"))
+    version = F.coalesce("version", F.lit(0)) + change.isin("created", "updated").cast("long")
+    return met.select(key, row.alias("row"), version.alias("version"), change.alias("change")).select(key, "row.*", "version", "change")
+
+
+def ledger(batches: DataFrame, order: list[str]) -> DataFrame:
+    """What becomes of each batch: a key applies once, again it is replayed, with another body it conflicts."""
+    w = Window.partitionBy("idempotency_key").orderBy(*order)
+    first = F.first("body_hash").over(w)
+    outcome = F.when(F.row_number().over(w) == 1, "applied").when(first == F.col("body_hash"), "replayed").otherwise("conflict")
+    return batches.withColumn("outcome", outcome)
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """Edges that leave (up) and reach (down) each node."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.lit(True).alias("up")), F.struct(F.col("dst").alias("node_id"), F.lit(False).alias("up")))).alias("e"))
+    return ends.groupBy("e.node_id").agg(F.count_if("e.up").alias("n_up"), F.count_if(~F.col("e.up")).alias("n_down"))
+
+
 def split_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): an edge needs both its ends among the active nodes."""
     ids = nodes.where("active").select("node_id").distinct()

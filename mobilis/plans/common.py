@@ -7,6 +7,24 @@ from pyspark.sql import functions as F
 
 from mobilis.operators.evidence import hashed
 
+
+def catalogue():
+    """(queries, their SQL, the decorator that registers a query under its name)."""
+    found: dict = {}
+    sql_of: dict[str, str] = {}
+
+    def query(sql: str | None = None):
+        def keep(fn):
+            found[fn.__name__] = fn
+            if sql:
+                sql_of[fn.__name__] = sql
+            return fn
+
+        return keep
+
+    return found, sql_of, query
+
+
 AS_OF_TEXT = "2024-01-31 00:00:00"
 CONNECTORS = ["click", "error", "purchase", "signup", "view"]
 

@@ -10,20 +10,9 @@ from mobilis.functions.text import event_identity, haversine_km, in_box, match_r
 from mobilis.functions.time import lag_seconds, quality_flags
 from mobilis.operators import detection, views
 from mobilis.operators import evidence as ev_ops
-from mobilis.plans.common import AS_OF_TEXT, EV, SOURCES_SQL, as_of, evidence, sources, table
+from mobilis.plans.common import AS_OF_TEXT, EV, SOURCES_SQL, as_of, catalogue, evidence, sources, table
 
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def keep(fn):
-        Q[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return keep
+Q, SQL, query = catalogue()
 
 
 @query(f"WITH {EV} SELECT evidence_id, connector_code, source_event_id, content_hash FROM ev")

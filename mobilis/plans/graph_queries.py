@@ -1,4 +1,228 @@
-"""Queries."""
+"""Queries over the temporal graph: snapshots, walks, changes, lineage and merges."""
 
-Q: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mobilis.operators import graph
+from mobilis.plans.common import AS_OF_TEXT, EDGES, EV, NODES, as_of, catalogue, evidence, geography, table
+
+Q, SQL, query = catalogue()
+
+
+def _number(col: str):
+    return F.element_at(F.split(col, ":"), -1).cast("long")
+
+
+def _timed(edges: DataFrame) -> DataFrame:
+    """Edges with a validity that follows from the number of their lower end."""
+    n = _number("src")
+    start = F.lit("2024-01-12").cast("timestamp_ntz") + F.make_dt_interval(days=(n % 15).cast("int"))
+    until = F.when(n % 9 == 4, start + F.expr("INTERVAL 10 DAYS"))
+    return edges.select(F.concat_ws(">", "src", "dst").alias("edge_id"), F.lit("part_of").alias("edge_type"), "src", "dst", start.alias("valid_from"), until.alias("valid_until"), (n % 13 != 6).alias("active"))
+
+
+TIMED = """timed AS (SELECT src || '>' || dst AS edge_id, src, dst, TIMESTAMP '2024-01-12' + to_days(CAST(n % 15 AS INTEGER)) AS valid_from,
+  CASE WHEN n % 9 = 4 THEN TIMESTAMP '2024-01-12' + to_days(CAST(n % 15 AS INTEGER)) + INTERVAL 10 DAY END AS valid_until, n % 13 <> 6 AS active
+  FROM (SELECT *, CAST(split_part(src, ':', 2) AS BIGINT) AS n FROM edges))"""
+LIVE = """live AS (SELECT * FROM nodes WHERE active AND valid_from <= TIMESTAMP '2024-01-25' AND (valid_until IS NULL OR valid_until > TIMESTAMP '2024-01-25')),
+among AS (SELECT t.* FROM timed t SEMI JOIN live a ON t.src = a.node_id SEMI JOIN live b ON t.dst = b.node_id
+  WHERE t.active AND t.valid_from <= TIMESTAMP '2024-01-25' AND (t.valid_until IS NULL OR t.valid_until > TIMESTAMP '2024-01-25'))"""
+
+
+def _snapshot(spark: SparkSession, sf: str, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = geography(spark, sf)
+    return graph.snapshot(nodes, _timed(edges), F.lit("2024-01-25").cast("timestamp_ntz"), types)
+
+
+@query(f"WITH {NODES}, {EDGES}, {TIMED}, {LIVE} SELECT 'node' AS kind, node_id AS id FROM live UNION ALL SELECT 'edge', edge_id FROM among")
+def graph_snapshot_asof(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _snapshot(spark, sf)
+    return nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id")))
+
+
+@query(f"""WITH {NODES}, {EDGES}, {TIMED}, {LIVE}, few AS (SELECT * FROM live WHERE node_type IN ('nation', 'region'))
+SELECT 'node' AS kind, node_id AS id FROM few UNION ALL SELECT 'edge', edge_id FROM among WHERE src IN (SELECT node_id FROM few) AND dst IN (SELECT node_id FROM few)""")
+def graph_coordination_view(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshot restricted to some types of nodes, and the edges that stay among them."""
+    nodes, edges = _snapshot(spark, sf, ["nation", "region"])
+    return nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id")))
+
+
+def _start(spark: SparkSession, *ids: str) -> DataFrame:
+    return spark.createDataFrame([(i,) for i in ids], "node_id string")
+
+
+@query(f"""WITH RECURSIVE {EDGES}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+walk AS (SELECT 'nation:3' AS node_id, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN both_ways ON src = node_id WHERE depth < 3)
+SELECT node_id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY node_id""")
+def graph_neighborhood(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.neighborhood(geography(spark, sf)[1], _start(spark, "nation:3"), 3)
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {NODES}, walk AS (
+  SELECT 'supplier:' || s_suppkey AS node_id, CAST(0 AS BIGINT) AS depth, ['supplier:' || s_suppkey] AS path FROM supplier WHERE s_suppkey % 10 = 0
+  UNION ALL SELECT dst, depth + 1, list_append(path, dst) FROM walk JOIN edges ON src = node_id WHERE depth < 6 AND NOT list_contains(path, dst))
+SELECT w.node_id, depth, array_to_string(path, '>') AS path, label FROM walk w JOIN nodes n ON n.node_id = w.node_id WHERE depth > 0""")
+def graph_impact_paths(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = geography(spark, sf)
+    start = table(spark, sf, "supplier").where("s_suppkey % 10 = 0").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("node_id"))
+    return graph.impact(edges, start).join(nodes.select("node_id", "label"), "node_id").select("node_id", "depth", F.array_join("path", ">").alias("path"), "label")
+
+
+@query(f"""WITH RECURSIVE {EDGES}, down AS (SELECT 'nation:3' AS node_id UNION SELECT dst FROM down JOIN edges ON src = node_id),
+up AS (SELECT 'nation:3' AS node_id UNION SELECT src FROM up JOIN edges ON dst = node_id)
+SELECT node_id, 'down' AS direction FROM down WHERE node_id <> 'nation:3' UNION ALL SELECT node_id, 'up' FROM up WHERE node_id <> 'nation:3'""")
+def graph_closure_up_down(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.closure(geography(spark, sf)[1], _start(spark, "nation:3"), 4)
+
+
+@query(f"WITH {EDGES} SELECT dst AS node_id FROM edges WHERE src = 'nation:3' UNION SELECT src FROM edges WHERE dst = 'nation:3'")
+def graph_related_ids(spark: SparkSession, sf: str) -> DataFrame:
+    step = graph.both_ways(geography(spark, sf)[1])
+    return step.where("src = 'nation:3'").select(F.col("dst").alias("node_id")).distinct()
+
+
+@query(f"""WITH {EDGES}, ends AS (SELECT src AS node_id, 1 AS up, 0 AS down FROM edges UNION ALL SELECT dst, 0, 1 FROM edges)
+SELECT node_id, CAST(sum(up) AS BIGINT) AS n_up, CAST(sum(down) AS BIGINT) AS n_down FROM ends GROUP BY node_id""")
+def graph_degrees(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.degrees(geography(spark, sf)[1])
+
+
+@query(f"""WITH {NODES} SELECT node_type, count(*) AS n, count(*) FILTER (valid_until <= TIMESTAMP '{AS_OF_TEXT}') AS n_over, count(*) FILTER (NOT active) AS n_inactive FROM nodes GROUP BY node_type""")
+def graph_type_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, _ = geography(spark, sf)
+    return nodes.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("valid_until") <= as_of()).alias("n_over"), F.count_if(~F.col("active")).alias("n_inactive"))
+
+
+@query("""SELECT 'supplier:' || s_suppkey AS node_id, l_orderkey, l_linenumber, o_orderdate, c_name AS run
+FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 2 = 0 WHERE s_suppkey % 20 = 0""")
+def graph_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence behind nodes, its source and, where known, the run that brought it."""
+    nodes = table(spark, sf, "supplier").where("s_suppkey % 20 = 0").select("s_suppkey", F.concat(F.lit("supplier:"), "s_suppkey").alias("node_id"))
+    links = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    found = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    runs = table(spark, sf, "customer").where("c_custkey % 2 = 0").select("c_custkey", F.col("c_name").alias("run"))
+    met = links.join(nodes, F.col("l_suppkey") == F.col("s_suppkey")).join(found, F.col("o_orderkey") == F.col("l_orderkey")).join(runs, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return met.select("node_id", "l_orderkey", "l_linenumber", "o_orderdate", "run")
+
+
+VERSIONS = f"""{EV}, v AS (SELECT source_event_id AS entity, evidence_id, observed_at, k % 3 AS state, cents % 2 AS geometry, k % 7 <> 0 AS active FROM ev),
+l AS (SELECT *, row_number() OVER w AS rn, lag(state) OVER w AS previous_state, lag(geometry) OVER w AS g, lag(active) OVER w AS a FROM v WINDOW w AS (PARTITION BY entity ORDER BY observed_at, evidence_id)),
+c AS (SELECT *, CASE WHEN rn = 1 THEN 'created' WHEN a AND NOT active THEN 'deactivated' WHEN NOT a AND active THEN 'reactivated' WHEN g <> geometry THEN 'geometry_updated' WHEN previous_state <> state THEN 'state_updated' END AS change_type FROM l)"""
+
+
+def _changes(spark: SparkSession, sf: str) -> DataFrame:
+    k, cents = F.col("k"), F.col("cents")
+    versions = evidence(spark, sf).select(F.col("source_event_id").alias("entity"), "evidence_id", "observed_at", (k % 3).alias("state"), (cents % 2).alias("geometry"), (k % 7 != 0).alias("active"))
+    return graph.change_log(versions, "entity", ["observed_at", "evidence_id"])
+
+
+@query(f"""WITH {VERSIONS} SELECT entity, evidence_id, change_type, row_number() OVER (PARTITION BY entity ORDER BY observed_at, evidence_id) AS version FROM c WHERE change_type IS NOT NULL""")
+def graph_change_type(spark: SparkSession, sf: str) -> DataFrame:
+    return _changes(spark, sf).select("entity", "evidence_id", "change_type", F.col("version").cast("long").alias("version"))
+
+
+@query(f"""WITH {VERSIONS} SELECT entity, evidence_id, change_type, previous_state, state FROM c WHERE change_type IS NOT NULL AND starts_with(entity, 'error:') ORDER BY observed_at DESC, evidence_id LIMIT 500""")
+def graph_state_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest changes of one kind of entity with the state before and after; a page of at most 500."""
+    log = _changes(spark, sf).where(F.col("entity").startswith("error:"))
+    return log.orderBy(F.desc("observed_at"), "evidence_id").limit(500).select("entity", "evidence_id", "change_type", "previous_state", "state")
+
+
+@query(f"""WITH {NODES}, {EDGES}, {TIMED}, h AS (SELECT *, CAST(split_part(node_id, ':', 2) AS BIGINT) AS n FROM nodes), t AS (SELECT *, CAST(split_part(src, ':', 2) AS BIGINT) AS n FROM timed)
+SELECT 'node' AS kind, node_id AS id, label FROM h WHERE valid_until <= TIMESTAMP '{AS_OF_TEXT}' OR n % 17 = 2 OR n % 19 = 3
+UNION ALL SELECT 'edge', edge_id, src FROM t WHERE valid_until <= TIMESTAMP '{AS_OF_TEXT}' OR n % 17 = 2 OR n % 19 = 3""")
+def graph_stale_union(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = geography(spark, sf)
+
+    def flagged(df: DataFrame, col: str) -> DataFrame:
+        n = _number(col)
+        flags = F.when(n % 17 == 2, F.array(F.lit("stale"))).otherwise(F.array().cast("array<string>"))
+        return df.withColumn("quality_flags", flags).withColumn("health", F.when(n % 19 == 3, "delayed").otherwise("healthy"))
+
+    return graph.stale(flagged(nodes, "node_id"), flagged(_timed(edges), "src").withColumn("label", F.col("src")), as_of())
+
+
+@query(f"""WITH {NODES}, extra AS (SELECT 'supplier:' || s_suppkey AS src, 'nation:' || (s_nationkey + s_suppkey % 4) AS dst FROM supplier UNION ALL SELECT 'supplier:' || (s_suppkey + 5), 'nation:1' FROM supplier WHERE s_suppkey % 3 = 0),
+ok AS (SELECT node_id FROM nodes WHERE active)
+SELECT src, dst, CASE WHEN src NOT IN (SELECT node_id FROM ok) THEN 'unknown_source' ELSE 'unknown_target' END AS reason FROM extra WHERE src NOT IN (SELECT node_id FROM ok) OR dst NOT IN (SELECT node_id FROM ok)""")
+def edge_endpoint_reject(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, _ = geography(spark, sf)
+    s = table(spark, sf, "supplier")
+    edges = s.select(F.concat(F.lit("supplier:"), "s_suppkey").alias("src"), F.concat(F.lit("nation:"), F.col("s_nationkey") + F.col("s_suppkey") % 4).alias("dst"))
+    more = s.where("s_suppkey % 3 = 0").select(F.concat(F.lit("supplier:"), F.col("s_suppkey") + 5).alias("src"), F.lit("nation:1").alias("dst"))
+    return graph.split_edges(edges.unionByName(more), nodes)[1].select("src", "dst", "reason")
+
+
+@query("""WITH old AS (SELECT c_custkey AS id, c_nationkey AS state, c_mktsegment AS label, c_custkey % 5 <> 0 AS active FROM customer WHERE c_custkey % 4 <> 1),
+new AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS state, upper(c_name) AS label, c_custkey % 5 <> 0 OR c_custkey % 2 = 0 AS active FROM customer WHERE c_custkey % 7 <> 2)
+SELECT CASE WHEN o.id IS NULL THEN 'created' WHEN n.id IS NULL THEN 'untouched' WHEN o.state = n.state AND o.active = n.active THEN 'unchanged' ELSE 'updated' END AS change,
+  count(*) AS n, CAST(sum(CASE WHEN o.id IS NULL THEN 1 WHEN n.id IS NULL OR (o.state = n.state AND o.active = n.active) THEN 1 ELSE 2 END) AS BIGINT) AS versions FROM old o FULL JOIN new n ON o.id = n.id GROUP BY 1""")
+def graph_node_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch of nodes on stored ones: a change of label alone is no change."""
+    c = table(spark, sf, "customer")
+    node_id, none = F.concat(F.lit("customer:"), "c_custkey").alias("node_id"), F.lit(None).cast("string")
+
+    def nodes(df: DataFrame, state, label, active) -> DataFrame:
+        return df.select(node_id, state.cast("string").alias("state"), none.alias("geometry"), F.array().cast("array<string>").alias("quality_flags"), active.alias("active"), none.cast("timestamp_ntz").alias("valid_until"), label.alias("label"))
+
+    key, on = F.col("c_custkey"), F.col("c_custkey") % 5 != 0
+    old = nodes(c.where("c_custkey % 4 <> 1"), F.col("c_nationkey"), F.col("c_mktsegment"), on).withColumn("version", F.lit(1).cast("long"))
+    new = nodes(c.where("c_custkey % 7 <> 2"), F.when(key % 3 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")), F.upper("c_name"), on | (key % 2 == 0))
+    merged = graph.merged(old, new, "node_id")
+    return merged.groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.sum("version").alias("versions"))
+
+
+@query("""WITH b AS (SELECT event_id AS batch_id, user_id AS idempotency_key, event_type AS body_hash, ts FROM events), f AS (SELECT *, first_value(body_hash) OVER w AS kept, row_number() OVER w AS rn FROM b WINDOW w AS (PARTITION BY idempotency_key ORDER BY ts, batch_id))
+SELECT batch_id, CASE WHEN rn = 1 THEN 'applied' WHEN kept = body_hash THEN 'replayed' ELSE 'conflict' END AS outcome FROM f""")
+def graph_batch_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    batches = table(spark, sf, "events").select(F.col("event_id").alias("batch_id"), F.col("user_id").alias("idempotency_key"), F.col("event_type").alias("body_hash"), "ts")
+    return graph.ledger(batches, ["ts", "batch_id"]).select("batch_id", "outcome")
+
+
+@query("""WITH d AS (SELECT DISTINCT n_regionkey, n_name FROM nation)
+SELECT r_name AS label, CAST(to_json(list_sort(list(struct_pack(node := n_name, kind := 'nation')) FILTER (n_name IS NOT NULL))) AS VARCHAR) AS members FROM region LEFT JOIN d ON n_regionkey = r_regionkey GROUP BY r_name""")
+def graph_members_json(spark: SparkSession, sf: str) -> DataFrame:
+    r, n = table(spark, sf, "region"), table(spark, sf, "nation")
+    met = r.join(n, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    member = F.when(F.col("n_name").isNotNull(), F.struct(F.col("n_name").alias("node"), F.lit("nation").alias("kind")))
+    return met.groupBy(F.col("r_name").alias("label")).agg(F.to_json(F.array_sort(F.collect_set(member))).alias("members"))
+
+
+# ---- lineage ----------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS decisions, count(*) FILTER (l_returnflag = 'R') AS n_verified FROM lineitem GROUP BY 1)
+SELECT o_orderkey, o_orderpriority, coalesce(decisions, '') AS decisions, coalesce(n_verified, 0) AS n_verified FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
+def lineage_document(spark: SparkSession, sf: str) -> DataFrame:
+    """One document a recommendation: its parts are grouped before they are joined."""
+    parts = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    text = F.array_join(F.transform(parts, lambda p: F.concat_ws(":", p["l_linenumber"], p["l_partkey"])), ",")
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(text.alias("decisions"), F.count_if(F.col("l_returnflag") == "R").alias("n_verified"))
+    met = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return met.select("o_orderkey", "o_orderpriority", F.coalesce("decisions", F.lit("")).alias("decisions"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
+
+
+@query("""WITH e AS (
+  SELECT 'supports' AS edge_type, CAST(l_partkey AS VARCHAR) AS src, CAST(l_orderkey AS VARCHAR) AS dst FROM lineitem
+  UNION ALL SELECT 'triggered', CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR) FROM orders
+  UNION ALL SELECT CASE WHEN o_orderstatus = 'F' THEN 'approved' ELSE 'delegate' END, CAST(o_orderkey AS VARCHAR), 'd' || o_orderkey FROM orders
+  UNION ALL SELECT 'assigned', CASE WHEN l_linenumber = 1 THEN CAST(l_orderkey AS VARCHAR) ELSE 'd' || l_orderkey END, l_orderkey || '-' || l_linenumber FROM lineitem),
+h AS (SELECT *, sha256('edge:' || edge_type || ':' || src || ':' || dst) AS d FROM e)
+SELECT edge_type, src, dst, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-' || substr(d, 13, 4) || '-' || substr(d, 17, 4) || '-' || substr(d, 21, 12) AS edge_id FROM h""")
+def lineage_projection_edges(spark: SparkSession, sf: str) -> DataFrame:
+    l, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    decision = F.concat(F.lit("d"), F.col("l_orderkey"))
+    assigned = l.select(F.when(F.col("l_linenumber") == 1, F.col("l_orderkey").cast("string")).otherwise(decision).alias("a"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("b"))
+    outcome = lambda df: df.select("o_orderkey", F.concat(F.lit("d"), F.col("o_orderkey")).alias("decision"))
+    return graph.lineage_edges(
+        {
+            "supports": (l, "l_partkey", "l_orderkey"),
+            "triggered": (o, "o_custkey", "o_orderkey"),
+            "approved": (outcome(o.where("o_orderstatus = 'F'")), "o_orderkey", "decision"),
+            "delegate": (outcome(o.where("o_orderstatus <> 'F'")), "o_orderkey", "decision"),
+            "assigned": (assigned, "a", "b"),
+        }
+    )

@@ -8,20 +8,9 @@ from pyspark.sql import functions as F
 from mobilis.functions.text import first_clause, listed, queue_rank, short_hash
 from mobilis.operators import desks, lifecycle, views
 from mobilis.operators import evidence as ev_ops
-from mobilis.plans.common import EV, evidence, table
+from mobilis.plans.common import EV, catalogue, evidence, table
 
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def keep(fn):
-        Q[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return keep
+Q, SQL, query = catalogue()
 
 
 def severity(priority):
