@@ -10,7 +10,9 @@
    estimate is not clearly below the threshold, never all its pairs.
 4. The components of these forests are families.  Texts of a family meet in
    blocks, where all pairs are confirmed on full shingle sets by sparse counting,
-   and again only a spanning forest of the confirmed links leaves the task.
+   and again only a spanning forest of the confirmed links leaves the task.  Texts
+   of no family mostly stay where they are: a bitmap of fixed size, in which each
+   wanted id sets a bit, tells them apart before the shuffle.
 5. Components of the confirmed links are the near-duplicate groups.
 
 A pair at the threshold 0.85 misses all 25 bands of 5 minima with probability
@@ -35,6 +37,8 @@ BANDS, ROWS, BITS = 25, 5, 4
 MARGIN = 0.17
 BUCKET_BLOCK = 1024
 FAMILY_BLOCK = 256
+#: Bits of the filter that goes to all tasks (8 MB, whatever the input); a multiple of 32,768.
+FILTER_BITS = 1 << 26
 
 _LANES = BANDS * ROWS
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, _LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -211,6 +215,20 @@ def _family_forests(percent: int):
     return run
 
 
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``rows`` whose ``key`` may be among ``wanted``: all that are, and few others.
+
+    Hashes of the wanted keys set bits of a bitmap in parts of 4 kB; at most
+    ``bits`` / 32,768 parts exist, so they may be broadcast.  A bitmap that fills up
+    lets more rows pass, it never holds one back.
+    """
+    h = F.pmod(F.xxhash64(key), F.lit(bits))
+    marks = wanted.groupBy(F.shiftright(h, 15).alias("_part")).agg(F.bitmap_construct_agg(h.bitwiseAND(32_767)).alias("_bits"))
+    met = rows.withColumn("_at", h).join(F.broadcast(marks), F.shiftright("_at", 15) == F.col("_part"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(shiftright(_at & 32767, 3) as int) + 1, 1)")), 16, 10).cast("int")
+    return met.where(F.getbit(byte, F.col("_at").bitwiseAND(7).cast("int")) == 1).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
@@ -236,9 +254,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     close = map_groups(dealt.select("key", "i", "j", "own", "rep", "bits"), ["key", "i", "j"], _bucket_forests(percent / 100 - MARGIN), "a long, b long")
     families = components(close, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("family"))
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    wanted = families.join(sizes.hint("merge"), "family").join(names, "rep")
+    wanted = stored(families.join(sizes.hint("merge"), "family").join(names, "rep"))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    met = dealt_in_blocks(texts.join(wanted, "rep"), "family", "rep", "n", FAMILY_BLOCK)
+    met = dealt_in_blocks(maybe_in(texts, wanted, "rep").join(wanted, "rep"), "family", "rep", "n", FAMILY_BLOCK)
     links = map_groups(met.select("family", "i", "j", "own", "rep", "class", "text"), ["family", "i", "j"], _family_forests(percent), "a long, b long")
     found = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     labels = names.join(found, "rep", "left").select("class", F.coalesce("component", "rep").alias("root"))
