@@ -1,4 +1,54 @@
-"""Queries."""
+"""Queries that run as streams over slices of evidence, each slice one micro-batch."""
 
-Q: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mobilis.plans.common import EV, catalogue, evidence
+from mobilis.sources.folders import landed
+from mobilis.streaming import jobs
+
+Q, SQL, query = catalogue()
+
+_SLICE = "CASE WHEN observed_at < TIMESTAMP '2024-01-11' THEN 0 WHEN observed_at < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END"
+
+
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    ev = evidence(spark, sf)
+    at = F.col("observed_at")
+    first, second = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-11", "2024-01-21"))
+    path = landed(ev, [at < first, (at >= first) & (at < second), at >= second])
+    return jobs.files(spark, path, ev.schema)
+
+
+@query(f"""WITH {EV}, s AS (SELECT *, {_SLICE} AS slice FROM ev),
+r AS (SELECT *, row_number() OVER (PARTITION BY connector_code, source_event_id, slice ORDER BY observed_at DESC, evidence_id DESC) AS rn FROM s),
+l AS (SELECT *, lag(content_hash) OVER (PARTITION BY connector_code, source_event_id ORDER BY slice) IS DISTINCT FROM content_hash AS fresh FROM r WHERE rn = 1)
+SELECT connector_code, source_event_id, arg_max(content_hash, slice) AS content_hash, max(received_at) AS received_at, count(*) FILTER (fresh) AS version FROM l GROUP BY ALL""")
+def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.upsert_stream(_stream(spark, sf))
+
+
+@query(f"""WITH {EV}, m AS (SELECT *, lag(content_hash) OVER w IS DISTINCT FROM content_hash AS fresh FROM ev WINDOW w AS (PARTITION BY connector_code, source_event_id ORDER BY observed_at, evidence_id))
+SELECT evidence_id, CASE WHEN fresh THEN 'accepted' ELSE 'duplicate' END AS outcome,
+  CAST(sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY connector_code, source_event_id ORDER BY observed_at, evidence_id) AS BIGINT) AS version FROM m""")
+def stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.outcome_stream(_stream(spark, sf))
+
+
+@query(f"WITH {EV} SELECT evidence_id, connector_code, content_hash FROM ev")
+def stream_change_feed(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.change_feed(_stream(spark, sf).select("evidence_id", "connector_code", "content_hash"))
+
+
+@query(f"WITH {EV} SELECT connector_code, date_trunc('hour', observed_at) AS opens, count(*) AS n FROM ev GROUP BY ALL")
+def stream_cadence_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.cadence_stream(_stream(spark, sf))
+
+
+@query()
+def stream_incident_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Incidents after three passes; the tests compare it with the batch operator run by hand."""
+    rows = _stream(spark, sf).withColumnRenamed("source_event_id", "external_key")
+    return jobs.incident_stream(rows, F.col("cents") > 8000)
