@@ -64,3 +64,36 @@ def forecast(periods: Column) -> dict[str, Column]:
         "max_precip": F.array_max(F.transform(first, lambda p: F.coalesce(p["precip"], F.lit(0.0)))),
         "thunder_hours": F.size(F.filter(first, lambda p: F.lower(p["text"]).contains("thunder"))),
     }
+
+
+def connection_status(configured: str, needs_approval: str, default: str) -> Column:
+    """How a connector stands: unconfigured ones wait for a permission or a setting."""
+    missing = F.when(F.col(needs_approval), "permission_required").otherwise("configuration_required")
+    return F.when(~F.col(configured), missing).when(F.col(default) == "configuration_required", "connected").otherwise(F.col(default))
+
+
+def badges(services: Column, words: dict[str, list[str]], other: str, most: int = 3) -> Column:
+    """Categories of an array of services by the first key word each holds; once each, in order."""
+
+    def kind(service: Column) -> Column:
+        out = F.lit(other)
+        for name, keys in reversed(words.items()):
+            hit = F.lit(False)
+            for k in keys:
+                hit = hit | service.contains(k)
+            out = F.when(hit, name).otherwise(out)
+        return out
+
+    return F.slice(F.array_distinct(F.transform(services, kind)), 1, most)
+
+
+#: What a commitment has been through, by the state that shows it.
+STAGES = [("requested", "asked"), ("acknowledged", "seen"), ("approved", "accepted"), ("executing", "in progress"), ("verified", "done")]
+
+
+def stages_done(state: str) -> Column:
+    """The stages that a commitment has reached; states off the way show the first alone."""
+    out = F.array(F.lit(STAGES[0][1]))
+    for k in range(1, len(STAGES)):
+        out = F.when(F.col(state) == STAGES[k][0], F.array(*[F.lit(name) for _, name in STAGES[: k + 1]])).otherwise(out)
+    return out

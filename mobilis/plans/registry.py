@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mobilis.plans import evidence_queries, graph_queries, stream_queries, work_queries
+from mobilis.plans import evidence_queries, graph_queries, model_queries, stream_queries, work_queries
 
-_MODULES = (evidence_queries, work_queries, graph_queries, stream_queries)
+_MODULES = (evidence_queries, work_queries, graph_queries, model_queries, stream_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
