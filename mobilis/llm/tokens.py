@@ -26,7 +26,8 @@ _PRINT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
 #: A newline beside another blank than a space.
 _NEAR = re.compile(r"[^\S \n]\n|\n[^\S \n]")
-_MEMO_WORDS = 1_000_000
+#: Words in each of the two generations of a worker's memo (some 75 MB each).
+_MEMO_WORDS = 300_000
 _MEMO_CHARS = 48
 _CALL_CHARS = 2_000_000
 ID = np.dtype("<u4")
@@ -41,6 +42,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tails: dict[str, list[int]] = {}
         self.newline = np.frombuffer(self.whole(["\n"])[0], dtype=ID).tolist()
 
@@ -110,11 +112,14 @@ class Encoder:
             if p:
                 words.update(p[1:])
         if len(self.memo) > _MEMO_WORDS:
-            self.memo = {}
-        known, memo = self.memo.keys(), self.memo
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
         get = memo.__getitem__
         long: dict[str, bytes] = {}
-        new = list(words - known)
+        new = words - memo.keys()
+        again = new & older.keys()
+        memo.update(zip(again, map(older.__getitem__, again), strict=True))
+        new = list(new - again)
         for w, ids in zip(new, self._spaced(new), strict=True):
             (memo if len(w) <= _MEMO_CHARS else long)[w] = ids
         if long:
