@@ -38,6 +38,8 @@ BLOCK = 1024
 DEGREE = 16
 CANDIDATES = 48
 ALPHA = 1.2
+#: Edges followed at once in a block: what a dense cluster may hold in memory, not what it may find.
+FRONTIER = 1 << 20
 _SHARD_STEP = 1 << 20
 
 
@@ -112,15 +114,20 @@ def range_search(near: np.ndarray, edges: np.ndarray, medoid: int, least: float,
     seen[rows[walked], here[walked]] = True
     query, node = np.nonzero(seen)
     found_q, found_v = [query], [node]
+    step = max(1, FRONTIER // padded.shape[1])
     while len(query):
-        q = np.repeat(query, padded.shape[1])
-        v = padded[node].ravel()
-        new = ~seen[q, v]
-        q, v = q[new], v[new]
-        close = near[q, v] >= least
-        key = np.unique(q[close] * n + v[close])
-        query, node = key // n, key % n
-        seen[query, node] = True
+        ahead_q, ahead_v = [], []
+        for at in range(0, len(query), step):
+            q = np.repeat(query[at : at + step], padded.shape[1])
+            v = padded[node[at : at + step]].ravel()
+            new = ~seen[q, v]
+            q, v = q[new], v[new]
+            close = near[q, v] >= least
+            key = np.unique(q[close] * n + v[close])
+            seen[key // n, key % n] = True
+            ahead_q.append(key // n)
+            ahead_v.append(key % n)
+        query, node = np.concatenate(ahead_q), np.concatenate(ahead_v)
         found_q.append(query)
         found_v.append(node)
     return np.concatenate(found_q), np.concatenate(found_v)
