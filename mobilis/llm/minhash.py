@@ -215,18 +215,24 @@ def _family_forests(percent: int):
     return run
 
 
-def maybe_in(rows: DataFrame, wanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of ``rows`` whose ``key`` may be among ``wanted``: all that are, and few others.
+def marked(rows: DataFrame, wanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with ``_maybe``: whether ``key`` may be among ``wanted``; true for all that are, and few others.
 
     Hashes of the wanted keys set bits of a bitmap in parts of 4 kB; at most
     ``bits`` / 32,768 parts exist, so they may be broadcast.  A bitmap that fills up
-    lets more rows pass, it never holds one back.
+    marks more rows, it never misses one.
     """
     h = F.pmod(F.xxhash64(key), F.lit(bits))
     marks = wanted.groupBy(F.shiftright(h, 15).alias("_part")).agg(F.bitmap_construct_agg(h.bitwiseAND(32_767)).alias("_bits"))
-    met = rows.withColumn("_at", h).join(F.broadcast(marks), F.shiftright("_at", 15) == F.col("_part"))
+    met = rows.withColumn("_at", h).join(F.broadcast(marks), F.shiftright("_at", 15) == F.col("_part"), "left")
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(shiftright(_at & 32767, 3) as int) + 1, 1)")), 16, 10).cast("int")
-    return met.where(F.getbit(byte, F.col("_at").bitwiseAND(7).cast("int")) == 1).select(*rows.columns)
+    maybe = F.coalesce(F.getbit(byte, F.col("_at").bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    return met.select(*rows.columns, maybe.alias("_maybe"))
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``rows`` whose ``key`` may be among ``wanted`` (see :func:`marked`)."""
+    return marked(rows, wanted, key, bits).where("_maybe").select(*rows.columns)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:

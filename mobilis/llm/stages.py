@@ -25,7 +25,10 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     found = stored(minhash.near_duplicates(docs, percent=80).where("doc_id IS NOT NULL"))
     dropped = found.where("NOT kept").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    # only texts that may have to go are shuffled; most stay where they are
+    told = minhash.marked(docs, dropped, "doc_id")
+    doubted = told.where("_maybe").join(dropped, "doc_id", "left_anti")
+    left = told.where("NOT _maybe").select(*docs.columns).unionByName(doubted.select(*docs.columns))
     repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if not repeated.head(1):
         return left
