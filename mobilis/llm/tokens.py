@@ -17,6 +17,13 @@ import numpy as np
 
 #: A blank run in which a later space would not begin a pretoken of its own.
 _RUN = re.compile(r"[^\S ] (?:\s|$)")
+#: Marks that end a word (ASCII, without letters, digits and blanks).
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+#: Letters below U+0250.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Byte-level vocabularies write bytes that do not print as the letters from U+0100 on, in order.
+_PRINT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
 #: A newline beside another blank than a space.
 _NEAR = re.compile(r"[^\S \n]\n|\n[^\S \n]")
 #: Words in each of the two generations of a worker's memo (some 75 MB each).
@@ -36,9 +43,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
-        self.opens[[k for token, k in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.tails: dict[str, list[int]] = {}
+        self.newline = np.frombuffer(self.whole(["\n"])[0], dtype=ID).tolist()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -47,22 +53,44 @@ class Encoder:
     def _spaced(self, words: list[str]) -> list[bytes]:
         """The ids of each word with a space before it, or with its own newline.
 
-        Words without blanks are encoded as one text: each begins at an id whose
-        token begins with a space.  All else goes through the tokenizer on its own.
+        Latin letters with marks after them are two pretokens at most, which the
+        merge model takes directly; all else goes through the whole tokenizer.
         """
-        plain = [w for w in words if w and w.isprintable()]
-        rest = [w for w in words if not (w and w.isprintable())]
-        found: dict[str, bytes] = {}
-        if plain:
-            ids = np.frombuffer(self.whole([" " + " ".join(plain)])[0], dtype=ID)
-            starts = np.flatnonzero(self.opens[ids]) * ID.itemsize
-            if len(starts) == len(plain) and starts[0] == 0:
-                raw = ids.tobytes()
-                found.update(zip(plain, map(raw.__getitem__, map(slice, starts.tolist(), [*starts[1:].tolist(), len(raw)])), strict=True))
-            else:  # a token of the vocabulary takes the blanks around it
-                rest = words
-        found.update(zip(rest, self.whole([w if w[:1] == "\n" else " " + w for w in rest]), strict=True))
-        return [found[w] for w in words]
+        model, tails = self.tokenizer.model.tokenize, self.tails
+        flat: list[int] = []
+        ends: list[int] = []
+        rest: list[int] = []
+        for k, w in enumerate(words):
+            if w[:1] == "\n":
+                flat += self.newline
+                core, opens = w[1:], ""
+            else:
+                core, opens = w, "\u0120"
+            whole, core = core, core.rstrip(_MARKS)
+            if not (core.isascii() and core.isalpha()):
+                if not _LATIN.fullmatch(core):
+                    rest.append(k)
+                    ends.append(len(flat))
+                    continue
+                core = core.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                tail = whole[len(whole.rstrip(_MARKS)) :]
+            else:
+                tail = whole[len(core) :]
+            flat += [t.id for t in model(opens + core)]
+            if tail:
+                if tail not in tails:
+                    tails[tail] = np.frombuffer(self.whole([tail])[0], dtype=ID).tolist()
+                flat += tails[tail]
+            ends.append(len(flat))
+        ids = np.array(flat, dtype=ID).tobytes()
+        out, last = [], 0
+        for end in ends:
+            end *= ID.itemsize
+            out.append(ids[last:end])
+            last = end
+        for k, found in zip(rest, self.whole([w if w[:1] == "\n" else " " + w for w in map(words.__getitem__, rest)]), strict=True):
+            out[k] = found
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
@@ -102,19 +130,10 @@ class Encoder:
 
 def _pieces(text: str) -> list[str] | None:
     """The text cut before each space (the space taken off) and each lone newline."""
-    if "  " in text:
-        return None
-    lines = "\n" in text
-    if (text.replace("\n", "") if lines else text).isprintable():  # no blanks but spaces and newlines
-        if lines and ("\n \n" in text or text.endswith("\n ")):
-            return None
-        near = False
-    elif _RUN.search(text):
+    if "  " in text or _RUN.search(text):
         return None
-    else:
-        near = lines and _NEAR.search(text)
-    if lines:
-        if "\n\n" in text or " \n" in text or "\n " in text or text[0] == "\n" or text[-1] == "\n" or near:
+    if "\n" in text:
+        if "\n\n" in text or " \n" in text or "\n " in text or text[0] == "\n" or text[-1] == "\n" or _NEAR.search(text):
             return None if " \n" in text else text.split(" ")
         text = text.replace("\n", " \n")
     return text.split(" ")
