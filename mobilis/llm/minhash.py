@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mobilis.llm.shared import components, group_cuts, map_groups, stored
+from mobilis.llm.shared import components, group_cuts, map_groups, stored, tidy
 from mobilis.llm.text import blocks, mix64, set_digest, shingle_sets
 
 BANDS, ROWS, BITS = 25, 5, 4
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, class binary, keys array<long>, bits binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_shingles long, class binary, keys array<long>, bits binary")
 
 
 def dealt_in_blocks(df: DataFrame, key: str, member: str, size: str, block: int) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mobilis.llm.shared import group_cuts, map_groups, stored
+from mobilis.llm.shared import group_cuts, map_groups, stored, tidy
 from mobilis.llm.tokens import ID, encoder
 
 GROUP_DOCUMENTS = 8192
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int, id_col: str,
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "group", "ids"][: len(arrays)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(None) if group is None else group).cast("long").alias("group"))
-    return rows.mapInArrow(run, _PIECE + ", group long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(tidy(run), _PIECE + ", group long" + ", ids binary" * with_ids)
 
 
 def _pack(room: int):

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mobilis.llm.shared import tidy
 from mobilis.llm.text import Block, blocks
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
@@ -383,7 +384,7 @@ def find(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added", "base_sha256", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -421,4 +422,4 @@ def mask(docs: DataFrame, model: Model | None = None, text_col: str = "text", ch
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

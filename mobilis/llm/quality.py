@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mobilis.llm.shared import tidy
 from mobilis.llm.text import Block, blocks, mix64, windows
 
 CHUNK_BYTES = 2048
@@ -133,7 +134,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, _SCHEMA)
+    return rows.mapInArrow(tidy(run), _SCHEMA)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -144,4 +145,4 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(measured(batch.column(text_col))[9].astype(bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
