@@ -58,3 +58,23 @@ def test_vectors(spark, monkeypatch):
     assert {got[1000 + k].component_id for k in range(5)} == {7}
     assert vectors.audit(table, result) >= 0.9
     assert vectors.near_vectors(table.limit(0)).count() == 0
+
+
+def linked_groups(rng, n_groups, size, cosine=0.96, dims=64):
+    """Tight groups of near copies whose centres have the given cosine to each other."""
+    axes = np.linalg.qr(rng.normal(size=(dims, n_groups + 1)))[0].T
+    centres = cosine**0.5 * axes[0] + (1 - cosine) ** 0.5 * axes[1:]
+    return np.repeat(centres, size, axis=0) + rng.normal(size=(n_groups * size, dims)) * 0.001
+
+
+def test_vectors_of_dense_groups(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([linked_groups(rng, 4, 60), linked_groups(rng, 2, 60), linked_groups(rng, 1, 150), linked_groups(rng, 1, 40) + rng.normal(size=(40, 64)) * 0.02])
+    made = [(k, row) for k, row in enumerate(x.tolist())]
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(made, "vec_id long, embedding array<double>")).collect()}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = y @ y.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert [got[k].n_links for k in range(len(x))] == link.sum(axis=1).tolist()
+    assert {got[k].component_id for k in range(240)} == {0}
+    assert {got[k].component_id for k in range(240, 360)} == {240}
