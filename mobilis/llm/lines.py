@@ -1,8 +1,10 @@
-"""Repeated lines across documents.
+"""Repeated lines and paragraphs across documents.
 
-Every line of enough words is normalised and reduced to a digest; digests meet
-globally, each keeps its first occurrence, and all others are listed for removal
-with their offsets in the original text.  Only digests and offsets move.
+Every line and every paragraph (a run of lines with words) of enough words is
+normalised and reduced to a digest; digests meet globally, each keeps its first
+occurrence, and all others are listed for removal with their offsets in the original
+text.  Paragraphs go first, however their words are broken into lines, then repeated
+lines of what is left.  Only digests and offsets move.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from mobilis.llm.shared import stored
 
 LEAST_WORDS = 25
-_UNIT = "row long, doc_id long, start long, end long, digest binary"
+_UNIT = "row long, doc_id long, par long, whole boolean, start long, end long, digest binary"
 
 
 def normalised(line: bytes) -> list[bytes]:
@@ -26,49 +28,78 @@ def normalised(line: bytes) -> list[bytes]:
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """row, doc_id, start, end, digest: one row per long enough line, and one per document without a digest."""
+    """row, doc_id, par, whole, start, end, digest.
+
+    One row per long enough paragraph (``whole``), one per line that is long enough
+    or in such a paragraph (with a digest if long enough), and one per document
+    without a place.
+    """
+
+    def digest(words: list[bytes]) -> bytes | None:
+        return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if len(words) >= least_words else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(7)]
 
             def put(*values) -> None:
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
 
+            def put_paragraph(row, name, par: int, run_: list[tuple[int, int, list[bytes]]]) -> None:
+                whole = digest([w for x in run_ for w in x[2]])
+                if whole:
+                    put(row, name, par, True, run_[0][0], run_[-1][1], whole)
+                    for a, b, words in run_:
+                        put(row, name, par, False, a, b, whole if len(run_) == 1 else digest(words))
+
             for row, name, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-                put(row, name, None, None, None)
-                at = 0
+                put(row, name, None, None, None, None, None)
+                at, par = 0, 0
+                held: list[tuple[int, int, list[bytes]]] = []
                 for line in (text or "").split("\n"):
-                    if 2 * least_words - 1 <= len(line):
-                        words = normalised(line.encode())
-                        if len(words) >= least_words:
-                            put(row, name, at, at + len(line), hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                    words = normalised(line.encode())
+                    if words:
+                        held.append((at, at + len(line), words))
+                    elif held:
+                        put_paragraph(row, name, par, held)
+                        held, par = [], par + 1
                     at += len(line) + 1
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["row", "doc_id", "start", "end", "digest"])
+                if held:
+                    put_paragraph(row, name, par, held)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["row", "doc_id", "par", "whole", "start", "end", "digest"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, _UNIT)
 
 
+def _later(found: DataFrame) -> DataFrame:
+    """The units that are not the first with their digest."""
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start")
+    first = found.groupBy("digest").agg(F.min(rank).alias("first"))
+    return found.join(first.hint("merge"), "digest").where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, chars_removed, removed for each row of ``docs``.
 
-    Lines end at newlines and are equal if their words are, A-Z lower-cased; lines
-    of fewer than ``least_words`` words are never removed.  The first occurrence, by
-    (doc_id, row, offset) with null ids last, is kept; ``removed`` lists the others
-    as ``start:end`` in code points of the original text, comma-joined.  A null or
-    empty text has no lines.  Repeated rows are documents of their own; other
+    Lines end at newlines, paragraphs at lines without words; they are equal if their
+    words are, A-Z lower-cased.  Of equal paragraphs of at least ``least_words`` words
+    the first is kept; of equal lines of as many words outside the paragraphs that go
+    the first is kept.  First is by (doc_id, row, offset) with null ids last;
+    ``removed`` lists the lines that go as ``start:end`` in code points of the original
+    text, comma-joined, and ``n_lines`` counts lines of ``least_words`` words.  A null
+    or empty text has no lines.  Repeated rows are documents of their own; other
     columns are not read.
     """
     found = stored(units(docs, id_col, text_col, least_words))
-    lines = found.where("digest IS NOT NULL")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start")
-    first = lines.groupBy("digest").agg(F.min(rank).alias("first"))
-    later = lines.join(first.hint("merge"), "digest").where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
+    dropped = _later(found.where("whole")).select("row", "par", F.lit(True).alias("dropped"))
+    lines = stored(found.where("NOT whole").join(dropped, ["row", "par"], "left"))
+    place = ["row", "start", "end"]
+    later = lines.where("dropped").select(*place).unionByName(_later(lines.where("dropped IS NULL AND digest IS NOT NULL")).select(*place))
     gone = later.groupBy("row").agg(F.count(F.lit(1)).alias("n_removed"), F.sum(F.col("end") - F.col("start")).alias("chars_removed"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    counts = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("digest").alias("n_lines"))
+    counts = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count(F.when(~F.col("whole"), F.col("digest"))).alias("n_lines"))
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return counts.join(gone, "row", "left").select(
         "doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("chars_removed", F.lit(0)).alias("chars_removed"), F.coalesce(spans, F.lit("")).alias("removed")

@@ -64,9 +64,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All repeated lines and paragraphs, also the shortest."""
     from mobilis.llm.lines import repeated_lines
 
-    return repeated_lines(_documents(spark, sf_dir))
+    return repeated_lines(_documents(spark, sf_dir), least_words=1)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -320,6 +320,24 @@ def test_lines(docs, table):
     assert lines.without("ab\ncd\nef", "3:5") == "ab\nef"
 
 
+def test_short_lines_and_paragraphs(spark, tmp_path):
+    from mobilis.llm import registry
+
+    made = [
+        (1, "One two\nthree four.\n\nown words here\nshared line"),
+        (2, "before\n \none TWO three\nfour.\n\nother"),  # a paragraph of 1, broken elsewhere
+        (3, "Shared  line\nmine\n\none two"),
+        (4, "three\n\nthree\nyes"),
+        (None, "one two three four."),
+    ]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.op9_lines(spark, str(tmp_path)).collect()}
+    texts = dict(made)
+    left = {k: lines.without(texts[k], r.removed) for k, r in got.items()}
+    assert left == {1: texts[1], 2: "before\n \n\nother", 3: "mine\n\n", 4: "three\n\nyes", None: ""}
+    assert (got[2].n_lines, got[2].n_removed, got[2].chars_removed) == (4, 2, 18)
+
+
 def test_licenses(spark):
     made = [
         (1, "Licensed under the Apache License, Version 2.0.", "repo/LICENSE"),
