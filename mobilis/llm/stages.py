@@ -18,22 +18,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, ``_row``: stored, as it must not change between uses."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _names_rows(ids: DataFrame) -> bool:
+    """Whether ``doc_id`` is there in every row and never twice."""
+    return not ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").head(1)
+
+
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the least id.
 
-    Of rows that repeat an id one stays.  Rows without an id are not compared.
+    Where ids are missing or repeat, rows are compared by number: only their texts
+    make them one, and rows without an id stay behind those with one.
     """
-    found = stored(minhash.near_duplicates(docs, percent=80).where("doc_id IS NOT NULL"))
-    dropped = found.where("NOT kept").select("doc_id").distinct()
+    if _names_rows(docs.select("doc_id")):
+        rows, key = docs, "doc_id"
+        dropped = stored(minhash.near_duplicates(rows, percent=80).where("NOT kept").select(key))
+    else:
+        rows, key = _numbered(docs), "_row"
+        found = minhash.near_duplicates(rows, id_col=key, percent=80).select(F.col("doc_id").alias(key), "component_id")
+        named = stored(found.join(rows.select(key, "doc_id").hint("merge"), key))
+        best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)).alias("best"))
+        dropped = stored(named.select(key).join(best.select(F.col(f"best.{key}").alias(key)).hint("merge"), key, "left_anti"))
     # only texts that may have to go are shuffled; most stay where they are
-    told = minhash.marked(docs, dropped, "doc_id")
-    doubted = told.where("_maybe").join(dropped, "doc_id", "left_anti")
-    left = told.where("NOT _maybe").select(*docs.columns).unionByName(doubted.select(*docs.columns))
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    if not repeated.head(1):
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    told = minhash.marked(rows, dropped, key)
+    doubted = told.where("_maybe").join(dropped, key, "left_anti")
+    return told.where("NOT _maybe").select(*docs.columns).unionByName(doubted.select(*docs.columns))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +57,16 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order that mixes their sources; the files hold it in order.
 
-    Documents without an id come last.
+    Where ids are missing or repeat, rows are placed by number.
     """
-    placed = stored(mixing.mix(docs, power=SOURCE_POWER).where("doc_id IS NOT NULL").select("doc_id", "slot", "unit_start").dropDuplicates(["doc_id"]))
+    rows, key = docs, "doc_id"
+    placed = stored(mixing.mix(docs, power=SOURCE_POWER).select("doc_id", "slot", "unit_start"))
+    if not _names_rows(placed):
+        rows, key = _numbered(docs), "_row"
+        placed = stored(mixing.mix(rows, power=SOURCE_POWER, id_col=key).select("doc_id", "slot", "unit_start"))
     last = placed.agg(F.max("slot")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = docs.join(placed.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    met = rows.join(placed.withColumnRenamed("doc_id", "_id"), F.col(key) == F.col("_id"), "left")
     slot = F.coalesce("slot", F.lit(last))
     part = F.floor(slot * parts / (last + 1)).cast("int")
     return met.repartitionById(parts, part).sortWithinPartitions(F.col("slot").asc_nulls_last(), "unit_start").select(*docs.columns)

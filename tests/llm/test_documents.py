@@ -402,3 +402,23 @@ def test_pipeline(spark, docs):
             assert now.columns == before.columns
         now = now.persist()
     assert now.where("doc_id IS NOT NULL").count() > 0
+
+
+def test_stages_with_bad_ids(spark):
+    from mobilis.llm import stages
+
+    rng = random.Random(8)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    made = [(1, a), (5, a), (5, b), (7, c), (7, c), (8, ""), (None, b), (None, d), (None, d), (None, d + " end"), (None, e)]
+    table = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in made], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = stages.minhash_dedup(spark, table, "")
+    assert got.columns == table.columns
+    left = sorted(((r.doc_id, r.text[:20]) for r in got.collect()), key=str)
+    assert left == sorted([(1, a[:20]), (5, b[:20]), (7, c[:20]), (8, ""), (None, d[:20]), (None, e[:20])], key=str)
+
+    many = [(None if k % 2 else k % 5, f"{k} " + "x" * 70_000, "en", f"s{k % 3}", 1) for k in range(60)]
+    mixed = stages.mix_sources(spark, spark.createDataFrame(many, table.schema).repartition(3), "")
+    parts = mixed.rdd.glom().collect()
+    assert sorted(r.text for x in parts for r in x) == sorted(t for _, t, *_ in many)
+    # rows without an id lie in all parts, no source in a lump
+    assert len(parts) == 4 and all(sum(r.doc_id is None for r in x) >= 2 and len({r.source for r in x}) == 3 for x in parts)
