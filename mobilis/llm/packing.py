@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int, id_col: str,
         step = room * ID.itemsize
         for batch in batches:
             names, groups, rows = batch.column("doc_id").to_pylist(), batch.column("group").to_pylist(), [[] for _ in range(7)]
-            for name, own, ids in zip(names, groups, encoder(tokenizer).encode(batch.column("text").to_pylist()), strict=True):
+            for name, own, ids in zip(names, groups, encoder(tokenizer).encode(batch.column("text")), strict=True):
                 ids += end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mobilis.llm import licenses, lines, minhash, mixing, packing, pii, quality, store
@@ -228,6 +229,91 @@ def test_store(spark, docs, table):
     assert chunks.count() == chunks.select("key").distinct().count()
 
 
+def local_copy(spark, path, tmp_path, name):
+    """A copy of a store in a folder of the test, with the path to give to Spark."""
+    import shutil
+
+    place = tmp_path / name
+    shutil.copytree(path.removeprefix("file:"), place)
+    return place, f"file:{place}"
+
+
+def test_damaged_store_is_refused(spark, docs, tmp_path):
+    path = shared_folder(spark)
+    store.write_store(docs.repartition(4), path, TOKENIZER)
+    want = store.read_summary(spark, path).count()
+    assert want == docs.count()
+
+    place, there = local_copy(spark, path, tmp_path, "lost_recipes")
+    next((place / "recipes").glob("part-*.parquet")).unlink()
+    for read in (store.read_summary, store.read_documents):
+        with pytest.raises(Exception, match="not as the manifest tells|not exist|infer"):
+            read(spark, there).collect()
+
+    place, there = local_copy(spark, path, tmp_path, "added_recipes")
+    some = next((place / "recipes").glob("part-*.parquet"))
+    some.with_name("part-99999-more.parquet").write_bytes(some.read_bytes())
+    with pytest.raises(ValueError, match="not as the manifest tells"):
+        store.read_summary(spark, there)
+
+    place, there = local_copy(spark, path, tmp_path, "altered_recipes")
+    changed = spark.read.parquet(f"{path}/recipes").withColumn("n_ids", F.col("n_ids") + 1)
+    changed.write.mode("overwrite").parquet(f"{there}/recipes")
+    with pytest.raises(ValueError, match="not as the manifest tells"):
+        store.read_summary(spark, there)
+
+    place, there = local_copy(spark, path, tmp_path, "lost_chunk")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    one = chunks.orderBy("key").first()
+    chunks.where(F.col("key") != F.lit(one.key)).write.mode("overwrite").parquet(f"{there}/chunks")
+    for read in (store.read_summary, store.read_documents):
+        with pytest.raises(Exception, match="does not follow from its chunks"):
+            read(spark, there).collect()
+
+    place, there = local_copy(spark, path, tmp_path, "altered_chunk")
+    body = bytearray(one.body)
+    body[0] ^= 1
+    altered = chunks.withColumn("body", F.when(F.col("key") == F.lit(one.key), F.lit(bytes(body))).otherwise(F.col("body")))
+    altered.write.mode("overwrite").parquet(f"{there}/chunks")
+    for read in (store.read_summary, store.read_documents):
+        with pytest.raises(Exception, match="does not hold what its digest says|does not follow from its chunks"):
+            read(spark, there).collect()
+
+
+def test_boundaries_of_a_batch_are_those_of_its_documents():
+    rng = np.random.default_rng(4)
+    sizes = [1, 5, 70, 3000, 9, 1024, 4096, 64, 2, 600]
+    docs_ = [rng.integers(0, 60000, n).astype("<u4") if n != 3000 else np.full(n, 7, "<u4") for n in sizes]
+    starts = [0, *np.cumsum(sizes).tolist()[:-1]]
+    got = store.boundaries(np.concatenate(docs_), starts)
+    for ids, start, stops in zip(docs_, starts, got, strict=True):
+        assert [s - start for s in stops] == store.boundaries(ids, [0])[0]
+        assert stops[-1] == start + len(ids)
+        lengths = np.diff([start, *stops])
+        assert (lengths <= store.MOST).all() and (lengths > 0).all()
+
+
+def test_encoder_forgets_and_goes_on(monkeypatch):
+    from mobilis.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 20)
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("abcdeé.,'"), rng.integers(1, 9))) for _ in range(60)) for _ in range(12)]
+    encoder = Encoder(TOKENIZER)
+    for _ in range(2):
+        for t in texts:
+            assert encoder.encode([t]) == encoder.whole([t])
+
+
+def test_encoder_of_another_vocabulary_encodes_whole():
+    import public_tokenizers
+
+    encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Some words, in a text.\nAnother line", None, ""]
+    assert encoder.memo is None
+    assert encoder.encode(texts) == encoder.whole([t or "" for t in texts])
+
+
 def test_crc_of_joined_strings():
     for n in (0, 1, 4, 100, 1000):
         a, b = b"abc" * 7, bytes(range(200)) * 6
