@@ -7,14 +7,14 @@ repeats its own files):
   fit, else 32); each distinct chunk once;
 * ``recipes/``: in ascending doc_id order over the files, each document's number
   of ids, the digests of its chunks in order, and their Merkle root;
-* ``manifest/``: for each file of recipes its documents, ids and the Merkle root
-  over its documents' roots.
+* ``manifest/``: for each file of recipes its name, documents, ids, first and last
+  doc_id, and the Merkle root over its documents' roots.
 
 Chunks are cut where a rolling hash over ``WINDOW`` ids ends in zeros, so a passage
-that two documents share is cut alike in both wherever it stands.  Reading decodes
-every chunk, checks it against its digest, and joins recipes to the chunks' sizes
-and checksums; CRC-32 of a document follows from those of its chunks, so chunk
-bodies never move once written.
+that two documents share is cut alike in both wherever it stands.  Reading first
+holds the files of recipes against the manifest, then decodes every chunk, checks it
+against its digest, and joins recipes to the chunks' sizes and checksums; CRC-32 of a
+document follows from those of its chunks, so chunk bodies never move once written.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mobilis.llm.shared import stored
 from mobilis.llm.tokens import ID, encoder
 
 WINDOW, ZERO_BITS, LEAST, MOST = 8, 8, 64, 1024
+#: Roots that one group of the manifest puts together at once.
+FAN = 4096
 
 _KEYS = np.random.Generator(np.random.PCG64(3)).integers(0, 2**32, 1 << 16, dtype=np.uint32)
 
@@ -51,30 +53,39 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def boundaries(ids: np.ndarray) -> list[int]:
-    """End positions of the chunks of one document (the last is its length)."""
-    n = len(ids)
-    ends: list[int] = []
-    if n > LEAST:
+def boundaries(ids: np.ndarray, starts: list[int]) -> list[list[int]]:
+    """End positions of the chunks of each document of a batch; a document begins at each of ``starts``."""
+    if len(ids) >= WINDOW:
         keyed = _KEYS[ids & np.uint32(0xFFFF)] ^ (ids >> np.uint32(16))
-        rolled = np.zeros(n - WINDOW + 1, dtype=np.uint32)
+        rolled = np.zeros(len(ids) - WINDOW + 1, dtype=np.uint32)
         for j in range(WINDOW):
             rolled = (rolled << np.uint32(1)) + keyed[j : j + len(rolled)]
         marks = np.flatnonzero(rolled < np.uint32(1 << (32 - ZERO_BITS))) + WINDOW
-        last = 0
-        for m in marks.tolist():
+    else:
+        marks = np.zeros(0, dtype=np.int64)
+    stops = [*starts[1:], len(ids)]
+    near = np.searchsorted(marks, starts).tolist()
+    far = np.searchsorted(marks, stops, side="right").tolist()
+    marks = marks.tolist()
+    out = []
+    for start, stop, a, b in zip(starts, stops, near, far, strict=True):
+        ends, last = [], start
+        for m in marks[a:b]:
+            if m - last < LEAST:  # also all windows that reach back into the document before
+                continue
             while m - last > MOST:
                 last += MOST
                 ends.append(last)
             if m - last >= LEAST:
                 ends.append(m)
                 last = m
-        while n - last > MOST:
+        while stop - last > MOST:
             last += MOST
             ends.append(last)
-    if not ends or ends[-1] < n:
-        ends.append(n)
-    return ends
+        if last < stop or not ends:
+            ends.append(stop)
+        out.append(ends)
+    return out
 
 
 def _wide(body: bytes, n: int) -> bytes:
@@ -117,26 +128,30 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
         end = np.array([end_id], dtype=ID).tobytes()
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for first in range(0, len(texts), 512):
+            for first in range(0, batch.num_rows, 512):
+                some = batch.slice(first, 512)
                 out: dict[str, list] = {c: [] for c in ("kind", "key", "doc_id", "n_ids", "chunks", "root", "body")}
                 seen: set[bytes] = set()
                 chunks: list[tuple[bytes, int, bytes]] = []
-                for name, ids in zip(names[first : first + 512], encoder(tokenizer).encode(texts[first : first + 512]), strict=True):
-                    ids += end
-                    values, last, recipe = np.frombuffer(ids, dtype=ID), 0, []
-                    body = values.astype("<u2").tobytes() if values.max() < 1 << 16 else ids
-                    width = len(body) // len(values)
-                    for stop in boundaries(values):
-                        part = digest(ids[last * ID.itemsize : stop * ID.itemsize])
+                found = [ids + end for ids in encoder(tokenizer).encode(some.column("text"))]
+                sizes = [len(ids) // ID.itemsize for ids in found]
+                whole = b"".join(found)
+                values = np.frombuffer(whole, dtype=ID)
+                width = 2 if values.max() < 1 << 16 else ID.itemsize
+                bodies = values.astype("<u2").tobytes() if width == 2 else whole
+                starts = [0, *np.cumsum(sizes).tolist()[:-1]]
+                for name, size, last, stops in zip(some.column("doc_id").to_pylist(), sizes, starts, boundaries(values, starts), strict=True):
+                    recipe = []
+                    for stop in stops:
+                        part = digest(whole[last * ID.itemsize : stop * ID.itemsize])
                         recipe.append(part)
                         if part not in seen:
                             seen.add(part)
-                            chunks.append((part, stop - last, body[last * width : stop * width]))
+                            chunks.append((part, stop - last, bodies[last * width : stop * width]))
                         last = stop
                     key = task.to_bytes(8) + row.to_bytes(8)
                     row += 1
-                    for c, v in zip(out.values(), (0, key, name, len(values), recipe, merkle_root(recipe), None), strict=True):
+                    for c, v in zip(out.values(), (0, key, name, size, recipe, merkle_root(recipe), None), strict=True):
                         c.append(v)
                 n = len(chunks)
                 keys, sizes, bodies = zip(*chunks, strict=True) if n else ((), (), ())
@@ -173,9 +188,10 @@ def with_starts(rows: DataFrame, count: str, order: list[str]) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     ranged = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     local = stored(ranged.mapInArrow(_running(count, "local"), f"{schema}, local long, part int"))
+    # one row a task of the shuffle, as many as the session sets: small enough for one window and a broadcast
     totals = local.groupBy("part").agg(F.sum(count).alias("n"))
-    spread = totals.select(F.col("part").alias("before"), "n")
-    base = totals.select("part").join(F.broadcast(spread), F.col("before") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("base"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return local.join(F.broadcast(base), "part").withColumn("start", F.col("local") + F.col("base")).drop("local", "base")
 
 
@@ -183,7 +199,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     """Write the ids of all documents, each followed by ``end_id``, below ``path``.
 
     Null texts are empty documents; repeated rows and ids are documents of their
-    own; a null id sorts first.  Other columns are not read.
+    own; a null id sorts first.  Other columns are not read.  Equal chunks are stored
+    once within one write; each write has a folder of its own.
     """
     spark = docs.sparkSession
     columns = ["doc_id", "n_ids", "chunks", "root", "body"]
@@ -197,17 +214,48 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     else:
         spark.createDataFrame([], "key binary, n_ids long, body binary").write.parquet(f"{path}/chunks")
         recipes = spark.createDataFrame([], "doc_id long, n_ids long, chunks array<binary>, root binary")
-    ordered = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").withColumn("part", F.spark_partition_id())
+    ordered = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
     ordered.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    written = spark.read.parquet(f"{path}/recipes")
+    _manifest(_recipes(spark, path)).write.parquet(f"{path}/manifest")
+
+
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id long, n_ids long, chunks array<binary>, root binary").parquet(f"{path}/recipes")
 
+
+def _manifest(recipes: DataFrame) -> DataFrame:
+    """file, root, n_documents, n_ids, first_doc, last_doc of each file of recipes.
+
+    The root over a file's documents is made in levels of at most ``FAN`` a group,
+    so no task holds the roots of a whole file.
+    """
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([merkle_root(x) for x in batch.column("leaves").to_pylist()], pa.binary())] + batch.columns[1:], ["root", *batch.schema.names[1:]])
+            found = pa.array([merkle_root(x) for x in batch.column("leaves").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([found, *batch.columns[1:]], ["root", *batch.schema.names[1:]])
 
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "root"))), lambda x: x["root"])
-    parts = written.groupBy("part").agg(listed.alias("leaves"), F.count(F.lit(1)).alias("n_documents"), F.sum("n_ids").alias("n_ids"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    parts.select("leaves", "part", "n_documents", "n_ids", "first_doc", "last_doc").mapInArrow(roots, "root binary, part int, n_documents long, n_ids long, first_doc long, last_doc long").write.parquet(f"{path}/manifest")
+    level = recipes.select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"), "root", F.lit(1).cast("long").alias("n_documents"), "n_ids", F.col("doc_id").alias("first_doc"), F.col("doc_id").alias("last_doc")
+    )
+    for _ in range(3):
+        leaves = F.transform(F.array_sort(F.collect_list(F.struct("at", "root"))), lambda x: x["root"])
+        grouped = level.groupBy("file", F.floor(F.col("at") / FAN).alias("at")).agg(
+            leaves.alias("leaves"), F.sum("n_documents").alias("n_documents"), F.sum("n_ids").alias("n_ids"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc")
+        )
+        level = grouped.select("leaves", "file", "at", "n_documents", "n_ids", "first_doc", "last_doc").mapInArrow(
+            roots, "root binary, file string, at long, n_documents long, n_ids long, first_doc long, last_doc long"
+        )
+    return level.drop("at")
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Fail if a file of recipes is missing, added or altered; the driver sees one row at most."""
+    told = spark.read.schema("root binary, file string, n_documents long, n_ids long, first_doc long, last_doc long").parquet(f"{path}/manifest")
+    facts = ["root", "n_documents", "n_ids", "first_doc", "last_doc"]
+    left, right = (df.select("file", F.struct(*facts).alias(name)) for df, name in ((told, "told"), (_manifest(_recipes(spark, path)), "there")))
+    wrong = left.join(right, "file", "full").where(~F.col("told").eqNullSafe(F.col("there"))).head(1)
+    if wrong:
+        raise ValueError(f"recipes {wrong[0]['file']} are not as the manifest tells: {wrong[0]['told']}, found {wrong[0]['there']}")
 
 
 def _files(spark: SparkSession, path: str):
@@ -223,7 +271,8 @@ def _there(spark: SparkSession, path: str) -> bool:
 
 def _move(spark: SparkSession, path: str, to: str) -> None:
     files, place = _files(spark, path)
-    files.rename(place, _files(spark, to)[1])
+    if not files.rename(place, _files(spark, to)[1]):
+        raise OSError(f"could not move {path} to {to}")
 
 
 def _checked_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -243,11 +292,12 @@ def _checked_chunks(spark: SparkSession, path: str) -> DataFrame:
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files.
 
-    Every chunk is decoded and checked against its digest; a document whose chunks
-    do not add up to its size or Merkle root fails the job.
+    The files of recipes are held against the manifest; every chunk is decoded and
+    checked against its digest; a document whose chunks do not add up to its size or
+    Merkle root fails the job.
     """
-    recipes = spark.read.parquet(f"{path}/recipes")
-    numbered = recipes.withColumn("row", F.monotonically_increasing_id())
+    verify(spark, path)
+    numbered = _recipes(spark, path).withColumn("row", F.monotonically_increasing_id())
     uses = numbered.select("row", "doc_id", "n_ids", "root", F.posexplode("chunks").alias("pos", "key"))
     met = uses.join(_checked_chunks(spark, path).hint("merge"), "key", "left")
     listed = met.groupBy("row").agg(
@@ -259,10 +309,10 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
             crcs = []
             for name, n, root, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_ids", "root", "parts")), strict=True):
                 crc = 0
+                if sum(p["n"] or 0 for p in parts) != n or merkle_root([p["key"] for p in parts]) != root:
+                    raise ValueError(f"document {name} does not follow from its chunks")
                 for p in parts:
                     crc = joined_crc(crc, p["crc"], p["n"] * ID.itemsize)
-                if sum(p["n"] for p in parts) != n or merkle_root([p["key"] for p in parts]) != root:
-                    raise ValueError(f"document {name} does not follow from its chunks")
                 crcs.append(crc)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_ids"), pa.array(crcs, pa.int64())], ["doc_id", "n_tokens", "ids_crc32"])
 
@@ -272,15 +322,24 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id and ids (little-endian 32-bit) of each document, rebuilt from its chunks."""
-    numbered = spark.read.parquet(f"{path}/recipes").withColumn("row", F.monotonically_increasing_id())
-    uses = numbered.select("row", "doc_id", F.posexplode("chunks").alias("pos", "key"))
-    met = uses.join(spark.read.parquet(f"{path}/chunks").select("key", F.col("n_ids").alias("n"), "body"), "key")
-    listed = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("pos", "n", "body"))).alias("parts"))
+    """doc_id and ids (little-endian 32-bit) of each document, rebuilt from its chunks.
+
+    A missing or altered chunk or file fails the job as in :func:`read_summary`.
+    """
+    verify(spark, path)
+    numbered = _recipes(spark, path).withColumn("row", F.monotonically_increasing_id())
+    uses = numbered.select("row", "doc_id", "n_ids", F.posexplode("chunks").alias("pos", "key"))
+    met = uses.join(spark.read.parquet(f"{path}/chunks").select("key", F.col("n_ids").alias("n"), "body"), "key", "left")
+    listed = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_ids").alias("n_ids"), F.array_sort(F.collect_list(F.struct("pos", "key", "n", "body"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [b"".join(_wide(p["body"], p["n"]) for p in parts) for parts in batch.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            found = []
+            for name, n, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_ids", "parts")), strict=True):
+                chunks = [_wide(p["body"] or b"", p["n"] or 0) for p in parts]
+                if sum(map(len, chunks)) != n * ID.itemsize or any(digest(c) != p["key"] for c, p in zip(chunks, parts, strict=True)):
+                    raise ValueError(f"document {name} does not follow from its chunks")
+                found.append(b"".join(chunks))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "ids"])
 
-    return listed.select("doc_id", "parts").mapInArrow(run, "doc_id long, ids binary")
+    return listed.select("doc_id", "n_ids", "parts").mapInArrow(run, "doc_id long, ids binary")
