@@ -109,14 +109,36 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One half of the alternating-star contraction; edges are (a, b) with a > b."""
+#: A key with this part of all rows, or more, is joined by a broadcast.
+HEAVY = 1000
+
+
+def joined_to_unique(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, in which ``key`` is unique and ``count`` tells its rows.
+
+    Keys with ``total`` / ``HEAVY`` rows or more are broadcast: of ``total`` rows there
+    are at most ``HEAVY`` such keys.  The rest meets in a shuffle in which no key is
+    large.  ``rows`` is read twice.
+    """
+    facts = [c for c in table.columns if c not in (key, count)]
+    heavy = table.where(F.col(count) * HEAVY >= total).select(key, F.struct(*facts).alias("_found"))
+    light = table.where(F.col(count) * HEAVY < total).select(key, F.struct(*facts).alias("_found"))
+    met = rows.join(F.broadcast(heavy), key, "left")
+    rest = met.where("_found IS NULL").drop("_found").join(light.hint("merge"), key)
+    return met.where("_found IS NOT NULL").unionByName(rest).select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in facts])
+
+
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """One half of the alternating-star contraction; edges are (a, b) with a > b.
+
+    ``n`` is the number of edges of the round, for what counts as a hub.
+    """
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    out = both.join(least.hint("merge"), "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    out = joined_to_unique(both, least, "a", "n", n)
     if large:
         out = out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -128,16 +150,17 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components as (node, component), component the smallest node.
 
     Alternating large-star and small-star contraction: every round is a grouped
-    minimum with map-side combine and a join that adaptive execution can split,
-    so a hub with most of the edges does not land in one task.  Nodes without an
-    edge are not returned.  The driver sees two numbers a round.
+    minimum with map-side combine and a join in which hubs meet their minimum by a
+    broadcast (a star has at most twice the edges of its round, so at most
+    2 * ``HEAVY`` hubs), so a hub with most of the edges does not land in one task.
+    Nodes without an edge are not returned.  The driver sees two numbers a round.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     now = stored(edges.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
     sign = [F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("h")]
     seen = now.agg(*sign).first()
     while seen["n"]:
-        now = stored(_star(_star(now, True), False))
+        now = stored(_star(_star(now, True, seen["n"]), False, seen["n"]))
         new = now.agg(*sign).first()
         if new == seen:
             break
