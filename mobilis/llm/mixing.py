@@ -7,45 +7,65 @@ deadline runs.  Shares add up to the period, so every slot is used and every
 deadline met, and at any time a source is less than one block from its share.
 
 Release times and deadlines repeat with the period, so one period is scheduled (a
-fold over its slots, whose number is a parameter) and every document computes its
-slot from its block number: no task sees a whole source.  Where a source ends its
-slots stay empty, and the others go on in proportion to their weights.
+fold over its slots) and every document computes its slot from its block number: no
+task sees a whole source.  The period has at least ``PERIOD`` slots, and
+``SOURCE_SLOTS`` for each source, so that rounding moves no more than
+1 / ``SOURCE_SLOTS`` of the text from one source to others, however many there are.
+Beyond ``GROUP_SOURCES`` sources a hash deals them to groups: groups are scheduled
+among each other by their weights, and each group's slots among its sources, so a
+fold stays bounded; a source is then less than two blocks from its share.  Where a
+source ends its slots stay empty, and the others go on in proportion to their weights.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mobilis.llm.shared import stored
 
 BLOCK_UNITS = 65_536
 PERIOD = 1000
-MOST_SOURCES = 100_000
+SOURCE_SLOTS = 50
+GROUP_SOURCES = 500
+#: Up to so many sources the tables with a row a slot are broadcast (a few MB); beyond, Spark chooses the join.
+FEW_SOURCES = 2000
 
 
 def shares(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """source, n: the slots of each source in a period, at least one each."""
-    total = weights.agg(F.sum("weight").alias("total"))
-    n = F.greatest(F.lit(1), F.round(F.col("weight") / F.col("total") * period)).cast("long")
-    return weights.join(F.broadcast(total)).select("source", n.alias("n"))
+    """team, source, n: the slots of each source in a period of its team, at least one each."""
+    total = weights.groupBy("team").agg(F.sum("weight").alias("total"), F.greatest(F.lit(period), F.count(F.lit(1)) * SOURCE_SLOTS).alias("slots"))
+    n = F.greatest(F.lit(1), F.round(F.col("weight") / F.col("total") * F.col("slots"))).cast("long")
+    return weights.join(total, "team").select("team", "source", n.alias("n"))
 
 
 def schedule(shared: DataFrame) -> DataFrame:
-    """source, n, period, k, slot: where block ``k`` of a period of each source runs."""
-    listed = shared.agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("s"), F.sum("n").cast("int").alias("period"))
-    step = """transform(array(array_min(transform(sequence(0, size(s) - 1), j -> if(
-                 acc.done[j] < s[j].n and floor(acc.done[j] * period / s[j].n) <= t,
-                 named_struct('due', ceil((acc.done[j] + 1) * period / s[j].n), 'j', j), null))).j),
+    """team, source, n, period, k, slot: where block ``k`` of a period of each source runs, team by team."""
+    listed = shared.groupBy("team").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("s"), F.sum("n").cast("int").alias("period"))
+    listed = listed.withColumn("step", F.ceil(F.sqrt("period")).cast("int"))  # slots are appended in stretches, which copies less
+    turn = """transform(array(array_min(transform(sequence(0, size(s) - 1), j -> if(
+                 now.done[j] < s[j].n and floor(now.done[j] * period / s[j].n) <= t,
+                 named_struct('due', ceil((now.done[j] + 1) * period / s[j].n), 'j', j), null))).j),
                p -> named_struct(
-                 'done', transform(acc.done, (d, j) -> if(j = p, d + 1L, d)),
-                 'out', concat(acc.out, array(p))))[0]"""
-    out = F.expr(f"aggregate(sequence(0, period - 1), named_struct('done', transform(s, x -> 0L), 'out', cast(array() as array<int>)), (acc, t) -> {step}).out")
-    slots = listed.where("period > 0").select("s", "period", F.posexplode(out).alias("slot", "j")).select(F.expr("s[j].source").alias("source"), F.expr("s[j].n").alias("n"), "period", "slot")
-    k = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
+                 'done', transform(now.done, (d, j) -> if(j = p, d + 1L, d)),
+                 'out', concat(now.out, array(p))))[0]"""
+    stretch = f"aggregate(sequence(c * step, least((c + 1) * step, period) - 1), named_struct('done', acc.done, 'out', cast(array() as array<int>)), (now, t) -> {turn})"
+    out = F.expr(
+        f"""flatten(aggregate(sequence(0, int((period - 1) / step)), named_struct('done', transform(s, x -> 0L), 'out', cast(array() as array<array<int>>)),
+              (acc, c) -> transform(array({stretch}), x -> named_struct('done', x.done, 'out', concat(acc.out, array(x.out))))[0]).out)"""
+    )
+    slots = listed.where("period > 0").select("team", "s", "period", F.posexplode(out).alias("slot", "j")).select("team", F.expr("s[j].source").alias("source"), F.expr("s[j].n").alias("n"), "period", "slot")
+    k = F.row_number().over(Window.partitionBy("team", "source").orderBy("slot")) - 1
     return slots.withColumn("k", k)
 
 
+def _slot(number: Column, n: str, period: str, at: str) -> Column:
+    """The slot of block ``number`` from where its place in the period runs."""
+    return F.floor(number / F.col(n)) * F.col(period) + F.col(at)
+
+
 def mix(
     docs: DataFrame,
     weights: DataFrame | None = None,
@@ -62,6 +82,10 @@ def mix(
     documents of the source that come before it in the order of ``md5(doc_id)`` and
     then doc_id; its block is the one its first character lies in.  Ordered by
     (slot, unit_start) the rows are the mixed corpus; none is dropped or repeated.
+    Documents stay whole, so where a cut of that order lies a source may be ahead or
+    behind by a block and the length of its longest document (twice a block with
+    more than ``GROUP_SOURCES`` sources); release and deadline count the slots of the
+    source's group, of all sources where there is one group.
     ``weights`` has source and weight; a source it does not name has the least
     weight named.  Without it a weight is the source's characters to ``power``.  A
     null source is a source, a null or empty text has no characters, rows that
@@ -85,22 +109,25 @@ def mix(
         given = weights.groupBy(F.col("source").alias("named")).agg(F.max(F.col("weight").cast("double")).alias("weight")).where("weight > 0")
         least = given.agg(F.coalesce(F.min("weight"), F.lit(1.0)).alias("least"))
         wanted = sized.join(given, F.col("source").eqNullSafe(F.col("named")), "left").join(F.broadcast(least)).select("source", F.coalesce("weight", "least").alias("weight"))
-    if sized.count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: merge small ones first")
-    # at most ``period`` and one row a source, so it may be broadcast
-    table = schedule(shares(wanted, period)).select(F.col("source").alias("of"), "n", "period", "k", "slot")
-    quotas = F.broadcast(table.where("k = 0").select("of", "n", "period"))
+    n_sources = sized.count()
+    teams = max(1, math.ceil(n_sources / GROUP_SOURCES))
+    small = F.broadcast if n_sources <= FEW_SOURCES else (lambda df: df)
+    dealt = wanted.withColumn("team", F.pmod(F.xxhash64(F.lit("team"), "source"), F.lit(teams)))
+    table = stored(schedule(shares(dealt, period)).select("team", F.col("source").alias("of"), "n", "period", "k", "slot"))
+    among = dealt.groupBy(F.lit(0).alias("team"), F.col("team").alias("source")).agg(F.sum("weight").alias("weight"))
+    turns = stored(schedule(shares(among, period)).select(F.col("source").alias("in_team"), F.col("n").alias("team_n"), F.col("period").alias("team_period"), F.col("k").alias("team_k"), F.col("slot").alias("team_at")))
+    quotas = table.where("k = 0").select("of", "team", "n", "period").join(turns.where("team_k = 0").select(F.col("in_team").alias("team"), "team_n", "team_period"), "team")
+    # a partition of the range shuffle ends inside at most one source: at most a row a source and one a partition
+    placed = local.join(small(bases.select(F.col("source").alias("of"), F.col("part").alias("in"), "base")), F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in"))).drop("of", "in")
     started = (
-        local.join(bases.select(F.col("source").alias("of"), F.col("part").alias("in"), "base").hint("broadcast"), F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")))
-        .drop("of", "in")
-        .withColumn("unit_start", F.col("base") + F.col("local"))
+        placed.withColumn("unit_start", F.col("base") + F.col("local"))
         .withColumn("block", F.floor(F.col("unit_start") / block_units))
-        .join(quotas, F.col("source").eqNullSafe(F.col("of")))
+        .join(small(quotas), F.col("source").eqNullSafe(F.col("of")))
         .drop("of")
     )
-    slots = F.broadcast(table.select("of", "k", F.col("slot").alias("at")))
-    met = started.join(slots, F.col("source").eqNullSafe(F.col("of")) & (F.pmod("block", "n") == F.col("k")))
-    turn = F.floor(F.col("block") / F.col("n")) * F.col("period")
+    slots = small(table.select("of", "k", F.col("slot").alias("at")))
+    met = started.join(slots, F.col("source").eqNullSafe(F.col("of")) & (F.pmod("block", "n") == F.col("k"))).withColumn("turn", _slot(F.col("block"), "n", "period", "at"))
+    met = met.join(small(turns.select("in_team", "team_k", "team_at")), (F.col("team") == F.col("in_team")) & (F.pmod("turn", "team_n") == F.col("team_k")))
     return met.select(
         "doc_id",
         "source",
@@ -108,11 +135,11 @@ def mix(
         "block",
         F.floor(F.col("block") * F.col("period") / F.col("n")).alias("release"),
         F.ceil((F.col("block") + 1) * F.col("period") / F.col("n")).alias("deadline"),
-        (turn + F.col("at")).alias("slot"),
+        _slot(F.col("turn"), "team_n", "team_period", "team_at").alias("slot"),
     )
 
 
-#: The same rows by DuckDB, for documents weighted by their characters to the power 0.7.
+#: The same rows by DuckDB, for documents weighted by their characters to the power 0.7 (one group of sources).
 ORACLE_SQL = """
 WITH RECURSIVE placed AS (
   SELECT doc_id, source, CAST(sum(length(coalesce(text, ''))) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id
@@ -120,7 +147,7 @@ WITH RECURSIVE placed AS (
   FROM documents),
 sized AS (SELECT source, sum(length(coalesce(text, ''))) AS units FROM documents GROUP BY source),
 weighed AS (SELECT source, pow(CAST(greatest(units, 1) AS DOUBLE), 0.7) AS weight FROM sized),
-shared AS (SELECT source, CAST(greatest(1, round(weight / (SELECT sum(weight) FROM weighed) * 1000)) AS BIGINT) AS n FROM weighed),
+shared AS (SELECT source, CAST(greatest(1, round(weight / (SELECT sum(weight) FROM weighed) * (SELECT greatest(1000, 50 * count(*)) FROM weighed))) AS BIGINT) AS n FROM weighed),
 whole AS (SELECT CAST(sum(n) AS BIGINT) AS period, list(struct_pack(source := source, n := n) ORDER BY source) AS s FROM shared),
 steps AS (
   SELECT CAST(-1 AS BIGINT) AS slot, CAST(NULL AS BIGINT) AS j, [CAST(0 AS BIGINT) FOR x IN s] AS done FROM whole
