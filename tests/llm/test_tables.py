@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from mobilis.llm import urls, vectors
 
@@ -34,6 +35,24 @@ def test_urls(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
 
 
+def test_a_host_with_half_of_the_rows_is_split(spark):
+    n = 20_000
+    made = spark.range(n).selectExpr("id AS page_id", "concat('http://', if(id % 2 = 0, 'hot.example.com', concat('h', id, '.net')), '/en/', id % 9) AS url")
+    rules = spark.createDataFrame([*RULES, *RULES[:2]], "host string, path string, verdict string")
+    judged = urls.judge_urls(made, rules)
+    sizes = [r["count"] for r in judged.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == n and len(sizes) == 4
+    assert max(sizes) <= 2 * n / len(sizes)
+    assert judged.where("host = 'hot.example.com' AND rule = 'example.com/en/7'").count() == n // 2 // 9
+
+
+def test_very_long_urls_and_equal_rules(spark):
+    long = "http://x.com/en/" + "a" * 300_000
+    rules = spark.createDataFrame([("com", "/en/", "block"), ("COM", "/en/", "allow"), (None, "/", "block"), ("x.com", "/en/" + "a" * 200_000, "block")], "host string, path string, verdict string")
+    got = urls.judge_urls(spark.createDataFrame([(1, long), (2, "http://com/en/"), (2, "http://com/en/")], "page_id long, url string"), rules).collect()
+    assert [(r.page_id, len(r.rule), r.verdict) for r in sorted(got, key=lambda r: r.page_id)] == [(1, 5 + 4 + 200_000, "block"), (2, 7, "allow"), (2, 7, "allow")]
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD_VECTORS", 60)
     monkeypatch.setattr(vectors, "BLOCK", 40)
