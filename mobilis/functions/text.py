@@ -81,3 +81,56 @@ def representative_point(kind: Column, coordinates: Column) -> tuple[Column, Col
     for k in range(2):
         out.append(F.when(kind == "Point", at("$")[k]).when(kind == "LineString", F.get(middle, k)).when(kind.isin("MultiLineString", "Polygon"), at("$[0][0]")[k]).when(kind == "MultiPolygon", at("$[0][0][0]")[k]))
     return out[0], out[1]
+
+
+#: How states of a connection are shown.
+CONNECTION_LABELS = {"connected": "Connected", "permission_required": "Needs a partner agreement", "configuration_required": "Not set up yet", "not_connected": "Not connected"}
+#: Lengths that a map's scale bar may stand for, in metres.
+NICE_METRES = [50, 100, 200, 250, 500, 1000, 2000]
+
+
+def labelled(code: Column, labels: dict[str, str]) -> Column:
+    """The label of a code; one that has none is shown with blanks for underscores."""
+    known = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(F.element_at(known, code), F.replace(code, F.lit("_"), F.lit(" ")))
+
+
+def queue_alert(why: Column) -> Column:
+    """What a queue card warns of: access before congestion, else the first clause, at most 42 characters."""
+    text = F.trim(F.coalesce(why, F.lit("")))
+    first = F.trim(F.regexp_extract(text, r"^([^.!?]*)", 1))
+    first = F.when(first == "", text).otherwise(first)
+    short = F.when(F.length(first) > 42, F.concat(F.trim(F.substring(first, 1, 39)), F.lit("…"))).otherwise(first)
+    return F.when(text.rlike("(?i)emergency[- ]access|corridor"), "Emergency access at risk").when(text.rlike("(?i)spillback|congestion|queue"), "Approach is backing up").otherwise(short)
+
+
+def nearest_nice(target: Column) -> Column:
+    """The scale nearest to a target length, the smaller one on ties, with its unit."""
+    best = F.array_min(F.array(*[F.struct(F.abs(F.lit(float(n)) - target).alias("off"), F.lit(n).alias("n")) for n in NICE_METRES]))["n"]
+    return F.when(best >= 1000, F.concat((best / 1000).cast("int").cast("string"), F.lit(" km"))).otherwise(F.concat(best.cast("string"), F.lit(" m")))
+
+
+def feed_owners(names: Column) -> Column:
+    """The first three distinct owners that an array of feed names tells of, in order."""
+
+    def owner(name: Column) -> Column:
+        n = F.lower(name)
+        return (
+            F.when(n.contains("city") | (n.contains("auburn") & n.contains("closure")), "coa")
+            .when(n.contains("aldot") | n.contains("algo"), "aldot")
+            .when(n.contains("nws") | n.contains("weather"), "nws")
+            .when(n.contains("tomtom"), "tomtom")
+            .when(n.contains("usgs"), "usgs")
+        )
+
+    found = F.array_join(F.slice(F.array_distinct(F.array_compact(F.transform(names, owner))), 1, 3), " · ")
+    return F.when(found == "", "feeds").otherwise(found)
+
+
+def named_in(hay: Column, name: str, aliases: list[str]) -> Column:
+    """Whether a text mentions a source by its id or one of its aliases, in any case."""
+    low = F.lower(F.coalesce(hay, F.lit("")))
+    out = low.contains(name.lower())
+    for alias in aliases:
+        out = out | low.contains(alias)
+    return out

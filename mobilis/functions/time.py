@@ -64,3 +64,20 @@ def cadence_bucket(at: Column, seconds: int) -> Column:
 def span_percent(at: Column, start: Column, span_seconds: int) -> Column:
     """Position in a span, clamped to 0 and 100."""
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), seconds_between(start, at) * 100.0 / F.lit(float(span_seconds))))
+
+
+def clock(at: Column, seconds: bool = False) -> Column:
+    """The time of day in the session's zone: hh:mm, or hh:mm:ss with a literal Z; a dash where unknown."""
+    return F.coalesce(F.date_format(at, "HH:mm:ss'Z'" if seconds else "HH:mm"), F.lit("—"))
+
+
+def remaining_label(minutes: Column) -> Column:
+    """Minutes left in words; a dash where unknown."""
+    hours, rest = F.floor(minutes / 60).cast("string"), (minutes % 60).cast("string")
+    return (
+        F.when(minutes.isNull(), "—")
+        .when(minutes < 1, "due now")
+        .when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min")))
+        .when(minutes % 60 == 0, F.concat(hours, F.lit("h")))
+        .otherwise(F.concat(hours, F.lit("h "), rest, F.lit("m")))
+    )

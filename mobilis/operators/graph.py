@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mobilis.functions.coerce import canonical_hash, stable_id
 from mobilis.functions.time import valid_at
+from mobilis.sources.folders import stored
 
 
 def snapshot(nodes: DataFrame, edges: DataFrame, as_of: Column, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -30,53 +31,55 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node_id, depth, path) of all cycle-free walks from the start nodes, up to ``depth`` steps.
 
-    ``start`` has node_id.  Every step is one join of the frontier with the edges.
+    ``start`` has node_id.  Every step is one join of the frontier with the edges; the
+    edges and each frontier are stored, so a plan never holds more than one step.
     """
     frontier = start.select("node_id", F.lit(0).cast("long").alias("depth"), F.array("node_id").alias("path"))
     found = frontier
-    step = edges.select("src", "dst").distinct()
+    step = stored(edges.select("src", "dst").distinct())
     for d in range(1, depth + 1):
         met = frontier.join(step, F.col("node_id") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        frontier = met.select(F.col("dst").alias("node_id"), F.lit(d).cast("long").alias("depth"), F.array_append("path", F.col("dst")).alias("path"))
+        frontier = stored(met.select(F.col("dst").alias("node_id"), F.lit(d).cast("long").alias("depth"), F.array_append("path", F.col("dst")).alias("path")))
+        if frontier.isEmpty():
+            break
         found = found.unionByName(frontier)
     return found
 
 
-def neighborhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """Nodes within ``depth`` undirected steps with their distance; at most 4 steps.
+def reached(step: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """(node_id, depth) of all nodes that ``step`` (stored src, dst) leads to, with their distance.
 
     Distances need no paths: a level is the neighbours of the last that no earlier
-    level had, so hubs do not multiply walks.
+    level had, so hubs do not multiply walks.  Each level is stored and the walk ends
+    with the first empty one, or after ``most`` steps.
     """
-    step = both_ways(edges).distinct()
-    frontier = start.select("node_id").distinct()
-    seen = frontier.withColumn("depth", F.lit(0).cast("long"))
-    for d in range(1, min(depth, 4) + 1):
+    frontier = stored(start.select("node_id").distinct())
+    seen, d = frontier.withColumn("depth", F.lit(0).cast("long")), 0
+    while most is None or d < most:
+        d += 1
         met = step.join(frontier.withColumnRenamed("node_id", "src"), "src", "left_semi").select(F.col("dst").alias("node_id")).distinct()
-        frontier = met.join(seen.select("node_id"), "node_id", "left_anti")
+        frontier = stored(met.join(seen.select("node_id"), "node_id", "left_anti"))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(d).cast("long")))
     return seen
 
 
+def neighborhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """Nodes within ``depth`` undirected steps with their distance; at most 4 steps."""
+    return reached(stored(both_ways(edges).distinct()), start, min(depth, 4))
+
+
 def impact(edges: DataFrame, start: DataFrame, depth: int = 6) -> DataFrame:
     """Directed paths downstream of the start nodes, at most 6 steps, without the start itself."""
     return paths(edges, start, min(depth, 6)).where("depth > 0")
 
 
-def closure(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(node_id, direction) of everything up and downstream of the start nodes."""
-
-    def reach(step: DataFrame, name: str) -> DataFrame:
-        frontier = start.select("node_id").distinct()
-        seen = frontier
-        for _ in range(depth):
-            met = step.join(frontier.withColumnRenamed("node_id", "src"), "src", "left_semi").select(F.col("dst").alias("node_id")).distinct()
-            frontier = met.join(seen, "node_id", "left_anti")
-            seen = seen.unionByName(frontier)
-        return seen.join(start.select("node_id"), "node_id", "left_anti").withColumn("direction", F.lit(name))
-
-    down = edges.select("src", "dst").distinct()
-    return reach(down, "down").unionByName(reach(down.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "up"))
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node_id, direction) of everything up and downstream of the start nodes, however far."""
+    down = stored(edges.select("src", "dst").distinct())
+    up = down.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return reached(down, start).where("depth > 0").select("node_id", F.lit("down").alias("direction")).unionByName(reached(up, start).where("depth > 0").select("node_id", F.lit("up").alias("direction")))
 
 
 def change_log(versions: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -162,3 +165,69 @@ def lineage_edges(links: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
         out = part if out is None else out.unionByName(part)
     key = F.concat_ws(":", "edge_type", "src", "dst")
     return out.withColumn("edge_id", stable_id(F.lit("edge"), key))
+
+
+#: States in which a recommendation or commitment is closed.
+CLOSED_RECOMMENDATION = ["approved", "rejected", "expired", "superseded"]
+CLOSED_COMMITMENT = ["verified", "failed", "expired", "cancelled"]
+
+
+def lineage(incidents: DataFrame, recommendations: DataFrame, evidence: DataFrame, findings: DataFrame, decisions: DataFrame, commitments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the way from evidence to verification.
+
+    Nodes have node_id, node_type, label, flag: seven types, each id once (evidence of
+    several recommendations counts for the first, by their order ``rank``).  A finding
+    cites evidence that its recommendation or one of a smaller rank has; other citations
+    are left out.  A commitment hangs on its decision, else on its recommendation, else on
+    nothing.  Earlier decisions of a recommendation stay, flagged as historical.
+
+    incidents(incident_id, title); recommendations(recommendation_id, incident_id, rank,
+    action, state); evidence(recommendation_id, evidence_id, summary); findings(
+    recommendation_id, desk_code, status, created_at, cited); decisions(decision_id,
+    recommendation_id, action, actor, decided_at); commitments(commitment_id,
+    decision_id, recommendation_id, outcome, state, rule).  Ids are text, cited an array.
+    """
+
+    def node(df: DataFrame, kind: str, key: str | Column, label: str | Column, flag: Column) -> DataFrame:
+        key, label = (F.col(c) if isinstance(c, str) else c for c in (key, label))
+        return df.select(key.alias("node_id"), F.lit(kind).alias("node_type"), label.alias("label"), flag.alias("flag"))
+
+    def edge(df: DataFrame, kind: str | Column, src: str, dst: str) -> DataFrame:
+        return df.select((F.lit(kind) if isinstance(kind, str) else kind).alias("edge_type"), F.col(src).alias("src"), F.col(dst).alias("dst"))
+
+    known = recommendations.join(incidents.select("incident_id", F.lit(True).alias("has_incident")), "incident_id", "left")
+    of = known.select("recommendation_id", "incident_id", "rank", "has_incident")
+    placed = evidence.join(of, "recommendation_id")
+    first = placed.groupBy("evidence_id").agg(F.min("rank").alias("first_rank"), F.min_by("summary", "rank").alias("summary"))
+    spoken = findings.join(of, "recommendation_id").withColumn("finding_id", stable_id(F.lit("finding"), F.concat_ws(":", "incident_id", "desk_code", F.col("created_at").cast("string"))))
+    cites = spoken.select("finding_id", "rank", F.explode(F.array_distinct("cited")).alias("evidence_id")).join(first.select("evidence_id", "first_rank"), "evidence_id").where("first_rank <= rank")
+    latest = F.row_number().over(Window.partitionBy("recommendation_id").orderBy(F.desc("decided_at"), F.desc("decision_id"))) == 1
+    marked = decisions.withColumn("latest", latest)
+    ends = commitments.join(decisions.select("decision_id", F.lit(True).alias("has_decision")), "decision_id", "left").join(of.select("recommendation_id", F.lit(True).alias("has_recommendation")), "recommendation_id", "left")
+    verified = commitments.where("state = 'verified'").withColumn("verification_id", stable_id(F.lit("verification"), F.col("commitment_id")))
+
+    def current(state: str, closed: list[str]) -> Column:
+        return F.when(F.col(state).isin(closed), "closed").otherwise("current")
+
+    nodes = (
+        node(incidents, "incident", "incident_id", "title", F.lit("current"))
+        .unionByName(node(recommendations, "recommendation", "recommendation_id", "action", current("state", CLOSED_RECOMMENDATION)))
+        .unionByName(node(first, "evidence", "evidence_id", "summary", F.lit("current")))
+        .unionByName(node(spoken.dropDuplicates(["finding_id"]), "finding", "finding_id", F.concat_ws(" · ", "desk_code", "status"), F.when(F.col("status") == "abstained", "abstained").otherwise("contributed")))
+        .unionByName(node(marked, "decision", "decision_id", F.concat_ws(" · ", F.regexp_replace("action", "_", " "), "actor"), F.when(F.col("latest"), "current").otherwise("historical")))
+        .unionByName(node(commitments, "commitment", "commitment_id", "outcome", current("state", CLOSED_COMMITMENT)))
+        .unionByName(node(verified, "verification", "verification_id", "rule", F.lit("current")))
+    )
+    edges = (
+        edge(known.where("has_incident"), "triggered", "incident_id", "recommendation_id")
+        .unionByName(edge(placed, "supports", "evidence_id", "recommendation_id"))
+        .unionByName(edge(placed.where("has_incident"), "supports", "evidence_id", "incident_id"))
+        .unionByName(edge(spoken.where("has_incident"), "informed", "finding_id", "incident_id"))
+        .unionByName(edge(spoken, "informed", "finding_id", "recommendation_id"))
+        .unionByName(edge(cites, "supports", "evidence_id", "finding_id"))
+        .unionByName(edge(decisions, F.when(F.col("action") == "approve", "approved").otherwise(F.col("action")), "recommendation_id", "decision_id"))
+        .unionByName(edge(ends.where("has_decision"), "assigned", "decision_id", "commitment_id"))
+        .unionByName(edge(ends.where("has_decision IS NULL AND has_recommendation"), "assigned", "recommendation_id", "commitment_id"))
+        .unionByName(edge(verified, "verified", "commitment_id", "verification_id"))
+    )
+    return nodes, edges

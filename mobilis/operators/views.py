@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mobilis.functions.coerce import js_round
+from mobilis.functions.coerce import js_number, js_round, js_text
 
 
 def flow_nodes(edges: DataFrame) -> DataFrame:
@@ -97,3 +97,73 @@ def stages_done(state: str) -> Column:
     for k in range(1, len(STAGES)):
         out = F.when(F.col(state) == STAGES[k][0], F.array(*[F.lit(name) for _, name in STAGES[: k + 1]])).otherwise(out)
     return out
+
+
+#: What a playbook says where its author left a field out.
+PLAYBOOK_DEFAULTS = {
+    "recommendedAction": "Review the cited authoritative record and record a named decision.",
+    "expectedEffect": "Named agencies acknowledge the condition. Nexus records the decision only.",
+    "limitations": "Derived only from the cited authoritative records.",
+}
+#: States in which a recommendation waits for somebody.
+PENDING = ["awaiting_acknowledgement", "awaiting_approval", "delegated", "escalated"]
+
+
+def playbook(v: Column) -> list[Column]:
+    """The fields of a playbook (VARIANT) with defaults; lists that are no arrays are empty ones."""
+    texts = [F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit(other)).alias(name) for name, other in PLAYBOOK_DEFAULTS.items()]
+    lists = [F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>")) for name in ("approvals", "commitments")]
+    return [*texts, *[F.size(x).alias(name) for x, name in zip(lists, ("approvals", "commitments"), strict=True)]]
+
+
+def titles(rule_code: Column, a: Column) -> Column:
+    """The title of a match from the attributes (VARIANT) of its first evidence, rule by rule."""
+
+    def named(path: str, other: str) -> Column:
+        return F.when(js_text(a, path) != "", js_text(a, path)).otherwise(F.lit(other))
+
+    share = F.floor(js_number(a, "currentSpeedMph") / js_number(a, "freeFlowSpeedMph") * 100 + 0.5).cast("string")
+    closed = F.coalesce(F.try_variant_get(a, "$.roadClosure", "boolean"), F.lit(False))
+    point = js_text(a, "pointName")
+    traffic = lambda kind: F.concat(F.lit(f"{kind} reported on "), named("route", "the Auburn approach"))
+    away = F.when(js_text(a, "distanceKm") == "", "in the region").otherwise(F.concat(js_text(a, "distanceKm"), F.lit(" km from Auburn")))
+    return (
+        F.when(rule_code == "algo-crash", traffic("Crash"))
+        .when(rule_code == "algo-incident", traffic("Incident"))
+        .when(rule_code == "algo-roadwork", traffic("Roadwork"))
+        .when(rule_code == "algo-corridor-congestion", F.concat(js_text(a, "congestionLevel"), F.lit(" congestion on "), js_text(a, "name")))
+        .when(rule_code == "city-restriction-in-effect", F.concat(F.lit("City "), js_text(a, "kind"), F.lit(" in effect on "), js_text(a, "road")))
+        .when(rule_code == "tomtom-corridor-degraded", F.when(closed, F.concat(F.lit("Road closure reported at "), point)).otherwise(F.concat(point, F.lit(" running at "), share, F.lit("% of free flow"))))
+        .when(rule_code == "nws-alert-active", F.concat(js_text(a, "eventName"), F.lit(" in effect for the operating area")))
+        .when(rule_code == "usgs-stream-rapid-rise", F.concat(F.lit("Stream stage rising fast at "), js_text(a, "siteName")))
+        .when(rule_code == "usgs-earthquake-felt", F.concat(F.lit("M "), js_text(a, "magnitude"), F.lit(" earthquake "), away))
+        .when(rule_code == "siem-critical-alert", F.concat(named("title", "Security alert"), F.lit(" affecting operational systems")))
+    )
+
+
+def snapshot_conflict(version: Column, state: Column, evidence_hash: Column, seen_version: Column, seen_state: Column, seen_hash: Column) -> Column:
+    """What of a recommendation changed since it was opened: the first of version, state, evidence; else null."""
+    return F.when(~version.eqNullSafe(seen_version), "version").when(~state.eqNullSafe(seen_state), "state").when(~evidence_hash.eqNullSafe(seen_hash), "evidence")
+
+
+def shown_first(rows: DataFrame, key: list[str], preferred: Column, order: list[Column]) -> DataFrame:
+    """Per key the first row that ``preferred`` holds for, else the first of all."""
+    w = Window.partitionBy(*key).orderBy(F.coalesce(preferred, F.lit(False)).desc(), *order)
+    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def flow_scale(flows: DataFrame, height: Column) -> DataFrame:
+    """The largest scale at which the load of every node (node, value) fits 78 percent of its height; 3 without any."""
+    return flows.agg(F.coalesce(F.min(F.when(F.col("value") != 0, height * 0.78 / F.col("value"))), F.lit(3.0)).alias("scale"))
+
+
+def first_per(rows: DataFrame, key: str, order: list[Column], n: int = 2) -> DataFrame:
+    """The first ``n`` rows of each key: what a smoke scan shows of a connector."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def dry_run(observed: DataFrame, order: list[Column]) -> DataFrame:
+    """Observations with the ids of a dry run, ``connector#index`` from 0, and nothing written."""
+    w = Window.partitionBy("connector_code").orderBy(*order)
+    return observed.withColumn("evidence_id", F.concat_ws("#", "connector_code", (F.row_number().over(w) - 1).cast("string")))

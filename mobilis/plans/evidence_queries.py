@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mobilis.functions.coerce import js_number, js_text
@@ -190,7 +190,8 @@ SELECT user_id, max(t) FILTER (event_type <> 'view') AS max_temperature, max(k)
 def forecast_summary(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     period = F.struct("ts", "event_id", F.round(F.col("value") * 100).cast("long").alias("temperature"), F.when(F.col("event_type") == "view", "C").otherwise("F").alias("unit"), F.get_json_object("props", "$.k").cast("double").alias("precip"), F.when(F.col("event_type") == "error", "Thunderstorms").otherwise("Sunny").alias("text"))
-    listed = e.groupBy("user_id").agg(F.array_sort(F.collect_list(period)).alias("periods"))
+    first = e.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("rn <= 12")  # what a forecast may use
+    listed = first.groupBy("user_id").agg(F.array_sort(F.collect_list(period)).alias("periods"))
     return listed.select("user_id", *[c.alias(n) for n, c in views.forecast(F.col("periods")).items()])
 
 

@@ -62,12 +62,12 @@ def graph_neighborhood(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {EDGES}, {NODES}, walk AS (
-  SELECT 'supplier:' || s_suppkey AS node_id, CAST(0 AS BIGINT) AS depth, ['supplier:' || s_suppkey] AS path FROM supplier WHERE s_suppkey % 10 = 0
+  SELECT 'supplier:' || s_suppkey AS node_id, CAST(0 AS BIGINT) AS depth, ['supplier:' || s_suppkey] AS path FROM supplier
   UNION ALL SELECT dst, depth + 1, list_append(path, dst) FROM walk JOIN edges ON src = node_id WHERE depth < 6 AND NOT list_contains(path, dst))
 SELECT w.node_id, depth, array_to_string(path, '>') AS path, label FROM walk w JOIN nodes n ON n.node_id = w.node_id WHERE depth > 0""")
 def graph_impact_paths(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = geography(spark, sf)
-    start = table(spark, sf, "supplier").where("s_suppkey % 10 = 0").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("node_id"))
+    start = table(spark, sf, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("node_id"))
     return graph.impact(edges, start).join(nodes.select("node_id", "label"), "node_id").select("node_id", "depth", F.array_join("path", ">").alias("path"), "label")
 
 
@@ -75,7 +75,7 @@ def graph_impact_paths(spark: SparkSession, sf: str) -> DataFrame:
 up AS (SELECT 'nation:3' AS node_id UNION SELECT src FROM up JOIN edges ON dst = node_id)
 SELECT node_id, 'down' AS direction FROM down WHERE node_id <> 'nation:3' UNION ALL SELECT node_id, 'up' FROM up WHERE node_id <> 'nation:3'""")
 def graph_closure_up_down(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.closure(geography(spark, sf)[1], _start(spark, "nation:3"), 4)
+    return graph.closure(geography(spark, sf)[1], _start(spark, "nation:3"))
 
 
 @query(f"WITH {EDGES} SELECT dst AS node_id FROM edges WHERE src = 'nation:3' UNION SELECT src FROM edges WHERE dst = 'nation:3'")
@@ -97,13 +97,13 @@ def graph_type_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT 'supplier:' || s_suppkey AS node_id, l_orderkey, l_linenumber, o_orderdate, c_name AS run
-FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 2 = 0 WHERE s_suppkey % 20 = 0""")
+FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal >= 0""")
 def graph_provenance(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence behind nodes, its source and, where known, the run that brought it."""
-    nodes = table(spark, sf, "supplier").where("s_suppkey % 20 = 0").select("s_suppkey", F.concat(F.lit("supplier:"), "s_suppkey").alias("node_id"))
+    nodes = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("supplier:"), "s_suppkey").alias("node_id"))
     links = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
     found = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    runs = table(spark, sf, "customer").where("c_custkey % 2 = 0").select("c_custkey", F.col("c_name").alias("run"))
+    runs = table(spark, sf, "customer").where("c_acctbal >= 0").select("c_custkey", F.col("c_name").alias("run"))
     met = links.join(nodes, F.col("l_suppkey") == F.col("s_suppkey")).join(found, F.col("o_orderkey") == F.col("l_orderkey")).join(runs, F.col("o_custkey") == F.col("c_custkey"), "left")
     return met.select("node_id", "l_orderkey", "l_linenumber", "o_orderdate", "run")
 
@@ -226,3 +226,66 @@ def lineage_projection_edges(spark: SparkSession, sf: str) -> DataFrame:
             "assigned": (assigned, "a", "b"),
         }
     )
+
+
+LINEAGE = """r AS (SELECT 'r' || o_orderkey AS id, 'i' || o_custkey AS incident, o_orderkey AS rank, o_clerk AS action, state FROM (
+    SELECT *, o_orderpriority AS o_clerk, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'awaiting_approval' ELSE 'delegated' END AS state FROM orders)),
+i AS (SELECT 'i' || c_custkey AS id, c_name AS title FROM customer WHERE c_acctbal >= 0),
+e AS (SELECT DISTINCT 'r' || l_orderkey AS rid, 'e' || (l_partkey % 500) AS eid FROM lineitem WHERE l_returnflag <> 'N'),
+f AS (SELECT 'r' || l_orderkey AS rid, l_linestatus || l_linenumber AS desk, CASE WHEN l_quantity > 25 THEN 'contributed' ELSE 'abstained' END AS status, l_shipdate AS happened, ['e' || (l_partkey % 500), 'e' || (l_suppkey % 700)] AS cited FROM lineitem WHERE l_linenumber <= 2),
+d AS (SELECT 'd' || l_orderkey || '-' || l_linenumber AS id, 'r' || l_orderkey AS rid, CASE WHEN l_returnflag = 'A' THEN 'approve' ELSE 'request_revision' END AS action, l_linestatus AS actor, l_shipdate AS happened FROM lineitem WHERE l_linenumber IN (2, 3)),
+c AS (SELECT 'c' || l_orderkey || '-' || l_linenumber AS id, 'd' || l_orderkey || '-' || (l_linenumber - 1) AS did, 'r' || (l_orderkey + l_linenumber - 4) AS rid, l_returnflag AS outcome, CASE WHEN l_tax < 0.02 THEN 'verified' WHEN l_tax < 0.04 THEN 'expired' ELSE 'requested' END AS state, l_linestatus AS rule FROM lineitem WHERE l_linenumber >= 3),
+p AS (SELECT rid, eid, rank, incident, i.id IS NOT NULL AS has FROM e JOIN r ON r.id = rid LEFT JOIN i ON i.id = incident),
+o AS (SELECT eid, min(rank) AS first_rank FROM p GROUP BY 1),
+h AS (SELECT f.*, rank, incident, i.id IS NOT NULL AS has, sha256('finding:' || incident || ':' || desk || ':' || strftime(happened, '%Y-%m-%d %H:%M:%S')) AS g FROM f JOIN r ON r.id = rid LEFT JOIN i ON i.id = incident),
+s AS (SELECT *, substr(g, 1, 8) || '-' || substr(g, 9, 4) || '-' || substr(g, 13, 4) || '-' || substr(g, 17, 4) || '-' || substr(g, 21, 12) AS fid FROM h),
+v AS (SELECT id, rule, substr(g, 1, 8) || '-' || substr(g, 9, 4) || '-' || substr(g, 13, 4) || '-' || substr(g, 17, 4) || '-' || substr(g, 21, 12) AS vid FROM (SELECT *, sha256('verification:' || id) AS g FROM c WHERE state = 'verified'))"""
+
+
+def _lineage(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    l, o, c = (table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
+    rid, text = F.concat(F.lit("r"), F.col("l_orderkey")), F.concat
+    status = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "awaiting_approval").otherwise("delegated")
+    recommendations = o.select(text(F.lit("r"), "o_orderkey").alias("recommendation_id"), text(F.lit("i"), "o_custkey").alias("incident_id"), F.col("o_orderkey").alias("rank"), F.col("o_orderpriority").alias("action"), status.alias("state"))
+    incidents = c.where("c_acctbal >= 0").select(text(F.lit("i"), "c_custkey").alias("incident_id"), F.col("c_name").alias("title"))
+    part, supplier = (text(F.lit("e"), F.col(k) % n) for k, n in (("l_partkey", 500), ("l_suppkey", 700)))
+    evidence = l.where("l_returnflag <> 'N'").select(rid.alias("recommendation_id"), part.alias("evidence_id"), part.alias("summary")).distinct()
+    findings = l.where("l_linenumber <= 2").select(
+        rid.alias("recommendation_id"), text("l_linestatus", "l_linenumber").alias("desk_code"), F.when(F.col("l_quantity") > 25, "contributed").otherwise("abstained").alias("status"), F.col("l_shipdate").alias("created_at"), F.array(part, supplier).alias("cited")
+    )
+    decisions = l.where("l_linenumber IN (2, 3)").select(
+        text(F.lit("d"), "l_orderkey", F.lit("-"), "l_linenumber").alias("decision_id"), rid.alias("recommendation_id"), F.when(F.col("l_returnflag") == "A", "approve").otherwise("request_revision").alias("action"), F.col("l_linestatus").alias("actor"), F.col("l_shipdate").alias("decided_at")
+    )
+    state = F.when(F.col("l_tax") < 0.02, "verified").when(F.col("l_tax") < 0.04, "expired").otherwise("requested")
+    commitments = l.where("l_linenumber >= 3").select(
+        text(F.lit("c"), "l_orderkey", F.lit("-"), "l_linenumber").alias("commitment_id"), text(F.lit("d"), "l_orderkey", F.lit("-"), F.col("l_linenumber") - 1).alias("decision_id"),
+        text(F.lit("r"), F.col("l_orderkey") + F.col("l_linenumber") - 4).alias("recommendation_id"), F.col("l_returnflag").alias("outcome"), state.alias("state"), F.col("l_linestatus").alias("rule"),
+    )
+    return graph.lineage(incidents, recommendations, evidence, findings, decisions, commitments)
+
+
+@query(f"""WITH {LINEAGE}
+SELECT id AS node_id, 'incident' AS node_type, title AS label, 'current' AS flag FROM i
+UNION ALL SELECT id, 'recommendation', action, CASE WHEN state = 'approved' THEN 'closed' ELSE 'current' END FROM r
+UNION ALL SELECT eid, 'evidence', eid, 'current' FROM o
+UNION ALL SELECT fid, 'finding', any_value(desk || ' · ' || status), any_value(status) FROM s GROUP BY fid
+UNION ALL SELECT id, 'decision', replace(action, '_', ' ') || ' · ' || actor, CASE WHEN row_number() OVER (PARTITION BY rid ORDER BY happened DESC, id DESC) = 1 THEN 'current' ELSE 'historical' END FROM d
+UNION ALL SELECT id, 'commitment', outcome, CASE WHEN state = 'requested' THEN 'current' ELSE 'closed' END FROM c
+UNION ALL SELECT vid, 'verification', rule, 'current' FROM v""")
+def lineage_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven types of nodes, each id once, with what makes them current, closed or historical."""
+    return _lineage(spark, sf)[0]
+
+
+@query(f"""WITH {LINEAGE}
+SELECT 'triggered' AS edge_type, incident AS src, r.id AS dst FROM r JOIN i ON i.id = incident
+UNION ALL SELECT 'supports', eid, rid FROM p UNION ALL SELECT 'supports', eid, incident FROM p WHERE has
+UNION ALL SELECT 'informed', fid, incident FROM s WHERE has UNION ALL SELECT 'informed', fid, rid FROM s
+UNION ALL SELECT 'supports', x.eid, fid FROM (SELECT fid, rank, unnest(list_distinct(cited)) AS eid FROM s) x JOIN o ON o.eid = x.eid WHERE first_rank <= rank
+UNION ALL SELECT CASE WHEN action = 'approve' THEN 'approved' ELSE action END, rid, id FROM d
+UNION ALL SELECT 'assigned', did, c.id FROM c JOIN d ON d.id = did
+UNION ALL SELECT 'assigned', c.rid, c.id FROM c JOIN r ON r.id = c.rid WHERE did NOT IN (SELECT id FROM d)
+UNION ALL SELECT 'verified', id, vid FROM v""")
+def lineage_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges between them: citations of unknown evidence are skipped, commitments fall back to the recommendation."""
+    return _lineage(spark, sf)[1]

@@ -23,9 +23,9 @@ def connector_statuses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {EV} SELECT evidence_id, connector_code, source_event_id FROM ev
-WHERE connector_code = 'purchase' AND source_event_id LIKE 'purchase:1%' AND observed_at > TIMESTAMP '2024-01-15' ORDER BY observed_at, evidence_id LIMIT 200""")
+WHERE connector_code LIKE 'p%' AND observed_at > TIMESTAMP '2024-01-15' ORDER BY observed_at, evidence_id LIMIT 200""")
 def evidence_list(spark: SparkSession, sf: str) -> DataFrame:
-    rows = evidence(spark, sf).where((F.col("connector_code") == "purchase") & F.col("source_event_id").like("purchase:1%") & (F.col("observed_at") > F.lit("2024-01-15").cast("timestamp_ntz")))
+    rows = evidence(spark, sf).where(F.col("connector_code").like("p%") & (F.col("observed_at") > F.lit("2024-01-15").cast("timestamp_ntz")))
     return rows.orderBy("observed_at", "evidence_id").limit(200).select("evidence_id", "connector_code", "source_event_id")
 
 

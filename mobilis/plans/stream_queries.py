@@ -1,12 +1,14 @@
-"""Queries that run as streams over slices of evidence, each slice one micro-batch."""
+"""Queries that run as streams: evidence lands in three slices, and the job goes on after each."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobilis.plans.common import EV, catalogue, evidence
-from mobilis.sources.folders import landed
+from mobilis.plans.common import EV, catalogue, evidence, table
+from mobilis.sources.folders import landed, new_folder
 from mobilis.streaming import jobs
 
 Q, SQL, query = catalogue()
@@ -14,12 +16,24 @@ Q, SQL, query = catalogue()
 _SLICE = "CASE WHEN observed_at < TIMESTAMP '2024-01-11' THEN 0 WHEN observed_at < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END"
 
 
-def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    ev = evidence(spark, sf)
-    at = F.col("observed_at")
+def _slices(rows: DataFrame, at: str = "observed_at") -> list[DataFrame]:
+    time = F.col(at)
     first, second = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-11", "2024-01-21"))
-    path = landed(ev, [at < first, (at >= first) & (at < second), at >= second])
-    return jobs.files(spark, path, ev.schema)
+    return [rows.where(time < first), rows.where((time >= first) & (time < second)), rows.where(time >= second)]
+
+
+def _fed(spark: SparkSession, slices: list[DataFrame], job: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Land slice after slice and start the job again on its folder after each."""
+    feed, folder = new_folder(spark, "landed"), new_folder(spark, "jobs")
+    out = None
+    for part in slices:
+        landed(part, feed)
+        out = job(jobs.files(spark, feed, part.schema), folder)
+    return out
+
+
+def _evidence(spark: SparkSession, sf: str) -> list[DataFrame]:
+    return _slices(evidence(spark, sf))
 
 
 @query(f"""WITH {EV}, s AS (SELECT *, {_SLICE} AS slice FROM ev),
@@ -27,28 +41,52 @@ r AS (SELECT *, row_number() OVER (PARTITION BY connector_code, source_event_id,
 l AS (SELECT *, lag(content_hash) OVER (PARTITION BY connector_code, source_event_id ORDER BY slice) IS DISTINCT FROM content_hash AS fresh FROM r WHERE rn = 1)
 SELECT connector_code, source_event_id, arg_max(content_hash, slice) AS content_hash, max(received_at) AS received_at, count(*) FILTER (fresh) AS version FROM l GROUP BY ALL""")
 def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.upsert_stream(_stream(spark, sf))
+    return _fed(spark, _evidence(spark, sf), jobs.upsert_stream)
 
 
 @query(f"""WITH {EV}, m AS (SELECT *, lag(content_hash) OVER w IS DISTINCT FROM content_hash AS fresh FROM ev WINDOW w AS (PARTITION BY connector_code, source_event_id ORDER BY observed_at, evidence_id))
 SELECT evidence_id, CASE WHEN fresh THEN 'accepted' ELSE 'duplicate' END AS outcome,
   CAST(sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY connector_code, source_event_id ORDER BY observed_at, evidence_id) AS BIGINT) AS version FROM m""")
 def stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.outcome_stream(_stream(spark, sf))
+    return _fed(spark, _evidence(spark, sf), jobs.outcome_stream)
 
 
 @query(f"WITH {EV} SELECT evidence_id, connector_code, content_hash FROM ev")
 def stream_change_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.change_feed(_stream(spark, sf).select("evidence_id", "connector_code", "content_hash"))
+    return _fed(spark, [s.select("evidence_id", "connector_code", "content_hash") for s in _evidence(spark, sf)], jobs.change_feed)
 
 
 @query(f"WITH {EV} SELECT connector_code, date_trunc('hour', observed_at) AS opens, count(*) AS n FROM ev GROUP BY ALL")
 def stream_cadence_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.cadence_stream(_stream(spark, sf))
+    return _fed(spark, _evidence(spark, sf), jobs.cadence_stream)
+
+
+_STEP = """{b} AS (SELECT connector_code, external_key, CASE WHEN status IS NULL THEN CASE WHEN m{n} THEN 'active' END WHEN m{n} THEN 'active' WHEN status = 'active' AND s{n} THEN 'resolved' ELSE status END AS status,
+  version + CASE WHEN m{n} OR (coalesce(status = 'active', false) AND s{n}) THEN 1 ELSE 0 END AS version, m1, m2, m3, s1, s2, s3 FROM {a})"""
 
 
-@query()
+@query(f"""WITH {EV}, sl AS (SELECT *, {_SLICE} AS slice FROM ev),
+keys AS (SELECT connector_code, source_event_id AS external_key, bool_or(slice = 0 AND cents > 8000) AS m1, bool_or(slice = 1 AND cents > 8000) AS m2, bool_or(slice = 2 AND cents > 8000) AS m3 FROM sl GROUP BY ALL),
+seen AS (SELECT connector_code, bool_or(slice = 0) AS s1, bool_or(slice = 1) AS s2, bool_or(slice = 2) AS s3 FROM sl GROUP BY 1),
+p0 AS (SELECT k.*, s1, s2, s3, CAST(NULL AS VARCHAR) AS status, CAST(0 AS BIGINT) AS version FROM keys k JOIN seen USING (connector_code)),
+{_STEP.format(a="p0", b="p1", n=1)}, {_STEP.format(a="p1", b="p2", n=2)}, {_STEP.format(a="p2", b="p3", n=3)}
+SELECT connector_code, external_key, status, version FROM p3 WHERE status IS NOT NULL""")
 def stream_incident_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Incidents after three passes; the tests compare it with the batch operator run by hand."""
-    rows = _stream(spark, sf).withColumnRenamed("source_event_id", "external_key")
-    return jobs.incident_stream(rows, F.col("cents") > 8000)
+    """Incidents after three passes of detection."""
+    slices = [s.withColumnRenamed("source_event_id", "external_key") for s in _evidence(spark, sf)]
+    return _fed(spark, slices, lambda stream, folder: jobs.incident_stream(stream, F.col("cents") > 8000, folder))
+
+
+@query("""WITH e AS (SELECT user_id AS incident_id, event_type AS h, value >= 50 AS decided, ts AS happened, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS slice, row_number() OVER (PARTITION BY user_id, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END ORDER BY ts DESC, event_id DESC) AS rn FROM events),
+a AS (SELECT incident_id, max(h) FILTER (slice = 0) AS h0, bool_or(decided) FILTER (slice = 0) AS d0, max(happened) FILTER (slice = 0) AS t0, max(h) FILTER (slice = 1) AS h1, bool_or(decided) FILTER (slice = 1) AS d1, max(happened) FILTER (slice = 1) AS t1, max(h) FILTER (slice = 2) AS h2, bool_or(decided) FILTER (slice = 2) AS d2, max(happened) FILTER (slice = 2) AS t2 FROM e WHERE rn = 1 GROUP BY 1),
+b AS (SELECT *, CASE WHEN h0 IS NOT NULL AND (h1 IS NULL OR h1 = h0) THEN h0 ELSE h1 END AS g1, CASE WHEN h0 IS NOT NULL AND (h1 IS NULL OR h1 = h0) THEN d0 ELSE d1 END AS e1, CASE WHEN h0 IS NOT NULL AND (h1 IS NULL OR h1 = h0) THEN t0 ELSE t1 END AS u1,
+  CASE WHEN h0 IS NULL AND h1 IS NULL THEN 0 ELSE 1 END + CASE WHEN h0 IS NOT NULL AND h1 <> h0 AND d0 THEN 1 ELSE 0 END AS v1 FROM a)
+SELECT incident_id, CASE WHEN g1 IS NOT NULL AND (h2 IS NULL OR h2 = g1) THEN g1 ELSE h2 END AS evidence_hash, CASE WHEN g1 IS NOT NULL AND (h2 IS NULL OR h2 = g1) THEN e1 ELSE d2 END AS decided,
+  CASE WHEN g1 IS NOT NULL AND (h2 IS NULL OR h2 = g1) THEN u1 ELSE t2 END + INTERVAL 6 HOUR AS expires_at, CAST(CASE WHEN v1 = 0 THEN 1 ELSE v1 + CASE WHEN h2 <> g1 AND e1 THEN 1 ELSE 0 END END AS BIGINT) AS version FROM b""")
+def stream_recommendations(spark: SparkSession, sf: str) -> DataFrame:
+    """Versions of recommendations over three slices, each with its six hours to live."""
+    from mobilis.operators.evidence import latest_per
+
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("incident_id"), F.col("event_type").alias("evidence_hash"), (F.col("value") >= 50).alias("decided"), F.col("ts").alias("at"), "event_id")
+    slices = [latest_per(s, ["incident_id"], [F.desc("at"), F.desc("event_id")]).drop("event_id") for s in _slices(rows, "at")]
+    return _fed(spark, slices, jobs.recommendation_stream)

@@ -257,10 +257,10 @@ def agency_coordination(spark: SparkSession, sf: str) -> DataFrame:
     return met.select("l_orderkey", "l_linenumber", "o_orderpriority", F.col("s_name").alias("owner"), F.col("n_name").alias("requester"), F.col("r_name").alias("area"))
 
 
-@query("""SELECT o_orderkey, o_orderdate, o_orderpriority FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS o_orderdate, o_orderpriority FROM orders WHERE o_custkey < 100)
+@query("""SELECT o_orderkey, o_orderdate, o_orderpriority FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS o_orderdate, o_orderpriority FROM orders)
 ORDER BY o_orderdate NULLS LAST, o_orderpriority, o_orderkey LIMIT 300""")
 def due_nulls_last(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_custkey < 100").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("o_orderdate"), "o_orderpriority")
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("o_orderdate"), "o_orderpriority")
     return o.orderBy(F.asc_nulls_last("o_orderdate"), "o_orderpriority", "o_orderkey").limit(300)
 
 

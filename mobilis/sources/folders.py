@@ -14,15 +14,36 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     """A new path below ``spark.checkpoint.dir``; local sessions without one get their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = LOCAL_FOLDER
     return f"{root.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
 
 
-def landed(rows: DataFrame, slices: list[Column]) -> str:
-    """Write slices of a table one after another as a feed would land them; the folder."""
-    path = new_folder(rows.sparkSession, "landed")
-    for part in slices:
-        rows.where(part).coalesce(1).write.mode("append").parquet(path)
-    return path
+def stored(rows: DataFrame) -> DataFrame:
+    """Write a table to a shared folder and read it: later plans begin at its files."""
+    path = new_folder(rows.sparkSession, "tables")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def landed(rows: DataFrame, folder: str) -> None:
+    """Land a slice of a feed in its folder, as many files as its rows have partitions."""
+    rows.write.mode("append").parquet(folder)
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the finished tables below a folder, in order (one name a version, a driver-side listing)."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    names = [(x.getPath().getName(), x.getPath()) for x in files.listStatus(place)]
+    done = [int(n) for n, path in names if n.isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))]
+    return sorted(done)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Remove a table that no later reader needs."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -1,142 +1,166 @@
 """Continuous jobs: the batch operators inside Structured Streaming.
 
-A state that joins across keys (which connectors reported) is kept as tables, one
-version a micro-batch: batch ``n`` reads version ``n - 1`` and writes version ``n``,
-so a batch that runs again writes the same.  State of single keys lives in the state
-store.
+A job owns a folder that all executors share: its checkpoint, its tables and, for
+state that joins across keys, one table a micro-batch.  Batch ``n`` reads table
+``n - 1`` and writes table ``n``, so a batch that runs again writes the same; the two
+newest tables are kept.  A job that is started again on its folder goes on where it
+ended, whatever became of the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from mobilis.operators import evidence as ev_ops
 from mobilis.operators import lifecycle
-from mobilis.sources.folders import new_folder
+from mobilis.sources.folders import removed, versions
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
+def files(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream over the files of a folder: what is new there is a micro-batch of each run."""
+    return spark.readStream.schema(schema).parquet(path)
 
-def files(spark: SparkSession, path: str, schema, per_batch: int = 1) -> DataFrame:
-    """A stream over the files of a folder, oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
-
-def run_to_end(writer, spark: SparkSession) -> None:
-    """Start a query on what is there now and wait until it is taken in."""
-    query = writer.option("checkpointLocation", new_folder(spark, "checkpoints")).trigger(availableNow=True).start()
+def run_to_end(writer, folder: str) -> None:
+    """Go on with a job until what is there now is taken in."""
+    query = writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def versioned(stream: DataFrame, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
-    """Fold micro-batches into a table by ``step(table so far, batch)``; the last version."""
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest table of a job."""
+    done = versions(spark, f"{folder}/versions")
+    if not done:
+        raise ValueError("the stream had no batch")
+    return spark.read.parquet(f"{folder}/versions/{done[-1]}")
+
+
+def versioned(stream: DataFrame, folder: str, step: Callable[[DataFrame | None, DataFrame, int], DataFrame]) -> DataFrame:
+    """Fold micro-batches into a table by ``step(table so far, batch, number)``; the newest table."""
     spark = stream.sparkSession
-    path = new_folder(spark, "versions")
-    last = {"n": -1}
 
     def take(batch: DataFrame, n: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{path}/{n - 1}") if n else None
-        step(old, batch).write.mode("overwrite").parquet(f"{path}/{n}")
-        last["n"] = n
+        now = batch.sparkSession
+        older = [v for v in versions(now, f"{folder}/versions") if v < n]
+        old = now.read.parquet(f"{folder}/versions/{older[-1]}") if older else None
+        step(old, batch, n).write.mode("overwrite").parquet(f"{folder}/versions/{n}")
+        for v in older[:-1]:
+            removed(now, f"{folder}/versions/{v}")
 
-    run_to_end(stream.writeStream.foreachBatch(take), spark)
-    if last["n"] < 0:
-        raise ValueError("the stream had no batch")
-    return spark.read.parquet(f"{path}/{last['n']}")
+    run_to_end(stream.writeStream.foreachBatch(take), folder)
+    return latest(spark, folder)
 
 
-def upsert_stream(observations: DataFrame) -> DataFrame:
+def upsert_stream(observations: DataFrame, folder: str) -> DataFrame:
     """Current evidence, one row a key: each batch's newest observation on the state before."""
     newest = [F.desc("observed_at"), F.desc("evidence_id")]
 
-    def step(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    def step(old: DataFrame | None, batch: DataFrame, n: int) -> DataFrame:
         new = ev_ops.latest_per(batch, ev_ops.KEY, newest)
         if old is None:
             old = new.select(*ev_ops.KEY, "content_hash", "received_at", F.lit(0).cast("long").alias("version")).limit(0)
         return ev_ops.upsert(old, new).drop("change")
 
-    return versioned(observations, step)
+    return versioned(observations, folder, step)
 
 
-def incident_stream(observations: DataFrame, matched: Column) -> DataFrame:
+def incident_stream(observations: DataFrame, matched: Column, folder: str) -> DataFrame:
     """Incidents by (connector_code, external_key); rows where ``matched`` holds are a batch's matches."""
 
-    def step(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    def step(old: DataFrame | None, batch: DataFrame, n: int) -> DataFrame:
         if old is None:
             old = batch.select("connector_code", "external_key", F.lit("new").alias("status"), F.lit(0).cast("long").alias("version")).limit(0)
         return lifecycle.incident_step(old, batch.where(matched), batch).drop("change")
 
-    return versioned(observations, step)
-
+    return versioned(observations, folder, step)
 
-class _Contents(StatefulProcessor):
-    """Per key the content last taken in and how many there were."""
 
-    def init(self, handle) -> None:
-        self.held = handle.getValueState("held", "content_hash string, version long")
+def recommendation_stream(projected: DataFrame, folder: str, hours: int = 6) -> DataFrame:
+    """The newest recommendation of each incident: its version, state and when it expires.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
+    Rows have incident_id, evidence_hash, decided and at; a batch brings one row an
+    incident.  Another hash rewrites an open recommendation and supersedes a decided one
+    by the next version; each write lives ``hours`` from its time.
+    """
 
-        seen = pd.concat(list(rows)).sort_values(["observed_at", "evidence_id"])
-        last, version = self.held.get() if self.held.exists() else (None, 0)
-        outcome, versions = [], []
-        for now in seen["content_hash"]:
-            outcome.append("duplicate" if now == last else "accepted")
-            version += now != last
-            last = now
-            versions.append(version)
-        self.held.update((last, int(version)))
-        yield pd.DataFrame({"evidence_id": seen["evidence_id"].to_numpy(), "outcome": outcome, "version": versions})
+    def step(old: DataFrame | None, batch: DataFrame, n: int) -> DataFrame:
+        expires = F.col("at") + F.expr(f"INTERVAL {hours} HOURS")
+        new = batch.select("incident_id", F.struct("evidence_hash", "decided", expires.alias("expires_at")).alias("new"))
+        if old is None:
+            return new.select("incident_id", "new.*", F.lit(1).cast("long").alias("version"))
+        met = old.select("incident_id", F.struct("evidence_hash", "decided", "expires_at").alias("old"), "version").join(new, "incident_id", "full")
+        same = F.col("new").isNull() | F.coalesce(F.col("old.evidence_hash") == F.col("new.evidence_hash"), F.lit(False))
+        supersede = ~same & F.coalesce(F.col("old.decided"), F.lit(False))
+        row = F.when(same, F.col("old")).otherwise(F.col("new"))
+        version = F.when(F.col("version").isNull(), F.lit(1).cast("long")).otherwise(F.col("version") + supersede.cast("long"))
+        return met.select("incident_id", row.alias("row"), version.alias("version")).select("incident_id", "row.*", "version")
 
-    def close(self) -> None:
-        pass
+    return versioned(projected, folder, step)
 
 
-def outcome_stream(observations: DataFrame) -> DataFrame:
-    """Each observation with what taking it in did, from state by key (a duplicate only confirms).
+def outcome_stream(observations: DataFrame, folder: str) -> DataFrame:
+    """Each observation with what taking it in did (a duplicate only confirms), and its content's number.
 
-    Batches bring a key's observations in order; inside a batch they are sorted.
+    The state is the last content of each key.  A batch is compared in order with the
+    row before it, across its own rows by a window and across batches by the state.
     """
     spark = observations.sparkSession
-    path = new_folder(spark, "outcomes")
-    rows = observations.select(*ev_ops.KEY, "evidence_id", "observed_at", "content_hash")
-    done = rows.groupBy(*ev_ops.KEY).transformWithStateInPandas(_Contents(), "evidence_id long, outcome string, version long", "Append", "None")
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKSDB)
-    try:
-        run_to_end(done.writeStream.format("parquet").option("path", path).outputMode("append"), spark)
-    finally:
-        if before:
-            spark.conf.set(_PROVIDER, before)
-        else:
-            spark.conf.unset(_PROVIDER)
-    return spark.read.schema("evidence_id long, outcome string, version long").parquet(path)
-
-
-def change_feed(log: DataFrame) -> DataFrame:
+
+    def step(old: DataFrame | None, batch: DataFrame, n: int) -> DataFrame:
+        rows = batch.select(*ev_ops.KEY, "evidence_id", "observed_at", "content_hash")
+        if old is None:
+            old = rows.select(*ev_ops.KEY, "content_hash", F.lit(0).cast("long").alias("version")).limit(0)
+        held = old.select(*ev_ops.KEY, F.struct("content_hash", "version").alias("held"))
+        w = Window.partitionBy(*ev_ops.KEY).orderBy("observed_at", "evidence_id")
+        met = rows.join(held, ev_ops.KEY, "left").withColumn("place", F.row_number().over(w))
+        before = F.when(F.col("place") == 1, F.col("held.content_hash")).otherwise(F.lag("content_hash").over(w))
+        fresh = (~before.eqNullSafe(F.col("content_hash"))) | ((F.col("place") == 1) & F.col("held").isNull())
+        told = met.withColumn("fresh", fresh).withColumn("version", F.coalesce("held.version", F.lit(0)) + F.sum(F.col("fresh").cast("long")).over(w))
+        done = told.select("evidence_id", F.when(F.col("fresh"), "accepted").otherwise("duplicate").alias("outcome"), "version", *ev_ops.KEY, "content_hash", "observed_at")
+        done.write.mode("overwrite").parquet(f"{folder}/outcomes/batch={n}")
+        last = batch.sparkSession.read.parquet(f"{folder}/outcomes/batch={n}").groupBy(*ev_ops.KEY).agg(F.max_by(F.struct("content_hash", "version"), F.struct("observed_at", "evidence_id")).alias("now"))
+        both = held.join(last, ev_ops.KEY, "full").select(*ev_ops.KEY, F.coalesce("now", "held").alias("row"))
+        return both.select(*ev_ops.KEY, "row.*")
+
+    versioned(observations, folder, step)
+    return spark.read.schema("evidence_id long, outcome string, version long").parquet(f"{folder}/outcomes/*")
+
+
+def change_feed(log: DataFrame, folder: str) -> DataFrame:
     """An append-only log as files that later readers follow: each row exactly once."""
     spark = log.sparkSession
-    path = new_folder(spark, "feed")
-    run_to_end(log.writeStream.format("parquet").option("path", path).outputMode("append"), spark)
-    return spark.read.schema(log.schema).parquet(path)
+    run_to_end(log.writeStream.format("parquet").option("path", f"{folder}/feed").outputMode("append"), folder)
+    return spark.read.schema(log.schema).parquet(f"{folder}/feed")
 
 
-def cadence_stream(observations: DataFrame, width: str = "1 hour") -> DataFrame:
+def cadence_stream(observations: DataFrame, folder: str, width: str = "1 hour") -> DataFrame:
     """Observations by connector and tumbling window; late ones count, whatever their age."""
     spark = observations.sparkSession
     counts = observations.groupBy("connector_code", F.window("observed_at", width).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     flat = counts.select("connector_code", F.col("w.start").alias("opens"), "n")
-    path = new_folder(spark, "counts")
-    run_to_end(flat.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)), spark)
-    return spark.read.schema(flat.schema).parquet(path)
+    run_to_end(flat.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/counts")), folder)
+    return spark.read.schema(flat.schema).parquet(f"{folder}/counts")
 
 
 def commands_once(commands: DataFrame, key: list[str], at: str, hours: int = 24) -> DataFrame:
     """A stream of commands without those whose key came within ``hours`` before (``at`` is a TIMESTAMP)."""
     return commands.withWatermark(at, f"{hours} hours").dropDuplicatesWithinWatermark(key)
+
+
+def isolated(sources: dict[str, Callable[[], None]], after: Callable[[], None]) -> dict[str, str]:
+    """Run the intake of each source, then ``after`` (detection) whatever failed; the failures by source.
+
+    One feed that fails does not hold up the others: its error is told, its checkpoint
+    stays where it was, and its next run goes on from there.
+    """
+    failed: dict[str, str] = {}
+    for name, take_in in sources.items():
+        try:
+            take_in()
+        except Exception as error:  # noqa: BLE001 - whatever a feed throws is its own
+            failed[name] = str(error)
+    after()
+    return failed

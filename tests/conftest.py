@@ -10,6 +10,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", "file:///tmp/checkpoints/tests")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from mobilis.plans import registry
+import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,14 +33,19 @@ def rows_of(columns, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+QUERIES, ORACLE = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, duck, name):
-    df = registry.queries()[name](spark, SF)
-    want = duck.execute(registry.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    want = duck.execute(ORACLE[name])
     names = [c[0] for c in want.description]
     assert sorted(df.columns) == sorted(names)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(names, want.fetchall())
 
 
-def test_every_query_has_a_name_and_sql_or_a_test():
-    assert set(registry.oracle_sql()) <= set(registry.queries())
+def test_every_query_has_sql_or_is_tested_by_hand():
+    by_hand = {"op1_minhash", "op2_quality", "op5_packing", "op6_vectors", "op7_pii", "op8_licenses", "op9_lines", "op10_store", "pipeline"}
+    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLE) <= by_hand
