@@ -570,6 +570,89 @@ def test_licenses(spark):
     assert got[2].inherited_from == "repo/src/COPYING" and got[4].inherited_from is None
 
 
+def license_rows():
+    rng = random.Random(21)
+    texts = [t for own in licenses.STATEMENTS.values() for t in own]
+    openings = [t for own in licenses.OPENINGS.values() for t in own]
+    made = []
+    for k, t in enumerate(texts):
+        noise = prose(rng, rng.randint(0, 60))
+        made.append([t, f"{noise} {t} {noise}", f"Copyright (c) 2020 A. Holder\n\n{t}", t.replace(" ", "\n# ", 9), " ".join(w for w in t.split(" ") if rng.random() > 0.2), t[: len(t) // 2]][k % 6])
+    made += [f"{t}\n\nPreamble. {prose(rng, 300)}" for t in openings]
+    made += [f"{prose(rng, 40)} {t} {prose(rng, 40)}" for t in openings]
+    made += [prose(rng, 50), "", "license license license", f"{prose(rng, 1500)} Released under the MIT License {prose(rng, 1500)}", "the MIT the Apache the public domain", "x" * 5000]
+    out = [(k, t, "/".join(["r", *rng.choices("abc", k=rng.randint(0, 4)), f"f{k}"])) for k, t in enumerate(made)]
+    return [*out, out[3], out[3], (None, made[0], "r/a/LICENSE"), (900, None, "r/b/x"), (901, made[0], None), (902, "plain", "top"), (903, "plain", ""), (904, "plain", "/abs/x")]
+
+
+def test_licenses_as_by_brute_force(spark):
+    """Every window of every template's length, and a walk up the directories."""
+    import math
+
+    table_ = license_rows()
+    forms = [(name, False, licenses.terms(t)) for name, own in licenses.STATEMENTS.items() for t in own] + [(name, True, licenses.terms(t)) for name, own in licenses.OPENINGS.items() for t in own]
+    known = {t for _, _, own in forms for t in own}
+    counts = collections.Counter(t for _, text, _ in table_ for t in set(licenses.terms(text or "")) & known)
+    weight = collections.defaultdict(lambda: 1 + math.log(len(table_) + 1), {t: 1 + math.log((len(table_) + 1) / (counts[t] + 1)) for t in known})
+
+    def vector(words):
+        raw = {t: k * weight[t] for t, k in collections.Counter(words).items()}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        return {t: v / norm for t, v in raw.items()}
+
+    vectors = [(name, opening, len(own), vector(own)) for name, opening, own in forms]
+
+    def cosine(words, of):
+        v = vector(words)
+        return sum(x * v.get(t, 0.0) for t, x in of.items())
+
+    def judged(text):
+        words = licenses.terms(text or "")
+        best, file = (0.0, None), False
+        for name, opening, size, of in sorted(vectors, key=lambda f: f[0]):
+            if not words:
+                continue
+            scores = [cosine(words[i : i + size], of) if any(w in of for w in words[i : i + size]) else 0.0 for i in range(max(1, len(words) - size + 1))]
+            whole = cosine(words, of)
+            file |= whole >= licenses.THRESHOLD or (opening and max(scores) >= licenses.THRESHOLD and scores.index(max(scores)) < licenses.OPENING_TERMS)
+            if max(max(scores), whole) > best[0] + 1e-12:
+                best = (max(max(scores), whole), name)
+        return (best[1], round(best[0], 6), file) if best[0] >= licenses.THRESHOLD else (None, None, False)
+
+    own = [(k, path, *judged(t)) for k, t, path in table_]
+    grants = {}
+    for _, path, name, _, file in own:
+        if file and path is not None:
+            folder = path.rpartition("/")[0]
+            grants[folder] = min(grants.get(folder, (path, name)), (path, name))
+
+    def inherited(path):
+        while path is not None:
+            path = path.rpartition("/")[0]
+            if path in grants:
+                return grants[path]
+            if not path:
+                return None, None
+        return None, None
+
+    want = collections.Counter()
+    for k, path, name, score, file in own:
+        source, granted = inherited(path)
+        want[(k, path, name, score, file, name or granted, None if name else source)] += 1
+    columns = ["doc_id", "path", "own_license", "score", "is_license_file", "license", "inherited_from"]
+    frame = spark.createDataFrame(table_, "doc_id long, text string, path string").withColumn("dir", F.lit("clash")).withColumn("file", F.lit(1)).withColumn("n_rows", F.lit(2))
+    got = collections.Counter(tuple(r) for r in licenses.scan(frame.repartition(3), "path").select(*columns).collect())
+    assert got == want
+    assert len({w[2] for w in want}) > 12 and sum(w[4] for w in want) > 20
+
+
+def test_whole_licences_license_their_directory(spark):
+    mit = licenses.STATEMENTS["MIT"][1]
+    made = [(1, f"MIT License\n\nCopyright (c) 2021 Somebody\n\n{mit}", "a/LICENSE"), (2, "code", "a/src/x.py"), (3, f"// {licenses.STATEMENTS['Apache-2.0'][1]}\n\nint main() {{ return 0; }} " + "call(); " * 300, "b/y.c"), (4, "code", "b/z.c")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(made, "doc_id long, text string, path string"), "path").collect()}
+    assert {k: (r.license, r.is_license_file) for k, r in got.items()} == {1: ("MIT", True), 2: ("MIT", False), 3: ("Apache-2.0", False), 4: (None, False)}
+
+
 def test_mixing(spark, docs, table):
     got = mixing.mix(docs, power=0.5, block_units=500, period=50).collect()
     assert len(got) == len(table)
