@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on a small table with awkward rows."""
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -737,16 +738,116 @@ def test_empty_tables(spark, empty):
     assert store.read_summary(spark, path).count() == store.read_documents(spark, path).count() == 0
 
 
-def test_pipeline(spark, docs):
+def earliest_deadline_first(n):
+    """source -> slot of each of its blocks in a period, slot by slot."""
+    period, done, out = sum(n.values()), dict.fromkeys(n, 0), {k: [] for k in n}
+    order = sorted(n, key=lambda s: (s is not None, s))
+    for t in range(period):
+        ready = [(-(-(done[s] + 1) * period // n[s]), order.index(s), s) for s in n if done[s] < n[s] and done[s] * period // n[s] <= t]
+        s = min(ready)[2]
+        out[s].append(t)
+        done[s] += 1
+    return period, out
+
+
+def mixed_order(rows_):
+    """(slot, unit_start) of each row (id, text, source) with distinct ids, worked out source by source."""
+    from hashlib import md5
+
+    by = collections.defaultdict(list)
+    for k, text, source in rows_:
+        by[source].append((md5(str(k).encode()).hexdigest(), k, text))
+    size = {s: max(1, sum(len(t) for _, _, t in own)) for s, own in by.items()}
+    total = sum(v**0.7 for v in size.values())
+    n = {s: max(1, math.floor(v**0.7 / total * max(1000, 50 * len(size)) + 0.5)) for s, v in size.items()}
+    period, slots = earliest_deadline_first(n)
+    out = {}
+    for s, own in by.items():
+        at = 0
+        for _, k, text in sorted(own):
+            block = at // mixing.BLOCK_UNITS
+            out[k] = (block // n[s] * period + slots[s][block % n[s]], at)
+            at += len(text)
+    return out
+
+
+def in_file_order(frame):
+    rows_ = frame.select("*", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).collect()
+    return sorted(rows_, key=lambda r: (r.f, r.i))
+
+
+def test_pipeline_stage_by_stage(spark, docs, table, tmp_path):
+    """Each stage against a plain version of it, on what the stage before kept."""
     import corpus_pipeline
+    from mobilis.llm.shared import stored
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    real = spark.read.parquet(f"{TABLES}/documents.parquet").select(*columns)
+    more = docs.where("doc_id IS NOT NULL").select((F.col("doc_id") + 1_000_000).alias("doc_id"), *columns[1:]).dropDuplicates(["doc_id"])
+    now = real.unionByName(more)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stored(stage(spark, now, ""))
+        assert now.columns == columns
+        kept[name] = now
+
+    first = real.unionByName(more).collect()
+    good = [r for r in first if plain_verdict((r.doc_id, r.text))[-1]]
+    assert sorted(map(tuple, kept["quality_rules"].collect()), key=str) == sorted(map(tuple, good), key=str)
+    assert len(good) > 100
+
+    sets = {r.doc_id: shingles(r.text) for r in good}
+    ids = sorted(sets)
+    sizes = {k: len(v) for k, v in sets.items()}
+    links = [(x, y) for x in ids for y in ids if x < y and 100 * min(sizes[x], sizes[y]) >= 80 * max(sizes[x], sizes[y]) and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    root = groups(links, ids)
+    single = [r for r in good if root[r.doc_id] == r.doc_id]
+    assert sorted(map(tuple, kept["minhash_dedup"].collect()), key=str) == sorted(map(tuple, single), key=str)
+    assert len(single) < len(good)
+
+    spans = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(single, kept["pii"].schema)).collect()}
+
+    def hidden(text, found):
+        marks = sorted((int(a), -int(b), kind) for kind, a, b in (x.split(":") for x in found.split(",") if x))
+        out, last = "", 0
+        for a, b, kind in marks:
+            if a >= last:
+                out += text[last:a] + f"[{kind.upper()}]"
+            last = max(last, -b)
+        return out + text[last:]
+
+    want = {r.doc_id: hidden(r.text, spans[r.doc_id]) for r in single}
+    got = kept["pii"].collect()
+    assert {r.doc_id: r.text for r in got} == want and sum(want[r.doc_id] != r.text for r in single) > 3
+    assert all(r.n_chars == len(r.text) for r in got if r.text != next(x.text for x in single if x.doc_id == r.doc_id))
+
+    order = mixed_order([(r.doc_id, r.text, r.source) for r in got])
+    mixed = in_file_order(kept["mixing"])
+    assert [r.doc_id for r in mixed] == sorted(order, key=lambda k: order[k])
+
+    tok = Tokenizer.from_file(TOKENIZER)
+    ids_of = {r.doc_id: [*tok.encode(r.text, add_special_tokens=False).ids, 0] for r in mixed}
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, "").collect()
+    covered = collections.defaultdict(list)
+    filled = collections.defaultdict(list)
+    for r in packed:
+        part = ids_of[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes()) and r.doc_tokens == len(ids_of[r.doc_id])
+        covered[r.doc_id].append((r.start, r.length))
+        filled[r.sequence_id].append((r.offset, r.length))
+    for k, parts in covered.items():
+        assert [a for a, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()[:-1]] and sum(n for _, n in parts) == len(ids_of[k])
+    assert set(covered) == set(ids_of)
+    for parts in filled.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 1024
 
-    now = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for name, stage in corpus_pipeline.STAGES:
-        before, now = now, stage(spark, now, "")
-        if name != "packing":
-            assert now.columns == before.columns
-        now = now.persist()
-    assert now.where("doc_id IS NOT NULL").count() > 0
+    spark.createDataFrame(first, real.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32").collect()
+    assert sorted(map(tuple, whole)) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in packed)
 
 
 def test_stages_with_bad_ids(spark):
