@@ -2,18 +2,19 @@
 
 1. Equal vectors form a class with a count; one representative goes on.
 2. Centroids fitted on a bounded sample (``SAMPLE`` vectors by hash; all vectors are
-   indexed whatever the sample) cut space into overlapping shards: a vector joins
-   its ``OVERLAP`` nearest.  A shard of any size is dealt out as pairs of blocks.
-3. In each block pair a graph is built by robust pruning, and the adjacency lists of
-   all shards are united by node.
-4. Each block pair is searched again over the united lists: a greedy walk from the
-   medoid towards every member, then from it, and from the member itself, the range
-   is expanded along edges as long as new nodes lie within it.  Members
-   whose edges do not name their whole range take their row of the block's cosines
-   instead, as edges need not lead out of a dense group: in a block no link is missed.
-5. What is found is verified in double precision.  A pair counts in one shard only,
-   the least that both are in, so links need no list of pairs; per block a
-   spanning forest of the links leads to components.
+   indexed whatever the sample) cut space into overlapping shards of about a thousand:
+   a vector joins its ``OVERLAP`` nearest.  A shard over ``BLOCK`` is dealt out as pairs
+   of blocks.
+3. In each block a graph is built by robust pruning, from each node's nearest candidates
+   and, in slots of their own, from a random pool: long edges lead out of tight groups.
+   The adjacency lists of all shards are united by node.
+4. Each block is searched over the united lists, taken both ways: a greedy walk from the
+   medoid towards every member, then, from where it ends and from the member itself, the
+   range is expanded along edges as long as new nodes lie within it.  Distances are
+   computed for nodes that an edge leads to, each once a query, and for no others.
+5. Distances are in double precision.  A pair counts in one shard only, the least that
+   both are in, so links need no list of pairs; per block a spanning forest of the
+   links leads to components.
 
 :func:`audit` measures recall against brute force on a bounded sample of queries.
 """
@@ -30,18 +31,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mobilis.llm.minhash import Forest, dealt_in_blocks
-from mobilis.llm.shared import components, group_cuts, map_groups, stored
+from mobilis.llm.shared import components, group_cuts, joined_to_unique, map_groups, stored
 
 SAMPLE = 10_000
-SHARD_VECTORS = 1500
-MOST_SHARDS = 1024
+#: Vectors a centroid; a shard has ``OVERLAP`` times as many.
+SHARD_VECTORS = 250
+#: Beyond some 500,000 vectors shards grow instead of their number, and are dealt in more pairs of blocks.
+MOST_SHARDS = 2048
 OVERLAP = 4
-BLOCK = 1024
+BLOCK = 2048
 DEGREE = 16
+LONG_DEGREE = 8
 CANDIDATES = 48
+RANDOM_POOL = 64
 ALPHA = 1.2
 #: Edges followed at once in a block: what a dense cluster may hold in memory, not what it may find.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 17
 _SHARD_STEP = 1 << 20
 
 
@@ -61,87 +66,117 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return found
 
 
-def robust_pruned(near: np.ndarray, degree: int = DEGREE, pool: int = CANDIDATES, alpha: float = ALPHA) -> np.ndarray:
-    """Adjacency (n, degree) from a matrix of cosines, -1 where a list is shorter.
+def _pruned(x: np.ndarray, rows: np.ndarray, picks: np.ndarray, cosines: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Up to ``degree`` of each row's candidates (sorted, nearest first; cosine -inf: none), -1 where fewer.
 
-    For all nodes at once: take the nearest candidate left, then drop those that
-    are ``alpha`` times nearer to it than to the node.
+    For all rows at once: take the nearest candidate left, then drop those that are
+    ``alpha`` times nearer to it than to the row.
     """
-    n = len(near)
-    pool = min(pool, n - 1)
-    out = np.full((n, degree), -1, dtype=np.int64)
-    if pool < 1:
-        return out
-    masked = near.copy()
-    np.fill_diagonal(masked, -np.inf)
-    picks = np.argpartition(-masked, pool - 1, axis=1)[:, :pool]
-    order = np.argsort(-np.take_along_axis(masked, picks, 1), axis=1, kind="stable")
-    picks = np.take_along_axis(picks, order, 1)
-    far = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(masked, picks, 1), 0))
-    open_ = np.ones_like(picks, dtype=bool)
-    rows = np.arange(n)
+    out = np.full((len(rows), degree), -1, dtype=np.int64)
+    far = np.sqrt(np.maximum(2 - 2 * cosines, 0))
+    open_ = np.isfinite(cosines)
+    at = np.arange(len(rows))
     for d in range(degree):
         first = open_.argmax(axis=1)
-        live = open_[rows, first]
+        live = open_[at, first]
         if not live.any():
             break
-        chosen = picks[rows, first]
+        chosen = picks[at, first]
         out[live, d] = chosen[live]
-        between = np.sqrt(np.maximum(2 - 2 * near[chosen[:, None], picks], 0))
+        between = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ikj->ik", x[chosen], x[picks]), 0))
         open_ &= ~((alpha * between <= far) & live[:, None])
-        open_[rows, first] = False
+        open_[at, first] = False
     return out
 
 
-def crowded(near: np.ndarray, edges: np.ndarray, least: float) -> np.ndarray:
-    """The nodes whose edges do not name their whole range, as the range is large or pruned."""
-    missing = near >= least
-    rows = np.arange(len(near))
-    missing[rows, rows] = False
-    missing[rows[:, None], np.where(edges >= 0, edges, rows[:, None])] = False
-    return missing.any(axis=1)
+def robust_pruned(x: np.ndarray, step: int = 256, seed: int = 5) -> np.ndarray:
+    """Adjacency (n, DEGREE + LONG_DEGREE) of unit vectors, -1 where a list is shorter."""
+    n = len(x)
+    out = np.full((n, DEGREE + LONG_DEGREE), -1, dtype=np.int64)
+    if n < 2:
+        return out
+    x = x.astype(np.float32)
+    near = min(CANDIDATES, n - 1)
+    rng = np.random.Generator(np.random.PCG64(seed))
+    for a in range(0, n, step):
+        rows = np.arange(a, min(a + step, n))
+        cosines = x[rows] @ x.T
+        cosines[np.arange(len(rows)), rows] = -np.inf
+
+        def ranked(picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            value = np.take_along_axis(cosines, picks, 1)  # noqa: B023 - used before the next step
+            order = np.argsort(-value, axis=1, kind="stable")
+            return np.take_along_axis(picks, order, 1), np.take_along_axis(value, order, 1)
+
+        picks, value = ranked(np.argpartition(-cosines, near - 1, axis=1)[:, :near])
+        out[rows, :DEGREE] = _pruned(x, rows, picks, value, DEGREE, ALPHA)
+        pool, score = ranked(rng.integers(0, n, (len(rows), min(RANDOM_POOL, n))))
+        score[score > value[:, -1:]] = -np.inf  # nearer ones had their chance
+        out[rows, DEGREE:] = _pruned(x, rows, pool, score, LONG_DEGREE, ALPHA)
+    return out
+
 
+def both_ways(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts (n + 1) and targets of the edges of a padded list, each taken both ways, once."""
+    n = len(edges)
+    src, k = np.nonzero(edges >= 0)
+    dst = edges[src, k]
+    key = np.unique(np.r_[src * n + dst, dst * n + src])
+    return np.searchsorted(key, np.arange(n + 1) * n), key % n
 
-def range_search(near: np.ndarray, edges: np.ndarray, medoid: int, least: float, asked: np.ndarray, hops: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) within the range, for every node of the mask ``asked`` as query."""
-    n = len(near)
-    here = np.full(n, medoid)
-    best = near[:, medoid].copy()
-    rows = np.arange(n)
-    padded = np.where(edges >= 0, edges, rows[:, None])
+
+def range_search(x: np.ndarray, starts: np.ndarray, targets: np.ndarray, medoid: int, least: float, hops: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, node) of different nodes within the range, for every node as query.
+
+    ``starts`` and ``targets`` are the edges of each node.  Only nodes that an edge
+    leads to are compared with a query.
+    """
+    n = len(x)
+    seen = np.zeros((n, n), dtype=bool)  # compared already
+    seen[np.arange(n), np.arange(n)] = True
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def ahead(query: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, neighbour and cosine of every neighbour of the nodes not compared before."""
+        degree = starts[node + 1] - starts[node]
+        q = np.repeat(query, degree)
+        place = np.arange(len(q)) - np.repeat(np.cumsum(degree) - degree, degree)
+        key = q * n + targets[np.repeat(starts[node], degree) + place]
+        key = np.unique(key[~seen.ravel()[key]])
+        q, v = key // n, key % n
+        seen[q, v] = True
+        return q, v, np.einsum("ij,ij->i", x[q], x[v])
+
+    # what the walks pass by is remembered where it lies within the range
+    here, best = np.full(n, medoid), x @ x[medoid]
+    seen[:, medoid] = True
+    close = np.flatnonzero((best >= least) & (np.arange(n) != medoid))
+    frontier = [(close, np.full(len(close), medoid)), (np.arange(n), np.arange(n))]
+    walking = np.flatnonzero(np.arange(n) != medoid)
     for _ in range(hops):
-        around = padded[here]
-        score = near[rows[:, None], around]
-        top = score.argmax(axis=1)
-        value = score[rows, top]
-        moved = value > best
-        if not moved.any():
+        q, v, score = ahead(walking, here[walking])
+        near = score >= least
+        frontier.append((q[near], v[near]))
+        order = np.lexsort((score, q))
+        last = np.flatnonzero(np.r_[q[order][1:] != q[order][:-1], True]) if len(q) else np.zeros(0, np.int64)
+        top = order[last]
+        better = score[top] > best[q[top]]
+        walking = q[top[better]]
+        if not len(walking):
             break
-        here = np.where(moved, around[rows, top], here)
-        best = np.maximum(best, value)
-    seen = np.zeros((n, n), dtype=bool)
-    seen[rows[asked], rows[asked]] = True
-    walked = asked & (best >= least)
-    seen[rows[walked], here[walked]] = True
-    query, node = np.nonzero(seen)
-    found_q, found_v = [query], [node]
-    step = max(1, FRONTIER // padded.shape[1])
+        here[walking], best[walking] = v[top[better]], score[top[better]]
+    query, node = (np.concatenate(c) for c in zip(*frontier, strict=True))
     while len(query):
-        ahead_q, ahead_v = [], []
+        inside = query != node
+        found.append((query[inside], node[inside]))
+        parts = []
+        step = max(1, FRONTIER // max(1, int((starts[node + 1] - starts[node]).mean())))
         for at in range(0, len(query), step):
-            q = np.repeat(query[at : at + step], padded.shape[1])
-            v = padded[node[at : at + step]].ravel()
-            new = ~seen[q, v]
-            q, v = q[new], v[new]
-            close = near[q, v] >= least
-            key = np.unique(q[close] * n + v[close])
-            seen[key // n, key % n] = True
-            ahead_q.append(key // n)
-            ahead_v.append(key % n)
-        query, node = np.concatenate(ahead_q), np.concatenate(ahead_v)
-        found_q.append(query)
-        found_v.append(node)
-    return np.concatenate(found_q), np.concatenate(found_v)
+            q, v, score = ahead(query[at : at + step], node[at : at + step])
+            near = score >= least
+            parts.append((q[near], v[near]))
+        query, node = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
 
 def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -202,7 +237,7 @@ def _graphs(table: pa.Table) -> Iterator[pa.RecordBatch]:
     src, dst = [], []
     for a, b in _groups(table):
         x = _unpacked(table, a, b)
-        edges = robust_pruned((x @ x.T).astype(np.float32))
+        edges = robust_pruned(x)
         at, k = np.nonzero(edges >= 0)
         src.append(reps[a + at])
         dst.append(reps[a + edges[at, k]])
@@ -219,7 +254,6 @@ def _searched(least: float):
         for a, b in _groups(table):
             size = b - a
             x = _unpacked(table, a, b)
-            near = x @ x.T
             place = {r: k for k, r in enumerate(reps[a:b].tolist())}
             local = [[place[e] for e in row or () if e in place] for row in lists[a:b]]
             wide = max(map(len, local), default=0)
@@ -227,14 +261,11 @@ def _searched(least: float):
             for k, row in enumerate(local):
                 edges[k, : len(row)] = row
             medoid = int((x @ x.mean(axis=0)).argmax())
-            dense = crowded(near, edges, least)
-            q, v = range_search(near, edges, medoid, least, ~dense)
-            hit = np.zeros((size, size), dtype=bool)
-            hit[q, v] = True
-            hit[dense] = near[dense] >= least
-            hit |= hit.T
-            q, v = np.nonzero(np.triu(hit, 1))
-            keep = near[q, v] >= least
+            q, v = range_search(x, *both_ways(edges), medoid, least)
+            # found from either end, a pair is one link
+            key = np.unique(np.minimum(q, v) * size + np.maximum(q, v))
+            q, v = key // size, key % size
+            keep = np.ones(len(q), dtype=bool)
             if i[a] != j[a]:
                 keep &= own[a + q] != own[a + v]
             q, v = q[keep], v[keep]
@@ -276,11 +307,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     Other columns are not read.
     """
     base = stored(_classes(vectors, id_col, vector_col))
-    # rows without an id go by a number below all ids
-    named = base.withColumn("name", F.coalesce("vec_id", F.lit(-(2**62)) - F.pmod(F.xxhash64("key"), F.lit(2**61))))
-    full = named.where("key IS NOT NULL")
-    by_key = full.groupBy("key").agg(F.coalesce(F.min("vec_id"), F.min("name")).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw"))
-    classes = stored(by_key)
+    full = base.where("key IS NOT NULL")
+    by_key = full.groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw"))
+    # classes go by a number of their own: ids may be missing or repeat
+    classes = stored(by_key.withColumn("rep", F.monotonically_increasing_id()))
     n_classes = classes.count()
     share = max(1, n_classes // SAMPLE)
     sample = [r["raw"] for r in classes.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).select("raw").collect()]
@@ -300,12 +330,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     found = stored(map_groups(known, keys, _searched(least), "rep long, n long, to long"))
     links = found.groupBy("rep").agg(F.sum("n").alias("more"))
     linked = components(found.where("to IS NOT NULL"), "rep", "to").select(F.col("node").alias("rep"), "component")
-    labels = classes.select("key", "rep", "n").join(links, "rep", "left").join(linked, "rep", "left")
-    labels = labels.select("key", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("root"))
-    # the least number of a component may be that of a row without an id: then the least id counts
-    out = base.join(labels, "key", "left")
-    root = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(root > -(2**61), root).alias("component_id"), F.coalesce(F.col("vec_id") == root, F.col("root").isNull() | (F.col("root") <= -(2**61))).alias("kept"))
+    told = classes.select("key", "rep", "n", "first_id").join(links, "rep", "left").join(linked, "rep", "left")
+    labels = stored(told.select("key", "n", "first_id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("part")))
+    roots = labels.groupBy("part").agg(F.min("first_id").alias("root"), F.count(F.lit(1)).alias("n_classes"))
+    rooted = stored(joined_to_unique(labels.drop("first_id"), roots, "part", "n_classes", n_classes).select("key", "n", "n_links", "root"))
+    met = joined_to_unique(full.select("vec_id", "key"), rooted, "key", "n", full.count()).select("vec_id", "n_links", F.col("root").alias("component_id"))
+    alone = base.where("key IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return met.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def audit(vectors: DataFrame, result: DataFrame, least: float = 0.95, queries: int = 1000, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
