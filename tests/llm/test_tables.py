@@ -97,3 +97,32 @@ def test_vectors_of_dense_groups(spark):
     assert [got[k].n_links for k in range(len(x))] == link.sum(axis=1).tolist()
     assert {got[k].component_id for k in range(240)} == {0}
     assert {got[k].component_id for k in range(240, 360)} == {240}
+
+
+def test_vectors_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(5, 8))
+    near = base + rng.normal(size=(5, 8)) * 0.01
+    made = [(None, base[0]), (3, near[0]), (None, base[1]), (None, near[1]), (7, base[2]), (7, base[2]), (7, near[2]), (9, base[3]), (9, base[4]), (11, near[4]), (None, base[3] * 5)]
+    rows = [(k, [float(c) for c in v], "clash") for k, v in made]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep string").withColumn("key", F.lit(b"x"))
+    got = vectors.near_vectors(table).collect()
+    assert len(got) == len(made)
+    found = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str)
+    # the rows of id 9 are two vectors, which join what each is linked with
+    want = [(None, 1, 3, False), (3, 1, 3, True), (None, 1, None, True), (None, 1, None, True), *[(7, 2, 7, True)] * 3, (9, 1, 9, True), (9, 1, 9, True), (11, 1, 9, False), (None, 1, 9, False)]
+    assert found == sorted(want, key=str)
+
+
+def test_search_follows_edges_only():
+    rng = np.random.default_rng(6)
+    x = vectors.unit(np.concatenate([rng.normal(size=(60, 16)), linked_groups(rng, 1, 40, dims=16), linked_groups(rng, 1, 40, dims=16)]))
+    edges = vectors.both_ways(vectors.robust_pruned(x))
+    q, v = vectors.range_search(x, *edges, 0, 0.95)
+    true = x @ x.T >= 0.95
+    np.fill_diagonal(true, False)
+    assert true[q, v].all() and len(q) >= 0.99 * true.sum()
+    # without edges nothing but the medoid is compared
+    none = np.full((len(x), 1), -1)
+    q, v = vectors.range_search(x, *vectors.both_ways(none), 0, 0.95)
+    assert set(v.tolist()) <= {0}
