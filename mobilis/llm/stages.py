@@ -66,7 +66,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         placed = stored(mixing.mix(rows, power=SOURCE_POWER, id_col=key).select("doc_id", "slot", "unit_start"))
     last = placed.agg(F.max("slot")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.join(placed.withColumnRenamed("doc_id", "_id"), F.col(key) == F.col("_id"), "left")
+    # one plan at every size: places grow with the rows
+    met = rows.join(placed.withColumnRenamed("doc_id", "_id").hint("merge"), F.col(key) == F.col("_id"), "left")
     slot = F.coalesce("slot", F.lit(last))
     part = F.floor(slot * parts / (last + 1)).cast("int")
     return met.repartitionById(parts, part).sortWithinPartitions(F.col("slot").asc_nulls_last(), "unit_start").select(*docs.columns)
