@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mobilis.llm.shared import components, group_cuts, map_groups, stored, tidy
+from mobilis.llm.shared import components, group_cuts, joined_to_unique, map_groups, stored, tidy
 from mobilis.llm.text import blocks, mix64, set_digest, shingle_sets
 
 BANDS, ROWS, BITS = 25, 5, 4
@@ -255,14 +255,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = classes.select("class", F.col("first_id").alias("rep"))
     keyed = classes.select(F.col("first_id").alias("rep"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keyed.join(shared.hint("merge"), "key").join(classes.select(F.col("first_id").alias("rep"), "bits"), "rep")
-    dealt = dealt_in_blocks(members, "key", "rep", "n", BUCKET_BLOCK)
+    members = joined_to_unique(keyed, shared.withColumn("size", F.col("n")), "key", "n", BANDS * classes.count()).join(classes.select(F.col("first_id").alias("rep"), "bits"), "rep")
+    dealt = dealt_in_blocks(members, "key", "rep", "size", BUCKET_BLOCK)
     close = map_groups(dealt.select("key", "i", "j", "own", "rep", "bits"), ["key", "i", "j"], _bucket_forests(percent / 100 - MARGIN), "a long, b long")
     families = components(close, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    wanted = stored(families.join(sizes.hint("merge"), "family").join(names, "rep"))
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.col("n"))
+    wanted = stored(joined_to_unique(families, sizes, "family", "n", families.count()).join(names, "rep"))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    met = dealt_in_blocks(maybe_in(texts, wanted, "rep").join(wanted, "rep"), "family", "rep", "n", FAMILY_BLOCK)
+    met = dealt_in_blocks(maybe_in(texts, wanted, "rep").join(wanted, "rep"), "family", "rep", "size", FAMILY_BLOCK)
     links = map_groups(met.select("family", "i", "j", "own", "rep", "class", "text"), ["family", "i", "j"], _family_forests(percent), "a long, b long")
     found = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
     labels = names.join(found, "rep", "left").select("class", F.coalesce("component", "rep").alias("root"))
