@@ -13,16 +13,17 @@ EPOCH = "1970-01-01 00:00:00"
 
 
 def member(variant: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(variant, f"$.{path}", kind)
+    """A member by its path; an empty path is the value itself."""
+    return F.try_variant_get(variant, f"$.{path}" if path else "$", kind)
 
 
 def is_json_null(variant: Column, path: str) -> Column:
-    return F.coalesce(F.is_variant_null(F.try_variant_get(variant, f"$.{path}", "variant")), F.lit(False))
+    return F.coalesce(F.is_variant_null(member(variant, path, "variant")), F.lit(False))
 
 
 def js_number(variant: Column, path: str) -> Column:
     """A finite number: ``null`` and blank text are 0, booleans 0 or 1, the missing and the rest NULL."""
-    kind = F.schema_of_variant(F.try_variant_get(variant, f"$.{path}", "variant"))
+    kind = F.schema_of_variant(member(variant, path, "variant"))
     text = F.trim(member(variant, path, "string"))
     hexed = F.conv(F.substring(text, 3, 16), 16, 10).try_cast("double")
     number = (

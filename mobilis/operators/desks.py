@@ -25,7 +25,7 @@ PARKING, ACCESS, TRANSIT, SECURITY = "auburn-parking-occupancy-v1", "auburn-emer
 
 def visible(evidence: DataFrame, permissions: DataFrame) -> DataFrame:
     """Evidence per desk that may read its connector."""
-    return evidence.join(F.broadcast(permissions.select("desk_code", "connector_code").distinct()), "connector_code")
+    return evidence.join(permissions.select("desk_code", "connector_code").distinct(), "connector_code")
 
 
 def assessed(seen: DataFrame, relevant: Column, desks: DataFrame, confidence: Column, conflict: Column) -> DataFrame:

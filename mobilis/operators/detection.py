@@ -2,8 +2,9 @@
 
 A rule is a row (which connector, desk, severity) and, by its code, an entry of
 ``PREDICATES``: expressions over the evidence's attributes.  All rules run in one
-pass: rules are a small table that joins evidence on the connector, and the code
-picks the expression.
+pass: each member of the attributes that some rule reads is taken out once a row, rules
+are a small table that joins evidence on the connector, and the code picks the
+expression.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mobilis.functions.coerce import epoch_millis, js_number, js_text
+from mobilis.functions.coerce import epoch_millis, js_number, js_text, member
 from mobilis.functions.text import match_rank
 from mobilis.functions.time import in_effect
 
@@ -28,7 +29,22 @@ class Predicate:
     severity: Column | None = None
 
 
-Builder = Callable[[Column, Column, Column], Predicate]
+#: The members of attributes that rules read.
+MEMBERS = [
+    "alertId", "algoEventId", "algoTravelTimeId", "confidence", "congestionLevel", "currentSpeedMph", "endsAt", "eventType", "expiresAt", "freeFlowSpeedMph",
+    "kind", "layer", "magnitude", "pointCode", "quakeId", "riseFt", "roadClosure", "severity", "siteCode", "startsAt",
+]
+
+Member = Callable[[str], Column]
+Builder = Callable[[Member, Column, Column], Predicate]
+
+
+def _text(a: Member, name: str) -> Column:
+    return js_text(a(name), "")
+
+
+def _number(a: Member, name: str) -> Column:
+    return js_number(a(name), "")
 
 
 def _key(prefix: str, *parts: Column) -> Column:
@@ -36,56 +52,56 @@ def _key(prefix: str, *parts: Column) -> Column:
 
 
 def _traffic(kind: str) -> Builder:
-    def build(a: Column, source_id: Column, now: Column) -> Predicate:
-        return Predicate((js_text(a, "layer") == "traffic_event") & (js_text(a, "eventType") == kind), _key("algo-event:", js_text(a, "algoEventId")))
+    def build(a: Member, source_id: Column, now: Column) -> Predicate:
+        return Predicate((_text(a, "layer") == "traffic_event") & (_text(a, "eventType") == kind), _key("algo-event:", _text(a, "algoEventId")))
 
     return build
 
 
-def _congestion(a: Column, source_id: Column, now: Column) -> Predicate:
-    level = js_text(a, "congestionLevel")
-    hit = (js_text(a, "layer") == "travel_time") & ~level.isin("", "Unaffected", "Unknown")
-    return Predicate(hit, _key("algo-travel-time:", js_text(a, "algoTravelTimeId")), F.when(level.isin("Heavy", "Severe"), "high"))
+def _congestion(a: Member, source_id: Column, now: Column) -> Predicate:
+    level = _text(a, "congestionLevel")
+    hit = (_text(a, "layer") == "travel_time") & ~level.isin("", "Unaffected", "Unknown")
+    return Predicate(hit, _key("algo-travel-time:", _text(a, "algoTravelTimeId")), F.when(level.isin("Heavy", "Severe"), "high"))
 
 
-def _restriction(a: Column, source_id: Column, now: Column) -> Predicate:
-    kind = js_text(a, "kind")
-    start, end = (F.timestamp_millis(epoch_millis(js_text(a, c)).cast("long")) for c in ("startsAt", "endsAt"))
+def _restriction(a: Member, source_id: Column, now: Column) -> Predicate:
+    kind = _text(a, "kind")
+    start, end = (F.timestamp_millis(epoch_millis(_text(a, c)).cast("long")) for c in ("startsAt", "endsAt"))
     return Predicate((kind != "") & in_effect(start, end, now.cast("timestamp")), _key("city-", kind, F.lit(":"), source_id))
 
 
-def speed_ratio(a: Column) -> Column:
+def speed_ratio(a: Member) -> Column:
     """Current over free-flow speed; a null current speed counts as 0, a missing one is unknown."""
-    current, free = js_number(a, "currentSpeedMph"), js_number(a, "freeFlowSpeedMph")
+    current, free = _number(a, "currentSpeedMph"), _number(a, "freeFlowSpeedMph")
     return F.when(free > 0, current / free)
 
 
-def _degraded(a: Column, source_id: Column, now: Column) -> Predicate:
-    confidence = js_number(a, "confidence")
-    closed = F.coalesce(F.try_variant_get(a, "$.roadClosure", "boolean"), F.lit(False))
+def _degraded(a: Member, source_id: Column, now: Column) -> Predicate:
+    confidence = _number(a, "confidence")
+    closed = F.coalesce(member(a("roadClosure"), "", "boolean"), F.lit(False))
     hit = (confidence.isNull() | (confidence >= 0.7)) & (closed | F.coalesce(speed_ratio(a) < 0.6, F.lit(False)))
-    return Predicate(hit, _key("tomtom-point:", js_text(a, "pointCode")))
+    return Predicate(hit, _key("tomtom-point:", _text(a, "pointCode")))
 
 
-def _alert(a: Column, source_id: Column, now: Column) -> Predicate:
-    expires = F.try_to_timestamp(F.when(js_text(a, "expiresAt") != "", js_text(a, "expiresAt")))
-    hit = (js_text(a, "alertId") != "") & (expires.isNull() | (expires >= now.cast("timestamp")))
-    return Predicate(hit, _key("nws-alert:", js_text(a, "alertId")), F.when(js_text(a, "severity") == "Extreme", "critical"))
+def _alert(a: Member, source_id: Column, now: Column) -> Predicate:
+    expires = F.try_to_timestamp(F.when(_text(a, "expiresAt") != "", _text(a, "expiresAt")))
+    hit = (_text(a, "alertId") != "") & (expires.isNull() | (expires >= now.cast("timestamp")))
+    return Predicate(hit, _key("nws-alert:", _text(a, "alertId")), F.when(_text(a, "severity") == "Extreme", "critical"))
 
 
-def _rise(a: Column, source_id: Column, now: Column) -> Predicate:
-    return Predicate((js_text(a, "layer") == "stream_gauge") & F.coalesce(js_number(a, "riseFt") >= 2, F.lit(False)), _key("usgs-gauge:", js_text(a, "siteCode")))
+def _rise(a: Member, source_id: Column, now: Column) -> Predicate:
+    return Predicate((_text(a, "layer") == "stream_gauge") & F.coalesce(_number(a, "riseFt") >= 2, F.lit(False)), _key("usgs-gauge:", _text(a, "siteCode")))
 
 
-def _quake(a: Column, source_id: Column, now: Column) -> Predicate:
-    size = js_number(a, "magnitude")
-    hit = (js_text(a, "layer") == "earthquake") & F.coalesce(size >= 4, F.lit(False))
-    return Predicate(hit, _key("usgs-quake:", js_text(a, "quakeId")), F.when(size >= 5.5, "critical"))
+def _quake(a: Member, source_id: Column, now: Column) -> Predicate:
+    size = _number(a, "magnitude")
+    hit = (_text(a, "layer") == "earthquake") & F.coalesce(size >= 4, F.lit(False))
+    return Predicate(hit, _key("usgs-quake:", _text(a, "quakeId")), F.when(size >= 5.5, "critical"))
 
 
-def _siem(a: Column, source_id: Column, now: Column) -> Predicate:
-    level = F.lower(js_text(a, "severity"))
-    return Predicate(level.isin("critical", "high"), _key("siem:", F.coalesce(F.when(js_text(a, "alertId") != "", js_text(a, "alertId")), source_id)), F.when(level == "critical", "critical"))
+def _siem(a: Member, source_id: Column, now: Column) -> Predicate:
+    level = F.lower(_text(a, "severity"))
+    return Predicate(level.isin("critical", "high"), _key("siem:", F.coalesce(F.when(_text(a, "alertId") != "", _text(a, "alertId")), source_id)), F.when(level == "critical", "critical"))
 
 
 PREDICATES: dict[str, Builder] = {
@@ -112,9 +128,8 @@ def hits(rules: DataFrame, evidence: DataFrame, now: Column) -> DataFrame:
 
     ``attributes`` is VARIANT.  Rules have rule_code, connector_code and severity.
     """
-    a, source_id = F.col("attributes"), F.col("source_event_id")
-    built = {code: make(a, source_id, now) for code, make in PREDICATES.items()}
-    code = F.col("rule_code")
+    source_id, code = F.col("source_event_id"), F.col("rule_code")
+    built = {name: make(lambda m: F.col(f"_m.{m}"), source_id, now) for name, make in PREDICATES.items()}
 
     def choose(pick: Callable[[Predicate], Column | None], other: Column) -> Column:
         out = other
@@ -124,9 +139,11 @@ def hits(rules: DataFrame, evidence: DataFrame, now: Column) -> DataFrame:
                 out = F.when(code == name, value).otherwise(out)
         return out
 
-    met = evidence.join(F.broadcast(rules), "connector_code")
+    taken = evidence.withColumn("_m", F.struct(*[member(F.col("attributes"), m, "variant").alias(m) for m in MEMBERS]))
+    met = taken.join(rules, "connector_code")
     fired = met.where(choose(lambda p: p.hit, F.lit(False)))
-    return fired.withColumn("external_key", choose(lambda p: p.key, F.lit(""))).withColumn("severity", F.coalesce(choose(lambda p: p.severity, F.lit(None).cast("string")), F.col("severity")))
+    severity = F.coalesce(choose(lambda p: p.severity, F.lit(None).cast("string")), F.col("severity"))
+    return fired.withColumn("external_key", choose(lambda p: p.key, F.lit(""))).withColumn("severity", severity).drop("_m")
 
 
 def collapse(fired: DataFrame, keys: list[str] | None = None, most: int = MATCH_EVIDENCE) -> DataFrame:

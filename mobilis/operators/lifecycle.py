@@ -101,7 +101,7 @@ def latest_flagged(decisions: DataFrame, key: list[str], order: list[Column]) ->
 def planned_commitments(playbooks: DataFrame, agencies: DataFrame, now: Column) -> DataFrame:
     """The commitments of playbooks (array ``commitments`` of agency_code and due_minutes); unknown agencies drop out."""
     each = playbooks.select("rule_code", F.posexplode("commitments").alias("position", "c")).select("rule_code", "position", F.col("c.agency_code"), F.col("c.due_minutes"))
-    return each.join(F.broadcast(agencies), "agency_code").withColumn("due_at", now + F.make_dt_interval(mins=F.col("due_minutes")))
+    return each.join(agencies, "agency_code").withColumn("due_at", now + F.make_dt_interval(mins=F.col("due_minutes")))
 
 
 def queue(recommendations: DataFrame, incidents: DataFrame, requirements: DataFrame, agency: str | None) -> DataFrame:

@@ -288,7 +288,7 @@ def transit(vehicles: DataFrame, routes: DataFrame, now: Column, stale_after: in
     age = F.greatest(F.lit(0.0), seconds_between(F.col("at"), now.cast("timestamp")))
     serving = F.coalesce(number(record(), "inService") == 1, F.lit(False))
     kept = seen.where(number(record(), "lat").isNotNull() & number(record(), "lng").isNotNull() & (serving | (age <= keep_seconds)))
-    met = kept.join(F.broadcast(names), "route_id", "left")
+    met = kept.join(names, "route_id", "left")
     route = F.coalesce("route_name", F.concat(F.lit("Route "), F.col("route_id")))
     return observations(
         met,
