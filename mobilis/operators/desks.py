@@ -17,10 +17,10 @@ DESK_CONNECTORS = {
     "phoenix": ["auburn-emergency-access-v1", "coa-road-closures-v1"],
     "forge": ["coa-road-closures-v1", "usgs-natural-hazards-v1"],
     "aqua": ["auburn-eta-spot-v1", "auburn-parking-occupancy-v1"],
-    "echo": ["aldot-algo-traffic-v1", "nexus-siem-alerts-v1"],
+    "echo": ["aldot-algo-traffic-v1", "siem-alerts-v1"],
 }
 #: Feeds whose presence raises what a desk may conclude.
-PARKING, ACCESS, TRANSIT, SECURITY = "auburn-parking-occupancy-v1", "auburn-emergency-access-v1", "auburn-eta-spot-v1", "nexus-siem-alerts-v1"
+PARKING, ACCESS, TRANSIT, SECURITY = "auburn-parking-occupancy-v1", "auburn-emergency-access-v1", "auburn-eta-spot-v1", "siem-alerts-v1"
 
 
 def visible(evidence: DataFrame, permissions: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def stages_done(state: str) -> Column:
 #: What a playbook says where its author left a field out.
 PLAYBOOK_DEFAULTS = {
     "recommendedAction": "Review the cited authoritative record and record a named decision.",
-    "expectedEffect": "Named agencies acknowledge the condition. Nexus records the decision only.",
+    "expectedEffect": "Named agencies acknowledge the condition. The record holds the decision only.",
     "limitations": "Derived only from the cited authoritative records.",
 }
 #: States in which a recommendation waits for somebody.

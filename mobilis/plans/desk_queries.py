@@ -82,10 +82,10 @@ def desk_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {FOUND} SELECT s.desk_code, CASE WHEN NOT s.staffed THEN 'not staffed' WHEN n_seen > 0 AND speaks THEN CASE WHEN concern IS NULL THEN 'contributed' ELSE 'dissent' END ELSE 'abstained' END AS status
-FROM (VALUES ('atlas', true), ('sentinel', true), ('phoenix', true), ('forge', false), ('aqua', true), ('echo', true), ('nexus', false)) s(desk_code, staffed) LEFT JOIN judged j ON j.desk_code = s.desk_code AND match_id = 1""")
+FROM (VALUES ('atlas', true), ('sentinel', true), ('phoenix', true), ('forge', false), ('aqua', true), ('echo', true), ('composer', false)) s(desk_code, staffed) LEFT JOIN judged j ON j.desk_code = s.desk_code AND match_id = 1""")
 def desk_roster(spark: SparkSession, sf: str) -> DataFrame:
     matches = spark.createDataFrame(MATCHES[:1], "match_id int, agent_code string, constraints array<string>, recommended_action string")
-    staffed = [("atlas", True), ("sentinel", True), ("phoenix", True), ("forge", False), ("aqua", True), ("echo", True), ("nexus", False)]
+    staffed = [("atlas", True), ("sentinel", True), ("phoenix", True), ("forge", False), ("aqua", True), ("echo", True), ("composer", False)]
     return desks.roster(spark.createDataFrame(staffed, "desk_code string, staffed boolean"), desks.findings_on(_picture(spark, sf), matches, list(FEEDS.values())))
 
 

@@ -74,7 +74,7 @@ def match_titles(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf).select("evidence_id", "rule_code", title.alias("title"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Review the cited authoritative record and record a named decision.' ELSE p_brand END AS "recommendedAction", 'Named agencies acknowledge the condition. Nexus records the decision only.' AS "expectedEffect",
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Review the cited authoritative record and record a named decision.' ELSE p_brand END AS "recommendedAction", 'Named agencies acknowledge the condition. The record holds the decision only.' AS "expectedEffect",
   CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'Derived only from the cited authoritative records.' END AS limitations, CASE WHEN p_size % 4 = 1 THEN 2 ELSE 0 END AS approvals, 0 AS commitments FROM part""")
 def playbook_defaults(spark: SparkSession, sf: str) -> DataFrame:
     size = F.col("p_size")
