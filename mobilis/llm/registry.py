@@ -91,6 +91,14 @@ def op10_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_summary(spark, path)
 
 
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilis.llm.middle import rearranged, restored
+
+    told = rearranged(_documents(spark, sf_dir)).withColumn("output_sha256", F.sha2(F.col("output").cast("binary"), 256))
+    names = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"]
+    return restored(told, names).select(*names, F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
@@ -103,6 +111,7 @@ def queries() -> dict[str, Query]:
         "op5_packing": op5_packing,
         "op6_vectors": op6_vectors,
         "op10_store": op10_store,
+        "op11_middle": op11_middle,
     }
 
 
@@ -122,7 +131,28 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fits WHER
 """
 
 
+#: The units are joined again in SQL; what is rebuilt must be the text.
+_MIDDLE_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+drawn AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM cut),
+placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (
+  SELECT doc_id, n, form, x, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from mobilis.llm import mixing
 
-    return {"op3_urls": _url_sql(), "op4_mixing": mixing.ORACLE_SQL}
+    return {"op3_urls": _url_sql(), "op4_mixing": mixing.ORACLE_SQL, "op11_middle": _MIDDLE_SQL}
