@@ -99,6 +99,18 @@ def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored(told, names).select(*names, F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilis.llm.search import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 50 = 0")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mobilis.llm.spelling import variants
+
+    return variants(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
@@ -112,6 +124,8 @@ def queries() -> dict[str, Query]:
         "op6_vectors": op6_vectors,
         "op10_store": op10_store,
         "op11_middle": op11_middle,
+        "op12_search": op12_search,
+        "op13_spelling": op13_spelling,
     }
 
 
@@ -152,7 +166,20 @@ FROM parts
 """
 
 
+#: Integers below 2^53 are exact in double precision.
+_SEARCH_SQL = """
+WITH terms AS (
+  SELECT vec_id, row_number() OVER () AS place, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS t FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, q.place, v.vec_id, CAST(list_inner_product(q.t, v.t) AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY q.place ORDER BY list_inner_product(q.t, v.t) DESC, v.vec_id, v.place) AS rank
+  FROM terms q JOIN terms v ON q.place <> v.place AND q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM scored WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from mobilis.llm import mixing
 
-    return {"op3_urls": _url_sql(), "op4_mixing": mixing.ORACLE_SQL, "op11_middle": _MIDDLE_SQL}
+    return {"op3_urls": _url_sql(), "op4_mixing": mixing.ORACLE_SQL, "op11_middle": _MIDDLE_SQL, "op12_search": _SEARCH_SQL}
