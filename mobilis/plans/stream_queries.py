@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobilis.plans.common import EV, catalogue, evidence, table
+from mobilis.plans.common import EV, as_of, catalogue, evidence, table
 from mobilis.sources.folders import landed, new_folder
-from mobilis.streaming import jobs
+from mobilis.streaming import expiry, jobs, lookback, worker
 
 Q, SQL, query = catalogue()
 
@@ -90,3 +90,52 @@ def stream_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select(F.col("user_id").alias("incident_id"), F.col("event_type").alias("evidence_hash"), (F.col("value") >= 50).alias("decided"), F.col("ts").alias("at"), "event_id")
     slices = [latest_per(s, ["incident_id"], [F.desc("at"), F.desc("event_id")]).drop("event_id") for s in _slices(rows, "at")]
     return _fed(spark, slices, jobs.recommendation_stream)
+
+
+_ORDER = "(PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_type AS evidence_hash, value >= 50 AS decided, ts, event_id, lag(event_type) OVER w IS DISTINCT FROM event_type AS fresh FROM events WINDOW w AS {_ORDER}),
+n AS (SELECT *, lead(ts) OVER w AS next_at FROM e WHERE fresh WINDOW w AS {_ORDER}),
+c AS (SELECT *, CASE WHEN decided THEN false ELSE coalesce(next_at >= ts + INTERVAL 6 HOUR, ts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)) END AS expires FROM n),
+v AS (SELECT *, CAST(1 + coalesce(sum(CASE WHEN decided OR expires THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS version FROM c)
+SELECT user_id AS incident_id, version, evidence_hash, CASE WHEN decided THEN 'decided' ELSE 'awaiting_approval' END AS state, ts AS happened_at FROM v
+UNION ALL SELECT user_id, version, evidence_hash, 'expired', ts + INTERVAL 6 HOUR FROM v WHERE expires""")
+def stream_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """Every write of a recommendation and every expiry, six hours after the last write, though no row comes for it."""
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("incident_id"), F.col("event_type").alias("evidence_hash"), (F.col("value") >= 50).alias("decided"), "ts", F.col("event_id").alias("place"))
+    slices = [s.withColumn("at", F.col("ts").cast("timestamp")).drop("ts") for s in _slices(rows, "ts")]
+    return _fed(spark, slices, expiry.expiring).select("incident_id", "version", "evidence_hash", "state", F.col("at").cast("timestamp_ntz").alias("happened_at"))
+
+
+@query(f"""WITH {EV}, m AS (SELECT connector_code, received_at, observed_at - to_hours(CAST(k % 8 AS INTEGER)) AS observed_at FROM ev WHERE cents > 5000),
+f AS (SELECT *, date_trunc('hour', observed_at - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS could, date_trunc('hour', received_at - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR AS can,
+  date_trunc('hour', observed_at + INTERVAL 6 HOUR - INTERVAL 1 MICROSECOND) AS until FROM m),
+p AS (SELECT connector_code, observed_at, could < can AS late, unnest(generate_series(can, until, INTERVAL 1 HOUR)) AS pass_at FROM f WHERE can <= until)
+SELECT connector_code, pass_at, count(*) AS n, count(*) FILTER (late) AS n_late, max(observed_at) AS newest_at FROM p
+WHERE pass_at <= (SELECT max(pass_at) FROM p) - INTERVAL 6 HOUR GROUP BY ALL""")
+def stream_look_back(spark: SparkSession, sf: str) -> DataFrame:
+    """What each hourly pass sees of the six hours before it; some evidence comes hours late."""
+    rows = evidence(spark, sf).select("connector_code", "cents", "received_at", (F.col("observed_at") - F.make_dt_interval(hours=(F.col("k") % 8).cast("int"))).alias("observed_at"))
+    slices = [s.withColumns({c: F.col(c).cast("timestamp") for c in ("received_at", "observed_at")}) for s in _slices(rows, "received_at")]
+    passes = _fed(spark, slices, lambda stream, folder: lookback.look_back(stream, F.col("cents") > 5000, ["connector_code"], folder))
+    return passes.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("pass_at", "newest_at")})
+
+
+@query("""WITH s AS (SELECT 'worker-' || user_id AS worker, ts AS happened, event_id AS tick, CASE event_type WHEN 'signup' THEN 'terminated' WHEN 'click' THEN 'idle' ELSE 'progress' END AS kind,
+  CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'paused' WHEN 'purchase' THEN 'ingested' END AS outcome, CASE WHEN event_type = 'error' THEN 'no answer in ' || CAST(round(value) AS BIGINT) || ' s' END AS error FROM events),
+l AS (SELECT worker, count(outcome) AS ticks, max(happened) AS last_at, arg_max(kind, (happened, tick)) AS kind, arg_max(struct_pack(o := outcome, e := error), (happened, tick)) FILTER (outcome IS NOT NULL) AS last FROM s GROUP BY 1)
+SELECT worker, ticks, last_at, last.o AS last_outcome, last.e AS last_error, kind <> 'terminated' AND last_at > TIMESTAMP '2024-01-30 12:00:00' AS alive,
+  CASE WHEN kind = 'terminated' THEN 'stopped' WHEN last_at <= TIMESTAMP '2024-01-30 12:00:00' THEN 'silent' WHEN last.o = 'paused' THEN 'paused' WHEN last.o = 'failed' THEN 'failing' ELSE 'live' END AS status FROM l""")
+def worker_liveness(spark: SparkSession, sf: str) -> DataFrame:
+    """Workers by their signs of life: silent after five intervals, paused without an active window."""
+    kind = F.col("event_type")
+    progress = table(spark, sf, "events").select(
+        F.concat(F.lit("worker-"), "user_id").alias("worker"),
+        F.col("ts").alias("at"),
+        F.when(kind == "signup", "terminated").when(kind == "click", "idle").otherwise("progress").alias("kind"),
+        F.col("event_id").alias("tick"),
+        F.when(kind == "error", "failed").when(kind == "view", "paused").when(kind == "purchase", "ingested").alias("outcome"),
+        F.when(kind == "error", F.concat(F.lit("no answer in "), F.round("value").cast("long").cast("string"), F.lit(" s"))).alias("error"),
+    )
+    return worker.liveness(progress, as_of(), 8640)

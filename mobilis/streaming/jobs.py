@@ -10,6 +10,7 @@ ended, whatever became of the driver.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -150,17 +151,17 @@ def commands_once(commands: DataFrame, key: list[str], at: str, hours: int = 24)
     return commands.withWatermark(at, f"{hours} hours").dropDuplicatesWithinWatermark(key)
 
 
-def isolated(sources: dict[str, Callable[[], None]], after: Callable[[], None]) -> dict[str, str]:
-    """Run the intake of each source, then ``after`` (detection) whatever failed; the failures by source.
+def isolated(sources: dict[str, Callable[[], None]], after: Callable[[], None], at_once: int = 16) -> dict[str, str]:
+    """Run the intake of all sources side by side, then ``after`` (detection) whatever failed; the failures by source.
 
-    One feed that fails does not hold up the others: its error is told, its checkpoint
-    stays where it was, and its next run goes on from there.
+    One feed that fails or is slow does not hold up the others: its error is told, its
+    checkpoint stays where it was, and its next run goes on from there.
     """
     failed: dict[str, str] = {}
-    for name, take_in in sources.items():
-        try:
-            take_in()
-        except Exception as error:  # noqa: BLE001 - whatever a feed throws is its own
-            failed[name] = str(error)
+    with ThreadPoolExecutor(max(1, min(at_once, len(sources)))) as pool:
+        started = {name: pool.submit(take_in) for name, take_in in sources.items()}
+        for name, run in started.items():
+            if error := run.exception():
+                failed[name] = str(error)
     after()
     return failed
