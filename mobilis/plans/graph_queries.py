@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobilis.operators import graph
+from mobilis.operators import graph, ingest
 from mobilis.plans.common import AS_OF_TEXT, EDGES, EV, NODES, as_of, catalogue, evidence, geography, table
+from mobilis.sources.folders import new_folder
 
 Q, SQL, query = catalogue()
 
@@ -289,3 +290,80 @@ UNION ALL SELECT 'verified', id, vid FROM v""")
 def lineage_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Edges between them: citations of unknown evidence are skipped, commitments fall back to the recommendation."""
     return _lineage(spark, sf)[1]
+
+
+# ---- a batch as one ------------------------------------------------------------
+
+_KEY = "CAST(split_part({c}, ':', 2) AS BIGINT)"
+#: Three requests: places, then who is there, then suppliers that have changed.  Some edges lead to nodes that are not active.
+INGEST = f"""{NODES}, {EDGES}, n AS (SELECT *, {_KEY.format(c="node_id")} AS k, node_type IN ('nation', 'region') AS place FROM nodes),
+e AS (SELECT src || '>' || split_part(dst, ':', 1) AS edge_id, src, dst, {_KEY.format(c="src")} AS k, split_part(src, ':', 1) AS kind FROM edges),
+n2 AS (SELECT node_id, k, active, active <> (k % 5 = 0) AS active2, label, CASE WHEN k % 3 = 0 THEN label || '*' ELSE label END AS label2 FROM n WHERE node_type = 'supplier'),
+live1 AS (SELECT node_id FROM n WHERE active),
+live2 AS (SELECT node_id FROM n WHERE active AND node_type <> 'supplier' UNION ALL SELECT node_id FROM n2 WHERE active2),
+e1 AS (SELECT *, src IN (SELECT node_id FROM live1) AND dst IN (SELECT node_id FROM live1) AS ok FROM e),
+e2 AS (SELECT edge_id, src, dst, to2, src IN (SELECT node_id FROM live2) AND to2 IN (SELECT node_id FROM live2) AS ok2, ok AS ok1, k FROM (SELECT *, CASE WHEN k % 4 = 0 THEN 'nation:' || ({_KEY.format(c="dst")} + 1) % 25 ELSE dst END AS to2 FROM e1 WHERE kind = 'supplier'))"""
+
+
+def _batches(spark: SparkSession, sf: str) -> tuple[ingest.Store, list[ingest.Taken]]:
+    """The store after the three requests, a replay of the second and another body under its name; what became of each."""
+    nodes, edges = geography(spark, sf)
+    none, when = F.lit(None).cast("string"), F.lit("2024-01-10").cast("timestamp_ntz")
+    who = F.array(F.concat(F.lit("e"), _number("node_id")))
+
+    def as_nodes(df: DataFrame) -> DataFrame:
+        flags = F.array().cast("array<string>").alias("quality_flags")
+        return df.select("node_id", "node_type", "label", F.col("label").alias("state"), none.alias("geometry"), flags, "active", "valid_from", "valid_until", who.alias("evidence_ids"))
+
+    def as_edges(df: DataFrame) -> DataFrame:
+        flags, up = F.array().cast("array<string>").alias("quality_flags"), F.split("dst", ":")[0]
+        edge_id, kind = F.concat_ws(">", "src", up).alias("edge_id"), F.lit("part_of").alias("edge_type")
+        return df.select(edge_id, kind, "src", "dst", none.alias("state"), none.alias("geometry"), flags, F.lit(True).alias("active"), when.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_until"), F.lit(None).cast("array<string>").alias("evidence_ids"))
+
+    place, supplied = F.col("node_type").isin("nation", "region"), F.col("src").startswith("supplier:")
+    k = _number("node_id")
+    changed = nodes.where("node_type = 'supplier'").withColumns({"active": F.col("active") != (k % 5 == 0), "label": F.when(k % 3 == 0, F.concat("label", F.lit("*"))).otherwise(F.col("label"))})
+    moved = edges.where(supplied).withColumn("dst", F.when(_number("src") % 4 == 0, F.concat(F.lit("nation:"), (_number("dst") + 1) % 25)).otherwise(F.col("dst")))
+    upward = F.col("src").startswith("nation:")
+    first = (as_nodes(nodes.where(place)), as_edges(edges.where(upward)))
+    second = (as_nodes(nodes.where(~place)), as_edges(edges.where(~upward)))
+    third = (as_nodes(changed), as_edges(moved))
+    known = table(spark, sf, "events").select(F.concat(F.lit("e"), F.col("event_id") * 2).alias("evidence_id"))
+    store = ingest.graph_store(spark, new_folder(spark, "graphs"))
+    calls = [("a", first), ("b", second), ("b", second), ("b", third), ("c", third)]
+    return store, [ingest.ingest(store, "source", request, n, e, known) for request, (n, e) in calls]
+
+
+@query(f"""WITH {INGEST},
+a AS (SELECT 'a' AS request_id, (SELECT count(*) FROM n WHERE place) AS n_nodes, (SELECT count(*) FROM e1 WHERE kind = 'nation' AND ok) AS n_edges, 0 AS n_unchanged, (SELECT count(*) FROM e1 WHERE kind = 'nation' AND NOT ok) AS n_rejected),
+b AS (SELECT 'b', (SELECT count(*) FROM n WHERE NOT place), (SELECT count(*) FROM e1 WHERE kind <> 'nation' AND ok), 0, (SELECT count(*) FROM e1 WHERE kind <> 'nation' AND NOT ok)),
+c AS (SELECT 'c', (SELECT count(*) FROM n2 WHERE active <> active2 OR label <> label2), (SELECT count(*) FROM e2 WHERE ok2 AND (NOT ok1 OR dst <> to2)), (SELECT count(*) FROM n2 WHERE active = active2 AND label = label2) + (SELECT count(*) FROM e2 WHERE ok2 AND ok1 AND dst = to2), (SELECT count(*) FROM e2 WHERE NOT ok2)),
+r AS (SELECT 1 AS call, 'applied' AS outcome, a.* FROM a UNION ALL SELECT 2, 'applied', b.* FROM b UNION ALL SELECT 3, 'replayed', b.* FROM b UNION ALL SELECT 5, 'applied', c.* FROM c)
+SELECT CAST(call AS BIGINT) AS call, request_id, outcome, CASE WHEN n_rejected > 0 THEN 'partial' ELSE 'succeeded' END AS status, n_nodes, n_edges, CAST(n_unchanged AS BIGINT) AS n_unchanged, n_rejected FROM r
+UNION ALL SELECT 4, 'b', 'conflict', NULL, NULL, NULL, NULL, NULL""")
+def graph_batch_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of batches: applied, replayed with the counts of the first time, in conflict."""
+    _, taken = _batches(spark, sf)
+    rows = [(n, t.request_id, t.outcome, t.status, t.n_nodes, t.n_edges, t.n_unchanged, t.n_rejected) for n, t in enumerate(taken, 1)]
+    return spark.createDataFrame(rows, "call long, request_id string, outcome string, status string, n_nodes long, n_edges long, n_unchanged long, n_rejected long")
+
+
+@query(f"""WITH {INGEST}
+SELECT 'node' AS entity, node_id AS entity_id, CASE WHEN place THEN 'a' ELSE 'b' END AS request_id, 'created' AS change_type, CAST(1 AS BIGINT) AS version, NULL AS previous_state, label AS state FROM n
+UNION ALL SELECT 'edge', edge_id, CASE WHEN kind = 'nation' THEN 'a' ELSE 'b' END, 'created', 1, NULL, NULL FROM e1 WHERE ok
+UNION ALL SELECT 'node', node_id, 'c', CASE WHEN active AND NOT active2 THEN 'deactivated' WHEN active2 AND NOT active THEN 'reactivated' ELSE 'state_updated' END, 2, label, label2 FROM n2 WHERE active <> active2 OR label <> label2
+UNION ALL SELECT 'edge', edge_id, 'c', CASE WHEN ok1 THEN 'state_updated' ELSE 'created' END, CASE WHEN ok1 THEN 2 ELSE 1 END, NULL, NULL FROM e2 WHERE ok2 AND (NOT ok1 OR dst <> to2)""")
+def graph_ingest_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The changes that the batches have left in the graph's log."""
+    store, _ = _batches(spark, sf)
+    return store.read("changes").select("entity", "entity_id", "request_id", "change_type", "version", "previous_state", "state")
+
+
+@query(f"""WITH {INGEST}, known AS (SELECT 'e' || event_id * 2 AS evidence_id FROM events), links AS (SELECT node_id, 'e' || k AS evidence_id FROM n SEMI JOIN known ON known.evidence_id = 'e' || k)
+SELECT n.node_id, n.node_type, coalesce(n2.active2, n.active) AS active, CASE WHEN n2.active <> n2.active2 OR n2.label <> n2.label2 THEN 2 ELSE 1 END::BIGINT AS version, l.evidence_id FROM n LEFT JOIN n2 USING (node_id) LEFT JOIN links l USING (node_id)""")
+def graph_ingested_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes after the batches with the evidence that is linked to them, each link once."""
+    store, _ = _batches(spark, sf)
+    state = store.state()
+    links = store.read("evidence", state).where("entity = 'node'").select(F.col("entity_id").alias("node_id"), "evidence_id")
+    return store.read("nodes", state).join(links, "node_id", "left").select("node_id", "node_type", "active", "version", "evidence_id")
