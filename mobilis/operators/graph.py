@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mobilis.functions.coerce import canonical_hash, stable_id
 from mobilis.functions.time import valid_at
+from mobilis.operators.numbering import numbered
 from mobilis.sources.folders import stored
 
 
@@ -231,3 +232,75 @@ def lineage(incidents: DataFrame, recommendations: DataFrame, evidence: DataFram
         .unionByName(edge(verified, "verified", "commitment_id", "verification_id"))
     )
     return nodes, edges
+
+
+def _parts(child: DataFrame, key: str, name: str, order: list[str]) -> DataFrame:
+    """The rows of each key as an ordered array of structs without the key."""
+    columns = [c for c in child.columns if c != key]
+    rank = F.struct(*order, *[c for c in columns if c not in order])
+    found = child.groupBy(key).agg(F.array_sort(F.collect_list(rank)).alias("rows"))
+    return found.select(key, F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in columns])).alias(name))
+
+
+def decision_documents(recommendations: DataFrame, incidents: DataFrame, children: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """recommendation_id and lineage: the recommendation, its incident and its children as one JSON document.
+
+    ``children`` gives each part its rows (with recommendation_id) and their order.  Every
+    part is grouped on recommendation_id before it is joined on it, so that each table
+    moves once and no join multiplies rows; only recommendations move twice, as they meet
+    their incident first.  Members that are null stay in the document, a part without rows
+    is an empty array, and a recommendation without an incident has no document.
+    """
+    recommendation = F.struct(*recommendations.columns).alias("recommendation")
+    incident = F.struct(*incidents.columns).alias("incident")
+    met = recommendations.select("recommendation_id", "incident_id", recommendation).join(incidents.select("incident_id", incident), "incident_id").drop("incident_id")
+    for name, (child, order) in children.items():
+        met = met.join(_parts(child, "recommendation_id", name, order), "recommendation_id", "left")
+        met = met.withColumn(name, F.coalesce(name, F.array().cast(met.schema[name].dataType)))
+    document = F.struct("recommendation", "incident", *children)
+    return met.select("recommendation_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("lineage"))
+
+
+def columns_of(edges: DataFrame, most: int = 64) -> DataFrame:
+    """(node_id, column) of the nodes of an acyclic graph: how many edges the longest path to a node has.
+
+    Round d holds the nodes that some path of d edges leads to; each is stored, and the last
+    round that has a node is its column.  A walk that is not over after ``most`` rounds goes
+    round in a circle and is refused.
+    """
+    step = stored(edges.select("src", "dst").distinct())
+    frontier = stored(step.select(F.col("src").alias("node_id")).distinct().join(step.select(F.col("dst").alias("node_id")).distinct(), "node_id", "left_anti"))
+    found, d = frontier.withColumn("column", F.lit(0).cast("long")), 0
+    while True:
+        d += 1
+        met = step.join(frontier.withColumnRenamed("node_id", "src"), "src", "left_semi").select(F.col("dst").alias("node_id")).distinct()
+        frontier = stored(met)
+        if not frontier.head(1):
+            break
+        if d >= most:
+            raise ValueError(f"there is a path of {most} edges or a circle")
+        found = found.unionByName(frontier.withColumn("column", F.lit(d).cast("long")))
+    return found.groupBy("node_id").agg(F.max("column").alias("column"))
+
+
+def layered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a view in columns, of edges (src, dst, weight).
+
+    Nodes have node_id, column (by the longest path), position (from 0 within its column),
+    n_in and n_out, the weights that reach and leave them.  Edges between the same two nodes
+    are one, their weights summed.  The first column is in order of ids; in each later one a
+    node stands by the weighted mean position of what leads to it, ties by id.
+    """
+    merged_edges = stored(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    column = stored(columns_of(merged_edges))
+    last = column.agg(F.max("column")).first()[0]
+    placed = stored(numbered(column.where("column = 0"), ["column"], ["node_id"], "position"))
+    for c in range(1, (last or 0) + 1):
+        own = column.where(F.col("column") == c)
+        into = merged_edges.join(own.withColumnRenamed("node_id", "dst"), "dst").join(placed.select(F.col("node_id").alias("src"), "position"), "src")
+        mean = into.groupBy(F.col("dst").alias("node_id"), "column").agg((F.sum(F.col("weight") * F.col("position")) / F.sum("weight")).alias("mean"))
+        placed = placed.unionByName(numbered(mean, ["column"], ["mean", "node_id"], "position").drop("mean"))
+        placed = stored(placed) if c % 4 == 0 else placed
+    loads = merged_edges.select(F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.lit(0).cast("long").alias("n_in"), F.col("weight").alias("n_out")), F.struct(F.col("dst").alias("node_id"), F.col("weight").alias("n_in"), F.lit(0).cast("long").alias("n_out")))).alias("e"))
+    load = loads.groupBy("e.node_id").agg(F.sum("e.n_in").alias("n_in"), F.sum("e.n_out").alias("n_out"))
+    return placed.join(load, "node_id").select("node_id", "column", "position", "n_in", "n_out"), merged_edges

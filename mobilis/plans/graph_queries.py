@@ -195,15 +195,38 @@ def graph_members_json(spark: SparkSession, sf: str) -> DataFrame:
 # ---- lineage ----------------------------------------------------------------
 
 
-@query("""WITH l AS (SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS decisions, count(*) FILTER (l_returnflag = 'R') AS n_verified FROM lineitem GROUP BY 1)
-SELECT o_orderkey, o_orderpriority, coalesce(decisions, '') AS decisions, coalesce(n_verified, 0) AS n_verified FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
+_DOCUMENTS = """r AS (SELECT o_orderkey AS recommendation_id, o_custkey AS incident_id, o_orderpriority AS priority, o_orderstatus AS state, CASE WHEN o_orderstatus = 'F' THEN o_orderkey + 1 END AS superseded_by FROM orders),
+i AS (SELECT c_custkey AS incident_id, c_name AS title, c_mktsegment AS category FROM customer WHERE c_custkey % 9 <> 4),
+l AS (SELECT *, strftime(l_shipdate, '%Y-%m-%d') AS day FROM lineitem),
+e AS (SELECT l_orderkey AS recommendation_id, list(struct_pack(evidence_id := l_partkey, line := l_linenumber, mode := CASE WHEN l_returnflag <> 'A' THEN l_returnflag END) ORDER BY l_partkey, l_linenumber, CASE WHEN l_returnflag <> 'A' THEN l_returnflag END NULLS FIRST) AS x FROM l WHERE l_returnflag <> 'N' GROUP BY 1),
+d AS (SELECT l_orderkey AS recommendation_id, list(struct_pack(decision_id := l_linenumber, actor := l_suppkey, action := CASE WHEN l_returnflag = 'A' THEN 'approve' ELSE 'request_revision' END, decided_at := day) ORDER BY day, l_linenumber, l_suppkey, CASE WHEN l_returnflag = 'A' THEN 'approve' ELSE 'request_revision' END) AS x FROM l WHERE l_linenumber IN (2, 3) GROUP BY 1),
+c AS (SELECT l_orderkey AS recommendation_id, list(struct_pack(commitment_id := l_linenumber, owner := l_suppkey, state := l_linestatus) ORDER BY l_linenumber, l_suppkey, l_linestatus) AS x FROM l WHERE l_linenumber >= 3 GROUP BY 1),
+v AS (SELECT l_orderkey AS recommendation_id, list(struct_pack(commitment_id := l_linenumber, confirmed_at := day) ORDER BY l_linenumber, day) AS x FROM l WHERE l_linenumber >= 3 AND l_tax < 0.02 GROUP BY 1)"""
+
+
+@query(f"""WITH {_DOCUMENTS}
+SELECT recommendation_id, CAST(to_json(struct_pack(
+  recommendation := struct_pack(recommendation_id := r.recommendation_id, incident_id := r.incident_id, priority := r.priority, state := r.state, superseded_by := r.superseded_by),
+  incident := struct_pack(incident_id := i.incident_id, title := i.title, category := i.category),
+  evidence := coalesce(e.x, []), decisions := coalesce(d.x, []), commitments := coalesce(c.x, []), verifications := coalesce(v.x, []))) AS VARCHAR) AS lineage
+FROM r JOIN i ON i.incident_id = r.incident_id LEFT JOIN e USING (recommendation_id) LEFT JOIN d USING (recommendation_id) LEFT JOIN c USING (recommendation_id) LEFT JOIN v USING (recommendation_id)""")
 def lineage_document(spark: SparkSession, sf: str) -> DataFrame:
-    """One document a recommendation: its parts are grouped before they are joined."""
-    parts = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
-    text = F.array_join(F.transform(parts, lambda p: F.concat_ws(":", p["l_linenumber"], p["l_partkey"])), ",")
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(text.alias("decisions"), F.count_if(F.col("l_returnflag") == "R").alias("n_verified"))
-    met = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return met.select("o_orderkey", "o_orderpriority", F.coalesce("decisions", F.lit("")).alias("decisions"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
+    """One document a recommendation, with its incident, evidence, decisions, commitments and their verification."""
+    o, c, l = (table(spark, sf, t) for t in ("orders", "customer", "lineitem"))
+    recommendations = o.select(F.col("o_orderkey").alias("recommendation_id"), F.col("o_custkey").alias("incident_id"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("state"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey") + 1).alias("superseded_by"))
+    incidents = c.where("c_custkey % 9 <> 4").select(F.col("c_custkey").alias("incident_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("category"))
+    key, line, day, flag = F.col("l_orderkey").alias("recommendation_id"), F.col("l_linenumber"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.col("l_returnflag")
+    later = l.where("l_linenumber >= 3")
+    return graph.decision_documents(
+        recommendations,
+        incidents,
+        {
+            "evidence": (l.where("l_returnflag <> 'N'").select(key, F.col("l_partkey").alias("evidence_id"), line.alias("line"), F.when(flag != "A", flag).alias("mode")), ["evidence_id", "line"]),
+            "decisions": (l.where("l_linenumber IN (2, 3)").select(key, line.alias("decision_id"), F.col("l_suppkey").alias("actor"), F.when(flag == "A", "approve").otherwise("request_revision").alias("action"), day.alias("decided_at")), ["decided_at", "decision_id"]),
+            "commitments": (later.select(key, line.alias("commitment_id"), F.col("l_suppkey").alias("owner"), F.col("l_linestatus").alias("state")), ["commitment_id"]),
+            "verifications": (later.where("l_tax < 0.02").select(key, line.alias("commitment_id"), day.alias("confirmed_at")), ["commitment_id"]),
+        },
+    )
 
 
 @query("""WITH e AS (
@@ -292,6 +315,48 @@ def lineage_edges(spark: SparkSession, sf: str) -> DataFrame:
     return _lineage(spark, sf)[1]
 
 
+#: Edges of the lineage with a weight: what a recommendation rests on counts by its evidence, everything else once.
+_WEIGHED = f"""WITH RECURSIVE {LINEAGE}, n AS (SELECT rid, count(*) AS n FROM p GROUP BY 1),
+edges AS (
+SELECT incident AS src, r.id AS dst, coalesce(n, 1) AS w FROM r JOIN i ON i.id = incident LEFT JOIN n ON n.rid = r.id
+UNION ALL SELECT eid, incident, 1 FROM p WHERE has UNION ALL SELECT fid, incident, 1 FROM s WHERE has
+UNION ALL SELECT x.eid, fid, 1 FROM (SELECT fid, rank, unnest(list_distinct(cited)) AS eid FROM s) x JOIN o ON o.eid = x.eid WHERE first_rank <= rank
+UNION ALL SELECT d.rid, d.id, coalesce(n, 1) FROM d LEFT JOIN n ON n.rid = d.rid
+UNION ALL SELECT did, c.id, 1 FROM c JOIN d ON d.id = did UNION ALL SELECT id, vid, 1 FROM v),
+g AS (SELECT src, dst, CAST(sum(w) AS BIGINT) AS w FROM edges GROUP BY 1, 2),
+walk AS (SELECT DISTINCT src AS node_id, 0 AS d FROM g WHERE src NOT IN (SELECT dst FROM g) UNION SELECT dst, d + 1 FROM walk JOIN g ON src = node_id),
+col AS (SELECT node_id, CAST(max(d) AS BIGINT) AS c FROM walk GROUP BY 1),
+p0 AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS pos FROM col WHERE c = 0),
+""" + ",\n".join(
+    f"""p{c} AS (SELECT * FROM p{c - 1} UNION ALL SELECT node_id, row_number() OVER (ORDER BY m, node_id) - 1 FROM (
+  SELECT dst AS node_id, sum(w * pos) / sum(w) AS m FROM g JOIN col ON col.node_id = dst AND col.c = {c} JOIN p{c - 1} q ON q.node_id = src GROUP BY 1))"""
+    for c in range(1, 8)
+)
+
+
+def _weighed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    _, edges = _lineage(spark, sf)
+    rests = edges.where("edge_type = 'supports' AND dst LIKE 'r%'").groupBy(F.col("dst").alias("rid")).agg(F.count(F.lit(1)).alias("n"))
+    shown = edges.where("NOT (edge_type IN ('supports', 'informed', 'assigned') AND (dst LIKE 'r%' OR src LIKE 'r%'))")
+    rid = F.when(F.col("edge_type") == "triggered", F.col("dst")).when(F.col("edge_type").isin("approved", "request_revision"), F.col("src"))
+    met = shown.withColumn("rid", rid).join(rests, "rid", "left")
+    return graph.layered(met.select("src", "dst", F.coalesce("n", F.lit(1).cast("long")).alias("weight")))
+
+
+@query(_WEIGHED + """
+SELECT col.node_id, c AS "column", pos AS position, CAST(coalesce(n_in, 0) AS BIGINT) AS n_in, CAST(coalesce(n_out, 0) AS BIGINT) AS n_out FROM col JOIN p7 USING (node_id)
+LEFT JOIN (SELECT dst AS node_id, sum(w) AS n_in FROM g GROUP BY 1) USING (node_id) LEFT JOIN (SELECT src AS node_id, sum(w) AS n_out FROM g GROUP BY 1) USING (node_id)""")
+def lineage_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """The lineage in seven columns: where each node stands and the weights that reach and leave it."""
+    return _weighed(spark, sf)[0]
+
+
+@query(_WEIGHED + " SELECT src, dst, w AS weight FROM g")
+def lineage_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges of that view, those between the same nodes as one with their weights summed."""
+    return _weighed(spark, sf)[1]
+
+
 # ---- a batch as one ------------------------------------------------------------
 
 _KEY = "CAST(split_part({c}, ':', 2) AS BIGINT)"
