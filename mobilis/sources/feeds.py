@@ -359,3 +359,16 @@ def road_ways(elements: DataFrame) -> DataFrame:
     path = F.try_variant_get(record(), "$.geometry", "array<struct<lat:double,lon:double>>")
     ref = F.coalesce(text(record(), "tags.ref"), F.lit(""))
     return elements.where((text(record(), "type") == "way") & (F.size(path) > 1)).select(text(record(), "id").alias("way_id"), ref.alias("ref"), F.when(ref.rlike(r"^(I|US|AL)[\s-]"), "state").otherwise("city").alias("keeper"), F.size(path).alias("n_points"))
+
+
+def relation_members(elements: DataFrame) -> DataFrame:
+    """Member ways of the relations of a road map: relation, member (its place), way_id, a and b, the places where it ends.
+
+    A member without a geometry of two points or more is no line; a relation without
+    members has no rows.
+    """
+    shape = "array<struct<type:string,ref:bigint,geometry:array<struct<lat:double,lon:double>>>>"
+    members = F.try_variant_get(record(), "$.members", shape)
+    each = elements.where(text(record(), "type") == "relation").select(text(record(), "id").alias("relation"), F.posexplode(members).alias("member", "m"))
+    at = lambda k: F.concat_ws(",", F.element_at("m.geometry", k)["lat"], F.element_at("m.geometry", k)["lon"])
+    return each.where(F.size("m.geometry") > 1).select("relation", F.col("member").cast("long").alias("member"), F.col("m.ref").alias("way_id"), at(1).alias("a"), at(-1).alias("b"))

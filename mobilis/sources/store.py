@@ -43,12 +43,12 @@ class State:
 class Store:
     """``tables`` gives each table its schema and its key columns; a table without a key is a log."""
 
-    def __init__(self, spark: SparkSession, folder: str, tables: Mapping[str, tuple[str, list[str]]], buckets: int = 16, bloom: Mapping[str, str] | None = None):
+    def __init__(self, spark: SparkSession, folder: str, tables: Mapping[str, tuple[str, list[str]]], buckets: int = 16, bloom: Mapping[str, str] | None = None, row_group: int = 1 << 22):
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
         self.schemas = {name: StructType.fromDDL(ddl) for name, (ddl, _) in tables.items()}
         self.keys = {name: key for name, (_, key) in tables.items()}
         #: A column a table whose values the files keep as a bloom filter.
-        self.bloom = dict(bloom or {})
+        self.bloom, self.row_group = dict(bloom or {}), row_group
 
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
@@ -105,6 +105,14 @@ class Store:
         state = state or self.state()
         return self.read(name, state, self.touched(name, keys, state)).join(keys.distinct(), self.keys[name], "left_semi")
 
+    def find(self, name: str, keys: list[tuple], state: State | None = None) -> DataFrame:
+        """Rows of a few keys that the caller names: the files of their buckets are opened, and row groups whose filter knows a key are read."""
+        state = state or self.state()
+        first, schema = self.keys[name][0], StructType([f for f in self.schemas[name].fields if f.name in self.keys[name]])
+        wanted = self.spark.createDataFrame(keys, schema)
+        rows = self.read(name, state, self.touched(name, wanted, state)).where(F.col(first).isin([k[0] for k in keys]))
+        return rows if len(self.keys[name]) == 1 else rows.join(F.broadcast(wanted.distinct()), self.keys[name], "left_semi")
+
     def _written(self, commit: str, name: str, rows: DataFrame, state: State) -> list[str]:
         where = f"{self.folder}/data/{commit}/{name}"
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[name].fields])
@@ -115,7 +123,7 @@ class Store:
         dealt = rows.withColumn("_bucket", self.bucket(self.keys[name], state)).hint("rebalance", F.col("_bucket"))
         writer = dealt.sortWithinPartitions("_bucket", *self.keys[name]).write.partitionBy("_bucket")
         if column := self.bloom.get(name):
-            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option("parquet.block.size", str(1 << 22))
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option("parquet.block.size", str(self.row_group))
         writer.parquet(where)
         return [x.removeprefix("_bucket=") for x in self._names("data", commit, name) if x.startswith("_bucket=")]
 
