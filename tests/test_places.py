@@ -79,7 +79,11 @@ def test_relation_members_are_read_from_elements(spark):
 
 
 def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.maxMetadataStringLength")
 
 
 def test_a_layer_is_fetched_once_in_twelve_hours_and_asked_at_the_scan(spark):
