@@ -23,12 +23,15 @@ def is_json_null(variant: Column, path: str) -> Column:
 
 def js_number(variant: Column, path: str) -> Column:
     """A finite number: ``null`` and blank text are 0, booleans 0 or 1, the missing and the rest NULL."""
-    kind = F.schema_of_variant(member(variant, path, "variant"))
-    text = F.trim(member(variant, path, "string"))
+    v = member(variant, path, "variant") if path else variant
+    kind = F.schema_of_variant(v)
+    text = F.trim(member(v, "", "string"))
     hexed = F.conv(F.substring(text, 3, 16), 16, 10).try_cast("double")
     number = (
-        F.when(is_json_null(variant, path), F.lit(0.0))
-        .when(kind == "BOOLEAN", member(variant, path, "boolean").cast("double"))
+        F.when(v.isNull(), F.lit(None).cast("double"))
+        .when(F.is_variant_null(v), F.lit(0.0))
+        .when(kind == "BOOLEAN", member(v, "", "boolean").cast("double"))
+        .when(kind != "STRING", member(v, "", "double"))
         .when(text == "", F.lit(0.0))
         .when(text.rlike("^0[xX][0-9a-fA-F]+$"), hexed)
         .when(text.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
@@ -37,7 +40,8 @@ def js_number(variant: Column, path: str) -> Column:
 
 
 def js_text(variant: Column, path: str) -> Column:
-    return F.coalesce(F.when(~is_json_null(variant, path), member(variant, path, "string")), F.lit(""))
+    """A member as text, empty where it is missing or ``null``."""
+    return F.coalesce(member(variant, path, "string"), F.lit(""))
 
 
 def js_date(variant: Column, path: str, fallback: Column) -> Column:

@@ -1,10 +1,10 @@
 """Detection rules over evidence, and their collapse into ranked matches.
 
 A rule is a row (which connector, desk, severity) and, by its code, an entry of
-``PREDICATES``: expressions over the evidence's attributes.  All rules run in one
-pass: each member of the attributes that some rule reads is taken out once a row, rules
-are a small table that joins evidence on the connector, and the code picks the
-expression.
+``PREDICATES``: expressions over the evidence's attributes.  All rules run in one pass
+over the evidence of the connectors that have a rule: the members that rules read are
+taken out of the VARIANT once a row and typed once a row, each predicate gives what it
+finds, and what was found joins the rules.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mobilis.functions.coerce import epoch_millis, js_number, js_text, member
+from mobilis.functions.coerce import epoch_millis, js_number, member
 from mobilis.functions.text import match_rank
 from mobilis.functions.time import in_effect
 
@@ -29,79 +29,70 @@ class Predicate:
     severity: Column | None = None
 
 
-#: The members of attributes that rules read.
-MEMBERS = [
-    "alertId", "algoEventId", "algoTravelTimeId", "confidence", "congestionLevel", "currentSpeedMph", "endsAt", "eventType", "expiresAt", "freeFlowSpeedMph",
-    "kind", "layer", "magnitude", "pointCode", "quakeId", "riseFt", "roadClosure", "severity", "siteCode", "startsAt",
-]
+#: The members of attributes that rules read as text, as numbers and as flags.
+TEXTS = ["alertId", "algoEventId", "algoTravelTimeId", "congestionLevel", "endsAt", "eventType", "expiresAt", "kind", "layer", "pointCode", "quakeId", "severity", "siteCode", "startsAt"]
+NUMBERS = ["confidence", "currentSpeedMph", "freeFlowSpeedMph", "magnitude", "riseFt"]
+FLAGS = ["roadClosure"]
+#: Limits of the rules.
+SLOW, SURE, RISE_FT, FELT, STRONG = 0.6, 0.7, 2, 4, 5.5
 
+#: A typed member by its name; text that is missing is empty, a number is null.
 Member = Callable[[str], Column]
 Builder = Callable[[Member, Column, Column], Predicate]
 
 
-def _text(a: Member, name: str) -> Column:
-    return js_text(a(name), "")
-
-
-def _number(a: Member, name: str) -> Column:
-    return js_number(a(name), "")
-
-
 def _key(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), *[F.coalesce(p, F.lit("")) for p in parts])
 
 
 def _traffic(kind: str) -> Builder:
     def build(a: Member, source_id: Column, now: Column) -> Predicate:
-        return Predicate((_text(a, "layer") == "traffic_event") & (_text(a, "eventType") == kind), _key("algo-event:", _text(a, "algoEventId")))
+        return Predicate((a("layer") == "traffic_event") & (a("eventType") == kind), _key("algo-event:", a("algoEventId")))
 
     return build
 
 
 def _congestion(a: Member, source_id: Column, now: Column) -> Predicate:
-    level = _text(a, "congestionLevel")
-    hit = (_text(a, "layer") == "travel_time") & ~level.isin("", "Unaffected", "Unknown")
-    return Predicate(hit, _key("algo-travel-time:", _text(a, "algoTravelTimeId")), F.when(level.isin("Heavy", "Severe"), "high"))
+    level = a("congestionLevel")
+    hit = (a("layer") == "travel_time") & ~level.isin("", "Unaffected", "Unknown")
+    return Predicate(hit, _key("algo-corridor:", a("algoTravelTimeId")), F.when(level.isin("Heavy", "Severe"), "high"))
 
 
-def _restriction(a: Member, source_id: Column, now: Column) -> Predicate:
-    kind = _text(a, "kind")
-    start, end = (F.timestamp_millis(epoch_millis(_text(a, c)).cast("long")) for c in ("startsAt", "endsAt"))
-    return Predicate((kind != "") & in_effect(start, end, now.cast("timestamp")), _key("city-", kind, F.lit(":"), source_id))
+def _instant(a: Member, name: str) -> Column:
+    return F.timestamp_millis(epoch_millis(a(name)).cast("long"))
 
 
-def speed_ratio(a: Member) -> Column:
-    """Current over free-flow speed; a null current speed counts as 0, a missing one is unknown."""
-    current, free = _number(a, "currentSpeedMph"), _number(a, "freeFlowSpeedMph")
-    return F.when(free > 0, current / free)
+def _restriction(a: Member, source_id: Column, now: Column) -> Predicate:
+    kind = a("kind")
+    return Predicate((kind != "") & in_effect(_instant(a, "startsAt"), _instant(a, "endsAt"), now.cast("timestamp")), _key("city-", kind, F.lit(":"), source_id))
 
 
 def _degraded(a: Member, source_id: Column, now: Column) -> Predicate:
-    confidence = _number(a, "confidence")
-    closed = F.coalesce(member(a("roadClosure"), "", "boolean"), F.lit(False))
-    hit = (confidence.isNull() | (confidence >= 0.7)) & (closed | F.coalesce(speed_ratio(a) < 0.6, F.lit(False)))
-    return Predicate(hit, _key("tomtom-point:", _text(a, "pointCode")))
+    closed, code = a("roadClosure"), a("pointCode")
+    slow = (a("freeFlowSpeedMph") > 0) & (a("currentSpeedMph") / a("freeFlowSpeedMph") < SLOW)
+    sure = a("confidence").isNull() | (a("confidence") >= SURE)
+    return Predicate((code != "") & sure & (closed | F.coalesce(slow, F.lit(False))), _key("tomtom-point:", code), F.when(closed, "high"))
 
 
 def _alert(a: Member, source_id: Column, now: Column) -> Predicate:
-    expires = F.try_to_timestamp(F.when(_text(a, "expiresAt") != "", _text(a, "expiresAt")))
-    hit = (_text(a, "alertId") != "") & (expires.isNull() | (expires >= now.cast("timestamp")))
-    return Predicate(hit, _key("nws-alert:", _text(a, "alertId")), F.when(_text(a, "severity") == "Extreme", "critical"))
+    expires = _instant(a, "expiresAt")
+    hit = (a("alertId") != "") & (expires.isNull() | (expires >= now.cast("timestamp")))
+    return Predicate(hit, _key("nws-alert:", a("alertId")), F.when(a("severity") == "Extreme", "critical"))
 
 
 def _rise(a: Member, source_id: Column, now: Column) -> Predicate:
-    return Predicate((_text(a, "layer") == "stream_gauge") & F.coalesce(_number(a, "riseFt") >= 2, F.lit(False)), _key("usgs-gauge:", _text(a, "siteCode")))
+    return Predicate((a("layer") == "stream_gauge") & F.coalesce(a("riseFt") >= RISE_FT, F.lit(False)), _key("usgs-gauge:", a("siteCode")))
 
 
 def _quake(a: Member, source_id: Column, now: Column) -> Predicate:
-    size = _number(a, "magnitude")
-    hit = (_text(a, "layer") == "earthquake") & F.coalesce(size >= 4, F.lit(False))
-    return Predicate(hit, _key("usgs-quake:", _text(a, "quakeId")), F.when(size >= 5.5, "critical"))
+    size = a("magnitude")
+    hit = (a("layer") == "earthquake") & F.coalesce(size >= FELT, F.lit(False))
+    return Predicate(hit, _key("usgs-quake:", a("quakeId")), F.when(size >= STRONG, "critical"))
 
 
 def _siem(a: Member, source_id: Column, now: Column) -> Predicate:
-    level = F.lower(_text(a, "severity"))
-    return Predicate(level.isin("critical", "high"), _key("siem:", F.coalesce(F.when(_text(a, "alertId") != "", _text(a, "alertId")), source_id)), F.when(level == "critical", "critical"))
+    level = F.lower(a("severity"))
+    return Predicate((a("alertId") != "") & level.isin("critical", "high"), _key("siem-alert:", a("alertId")), F.when(level == "critical", "critical"))
 
 
 PREDICATES: dict[str, Builder] = {
@@ -118,32 +109,48 @@ PREDICATES: dict[str, Builder] = {
 }
 
 
+def freeflow(a: Column) -> dict[str, Column]:
+    """Current against free-flow speed (``a`` is VARIANT): whether both are known, the ratio to three places, whether it calls for a review."""
+    current, free = js_number(a, "currentSpeedMph"), js_number(a, "freeFlowSpeedMph")
+    comparable = F.coalesce(free > 0, F.lit(False)) & current.isNotNull()
+    ratio = F.when(comparable, current / free)
+    return {"comparable": comparable, "ratio": F.floor(ratio * 1000 + 0.5) / 1000, "below_threshold": F.coalesce(ratio < SLOW, F.lit(False))}
+
+
 def unknown_rules(rules: DataFrame) -> DataFrame:
     """Rules without a predicate: they are skipped and reported."""
     return rules.where(~F.col("rule_code").isin(list(PREDICATES)))
 
 
+def typed(evidence: DataFrame) -> DataFrame:
+    """Evidence with the members that rules read as columns ``_t_<name>``.
+
+    Both steps are generators of one row: a projection would be merged into what reads it
+    and each member would be parsed again wherever it is named.
+    """
+    shape = "struct<" + ", ".join([f"{m}:string" for m in TEXTS] + [f"{m}:variant" for m in [*NUMBERS, *FLAGS]]) + ">"
+    read_once = F.struct(F.try_variant_get("attributes", "$", shape).alias("_a"))
+    a = evidence.select("*", F.inline(F.array(read_once)))
+    texts = [F.coalesce(F.col(f"_a.{m}"), F.lit("")).alias(f"_t_{m}") for m in TEXTS]
+    taken = a.select(*evidence.columns, F.inline(F.array(F.struct(*texts, *[F.col(f"_a.{m}").alias(f"_v_{m}") for m in [*NUMBERS, *FLAGS]]))))
+    flag = lambda v: F.coalesce((F.schema_of_variant(v) == "BOOLEAN") & member(v, "", "boolean"), F.lit(False))
+    read = [*[js_number(F.col(f"_v_{m}"), "").alias(f"_t_{m}") for m in NUMBERS], *[flag(F.col(f"_v_{m}")).alias(f"_t_{m}") for m in FLAGS]]
+    return taken.select(*evidence.columns, *[f"_t_{m}" for m in TEXTS], F.inline(F.array(F.struct(*read))))
+
+
 def hits(rules: DataFrame, evidence: DataFrame, now: Column) -> DataFrame:
     """One row per rule and evidence it fires on: with ``external_key`` and the severity that holds.
 
-    ``attributes`` is VARIANT.  Rules have rule_code, connector_code and severity.
+    ``attributes`` is VARIANT.  Rules have rule_code, connector_code and severity; a rule
+    without a predicate finds nothing.
     """
-    source_id, code = F.col("source_event_id"), F.col("rule_code")
-    built = {name: make(lambda m: F.col(f"_m.{m}"), source_id, now) for name, make in PREDICATES.items()}
-
-    def choose(pick: Callable[[Predicate], Column | None], other: Column) -> Column:
-        out = other
-        for name, p in built.items():
-            value = pick(p)
-            if value is not None:
-                out = F.when(code == name, value).otherwise(out)
-        return out
-
-    taken = evidence.withColumn("_m", F.struct(*[member(F.col("attributes"), m, "variant").alias(m) for m in MEMBERS]))
-    met = taken.join(rules, "connector_code")
-    fired = met.where(choose(lambda p: p.hit, F.lit(False)))
-    severity = F.coalesce(choose(lambda p: p.severity, F.lit(None).cast("string")), F.col("severity"))
-    return fired.withColumn("external_key", choose(lambda p: p.key, F.lit(""))).withColumn("severity", severity).drop("_m")
+    spoken = evidence.join(rules.select("connector_code").distinct(), "connector_code", "left_semi")
+    built = {name: make(lambda m: F.col(f"_t_{m}"), F.col("source_event_id"), now) for name, make in PREDICATES.items()}
+    none = F.lit(None).cast("string")
+    found = [F.when(p.hit, F.struct(F.lit(name).alias("rule_code"), p.key.alias("external_key"), (none if p.severity is None else p.severity).alias("_severity"))) for name, p in built.items()]
+    fired = typed(spoken).select(*evidence.columns, F.inline(F.array_compact(F.array(*found))))
+    met = fired.join(rules, ["connector_code", "rule_code"])
+    return met.withColumn("severity", F.coalesce("_severity", "severity")).drop("_severity")
 
 
 def collapse(fired: DataFrame, keys: list[str] | None = None, most: int = MATCH_EVIDENCE) -> DataFrame:

@@ -141,9 +141,9 @@ MORE_RULES = [("algo-roadwork", "click", "low"), ("algo-corridor-congestion", "e
 
 @query(f"""WITH {EV}, n AS (SELECT *, split_part(source_event_id, ':', 2) AS who FROM ev)
 SELECT evidence_id, 'algo-roadwork' AS rule_code, 'algo-event:' || who AS external_key, 'low' AS severity FROM n WHERE connector_code = 'click' AND k % 3 = 1
-UNION ALL SELECT evidence_id, 'algo-corridor-congestion', 'algo-travel-time:' || who, CASE k % 5 WHEN 0 THEN 'high' ELSE 'medium' END FROM n WHERE connector_code = 'error' AND k % 5 < 2
+UNION ALL SELECT evidence_id, 'algo-corridor-congestion', 'algo-corridor:' || who, CASE k % 5 WHEN 0 THEN 'high' ELSE 'medium' END FROM n WHERE connector_code = 'error' AND k % 5 < 2
 UNION ALL SELECT evidence_id, 'city-restriction-in-effect', 'city-closure:' || source_event_id, 'medium' FROM n WHERE connector_code = 'purchase' AND k % 4 <> 0 AND (k % 3 = 0 OR TIMESTAMP '2024-01-01' + to_days(CAST(k AS INTEGER)) <= TIMESTAMP '{AS_OF_TEXT}') AND (k % 5 = 0 OR TIMESTAMP '2024-01-15' + to_days(CAST(k AS INTEGER)) >= TIMESTAMP '{AS_OF_TEXT}')
-UNION ALL SELECT evidence_id, 'siem-critical-alert', 'siem:' || CASE WHEN k % 2 = 0 THEN who ELSE source_event_id END, CASE k % 4 WHEN 0 THEN 'critical' ELSE 'high' END FROM n WHERE connector_code = 'signup' AND k % 4 < 2""")
+UNION ALL SELECT evidence_id, 'siem-critical-alert', 'siem-alert:' || who, 'critical' FROM n WHERE connector_code = 'signup' AND k % 4 = 0""")
 def rule_hits_of_more_rules(spark: SparkSession, sf: str) -> DataFrame:
     ev = evidence(spark, sf)
     k, c, who = F.col("k"), F.col("connector_code"), F.element_at(F.split("source_event_id", ":"), -1)

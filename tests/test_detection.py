@@ -20,7 +20,7 @@ ROWS = [
     ("e8", "tomtom-traffic-flow-v1", "flow:2", "2026-09-12 17:00:00", {"pointCode": "q", "currentSpeedMph": 10, "freeFlowSpeedMph": 60, "confidence": None}),
     ("e9", "tomtom-traffic-flow-v1", "flow:3", "2026-09-12 17:00:00", {"pointCode": "r", "currentSpeedMph": 59, "freeFlowSpeedMph": 60, "roadClosure": True}),
     ("e10", "nws-weather-alerts-v1", "alert:1", "2026-09-12 17:00:00", {"alertId": "A", "severity": "Extreme"}),
-    ("e11", "siem-alerts-v1", "s:1", "2026-09-12 17:00:00", {"severity": "CRITICAL"}),
+    ("e11", "siem-alerts-v1", "s:1", "2026-09-12 17:00:00", {"severity": "CRITICAL", "alertId": 7}),
 ]
 
 
@@ -38,21 +38,21 @@ def matches(spark, evidence, pack):
 
 def test_road_pack(spark, evidence):
     found = matches(spark, evidence, "road_closure")
-    assert set(found) == {"algo-event:1", "algo-travel-time:4", "city-closure:closure:a", "tomtom-point:p", "tomtom-point:r", "nws-alert:A"}
+    assert set(found) == {"algo-event:1", "algo-corridor:4", "city-closure:closure:a", "tomtom-point:p", "tomtom-point:r", "nws-alert:A"}
     crash = found["algo-event:1"]
     assert (crash["primary_id"], crash["n_evidence"], crash["severity"]) == ("e2", 2, "high")
-    assert found["algo-travel-time:4"]["severity"] == "high"
+    assert found["algo-corridor:4"]["severity"] == "high"
     assert found["nws-alert:A"]["severity"] == "critical"
 
 
 def test_rules_speak_only_for_their_connector(spark, evidence):
-    assert set(matches(spark, evidence, "cyber_incident")) == {"siem:s:1"}
+    assert set(matches(spark, evidence, "cyber_incident")) == {"siem-alert:7"}
 
 
 def test_match_order_and_unknown_rules(spark, evidence):
     rules = seeds.rules(spark, "road_closure").select("rule_code", "connector_code", "severity")
     order = [r["severity"] for r in detection.ranked(detection.collapse(detection.hits(rules, evidence, F.lit(NOW).cast("timestamp_ntz")))).collect()]
-    assert order == ["critical", "high", "high", "medium", "medium", "medium"]
+    assert order == ["critical", "high", "high", "high", "medium", "medium"]  # a closure is high
     assert detection.unknown_rules(seeds.rules(spark)).count() == 0
 
 
