@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mobilis.functions.coerce import js_number, js_text
 from mobilis.functions.text import listed
+from mobilis.operators.numbering import first_rows
 
 CARDS = 24
 CITED = 12
@@ -153,7 +154,11 @@ def findings_on(picture: DataFrame, matches: DataFrame, live: list[str]) -> Data
 
 def cited(findings: DataFrame, most: int = CARDS) -> DataFrame:
     """Per incident the distinct evidence that its findings cite, in order, at most ``most``."""
-    return findings.groupBy("incident_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cited")))), 1, most).alias("cited"))
+    each = findings.select("incident_id", F.explode("cited").alias("evidence_id")).distinct()
+    first = first_rows(each, ["incident_id"], [F.asc("evidence_id")], most)
+    kept = first.groupBy("incident_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("cited"))
+    none = F.array().cast(findings.schema["cited"].dataType)
+    return findings.select("incident_id").distinct().join(kept, "incident_id", "left").withColumn("cited", F.coalesce("cited", none))
 
 
 def composed(findings: DataFrame) -> DataFrame:

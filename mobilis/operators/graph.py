@@ -47,19 +47,22 @@ def paths(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return found
 
 
-def reached(step: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+def reached(step: DataFrame, start: DataFrame, most: int | None = None, undirected: bool = False) -> DataFrame:
     """(node_id, depth) of all nodes that ``step`` (stored src, dst) leads to, with their distance.
 
     Distances need no paths: a level is the neighbours of the last that no earlier
-    level had, so hubs do not multiply walks.  Each level is stored and the walk ends
-    with the first empty one, or after ``most`` steps.
+    level had, so hubs do not multiply walks.  Each level is stored, so its size is known
+    and Spark broadcasts it while it is small; the walk ends with the first empty one, or
+    after ``most`` steps.  If ``step`` has every edge both ways, a neighbour lies in the
+    last two levels or is new, and no older level is read again.
     """
     frontier = stored(start.select("node_id").distinct())
-    seen, d = frontier.withColumn("depth", F.lit(0).cast("long")), 0
+    seen, d, before = frontier.withColumn("depth", F.lit(0).cast("long")), 0, None
     while most is None or d < most:
         d += 1
         met = step.join(frontier.withColumnRenamed("node_id", "src"), "src", "left_semi").select(F.col("dst").alias("node_id")).distinct()
-        frontier = stored(met.join(seen.select("node_id"), "node_id", "left_anti"))
+        near = frontier if before is None else frontier.unionByName(before)
+        before, frontier = frontier, stored(met.join(near if undirected else seen.select("node_id"), "node_id", "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(d).cast("long")))
@@ -68,14 +71,22 @@ def reached(step: DataFrame, start: DataFrame, most: int | None = None) -> DataF
 
 def neighborhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Nodes within ``depth`` undirected steps with their distance; at most 4 steps."""
-    return reached(stored(both_ways(edges).distinct()), start, min(depth, 4))
+    return reached(stored(both_ways(edges).distinct()), start, min(depth, 4), undirected=True)
 
 
 def impact(edges: DataFrame, start: DataFrame, depth: int = 6) -> DataFrame:
-    """Directed paths downstream of the start nodes, at most 6 steps, without the start itself."""
+    """Directed paths downstream of the start nodes, at most 6 steps, without the start itself.
+
+    :func:`in_order` puts them as a reader expects them.
+    """
     return paths(edges, start, min(depth, 6)).where("depth > 0")
 
 
+def in_order(walked: DataFrame, labels: DataFrame) -> DataFrame:
+    """Walked nodes with their label (node_id, label), by depth and then by label and id."""
+    return walked.join(labels.select("node_id", "label"), "node_id").orderBy("depth", "label", "node_id")
+
+
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node_id, direction) of everything up and downstream of the start nodes, however far."""
     down = stored(edges.select("src", "dst").distinct())

@@ -58,7 +58,7 @@ def incident_step(incidents: DataFrame, matches: DataFrame, observed: DataFrame)
     """
     key = ["connector_code", "external_key"]
     met = incidents.select(*key, "status", "version").join(matches.select(*key).distinct().withColumn("matched", F.lit(True)), key, "full")
-    met = met.join(F.broadcast(observed.select("connector_code").distinct().withColumn("seen", F.lit(True))), "connector_code", "left")
+    met = met.join(observed.select("connector_code").distinct().withColumn("seen", F.lit(True)), "connector_code", "left")
     matched, seen, open_ = F.coalesce("matched", F.lit(False)), F.coalesce("seen", F.lit(False)), F.col("status").isin(OPEN_INCIDENT)
     change = (
         F.when(F.col("status").isNull(), "opened")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mobilis.operators.numbering import numbered
+
 
 def replaced(state: DataFrame, batch: DataFrame, key: list[str], keep: list[str] | None = None) -> DataFrame:
     """``state`` with the rows of ``batch``; columns of ``keep`` stay as stored where the key is known."""
@@ -60,13 +62,15 @@ def run_health(sources: DataFrame, runs: DataFrame) -> DataFrame:
     """
     order = F.struct("completed_at", "run_id")
     ok = F.col("status").isin("succeeded", "partial")
-    last_ok = F.max(F.when(ok, order))
     by = runs.groupBy("source_code").agg(
-        last_ok.alias("ok"), F.sort_array(F.collect_list(F.when(~ok, order))).alias("failed"), F.max(order).alias("last"), F.max_by("status", order).alias("last_status"), F.max_by("observed_at", F.when(F.col("observed_at").isNotNull(), order)).alias("seen")
+        F.max(F.when(ok, order)).alias("ok"), F.max(order).alias("last"), F.max_by("status", order).alias("last_status"), F.max_by("observed_at", F.when(F.col("observed_at").isNotNull(), order)).alias("seen")
     )
-    met = sources.join(by, "source_code", "left")
-    since = F.size(F.filter("failed", lambda f: F.col("ok").isNull() | (f > F.col("ok")))).cast("long")
-    failures = F.when(F.col("last").isNull(), F.col("failures")).when(F.col("ok").isNull(), F.col("failures") + since).otherwise(since)
+    # failures count from the last success on: one value a source goes back to the runs
+    failed = runs.where(~ok).join(by.select("source_code", "ok"), "source_code").where(F.col("ok").isNull() | (order > F.col("ok")))
+    since = failed.groupBy("source_code").agg(F.count(F.lit(1)).alias("since"))
+    met = sources.join(by, "source_code", "left").join(since, "source_code", "left")
+    n = F.coalesce("since", F.lit(0).cast("long"))
+    failures = F.when(F.col("last").isNull(), F.col("failures")).when(F.col("ok").isNull(), F.col("failures") + n).otherwise(n)
     return met.select(
         "source_code",
         F.coalesce("ok.completed_at", "last_success_at").alias("last_success_at"),
@@ -83,9 +87,9 @@ def recorded(commands: DataFrame, last_sequence: int = 0) -> tuple[DataFrame, Da
     """
     done = commands.where("applied")
     audit = done.select("command_id", "event_id", "actor", "action", "subject_id", "at")
-    w = Window.partitionBy("event_id").orderBy("at", "command_id")
     topic = F.concat_ws(".", "subject_type", "action")
-    outbox = done.select("event_id", (F.row_number().over(w) + last_sequence).cast("long").alias("sequence"), topic.alias("topic"), "subject_id", "at")
+    placed = numbered(done, ["event_id"], ["at", "command_id"], "_number")
+    outbox = placed.select("event_id", (F.col("_number") + 1 + last_sequence).alias("sequence"), topic.alias("topic"), "subject_id", "at")
     return audit, outbox
 
 

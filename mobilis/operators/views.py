@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mobilis.functions.coerce import js_number, js_round, js_text
+from mobilis.operators.numbering import first_rows, numbered
 
 
 def flow_nodes(edges: DataFrame) -> DataFrame:
@@ -159,11 +160,10 @@ def flow_scale(flows: DataFrame, height: Column) -> DataFrame:
 
 def first_per(rows: DataFrame, key: str, order: list[Column], n: int = 2) -> DataFrame:
     """The first ``n`` rows of each key: what a smoke scan shows of a connector."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return first_rows(rows, [key], order, n)
 
 
 def dry_run(observed: DataFrame, order: list[Column]) -> DataFrame:
     """Observations with the ids of a dry run, ``connector#index`` from 0, and nothing written."""
-    w = Window.partitionBy("connector_code").orderBy(*order)
-    return observed.withColumn("evidence_id", F.concat_ws("#", "connector_code", (F.row_number().over(w) - 1).cast("string")))
+    placed = numbered(observed, ["connector_code"], order, "_number")
+    return placed.withColumn("evidence_id", F.concat_ws("#", "connector_code", F.col("_number").cast("string"))).drop("_number")

@@ -43,9 +43,9 @@ class State:
 class Store:
     """``tables`` gives each table its schema and its key columns; a table without a key is a log."""
 
-    def __init__(self, spark: SparkSession, folder: str, tables: Mapping[str, tuple[str, list[str]]], buckets: int = 16, bloom: Mapping[str, str] | None = None, row_group: int = 1 << 22):
+    def __init__(self, spark: SparkSession, folder: str, tables: Mapping[str, tuple[str | StructType, list[str]]], buckets: int = 16, bloom: Mapping[str, str] | None = None, row_group: int = 1 << 22):
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
-        self.schemas = {name: StructType.fromDDL(ddl) for name, (ddl, _) in tables.items()}
+        self.schemas = {name: ddl if isinstance(ddl, StructType) else StructType.fromDDL(ddl) for name, (ddl, _) in tables.items()}
         self.keys = {name: key for name, (_, key) in tables.items()}
         #: A column a table whose values the files keep as a bloom filter.
         self.bloom, self.row_group = dict(bloom or {}), row_group

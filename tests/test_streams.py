@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from mobilis.operators import lifecycle
 from mobilis.plans import stream_queries
 from mobilis.plans.common import evidence
-from mobilis.sources.folders import landed, new_folder, versions
+from mobilis.sources.folders import landed, new_folder
+from mobilis.sources.store import Store
 from mobilis.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -34,7 +35,8 @@ def test_a_job_goes_on_where_it_ended(spark):
         # a new start each time: what was taken in before is not read again
         got = jobs.outcome_stream(jobs.files(spark, feed, ev.schema), folder)
         assert got.count() == ev.where(F.col("evidence_id") % 4 <= n).count()
-    assert versions(spark, f"{folder}/versions") == [2, 3]  # older ones are gone
+    store = Store(spark, f"{folder}/state", {})
+    assert store.state().facts == {"batch": "3"} and sorted(map(int, store._names("pointers"))) == [3, 4]  # older states are gone
     assert jobs.outcome_stream(jobs.files(spark, feed, ev.schema), folder).count() == ev.count()
 
 
@@ -58,3 +60,18 @@ def test_a_feed_that_fails_does_not_stop_the_others():
 
     failed = jobs.isolated({"a": lambda: done.append("a"), "b": broken, "c": lambda: done.append("c")}, lambda: done.append("detection"))
     assert done == ["a", "c", "detection"] and failed == {"b": "no answer"}
+
+
+def test_a_batch_touches_the_buckets_of_its_keys_only(spark):
+    feed, folder = new_folder(spark, "landed"), new_folder(spark, "jobs")
+    ev = evidence(spark, SF)
+    landed(ev, feed)
+    jobs.upsert_stream(jobs.files(spark, feed, ev.schema), folder)
+    store = Store(spark, f"{folder}/state", {})
+    before = store.state()
+    landed(ev.limit(1).withColumn("content_hash", F.lit("new")).withColumn("observed_at", F.col("observed_at") + F.expr("INTERVAL 90 DAYS")), feed)
+    out = jobs.upsert_stream(jobs.files(spark, feed, ev.schema), folder)
+    after = store.state()
+    assert len(before.keyed["state"]) == 16
+    assert sum(before.keyed["state"][b] != c for b, c in after.keyed["state"].items()) == 1
+    assert out.where("content_hash = 'new'").count() == 1 and out.count() == ev.select("connector_code", "source_event_id").distinct().count()
