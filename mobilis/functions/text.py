@@ -58,6 +58,12 @@ def first_clause(text: Column, most: int = 80) -> Column:
     return F.when(F.length(clause) > most, F.concat(cut, F.lit("…"))).otherwise(clause)
 
 
+def lead_clause(text: Column) -> Column:
+    """Up to the first full stop, question or exclamation mark; all of it if nothing stands before."""
+    clause = F.trim(F.regexp_extract(text, r"^([^.!?]*)", 1))
+    return F.when(clause != "", clause).otherwise(F.trim(text))
+
+
 def short_hash(h: Column) -> Column:
     return F.when(F.length(h) > 8, F.concat(h.substr(1, 4), F.lit("…"), F.right(h, F.lit(3)))).otherwise(h)
 
@@ -95,6 +101,7 @@ def labelled(code: Column, labels: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(known, code), F.replace(code, F.lit("_"), F.lit(" ")))
 
 
+#: The patterns, warnings and owner codes of the two functions below are fixed values.
 def queue_alert(why: Column) -> Column:
     """What a queue card warns of: access before congestion, else the first clause, at most 42 characters."""
     text = F.trim(F.coalesce(why, F.lit("")))

@@ -104,6 +104,37 @@ def planned_commitments(playbooks: DataFrame, agencies: DataFrame, now: Column)
     return each.join(agencies, "agency_code").withColumn("due_at", now + F.make_dt_interval(mins=F.col("due_minutes")))
 
 
+def required(recommendations: DataFrame, approvals: DataFrame, agencies: DataFrame, existing: DataFrame) -> DataFrame:
+    """Approval requirements after recommendations are written: each (recommendation, agency, role) once.
+
+    recommendations(recommendation_id, rule_code); approvals(rule_code, ``approvals``: array
+    of agency_code and role_code, in their sequence); unknown agencies are skipped, and what
+    ``existing`` has stays as it is.
+    """
+    each = approvals.select("rule_code", F.posexplode("approvals").alias("at", "a")).select("rule_code", (F.col("at") + 1).cast("long").alias("sequence"), F.col("a.agency_code"), F.col("a.role_code"))
+    known = each.join(agencies.select("agency_code").distinct(), "agency_code", "left_semi")
+    key = ["recommendation_id", "agency_code", "role_code"]
+    asked = recommendations.select("recommendation_id", "rule_code").join(known, "rule_code").groupBy(*key).agg(F.min("sequence").alias("sequence"))
+    new = asked.join(existing.select(*key), key, "left_anti")
+    return existing.select(*key, "sequence", "status").unionByName(new.select(*key, "sequence", F.lit("pending").alias("status")))
+
+
+def after_approval(recommendations: DataFrame, requirements: DataFrame, decisions: DataFrame) -> DataFrame:
+    """recommendation_id, n_pending and state after approvals (recommendation_id, agency_code): while any requirement is pending it waits."""
+    signed = decisions.select("recommendation_id", "agency_code").distinct().withColumn("signed", F.lit(True))
+    met = requirements.join(signed, ["recommendation_id", "agency_code"], "left")
+    pending = met.groupBy("recommendation_id").agg(F.count_if((F.col("status") == "pending") & F.col("signed").isNull()).alias("n_pending"))
+    asked = decisions.select("recommendation_id").distinct().withColumn("asked", F.lit(True))
+    out = recommendations.join(pending, "recommendation_id", "left").join(asked, "recommendation_id", "left")
+    n = F.coalesce("n_pending", F.lit(0).cast("long"))
+    return out.select("recommendation_id", n.alias("n_pending"), F.when(F.col("asked").isNull(), F.col("state")).when(n > 0, "awaiting_approval").otherwise("approved").alias("state"))
+
+
+def unresolved(commitments: DataFrame) -> DataFrame:
+    """Commitments whose state is not one of the terminal ones."""
+    return commitments.where(~F.col("state").isin(TERMINAL))
+
+
 def queue(recommendations: DataFrame, incidents: DataFrame, requirements: DataFrame, agency: str | None) -> DataFrame:
     """Recommendations awaiting a decision: only those with a requirement, each once.
 

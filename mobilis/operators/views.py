@@ -100,23 +100,21 @@ def stages_done(state: str) -> Column:
     return out
 
 
-#: What a playbook says where its author left a field out.
-PLAYBOOK_DEFAULTS = {
-    "recommendedAction": "Review the cited authoritative record and record a named decision.",
-    "expectedEffect": "Named agencies acknowledge the condition. The record holds the decision only.",
-    "limitations": "Derived only from the cited authoritative records.",
-}
 #: States in which a recommendation waits for somebody.
 PENDING = ["awaiting_acknowledgement", "awaiting_approval", "delegated", "escalated"]
 
 
-def playbook(v: Column) -> list[Column]:
-    """The fields of a playbook (VARIANT) with defaults; lists that are no arrays are empty ones."""
-    texts = [F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit(other)).alias(name) for name, other in PLAYBOOK_DEFAULTS.items()]
+def playbook(v: Column, defaults: dict[str, str]) -> list[Column]:
+    """The text fields of a playbook (VARIANT), with ``defaults`` where its author left one out, and the sizes of its lists.
+
+    Lists that are no arrays are empty ones.
+    """
+    texts = [F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit(other)).alias(name) for name, other in defaults.items()]
     lists = [F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>")) for name in ("approvals", "commitments")]
     return [*texts, *[F.size(x).alias(name) for x, name in zip(lists, ("approvals", "commitments"), strict=True)]]
 
 
+#: The wording is a fixed value: titles are compared with what was stored before.
 def titles(rule_code: Column, a: Column) -> Column:
     """The title of a match from the attributes (VARIANT) of its first evidence, rule by rule."""
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mobilis.plans import desk_queries, evidence_queries, feed_queries, graph_queries, model_queries, place_queries, sink_queries, stream_queries, view_queries, work_queries
+from mobilis.plans import board_queries, desk_queries, evidence_queries, feed_queries, graph_queries, model_queries, place_queries, sink_queries, stream_queries, view_queries, work_queries
 
-_MODULES = (evidence_queries, feed_queries, work_queries, desk_queries, sink_queries, graph_queries, model_queries, place_queries, view_queries, stream_queries)
+_MODULES = (evidence_queries, feed_queries, work_queries, desk_queries, sink_queries, graph_queries, model_queries, place_queries, view_queries, stream_queries, board_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

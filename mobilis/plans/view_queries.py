@@ -32,8 +32,9 @@ def recommendation_evidence(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT s_suppkey, n_name AS agency, r_name AS area, count(*) OVER (PARTITION BY n_nationkey) AS n_of_agency FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")
 def requirement_agencies(spark: SparkSession, sf: str) -> DataFrame:
     s, n, r = (table(spark, sf, t) for t in ("supplier", "nation", "region"))
-    met = s.join(n, F.col("n_nationkey") == F.col("s_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey"))
-    return met.select("s_suppkey", F.col("n_name").alias("agency"), F.col("r_name").alias("area"), F.count(F.lit(1)).over(Window.partitionBy("n_nationkey")).alias("n_of_agency"))
+    counts = s.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_of_agency"))
+    met = s.join(counts, "s_nationkey").join(n, F.col("n_nationkey") == F.col("s_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey"))
+    return met.select("s_suppkey", F.col("n_name").alias("agency"), F.col("r_name").alias("area"), "n_of_agency")
 
 
 @query("""SELECT l_orderkey, l_linenumber, o_orderpriority, c_name AS actor, n_name AS agency, r_name AS area FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE l_returnflag = 'A'""")
@@ -74,15 +75,19 @@ def match_titles(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf).select("evidence_id", "rule_code", title.alias("title"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Review the cited authoritative record and record a named decision.' ELSE p_brand END AS "recommendedAction", 'Named agencies acknowledge the condition. The record holds the decision only.' AS "expectedEffect",
-  CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'Derived only from the cited authoritative records.' END AS limitations, CASE WHEN p_size % 4 = 1 THEN 2 ELSE 0 END AS approvals, 0 AS commitments FROM part""")
+#: What this engine's playbooks say where their author left a field out.
+DEFAULTS = {"recommendedAction": "Look at the cited record and decide by name.", "expectedEffect": "The agencies named here take note; only the decision is recorded.", "limitations": "Rests on the cited records alone."}
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Look at the cited record and decide by name.' ELSE p_brand END AS "recommendedAction", 'The agencies named here take note; only the decision is recorded.' AS "expectedEffect",
+  CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'Rests on the cited records alone.' END AS limitations, CASE WHEN p_size % 4 = 1 THEN 2 ELSE 0 END AS approvals, 0 AS commitments FROM part""")
 def playbook_defaults(spark: SparkSession, sf: str) -> DataFrame:
     size = F.col("p_size")
     json = F.concat(
         F.lit('{"recommendedAction":'), F.when(size % 3 == 0, "null").otherwise(F.concat(F.lit('"'), "p_brand", F.lit('"'))), F.when(size % 2 == 0, F.concat(F.lit(',"limitations":"'), "p_type", F.lit('"'))).otherwise(""),
         F.lit(',"approvals":'), F.when(size % 4 == 1, '["a",{"b":1}]').when(size % 4 == 2, '"none"').otherwise("null"), F.lit("}"),
     )
-    return table(spark, sf, "part").select("p_partkey", F.parse_json(json).alias("v")).select("p_partkey", *views.playbook(F.col("v")))
+    return table(spark, sf, "part").select("p_partkey", F.parse_json(json).alias("v")).select("p_partkey", *views.playbook(F.col("v"), DEFAULTS))
 
 
 WHY = ["Holds the emergency-access lane", "a CORRIDOR check", "Spillback onto Main. Then more", "Queue at the gate", "  Shuttle loop runs late! Ask the lot", "One very long clause that goes on well beyond the room of a card", "", "."]
