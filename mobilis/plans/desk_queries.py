@@ -105,3 +105,31 @@ def draft_faults(spark: SparkSession, sf: str) -> DataFrame:
         none.alias("cited"), none.alias("allowed"), none.alias("read"), F.lit(0.5).alias("confidence"),
     )
     return desks.invalid_citations(drafts, forbidden=["urgent", "on p"], actions=["hold"]).select("draft_id", F.array_join("faults", ",").alias("faults"))
+
+
+#: The feeds that partners grant: transit, parking, access and security reach their desks.
+GRANTED = {"click": desks.TRANSIT, "error": desks.PARKING, "purchase": desks.ACCESS, "signup": desks.SECURITY, "view": "coa-road-closures-v1"}
+
+
+@query(f"""WITH {EV}, seen AS (
+  SELECT 'aqua' AS desk_code, connector_code = 'click' AS bears, evidence_id, observed_at FROM ev WHERE connector_code IN ('click', 'error')
+  UNION ALL SELECT 'sentinel', false, evidence_id, observed_at FROM ev WHERE connector_code = 'purchase'
+  UNION ALL SELECT 'phoenix', connector_code = 'view' AND k % 3 = 0, evidence_id, observed_at FROM ev WHERE connector_code IN ('purchase', 'view')
+  UNION ALL SELECT 'forge', k % 3 = 0, evidence_id, observed_at FROM ev WHERE connector_code = 'view'
+  UNION ALL SELECT 'echo', true, evidence_id, observed_at FROM ev WHERE connector_code = 'signup'),
+r AS (SELECT *, row_number() OVER (PARTITION BY desk_code ORDER BY observed_at DESC, evidence_id) AS rn FROM seen WHERE bears),
+c AS (SELECT desk_code, string_agg(evidence_id, ',' ORDER BY rn) AS cited FROM r WHERE rn <= 12 GROUP BY 1),
+n AS (SELECT desk_code, count(*) AS n_seen, count(*) FILTER (bears) AS n FROM seen GROUP BY 1), {MATCHES_SQL},
+j AS (SELECT match_id, d.desk_code, coalesce(n_seen, 0) AS n_seen, coalesce(n, 0) > 0 AND (d.desk_code <> 'phoenix' OR corridor) AS speaks, coalesce(cited, '') AS cited
+  FROM m CROSS JOIN (VALUES ('atlas'), ('sentinel'), ('phoenix'), ('forge'), ('aqua'), ('echo')) d(desk_code) LEFT JOIN n USING (desk_code) LEFT JOIN c USING (desk_code))
+SELECT match_id, desk_code, CASE WHEN n_seen = 0 THEN 'no_feed' WHEN NOT speaks THEN 'abstained' ELSE 'contributed' END AS stance,
+  CASE WHEN speaks THEN CAST(CASE desk_code WHEN 'phoenix' THEN 0.62 WHEN 'forge' THEN 0.6 WHEN 'aqua' THEN 0.6 ELSE 0.55 END AS DOUBLE) END AS confidence, CASE WHEN speaks THEN cited ELSE '' END AS cited FROM j""")
+def desk_findings_with_partners(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings where the feeds of partners report: transit, parking, access and security."""
+    k, c = F.col("k"), F.col("connector_code")
+    feed = F.create_map(*[F.lit(x) for pair in GRANTED.items() for x in pair])
+    json = F.when((c == "view") & (k % 3 == 0), '{"kind":"closure"}').when(c == "signup", '{"severity":"high"}').otherwise("{}")
+    snapshot = evidence(spark, sf).select("evidence_id", "observed_at", F.element_at(feed, c).alias("connector_code"), F.parse_json(json).alias("attributes"))
+    matches = spark.createDataFrame(MATCHES, "match_id int, agent_code string, constraints array<string>, recommended_action string")
+    found = desks.findings_on(desks.pictures(snapshot), matches, list(GRANTED.values()))
+    return found.select("match_id", "desk_code", "stance", "confidence", F.array_join("cited", ",").alias("cited"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mobilis.operators import detection
 from mobilis.plans.common import AS_OF_TEXT, EV, as_of, catalogue, evidence, table
-from mobilis.sources import canonical, feeds
+from mobilis.sources import canonical, feeds, seeds
 
 Q, SQL, query = catalogue()
 
@@ -159,3 +159,98 @@ def rule_hits_of_more_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
     rules = spark.createDataFrame(MORE_RULES, "rule_code string, connector_code string, severity string")
     return detection.hits(rules, ev.withColumn("attributes", F.parse_json(json)), as_of()).select("evidence_id", "rule_code", "external_key", "severity")
+
+
+# ---- feeds and rows that are read less often -------------------------------------------
+
+
+@query(f"""WITH {EVENTS}, s AS (SELECT id, CASE WHEN k % 2 = 0 THEN 'North' ELSE '' END AS way, CASE k % 3 WHEN 0 THEN 'Slow / K' || k WHEN 1 THEN 'Two' ELSE 'no text' END AS said, CASE k % 3 WHEN 2 THEN 0 ELSE 1 END AS n FROM e WHERE k % 4 <> 1)
+SELECT 'sign:' || id AS source_event_id, trim(regexp_replace('Message sign ' || way || ' Nowhere: ' || said, '\\s+', ' ', 'g')) AS summary, 'algo_message_sign' AS flags, CAST(n AS BIGINT) AS n_pages FROM s""")
+def feed_signs(spark: SparkSession, sf: str) -> DataFrame:
+    """Message signs inside the area; blank lines and pages are left out."""
+    found = feeds.message_signs(_signs(spark, sf), _now())
+    pages = F.size(F.from_json(F.get_json_object("attributes", "$.pages"), "array<string>")).cast("long")
+    return found.select("source_event_id", "summary", F.array_join("quality_flags", ",").alias("flags"), pages.alias("n_pages"))
+
+
+def _signs(spark: SparkSession, sf: str) -> DataFrame:
+    k, _, id, _, _ = _columns()
+    return _payloads(
+        spark, sf, '{"id":', id, ',"location":{"latitude":', F.when(k % 4 == 1, "40.0").otherwise("32.6"), ',"longitude":-85.5,"city":"Nowhere","direction":', F.when(k % 2 == 0, '"North"'), '},"pages":',
+        F.when(k % 3 == 0, F.concat(F.lit('[{"lines":[{"text":"Slow"},{"text":""},{"text":"K'), k, F.lit('"}]}]'))).when(k % 3 == 1, '[{"lines":[{"text":""}]},{"lines":[{"text":"Two"}]}]'), "}",
+    )
+
+
+@query(f"""WITH {EVENTS} SELECT 'forecast:g' || id AS source_event_id, 'Next 2h: ' || CASE WHEN k % 3 = 0 THEN 'Thunderstorms' ELSE 'Sunny' END || ', up to ' || CASE WHEN k % 4 = 1 THEN 'unknown' ELSE CAST(k + 1 AS VARCHAR) END || 'F, ' || CASE WHEN k % 2 = 0 THEN k ELSE 0 END || '% precipitation' AS summary,
+  'nws_gridded_forecast,operating_context' AS flags, CAST(CASE WHEN k % 3 = 0 THEN 2 ELSE 0 END AS VARCHAR) AS "thunderstormHours" FROM e WHERE k % 5 <> 0""")
+def feed_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly grids as one observation each; an empty one gives none."""
+    k, _, id, _, _ = _columns()
+
+    def period(heat: Column) -> tuple[str | Column, ...]:
+        return ('{"startTime":"2024-01-31T00:00:00Z","temperature":', heat, ',"temperatureUnit":"', F.when(k % 4 == 1, "C").otherwise("F"), '","probabilityOfPrecipitation":{"value":', F.when(k % 2 == 0, k), '},"shortForecast":"', F.when(k % 3 == 0, "Thunderstorms").otherwise("Sunny"), '"}')
+
+    two = F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("null")) for p in (*period(k), ",", *period(k + 1))])
+    made = _payloads(spark, sf, '{"gridCode":"g', id, '","periods":[', F.when(k % 5 == 0, "").otherwise(two), "]}")
+    return _shown(feeds.forecast(made, _now()), "thunderstormHours")
+
+
+@query(f"""WITH {EVENTS}, r AS (SELECT u, CASE WHEN k % 2 = 0 THEN '00065' ELSE '00060' END AS p, ts, CASE WHEN k % 6 = 0 THEN -999999 ELSE cents / 100 END AS v, id FROM e), g AS (SELECT *, max(ts) OVER (PARTITION BY u, p) AS last_at FROM r WHERE v <> -999999),
+s AS (SELECT u, arg_max(v, ts) FILTER (p = '00065') AS stage, arg_max(v, ts) FILTER (p = '00060') AS flow, arg_min(v, ts) FILTER (p = '00065' AND ts >= last_at - INTERVAL 3 HOUR) AS was, min(ts) FILTER (p = '00065' AND ts >= last_at - INTERVAL 3 HOUR) AS first_at, max(ts) FILTER (p = '00065') AS stage_at FROM g GROUP BY u)
+SELECT 'gauge:' || u AS source_event_id, stage, flow, CASE WHEN first_at < stage_at THEN CAST(round(CAST(stage - was AS DECIMAL(18, 6)), 2) AS DOUBLE) END AS rise, CASE WHEN first_at < stage_at AND stage > was THEN 'usgs_provisional,stage_rising' ELSE 'usgs_provisional' END AS flags FROM s""")
+def feed_gauges(spark: SparkSession, sf: str) -> DataFrame:
+    """Stream gauges: last stage and flow, the rise of three hours; readings that stand for no data are left out."""
+    k, u, _, _, cents = _columns()
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    made = _payloads(
+        spark, sf, '{"sourceInfo":{"siteCode":[{"value":"', u, '"}],"siteName":"Creek","geoLocation":{"geogLocation":{"latitude":32.6,"longitude":-85.5}}},"variable":{"variableCode":[{"value":"', F.when(k % 2 == 0, "00065").otherwise("00060"),
+        '"}]},"values":[{"value":[{"dateTime":"', at, '","value":"', F.when(k % 6 == 0, "-999999").otherwise((cents / 100).cast("string")), '"}]}]}',
+    )
+    found = feeds.gauges(made, _now())
+    value = lambda n: F.get_json_object("attributes", f"$.{n}").cast("double")
+    return found.select("source_event_id", value("gageHeightFt").alias("stage"), value("dischargeCfs").alias("flow"), value("riseFt").alias("rise"), F.array_join("quality_flags", ",").alias("flags"))
+
+
+@query(f"""WITH {EVENTS} SELECT 'a' || id AS alert_id, CASE WHEN k % 2 = 0 THEN 'Flood ' || k ELSE 'Weather alert' END AS event_name, CASE WHEN k % 3 = 0 THEN 'Severe' ELSE 'Unknown' END AS severity, CASE WHEN k % 4 = 0 THEN 'published' ELSE 'operating-box' END AS geometry_source,
+  k % 4 = 0 AS own FROM e WHERE k % 5 <> 0 AND k % 7 <> 1""")
+def alert_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts in force as shapes of a map; one without a polygon gets that of the operating area."""
+    k, _, id, _, _ = _columns()
+    made = _payloads(
+        spark, sf, '{"properties":{"id":"a', id, '","status":"', F.when(k % 5 == 0, "Test").otherwise("Actual"), '","messageType":"', F.when(k % 7 == 1, "Cancel").otherwise("Alert"), '","event":', F.when(k % 2 == 0, F.concat(F.lit('"Flood '), k, F.lit('"'))),
+        ',"severity":', F.when(k % 3 == 0, '"Severe"'), ',"geocode":{"UGC":["', F.lit(feeds.ZONES[0]), '"]}},"geometry":', F.when(k % 4 == 0, '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}').when(k % 4 == 1, '{"type":"Point","coordinates":[0,0]}'), "}",
+    )
+    found = feeds.alert_overlay(made, _now())
+    own = F.get_json_object("geometry", "$.coordinates[0][1][0]") == "1"
+    return found.select("alert_id", "event_name", "severity", "geometry_source", own.alias("own"))
+
+
+@query(f"""WITH {EVENTS} SELECT 'message_sign' AS layer, count(*) AS n FROM e WHERE k % 4 <> 1 UNION ALL SELECT 'travel_time', count(*) FROM e WHERE k % 3 = 0 UNION ALL SELECT 'traffic_event', count(*) FROM e WHERE k % 2 = 0""")
+def feed_of_three_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Events, travel times and signs as one feed, by layer."""
+    k, _, id, _, _ = _columns()
+    events = _payloads(spark, sf, '{"id":', id, ',"type":"Crash","startLocation":{"latitude":', F.when(k % 2 == 0, "32.6").otherwise("50"), ',"longitude":-85.5}}')
+    times = _payloads(spark, sf, '{"id":', id, ',"name":"', F.when(k % 3 == 0, feeds.CORRIDOR_NAMES[0]).otherwise("elsewhere"), '"}')
+    found = feeds.traffic(events, times, _signs(spark, sf), _now())
+    return found.groupBy(F.get_json_object("attributes", "$.layer").alias("layer")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {EVENTS} SELECT 'usgs-natural-hazards-v1#quake:q' || id AS evidence_id, 'usgs-quake:q' || id AS external_key, CASE WHEN k % 8 >= 5.5 THEN 'critical' ELSE 'high' END AS severity FROM e WHERE k % 4 <> 0 AND k % 8 >= 4""")
+def rule_hits_of_a_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """A feed's observations as evidence, judged by the rules of a pack."""
+    k, _, id, ms, _ = _columns()
+    made = _payloads(spark, sf, '{"id":"q', id, '","properties":{"type":"', F.when(k % 4 == 0, "quarry blast").otherwise("earthquake"), '","mag":', k % 8, ',"time":', ms, '},"geometry":{"coordinates":[-85.5,32.6,1]}}')
+    rules = seeds.rules(spark, "severe_weather").select("rule_code", "connector_code", "severity")
+    return detection.hits(rules, canonical.for_detection(feeds.quakes(made, _now())), as_of()).select("evidence_id", "external_key", "severity")
+
+
+_FEED_OF = {"click": "aldot-algo-traffic-v1", "error": "tomtom-traffic-flow-v1", "purchase": "nws-weather-alerts-v1", "signup": "usgs-natural-hazards-v1", "view": "coa-road-closures-v1"}
+
+
+@query(f"""WITH {EV}, m(connector_code, rule_code) AS (VALUES ('click', 'algo-crash'), ('click', 'algo-incident'), ('click', 'algo-corridor-congestion'), ('view', 'city-restriction-in-effect'), ('error', 'tomtom-corridor-degraded'), ('purchase', 'nws-alert-active'), ('signup', 'usgs-stream-rapid-rise'))
+SELECT rule_code, count(*) AS n FROM ev JOIN m ON m.connector_code = ev.connector_code GROUP BY 1""")
+def evidence_of_seeded_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """How much evidence the rules of a seeded pack look at."""
+    feed = F.create_map(*[F.lit(x) for pair in _FEED_OF.items() for x in pair])
+    rows = evidence(spark, sf).select(F.element_at(feed, F.col("connector_code")).alias("connector_code"))
+    return rows.groupBy("connector_code").agg(F.count(F.lit(1)).alias("n")).join(seeds.rules(spark, "road_closure"), "connector_code").select("rule_code", "n")
