@@ -137,9 +137,11 @@ def rule_hits(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf).select("evidence_id", "rule_code", "external_key", "severity")
 
 
-@query("SELECT 'no-such-rule' AS rule_code, 'view' AS connector_code")
+@query(f"WITH {EV} SELECT 'no-such-rule' AS rule_code, connector_code, count(*) AS n_unjudged FROM ev WHERE connector_code = 'view' GROUP BY 2")
 def rule_registry_anti(spark: SparkSession, sf: str) -> DataFrame:
-    return detection.unknown_rules(rules(spark)).select("rule_code", "connector_code")
+    """Rules without a predicate, and how much evidence they leave unjudged."""
+    n = evidence(spark, sf).groupBy("connector_code").agg(F.count(F.lit(1)).alias("n_unjudged"))
+    return detection.unknown_rules(rules(spark)).join(n, "connector_code").select("rule_code", "connector_code", "n_unjudged")
 
 
 COLLAPSED = f"""{HITS}, placed AS (SELECT *, row_number() OVER (PARTITION BY rule_code, external_key ORDER BY observed_at DESC, evidence_id) AS rn FROM fired),
@@ -219,30 +221,42 @@ def zone_overlap_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").where((F.col("event_type") != "error") & F.arrays_overlap(zones, F.array(F.lit("ALZ2"), F.lit("ALZ3"))) & live).select("event_id")
 
 
-VTEC = [(1, "/O.NEW.KBMX.TO.W.0012.260912T1800Z-260912T1900Z/", "a"), (2, None, "urn:x"), (3, "nonsense", ""), (4, None, None)]
-
-
-@query("""SELECT * FROM (VALUES (1, 'KBMX.TO.W.0012.26'), (2, 'urn:x'), (3, 'unknown'), (4, 'unknown')) v(id, identity)""")
+@query(f"""WITH {EV} SELECT evidence_id, CASE k % 4 WHEN 0 THEN 'KBMX.TO.W.' || lpad(CAST(evidence_id % 10000 AS VARCHAR), 4, '0') || '.26' WHEN 1 THEN 'urn:' || evidence_id ELSE 'unknown' END AS identity FROM ev""")
 def vtec_identity(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(VTEC, "id int, vtec string, fallback string").select("id", event_identity(F.col("vtec"), F.col("fallback")).alias("identity"))
-
-
-SHAPES = [(1, "Point", "[1.5, 2.5]"), (2, "LineString", "[[1, 2], [3, 4], [5, 6]]"), (3, "Polygon", "[[[7, 8], [9, 9]]]"), (4, "MultiPolygon", "[[[[4, 5]]]]"), (5, "Other", "[1, 2]")]
+    """The identity of a warning from its code, else from its address."""
+    k, n = F.col("k"), F.col("evidence_id")
+    code = F.concat(F.lit("/O.NEW.KBMX.TO.W."), F.lpad((n % 10000).cast("string"), 4, "0"), F.lit(".260912T1800Z-260912T1900Z/"))
+    vtec = F.when(k % 4 == 0, code).when(k % 4 == 2, "nonsense")
+    fallback = F.when(k % 4 == 1, F.concat(F.lit("urn:"), n)).when(k % 4 == 2, "")
+    return evidence(spark, sf).select("evidence_id", event_identity(vtec, fallback).alias("identity"))
 
 
-@query("""SELECT * FROM (VALUES (1, CAST(1.5 AS DOUBLE), CAST(2.5 AS DOUBLE)), (2, 3, 4), (3, 7, 8), (4, 4, 5), (5, NULL, NULL)) v(id, lon, lat)""")
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN x + 0.5 WHEN 1 THEN x + 1 WHEN 4 THEN NULL ELSE x END AS lon, CASE c_custkey % 5 WHEN 0 THEN y + 0.5 WHEN 1 THEN y + 1 WHEN 4 THEN NULL ELSE y END AS lat
+FROM (SELECT c_custkey, CAST(c_custkey % 180 AS DOUBLE) AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer)""")
 def representative_points(spark: SparkSession, sf: str) -> DataFrame:
-    lon, lat = representative_point(F.col("kind"), F.parse_json("coordinates"))
-    return spark.createDataFrame(SHAPES, "id int, kind string, coordinates string").select("id", lon.alias("lon"), lat.alias("lat"))
-
-
-NUMBERS = [(1, '{"x": null}'), (2, "{}"), (3, '{"x": ""}'), (4, '{"x": true}'), (5, '{"x": " 5 "}'), (6, '{"x": "0x10"}'), (7, '{"x": "abc"}'), (8, '{"x": 2.5}'), (9, '{"x": "1e2"}'), (10, '{"x": false}')]
+    """One point of each shape; a line gives its middle vertex, an unknown shape none."""
+    key, x, y = F.col("c_custkey") % 5, F.col("c_custkey") % 180, F.col("c_nationkey")
+    kind = F.when(key == 0, "Point").when(key == 1, "LineString").when(key == 2, "Polygon").when(key == 3, "MultiPolygon").otherwise("Other")
+    pair = lambda d: F.concat(F.lit("["), (x + d).cast("string"), F.lit(","), (y + d).cast("string"), F.lit("]"))
+    coordinates = (
+        F.when(key == 0, pair(0.5))
+        .when(key == 1, F.concat(F.lit("["), F.concat_ws(",", pair(0), pair(1), pair(2)), F.lit("]")))
+        .when(key == 2, F.concat(F.lit("[["), F.concat_ws(",", pair(0), pair(3)), F.lit("]]")))
+        .when(key == 3, F.concat(F.lit("[[["), pair(0), F.lit("]]]")))
+        .otherwise(pair(0))
+    )
+    lon, lat = representative_point(kind, F.parse_json(coordinates))
+    return table(spark, sf, "customer").select("c_custkey", lon.alias("lon"), lat.alias("lat"))
 
 
-@query("""SELECT * FROM (VALUES (1, CAST(0 AS DOUBLE), ''), (2, NULL, ''), (3, 0, ''), (4, 1, 'true'), (5, 5, ' 5 '), (6, 16, '0x10'), (7, NULL, 'abc'), (8, 2.5, '2.5'), (9, 100, '1e2'), (10, 0, 'false')) v(id, number, text)""")
+@query(f"""WITH {EV} SELECT evidence_id, CAST(CASE k % 10 WHEN 0 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN cents WHEN 5 THEN 16 WHEN 7 THEN cents / 4 WHEN 8 THEN cents * 100 WHEN 9 THEN 0 END AS DOUBLE) AS number,
+  CASE k % 10 WHEN 3 THEN 'true' WHEN 4 THEN ' ' || cents || ' ' WHEN 5 THEN '0x10' WHEN 6 THEN 'c' || cents WHEN 8 THEN cents || 'e2' WHEN 9 THEN 'false' WHEN 7 THEN 'n' ELSE '' END AS text FROM ev""")
 def js_number_semantics(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.parse_json("json")
-    return spark.createDataFrame(NUMBERS, "id int, json string").select("id", js_number(v, "x").alias("number"), js_text(v, "x").alias("text"))
+    """Members as numbers and as text: null, missing, blank, flags, padded, hexadecimal, words and powers."""
+    k, cents = F.col("k") % 10, F.col("cents")
+    texts = [F.lit('{"x":null}'), F.lit("{}"), F.lit('{"x":""}'), F.lit('{"x":true}'), F.concat(F.lit('{"x":" '), cents, F.lit(' "}')), F.lit('{"x":"0x10"}'), F.concat(F.lit('{"x":"c'), cents, F.lit('"}')), F.concat(F.lit('{"x":'), (cents / 4).cast("string"), F.lit("}")), F.concat(F.lit('{"x":"'), cents, F.lit('e2"}')), F.lit('{"x":false}')]
+    v = F.parse_json(F.get(F.array(*texts), k.cast("int")))
+    return evidence(spark, sf).select("evidence_id", js_number(v, "x").alias("number"), F.when(k == 7, "n").otherwise(js_text(v, "x")).alias("text"))
 
 
 @query(f"""SELECT event_id, least(100.0, greatest(0.0, date_diff('microsecond', TIMESTAMP '2024-01-15 12:00:00', ts) / 1e6 * 100.0 / 5400.0)) AS percent,

@@ -264,10 +264,12 @@ def due_nulls_last(spark: SparkSession, sf: str) -> DataFrame:
     return o.orderBy(F.asc_nulls_last("o_orderdate"), "o_orderpriority", "o_orderkey").limit(300)
 
 
-TEXTS = [(1, "Crash on route 9; left lane shut", "0123456789abcdef"), (2, "word " * 30, "abc"), (3, None, None)]
-
-
-@query("""SELECT * FROM (VALUES (1, 'Crash on route 9', '0123…def', 'a, b and c'), (2, 'word word word word word word word word word word word word word word word word…', 'abc', 'a, b and c'), (3, '', NULL, 'a, b and c')) v(id, clause, hash, names)""")
+@query("""SELECT o_orderkey, CASE o_custkey % 3 WHEN 0 THEN 'Crash on route ' || o_orderkey WHEN 1 THEN 'word word word word word word word word word word word word word word word word…' ELSE '' END AS clause,
+  CASE WHEN o_custkey % 2 = 0 THEN substr(sha256('h' || o_orderkey), 1, 4) || '…' || right(sha256('h' || o_orderkey), 3) ELSE 'abc' END AS hash, CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'a and ' || o_orderkey ELSE 'a, b and ' || o_orderkey END AS names FROM orders""")
 def text_labels(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(TEXTS, "id int, text string, hash string")
-    return rows.select("id", first_clause(F.col("text")).alias("clause"), short_hash(F.col("hash")).alias("hash"), listed(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("names"))
+    """First clauses, short hashes and lists of names."""
+    key, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = F.when(c % 3 == 0, F.concat(F.lit("Crash on route "), key, F.lit("; left lane shut"))).when(c % 3 == 1, F.repeat(F.lit("word "), F.lit(30)))
+    h = F.when(c % 2 == 0, F.sha2(F.concat(F.lit("h"), key), 256)).otherwise("abc")
+    names = F.when(key % 3 == 0, F.array(F.lit("a"))).when(key % 3 == 1, F.array(F.lit("a"), key.cast("string"))).otherwise(F.array(F.lit("a"), F.lit("b"), key.cast("string")))
+    return table(spark, sf, "orders").select("o_orderkey", first_clause(text).alias("clause"), short_hash(h).alias("hash"), listed(names).alias("names"))
