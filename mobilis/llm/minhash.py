@@ -250,22 +250,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("the bands are laid out for similarities of 0.8 or more")
     sig = stored(signatures(docs, id_col, text_col))
     full = sig.where("class IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stored(full.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
+    classes = stored(full.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")))
+    told = classes.agg(F.count(F.lit(1)).alias("classes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
     # an id that repeats with different texts stands for several classes, which then share a component
-    names = classes.select("class", F.col("first_id").alias("rep"))
+    names = classes.select("class", F.col("first_id").alias("rep"), "copies")
     keyed = classes.select(F.col("first_id").alias("rep"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = joined_to_unique(keyed, shared.withColumn("size", F.col("n")), "key", "n", BANDS * classes.count()).join(classes.select(F.col("first_id").alias("rep"), "bits"), "rep")
+    members = joined_to_unique(keyed, shared.withColumn("size", F.col("n")), "key", "n", BANDS * told["classes"]).join(classes.select(F.col("first_id").alias("rep"), "bits"), "rep")
     dealt = dealt_in_blocks(members, "key", "rep", "size", BUCKET_BLOCK)
     close = map_groups(dealt.select("key", "i", "j", "own", "rep", "bits"), ["key", "i", "j"], _bucket_forests(percent / 100 - MARGIN), "a long, b long")
     families = components(close, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("family"))
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.col("n"))
-    wanted = stored(joined_to_unique(families, sizes, "family", "n", families.count()).join(names, "rep"))
+    wanted = stored(joined_to_unique(families, sizes, "family", "n", families.count()).join(names.drop("copies"), "rep"))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
     met = dealt_in_blocks(maybe_in(texts, wanted, "rep").join(wanted, "rep"), "family", "rep", "size", FAMILY_BLOCK)
     links = map_groups(met.select("family", "i", "j", "own", "rep", "class", "text"), ["family", "i", "j"], _family_forests(percent), "a long, b long")
     found = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
-    labels = names.join(found, "rep", "left").select("class", F.coalesce("component", "rep").alias("root"))
-    out = sig.select("doc_id", "n_shingles", "class").join(labels, "class", "left")
+    labels = stored(names.join(found, "rep", "left").select("class", "copies", F.coalesce("component", "rep").alias("root")))
+    # a class may have any part of the rows; rows without a class or an id have no root to meet
+    rows = sig.select("doc_id", "n_shingles", "class")
+    met = joined_to_unique(rows.where("class IS NOT NULL AND doc_id IS NOT NULL"), labels, "class", "copies", told["rows"])
+    out = met.unionByName(rows.where("class IS NULL OR doc_id IS NULL").withColumn("root", F.lit(None).cast("long")))
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
