@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mobilis.llm.shared import stored
+from mobilis.llm.shared import joined_to_unique, stored
 from mobilis.llm.tokens import ID, encoder
 
 WINDOW, ZERO_BITS, LEAST, MOST = 8, 8, 64, 1024
@@ -223,6 +223,11 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, n_ids long, chunks array<binary>, root binary").parquet(f"{path}/recipes")
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Recipes with a number: the same files are split in the same way, so a plan that reads them twice finds the same."""
+    return _recipes(spark, path).withColumn("row", F.monotonically_increasing_id())
+
+
 def _manifest(recipes: DataFrame) -> DataFrame:
     """file, root, n_documents, n_ids, first_doc, last_doc of each file of recipes.
 
@@ -289,6 +294,18 @@ def _checked_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/chunks").select("key", "n_ids", "body").mapInArrow(run, "key binary, n long, crc long")
 
 
+def _met(uses: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Uses (key, ...) with what their chunks hold, null where one is missing.
+
+    A chunk may have any part of the uses (that of all empty documents, or of a page
+    copied often): such chunks meet theirs by a broadcast, at most a thousand of them,
+    each of bounded size.
+    """
+    counts = stored(uses.groupBy("key").agg(F.count(F.lit(1)).alias("n_uses")))
+    total = counts.agg(F.coalesce(F.sum("n_uses"), F.lit(0))).first()[0]
+    return joined_to_unique(uses, counts.join(chunks, "key", "left"), "key", "n_uses", total)
+
+
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files.
 
@@ -297,9 +314,8 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
     Merkle root fails the job.
     """
     verify(spark, path)
-    numbered = _recipes(spark, path).withColumn("row", F.monotonically_increasing_id())
-    uses = numbered.select("row", "doc_id", "n_ids", "root", F.posexplode("chunks").alias("pos", "key"))
-    met = uses.join(_checked_chunks(spark, path).hint("merge"), "key", "left")
+    uses = _numbered(spark, path).select("row", "doc_id", "n_ids", "root", F.posexplode("chunks").alias("pos", "key"))
+    met = _met(uses, stored(_checked_chunks(spark, path)))  # decoded once; a key, a length and a checksum each
     listed = met.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_ids").alias("n_ids"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("pos", "key", "n", "crc"))).alias("parts")
     )
@@ -327,9 +343,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     A missing or altered chunk or file fails the job as in :func:`read_summary`.
     """
     verify(spark, path)
-    numbered = _recipes(spark, path).withColumn("row", F.monotonically_increasing_id())
-    uses = numbered.select("row", "doc_id", "n_ids", F.posexplode("chunks").alias("pos", "key"))
-    met = uses.join(spark.read.parquet(f"{path}/chunks").select("key", F.col("n_ids").alias("n"), "body"), "key", "left")
+    uses = _numbered(spark, path).select("row", "doc_id", "n_ids", F.posexplode("chunks").alias("pos", "key"))
+    met = _met(uses, spark.read.parquet(f"{path}/chunks").select("key", F.col("n_ids").alias("n"), "body"))
     listed = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_ids").alias("n_ids"), F.array_sort(F.collect_list(F.struct("pos", "key", "n", "body"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
