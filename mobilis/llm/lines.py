@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from mobilis.llm.shared import joined_to_unique, stored, tidy
 
-LEAST_WORDS = 25
+#: Units of fewer words are let alone; 1 leaves none alone.
+LEAST_WORDS = 1
 #: Words in a row, of sentences that all occur elsewhere, that make a repeated passage.
 RUN_WORDS = 30
 #: Bytes of a digest: some 10^12 units have a pair of equal ones by chance with probability 1e-5.
