@@ -11,10 +11,11 @@ fold over its slots) and every document computes its slot from its block number:
 task sees a whole source.  The period has at least ``PERIOD`` slots, and
 ``SOURCE_SLOTS`` for each source, so that rounding moves no more than
 1 / ``SOURCE_SLOTS`` of the text from one source to others, however many there are.
-Beyond ``GROUP_SOURCES`` sources a hash deals them to groups: groups are scheduled
-among each other by their weights, and each group's slots among its sources, so a
-fold stays bounded; a source is then less than two blocks from its share.  Where a
-source ends its slots stay empty, and the others go on in proportion to their weights.
+A fold has about ``GROUP_SOURCES`` members.  More sources are dealt to groups by a hash,
+groups to groups of groups, and so on up to one; the members of each are scheduled among
+each other by their weights, so every fold stays bounded however many sources there are,
+and with ``l`` levels a source is less than ``l`` blocks from its share.  Where a source
+ends its slots stay empty, and the others go on in proportion to their weights.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ BLOCK_UNITS = 65_536
 PERIOD = 1000
 SOURCE_SLOTS = 50
 GROUP_SOURCES = 500
-#: Up to so many sources the tables with a row a slot are broadcast (a few MB); beyond, Spark chooses the join.
-FEW_SOURCES = 2000
 
 
 def shares(weights: DataFrame, period: int = PERIOD) -> DataFrame:
@@ -61,9 +60,31 @@ def schedule(shared: DataFrame) -> DataFrame:
     return slots.withColumn("k", k)
 
 
-def _slot(number: Column, n: str, period: str, at: str) -> Column:
-    """The slot of block ``number`` from where its place in the period runs."""
-    return F.floor(number / F.col(n)) * F.col(period) + F.col(at)
+def _levels(wanted: DataFrame, n_sources: int, period: int) -> tuple[DataFrame, int]:
+    """source and, for each level from its group up, ``n<l>``, ``period<l>`` and ``at<l>``: the slots of its unit in order.
+
+    The unit of the first level is the source itself, that of the next its group.
+    """
+    units, teams, names, level = wanted, n_sources, wanted.select("source"), 0
+    while level == 0 or teams > 1:
+        teams = math.ceil(teams / GROUP_SOURCES) or 1
+        level += 1
+        dealt = stored(units.withColumn("team", F.pmod(F.xxhash64(F.lit("team"), "source"), F.lit(teams))))
+        runs = schedule(shares(dealt, period)).groupBy("team", "source").agg(F.first("n").alias(f"n{level}"), F.first("period").alias(f"period{level}"), F.array_sort(F.collect_list("slot")).alias(f"at{level}"))
+        key = "source" if level == 1 else f"team{level - 1}"
+        table = runs.select(F.col("source").alias("_unit"), F.col("team").alias(f"team{level}"), f"n{level}", f"period{level}", f"at{level}")
+        names = stored(names.join(table, F.col(key).eqNullSafe(F.col("_unit"))).drop("_unit"))
+        units = dealt.groupBy(F.col("team").alias("source")).agg(F.sum("weight").alias("weight"))
+    return names, level
+
+
+def _slots(block: Column, levels: int) -> Column:
+    """The slot of a block: its place in its group, the place of that in the next group, and so on."""
+    turn = block
+    for k in range(1, levels + 1):
+        n, at = F.col(f"n{k}"), F.col(f"at{k}")
+        turn = F.floor(turn / n) * F.col(f"period{k}") + F.get(at, F.pmod(turn, n).cast("int"))
+    return turn
 
 
 def mix(
@@ -83,9 +104,9 @@ def mix(
     then doc_id; its block is the one its first character lies in.  Ordered by
     (slot, unit_start) the rows are the mixed corpus; none is dropped or repeated.
     Documents stay whole, so where a cut of that order lies a source may be ahead or
-    behind by a block and the length of its longest document (twice a block with
-    more than ``GROUP_SOURCES`` sources); release and deadline count the slots of the
-    source's group, of all sources where there is one group.
+    behind by a block for each level of groups and the length of its longest document;
+    release and deadline count the slots of the source's group, of all sources where
+    there is one group.
     ``weights`` has source and weight; a source it does not name has the least
     weight named.  Without it a weight is the source's characters to ``power``.  A
     null source is a source, a null or empty text has no characters, rows that
@@ -109,33 +130,20 @@ def mix(
         given = weights.groupBy(F.col("source").alias("named")).agg(F.max(F.col("weight").cast("double")).alias("weight")).where("weight > 0")
         least = given.agg(F.coalesce(F.min("weight"), F.lit(1.0)).alias("least"))
         wanted = sized.join(given, F.col("source").eqNullSafe(F.col("named")), "left").join(F.broadcast(least)).select("source", F.coalesce("weight", "least").alias("weight"))
-    n_sources = sized.count()
-    teams = max(1, math.ceil(n_sources / GROUP_SOURCES))
-    small = F.broadcast if n_sources <= FEW_SOURCES else (lambda df: df)
-    dealt = wanted.withColumn("team", F.pmod(F.xxhash64(F.lit("team"), "source"), F.lit(teams)))
-    table = stored(schedule(shares(dealt, period)).select("team", F.col("source").alias("of"), "n", "period", "k", "slot"))
-    among = dealt.groupBy(F.lit(0).alias("team"), F.col("team").alias("source")).agg(F.sum("weight").alias("weight"))
-    turns = stored(schedule(shares(among, period)).select(F.col("source").alias("in_team"), F.col("n").alias("team_n"), F.col("period").alias("team_period"), F.col("k").alias("team_k"), F.col("slot").alias("team_at")))
-    quotas = table.where("k = 0").select("of", "team", "n", "period").join(turns.where("team_k = 0").select(F.col("in_team").alias("team"), "team_n", "team_period"), "team")
-    # a partition of the range shuffle ends inside at most one source: at most a row a source and one a partition
-    placed = local.join(small(bases.select(F.col("source").alias("of"), F.col("part").alias("in"), "base")), F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in"))).drop("of", "in")
-    started = (
-        placed.withColumn("unit_start", F.col("base") + F.col("local"))
-        .withColumn("block", F.floor(F.col("unit_start") / block_units))
-        .join(small(quotas), F.col("source").eqNullSafe(F.col("of")))
-        .drop("of")
-    )
-    slots = small(table.select("of", "k", F.col("slot").alias("at")))
-    met = started.join(slots, F.col("source").eqNullSafe(F.col("of")) & (F.pmod("block", "n") == F.col("k"))).withColumn("turn", _slot(F.col("block"), "n", "period", "at"))
-    met = met.join(small(turns.select("in_team", "team_k", "team_at")), (F.col("team") == F.col("in_team")) & (F.pmod("turn", "team_n") == F.col("team_k")))
-    return met.select(
+    quotas, levels = _levels(wanted, sized.count(), period)
+    # a partition of the range shuffle ends inside at most one source: a row a source and one a partition, so
+    # that documents meet the slots of their source part by part, and no source meets them in one task
+    facts = stored(bases.join(quotas.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select("of", F.col("part").alias("in"), "base", *[c for c in quotas.columns if c != "source"]))
+    placed = local.join(facts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")))
+    started = placed.withColumn("unit_start", F.col("base") + F.col("local")).withColumn("block", F.floor(F.col("unit_start") / block_units))
+    return started.select(
         "doc_id",
         "source",
         "unit_start",
         "block",
-        F.floor(F.col("block") * F.col("period") / F.col("n")).alias("release"),
-        F.ceil((F.col("block") + 1) * F.col("period") / F.col("n")).alias("deadline"),
-        _slot(F.col("turn"), "team_n", "team_period", "team_at").alias("slot"),
+        F.floor(F.col("block") * F.col("period1") / F.col("n1")).alias("release"),
+        F.ceil((F.col("block") + 1) * F.col("period1") / F.col("n1")).alias("deadline"),
+        _slots(F.col("block"), levels).alias("slot"),
     )
 
 
