@@ -7,9 +7,13 @@ template's length, across line ends, so a header counts wherever it stands.  Of
 template the heaviest terms are its anchors, as many as it takes until the others alone
 cannot reach the threshold: windows without any are passed over, which loses none.
 
-A document that is little but a licence, or opens with the heading of a long one, is a
-licence file: it licenses its directory, and documents without a licence of their own
-take that of their nearest directory upwards.
+Bags of words do not tell versions and variants apart, so a few terms decide: a window
+counts only if it has the version and the variant words of the template, none that the
+template lacks, and no negation in it or right before the statement.
+
+A document that holds a licence and hardly a word more, or opens with the heading of a
+long one, is a licence file: it licenses its directory, and documents without a licence
+of their own take that of their nearest directory upwards.
 """
 
 from __future__ import annotations
@@ -57,7 +61,13 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "BSL-1.0": [
+        "Licensed under the Boost Software License, Version 1.0",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"],
     "EPL-2.0": [
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
@@ -82,6 +92,14 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     "LGPL-2.1": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ],
+    "LGPL-3.0": [
+        "This library is licensed under the GNU Lesser General Public License, version 3",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
     ],
     "MIT": [
         "Released under the MIT License",
@@ -116,11 +134,19 @@ OPENINGS = {
     "GPL-2.0": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
     "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
     "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
     "MPL-2.0": ["Mozilla Public License Version 2.0"],
 }
 THRESHOLD = 0.75
 #: Terms among which the heading of a licence file stands.
 OPENING_TERMS = 12
+#: Terms that a licence file may have besides its licence: a title, a year, a holder.
+OTHER_TERMS = 12
+#: Words that tell variants of a licence apart, the numbers that tell versions, and the families that have any.
+VARIANTS = frozenset({"affero", "lesser", "lgpl", "agpl", "noncommercial", "nc", "sharealike", "sa", "noderivatives", "nd", "boost", "bsl"})
+VERSIONS = frozenset({"1", "2", "3", "4"})
+VERSIONED = ("AGPL", "Apache", "BSL", "CC", "EPL", "GPL", "LGPL", "MPL")
+NEGATIONS = frozenset({"not", "never", "no", "neither", "isn", "aren", "without"})
 _TERM = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
 _BETWEEN = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 
@@ -177,6 +203,8 @@ class Form:
     length: int
     vector: dict[str, float]
     anchors: frozenset[str]
+    required: frozenset[str]
+    excluded: frozenset[str]
 
 
 @dataclass
@@ -187,6 +215,12 @@ class Weights:
     anchors: list[str]
 
 
+def deciding(name: str, own: list[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """The terms that a window must have to state a licence as a template does, and those that it must not have."""
+    telling = VARIANTS | (VERSIONS if name.startswith(VERSIONED) else frozenset())
+    return telling & set(own), (telling | NEGATIONS) - set(own)
+
+
 def weigh(n: int, counts: dict[str, int], threshold: float) -> Weights:
     rarity = {t: 1 + math.log((n + 1) / (counts.get(t, 0) + 1)) for t in _vocabulary()}
     forms = []
@@ -200,8 +234,8 @@ def weigh(n: int, counts: dict[str, int], threshold: float) -> Weights:
                 break
             anchors.add(t)
             left -= v * v
-        forms.append(Form(name, opening, len(own), vector, frozenset(anchors)))
-    return Weights(rarity, 1 + math.log(n + 1), forms, sorted({t for f in forms for t in f.anchors}))
+        forms.append(Form(name, opening, len(own), vector, frozenset(anchors), *deciding(name, own)))
+    return Weights(rarity, 1 + math.log(n + 1), sorted(forms, key=lambda f: f.name), sorted({t for f in forms for t in f.anchors}))
 
 
 def cosine(words: list[str], form: Form, w: Weights) -> float:
@@ -226,48 +260,71 @@ def _stretches(at: list[int], length: int, n: int) -> Iterator[tuple[int, int]]:
         yield first, last
 
 
+def _denied(words: list[str], start: int, form: Form) -> bool:
+    """Whether one of the two terms before the statement is a negation.
+
+    A window may begin inside the statement, so terms of the form that lead up to it belong to it.
+    """
+    stop = max(0, start - form.length)
+    while start > stop and words[start - 1] in form.vector and words[start - 1] not in NEGATIONS:
+        start -= 1
+    return any(t in NEGATIONS for t in words[max(0, start - 2) : start])
+
+
+def admitted(words: list[str], start: int, size: int, form: Form) -> bool:
+    """Whether a window may state what the form states: versions and variants as in it, no negation."""
+    own = set(words[start : start + size])
+    return form.required <= own and not form.excluded & own and not _denied(words, start, form)
+
+
 def best_window(words: list[str], at: list[int], form: Form, w: Weights) -> tuple[float, int]:
-    """The highest cosine of a window of the form's length that holds one of the positions, and its start."""
+    """The highest cosine of an admitted window of the form's length that holds one of the positions, and its start."""
     n, size = len(words), form.length
     if n <= size:
-        return (cosine(words, form, w), 0) if at else (0.0, 0)
-    best, where = 0.0, 0
+        return (cosine(words, form, w), 0) if at and admitted(words, 0, n, form) else (0.0, 0)
+    best, where = 0.0, -1
+    rarity, vector, unseen = w.rarity, form.vector, w.unseen
     for first, last in _stretches(at, size, n):
         count = Counter(words[first : first + size])
-        dot = sum(form.vector.get(t, 0.0) * k * w.rarity.get(t, w.unseen) for t, k in count.items())
-        square = sum((k * w.rarity.get(t, w.unseen)) ** 2 for t, k in count.items())
+        dot = sum(vector.get(t, 0.0) * k * rarity.get(t, unseen) for t, k in count.items())
+        square = sum((k * rarity.get(t, unseen)) ** 2 for t, k in count.items())
         for start in range(first, last + 1):
             if start > first:
-                for t, step in ((words[start - 1], -1), (words[start + size - 1], 1)):
-                    k, r = count[t], w.rarity.get(t, w.unseen)
-                    square += (2 * k * step + 1) * r * r
-                    dot += step * form.vector.get(t, 0.0) * r
-                    count[t] = k + step
-            if dot > 0 and dot * dot > best * best * square * (1 + 1e-12):
+                gone, come = words[start - 1], words[start + size - 1]
+                if gone != come:
+                    for t, step in ((gone, -1), (come, 1)):
+                        k, r = count[t], rarity.get(t, unseen)
+                        square += (2 * k * step + 1) * r * r
+                        dot += step * vector.get(t, 0.0) * r
+                        count[t] = k + step
+            if dot > 0 and dot * dot > best * best * square * (1 + 1e-12) and admitted(words, start, size, form):
                 best, where = dot / math.sqrt(square), start
-    return cosine(words[where : where + size], form, w), where
+    return (cosine(words[where : where + size], form, w), where) if where >= 0 else (0.0, 0)
 
 
 def best_match(text: str, w: Weights, threshold: float) -> tuple[float, str | None, bool]:
-    """Score and name of the best template (the first by name on ties), and whether the text is a licence file."""
+    """Score and name of the best template (of equal ones the longest, then the first by name), and whether the text is a licence file."""
     words = terms(text)
-    known = {t for f in w.forms for t in f.anchors}
+    known = set(w.anchors)
     positions: dict[str, list[int]] = {}
     for k, t in enumerate(words):
         if t in known:
             positions.setdefault(t, []).append(k)
-    best: tuple[float, str | None] = (0.0, None)
+    best, length, found = 0.0, 0, None
     file = False
-    for form in sorted(w.forms, key=lambda f: f.name) if positions else ():
+    for form in w.forms if positions else ():
         at = sorted(p for t in form.anchors for p in positions.get(t, ()))
         if not at:
             continue
         score, start = best_window(words, at, form, w)
-        whole = cosine(words, form, w)
-        file |= whole >= threshold or form.opening and score >= threshold and start < OPENING_TERMS
-        if max(score, whole) > best[0] + 1e-12:
-            best = (max(score, whole), form.name)
-    return *best, file
+        if len(words) <= form.length + OTHER_TERMS:  # the licence and hardly a word more
+            whole = cosine(words, form, w) if score and admitted(words, 0, len(words), form) else 0.0
+            file |= max(score, whole) >= threshold
+            score = max(score, whole)
+        file |= form.opening and score >= threshold and start < OPENING_TERMS
+        if score > best + 1e-12 or (score > best - 1e-12 and score and form.length > length):
+            best, length, found = score, form.length, form.name
+    return best, found, file
 
 
 def scan(docs: DataFrame, path_col: str, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

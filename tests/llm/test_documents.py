@@ -630,24 +630,35 @@ def test_licenses_as_by_brute_force(spark):
         norm = math.sqrt(sum(v * v for v in raw.values()))
         return {t: v / norm for t, v in raw.items()}
 
-    vectors = [(name, opening, len(own), vector(own)) for name, opening, own in forms]
+    vectors = [(name, opening, own, vector(own)) for name, opening, own in forms]
 
     def cosine(words, of):
         v = vector(words)
         return sum(x * v.get(t, 0.0) for t, x in of.items())
 
+    def fits(words, start, size, name, own):
+        window = set(words[start : start + size])
+        telling = licenses.VARIANTS | (licenses.VERSIONS if name.startswith(licenses.VERSIONED) else set())
+        begin = next((i for i in range(start, max(0, start - len(own)), -1) if words[i - 1] not in own or words[i - 1] in licenses.NEGATIONS), max(0, start - len(own)))
+        return all((t in window) == (t in own) for t in telling) and not any(t in window and t not in own for t in licenses.NEGATIONS) and not any(t in licenses.NEGATIONS for t in words[max(0, begin - 2) : begin])
+
     def judged(text):
         words = licenses.terms(text or "")
-        best, file = (0.0, None), False
-        for name, opening, size, of in sorted(vectors, key=lambda f: f[0]):
+        best, file = (0.0, 0, None), False
+        for name, opening, own, of in sorted(vectors, key=lambda f: f[0]):
             if not words:
                 continue
-            scores = [cosine(words[i : i + size], of) if any(w in of for w in words[i : i + size]) else 0.0 for i in range(max(1, len(words) - size + 1))]
-            whole = cosine(words, of)
-            file |= whole >= licenses.THRESHOLD or (opening and max(scores) >= licenses.THRESHOLD and scores.index(max(scores)) < licenses.OPENING_TERMS)
-            if max(max(scores), whole) > best[0] + 1e-12:
-                best = (max(max(scores), whole), name)
-        return (best[1], round(best[0], 6), file) if best[0] >= licenses.THRESHOLD else (None, None, False)
+            size = len(own)
+            scores = [cosine(words[i : i + size], of) if any(w in of for w in words[i : i + size]) and fits(words, i, size, name, own) else 0.0 for i in range(max(1, len(words) - size + 1))]
+            score, start = max(scores), scores.index(max(scores))
+            if len(words) <= size + 12:
+                whole = cosine(words, of) if score and fits(words, 0, len(words), name, own) else 0.0
+                score = max(score, whole)
+                file |= score >= licenses.THRESHOLD
+            file |= opening and score >= licenses.THRESHOLD and start < licenses.OPENING_TERMS
+            if score > best[0] + 1e-12 or (score > best[0] - 1e-12 and score and size > best[1]):
+                best = (score, size, name)
+        return (best[2], round(best[0], 6), file) if best[0] >= licenses.THRESHOLD else (None, None, False)
 
     own = [(k, path, *judged(t)) for k, t, path in table_]
     grants = {}
@@ -676,6 +687,45 @@ def test_licenses_as_by_brute_force(spark):
     assert len({w[2] for w in want}) > 12 and sum(w[4] for w in want) > 20
 
 
+LGPL = "This library is free software{} you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+#: Texts written by hand, each with the licence that it states.
+STATED = [
+    (LGPL.format(":", ",", "3"), "LGPL-3.0"),
+    (LGPL.format(";", ";", "2.1"), "LGPL-2.1"),
+    (LGPL.format(":", ",", "3").replace("Lesser ", ""), "GPL-3.0"),
+    (LGPL.format(":", ",", "3").replace("Lesser", "Affero"), "AGPL-3.0"),
+    (LGPL.format(";", ";", "2").replace("Lesser ", ""), "GPL-2.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", None),
+    ("This file is not licensed under the Apache License, Version 2.0.", None),
+    ("Never licensed under the Apache License, Version 2.0.", None),
+    ("This file is not " + licenses.STATEMENTS["Apache-2.0"][1].replace("L", "l", 1), None),
+    ("Nothing here is released under the MIT License without consent.", "MIT"),
+    ("This is not released under the MIT License", None),
+    ("Licensed under the Boost Software License, Version 1.0", "BSL-1.0"),
+    ("Licensed under the Apache License, Version 2.0", "Apache-2.0"),
+    ("SPDX-License-Identifier: LGPL-3.0-or-later", "LGPL-3.0"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+    ("// SPDX-License-Identifier: MIT", "MIT"),
+]
+
+
+def test_versions_and_variants_are_told_apart():
+    w = licenses.weigh(10_000, {}, licenses.THRESHOLD)
+    for text, name in STATED:
+        score, found, _ = licenses.best_match(text, w, licenses.THRESHOLD)
+        assert (found if score >= licenses.THRESHOLD else None) == name, text
+        # the same inside a long file, which is then no licence file
+        score, found, file = licenses.best_match("some words of code come first and go on. " * 50 + text + " more words of code follow here. " * 50, w, licenses.THRESHOLD)
+        assert (found if score >= licenses.THRESHOLD else None) == name and not (name and file), text
+    header = licenses.STATEMENTS["Apache-2.0"][1]
+    source = f"# {header}\nimport os\nfor name in os.listdir('.'): print(name.upper(), os.stat(name).st_size, end='')"
+    assert licenses.best_match(source, w, licenses.THRESHOLD)[1:] == ("Apache-2.0", False)
+    assert licenses.best_match(f"Copyright 2020 Somebody\n\n{header}", w, licenses.THRESHOLD)[1:] == ("Apache-2.0", True)
+
+
 def test_whole_licences_license_their_directory(spark):
     mit = licenses.STATEMENTS["MIT"][1]
     made = [(1, f"MIT License\n\nCopyright (c) 2021 Somebody\n\n{mit}", "a/LICENSE"), (2, "code", "a/src/x.py"), (3, f"// {licenses.STATEMENTS['Apache-2.0'][1]}\n\nint main() {{ return 0; }} " + "call(); " * 300, "b/y.c"), (4, "code", "b/z.c")]
@@ -746,6 +796,31 @@ def test_mixing_of_many_sources(spark, monkeypatch):
         assert abs(count[s] - n / 2) < 2 + 0.03 * n
 
 
+def test_mixing_in_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 5)
+    made = spark.range(9000).selectExpr("id AS doc_id", "repeat('x', 100) AS text", "if(id % 3 = 0, 'hot', concat('s', id % 200)) AS source")
+    got = mixing.mix(made, block_units=100).select("source", "slot", "block").collect()
+    assert len({r.slot for r in got}) == len(got) == 9000
+    half = sorted(r.slot for r in got)[4500]
+    count, whole = collections.Counter(r.source for r in got if r.slot < half), collections.Counter(r.source for r in got)
+    for s, n in whole.items():  # a block for each of four levels, and what rounding moves in each
+        assert abs(count[s] - n / 2) < 4 + 0.05 * n
+
+
+def test_a_source_with_most_rows_meets_its_slots_in_many_tasks(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        made = spark.range(40_000).selectExpr("id AS doc_id", "repeat('x', 10) AS text", "if(id % 3 = 0, 'hot', concat('s', id % 50)) AS source")
+        sizes = [r.n for r in mixing.mix(made).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        for name in ("autoBroadcastJoinThreshold", "adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(f"spark.sql.{name}")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes) == 40_000 and max(sizes) < 13_000  # the source alone has 13,334
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(500, k) for k in range(501, 560)]
