@@ -205,6 +205,7 @@ class Form:
     anchors: frozenset[str]
     required: frozenset[str]
     excluded: frozenset[str]
+    negations: int
 
 
 @dataclass
@@ -215,10 +216,14 @@ class Weights:
     anchors: list[str]
 
 
+def _negations(words: list[str]) -> int:
+    return sum(t in NEGATIONS for t in words)
+
+
 def deciding(name: str, own: list[str]) -> tuple[frozenset[str], frozenset[str]]:
     """The terms that a window must have to state a licence as a template does, and those that it must not have."""
     telling = VARIANTS | (VERSIONS if name.startswith(VERSIONED) else frozenset())
-    return telling & set(own), (telling | NEGATIONS) - set(own)
+    return telling & set(own), telling - set(own)
 
 
 def weigh(n: int, counts: dict[str, int], threshold: float) -> Weights:
@@ -234,7 +239,7 @@ def weigh(n: int, counts: dict[str, int], threshold: float) -> Weights:
                 break
             anchors.add(t)
             left -= v * v
-        forms.append(Form(name, opening, len(own), vector, frozenset(anchors), *deciding(name, own)))
+        forms.append(Form(name, opening, len(own), vector, frozenset(anchors), *deciding(name, own), _negations(own)))
     return Weights(rarity, 1 + math.log(n + 1), sorted(forms, key=lambda f: f.name), sorted({t for f in forms for t in f.anchors}))
 
 
@@ -273,8 +278,9 @@ def _denied(words: list[str], start: int, form: Form) -> bool:
 
 def admitted(words: list[str], start: int, size: int, form: Form) -> bool:
     """Whether a window may state what the form states: versions and variants as in it, no negation."""
-    own = set(words[start : start + size])
-    return form.required <= own and not form.excluded & own and not _denied(words, start, form)
+    window = words[start : start + size]
+    own = set(window)
+    return form.required <= own and not form.excluded & own and _negations(window) <= form.negations and not _denied(words, start, form)
 
 
 def best_window(words: list[str], at: list[int], form: Form, w: Weights) -> tuple[float, int]:

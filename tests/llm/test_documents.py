@@ -640,7 +640,7 @@ def test_licenses_as_by_brute_force(spark):
         window = set(words[start : start + size])
         telling = licenses.VARIANTS | (licenses.VERSIONS if name.startswith(licenses.VERSIONED) else set())
         begin = next((i for i in range(start, max(0, start - len(own)), -1) if words[i - 1] not in own or words[i - 1] in licenses.NEGATIONS), max(0, start - len(own)))
-        return all((t in window) == (t in own) for t in telling) and not any(t in window and t not in own for t in licenses.NEGATIONS) and not any(t in licenses.NEGATIONS for t in words[max(0, begin - 2) : begin])
+        return all((t in window) == (t in own) for t in telling) and sum(t in licenses.NEGATIONS for t in words[start : start + size]) <= sum(t in licenses.NEGATIONS for t in own) and not any(t in licenses.NEGATIONS for t in words[max(0, begin - 2) : begin])
 
     def judged(text):
         words = licenses.terms(text or "")
