@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobilis.operators import views
+from mobilis.operators import records, views
 from mobilis.plans.common import AS_OF_TEXT, EV, SOURCES_SQL, as_of, catalogue, evidence, sources, table
 
 Q, SQL, query = catalogue()
@@ -76,12 +76,6 @@ def agency_counters(spark: SparkSession, sf: str) -> DataFrame:
 SELECT o_orderpriority, count(*) AS n_incidents, count(d.first_at) AS n_decided, avg(date_diff('microsecond', o_orderdate, first_at) / 1e6 / 60) AS mean_minutes_to_decision, CAST(sum(seen) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS acknowledged_share
 FROM orders LEFT JOIN d ON l_orderkey = o_orderkey GROUP BY 1""")
 def pilot_measures(spark: SparkSession, sf: str) -> DataFrame:
-    first = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first_at"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") != "N").alias("seen"))
-    met = table(spark, sf, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    minutes = F.timestamp_diff("MICROSECOND", F.col("o_orderdate"), F.col("first_at")) / 1e6 / 60
-    return met.groupBy("o_orderpriority").agg(
-        F.count(F.lit(1)).alias("n_incidents"),
-        F.count("first_at").alias("n_decided"),
-        F.avg(minutes).alias("mean_minutes_to_decision"),
-        (F.sum("seen").cast("double") / F.sum("n").cast("double")).alias("acknowledged_share"),
-    )
+    incidents = table(spark, sf, "orders").select(F.col("o_orderkey").alias("incident_id"), F.col("o_orderdate").alias("detected_at"), "o_orderpriority")
+    decisions = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("incident_id"), F.col("l_shipdate").alias("decided_at"), (F.col("l_returnflag") != "N").alias("acknowledged"))
+    return records.pilot_measures(incidents, decisions, "o_orderpriority")

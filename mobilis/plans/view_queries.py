@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mobilis.functions.text import CONNECTION_LABELS, feed_owners, labelled, named_in, nearest_nice, queue_alert
 from mobilis.functions.time import clock, lag_label, minutes_left, remaining_label
-from mobilis.operators import views
+from mobilis.operators import records, views
 from mobilis.plans.common import AS_OF_TEXT, EV, as_of, catalogue, evidence, table
 from mobilis.plans.evidence_queries import HITS, _hits
 
@@ -17,47 +17,57 @@ Q, SQL, query = catalogue()
 @query("""SELECT o_orderkey, c_name AS owner, n_name AS agency FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal >= 0 LEFT JOIN nation ON n_nationkey = c_nationkey""")
 def event_owner(spark: SparkSession, sf: str) -> DataFrame:
     """Each event with its owner and the owner's agency, where known."""
-    owners = table(spark, sf, "customer").where("c_acctbal >= 0")
-    met = table(spark, sf, "orders").join(owners, F.col("c_custkey") == F.col("o_custkey"), "left").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    return met.select("o_orderkey", F.col("c_name").alias("owner"), F.col("n_name").alias("agency"))
+    principals = table(spark, sf, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("principal_id"), F.col("c_name").alias("display_name"), F.col("c_nationkey").alias("agency_id"))
+    events = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("owner_id"))
+    return records.with_owner(events, principals, _agencies(spark, sf)).drop("owner_id")
+
+
+def _agencies(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("agency_id"), F.col("n_name").alias("agency_name"))
+
+
+def _areas(spark: SparkSession, sf: str) -> DataFrame:
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    return n.join(r, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_nationkey").alias("agency_id"), F.col("n_name").alias("agency"), F.col("r_name").alias("area"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, p_name AS summary, s_name AS source FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey""")
 def recommendation_evidence(spark: SparkSession, sf: str) -> DataFrame:
     l, p, s = (table(spark, sf, t) for t in ("lineitem", "part", "supplier"))
-    met = l.join(p, F.col("p_partkey") == F.col("l_partkey")).join(s, F.col("s_suppkey") == F.col("l_suppkey"))
-    return met.select("l_orderkey", "l_linenumber", F.col("p_name").alias("summary"), F.col("s_name").alias("source"))
+    links = l.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("evidence_id"), F.col("l_suppkey").alias("source_id"))
+    found = records.with_evidence(links, p.select(F.col("p_partkey").alias("evidence_id"), F.col("p_name").alias("summary")), s.select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("name")))
+    return found.drop("evidence_id", "source_id")
 
 
 @query("""SELECT s_suppkey, n_name AS agency, r_name AS area, count(*) OVER (PARTITION BY n_nationkey) AS n_of_agency FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")
 def requirement_agencies(spark: SparkSession, sf: str) -> DataFrame:
-    s, n, r = (table(spark, sf, t) for t in ("supplier", "nation", "region"))
-    counts = s.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_of_agency"))
-    met = s.join(counts, "s_nationkey").join(n, F.col("n_nationkey") == F.col("s_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey"))
-    return met.select("s_suppkey", F.col("n_name").alias("agency"), F.col("r_name").alias("area"), "n_of_agency")
+    requirements = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("agency_id"))
+    return records.with_agency(requirements, _areas(spark, sf)).drop("agency_id")
 
 
 @query("""SELECT l_orderkey, l_linenumber, o_orderpriority, c_name AS actor, n_name AS agency, r_name AS area FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE l_returnflag = 'A'""")
 def decision_trail(spark: SparkSession, sf: str) -> DataFrame:
     """Decisions with their recommendation, actor and agency: a star of five tables."""
-    l, o, c, n, r = (table(spark, sf, t) for t in ("lineitem", "orders", "customer", "nation", "region"))
-    met = l.where("l_returnflag = 'A'").join(o, F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("c_custkey") == F.col("o_custkey"))
-    met = met.join(n, F.col("n_nationkey") == F.col("c_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey"))
-    return met.select("l_orderkey", "l_linenumber", "o_orderpriority", F.col("c_name").alias("actor"), F.col("n_name").alias("agency"), F.col("r_name").alias("area"))
+    l, o, c = (table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
+    decisions = l.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("recommendation_id"), "l_linenumber")
+    recommendations = o.select(F.col("o_orderkey").alias("recommendation_id"), "o_orderpriority", F.col("o_custkey").alias("actor_id"))
+    principals = c.select(F.col("c_custkey").alias("actor_id"), F.col("c_name").alias("actor"), F.col("c_nationkey").alias("agency_id"))
+    found = records.decision_trail(decisions, recommendations, principals, _areas(spark, sf))
+    return found.drop("agency_id", "actor_id").withColumnRenamed("recommendation_id", "l_orderkey")
 
 
 @query("""SELECT o_orderkey, c_name AS incident, coalesce(c_mktsegment, 'none') AS kind FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 <> 0 WHERE o_orderstatus <> 'F'""")
 def queue_related_incident(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").where("c_custkey % 3 <> 0")
-    met = table(spark, sf, "orders").where("o_orderstatus <> 'F'").join(c, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return met.select("o_orderkey", F.col("c_name").alias("incident"), F.coalesce("c_mktsegment", F.lit("none")).alias("kind"))
+    incidents = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("incident_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("kind"))
+    queue = table(spark, sf, "orders").where("o_orderstatus <> 'F'").select("o_orderkey", F.col("o_custkey").alias("incident_id"))
+    return records.with_incident(queue, incidents).drop("incident_id")
 
 
 @query("""SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_shipdate IS NOT NULL AND l_returnflag = 'N') DESC, (l_linestatus = 'O') DESC, l_partkey, l_linenumber) AS place FROM lineitem""")
 def finding_order(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of a recommendation: the composer's first, then those that contributed, then by desk."""
-    order = [F.desc(F.col("l_returnflag") == "N"), F.desc(F.col("l_linestatus") == "O"), "l_partkey", "l_linenumber"]
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).alias("place"))
+    rows = records.findings_in_order(table(spark, sf, "lineitem"), ["l_orderkey"], F.col("l_returnflag") == "N", F.col("l_linestatus") == "O", ["l_partkey", "l_linenumber"])
+    return rows.select("l_orderkey", "l_linenumber", "place")
 
 
 @query("""SELECT n_regionkey AS event_id, n_nationkey AS pack FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY (n_name = 'NATION_7' OR n_name = 'NATION_13') DESC, n_name) AS rn FROM nation) WHERE rn = 1""")
@@ -172,10 +182,39 @@ def dry_run_ids(spark: SparkSession, sf: str) -> DataFrame:
   count(*) FILTER (ts + INTERVAL 6 HOUR <= TIMESTAMP '{AS_OF_TEXT}') AS n_expired FROM events""")
 def rail_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Live and degraded feeds, observations that nothing cites, and recommendations past their six hours."""
-    e, cited = table(spark, sf, "events"), table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("cited"))
-    live = (F.col("event_type") != "error") & (F.col("value") >= 10)
-    counts = e.agg(F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_degraded"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts") + F.expr("INTERVAL 6 HOURS") <= as_of()).alias("n_expired"))
-    return counts.join(cited).select("n_live", "n_degraded", F.greatest(F.lit(0).cast("long"), F.col("n") - F.col("cited")).alias("n_uncited"), "n_expired")
+    feeds = table(spark, sf, "events").select("ts", F.when(F.col("event_type") == "error", "not_connected").alias("connection"), F.when(F.col("value") >= 10, "healthy").otherwise("delayed").alias("health"))
+    cited = table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("n_cited"))
+    return records.rail(feeds, records.is_live(F.col("connection"), F.col("health")), cited, F.col("ts") + F.expr("INTERVAL 6 HOURS"), as_of())
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, n_name AS agency_name, s_name AS assignee FROM lineitem JOIN orders ON o_orderkey = l_orderkey AND o_custkey % 20 = 7 JOIN nation ON n_nationkey = l_partkey % 25 LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 3 <> 0""")
+def commitments_of_event(spark: SparkSession, sf: str) -> DataFrame:
+    """The commitments of one event with agency and assignee."""
+    l = table(spark, sf, "lineitem")
+    commitments = l.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_orderkey").alias("incident_id"), (F.col("l_partkey") % 25).alias("agency_id"), F.col("l_suppkey").alias("assignee_id"))
+    incidents = table(spark, sf, "orders").select(F.col("o_orderkey").alias("incident_id"), (F.col("o_custkey") % 20).alias("event_id"))
+    principals = table(spark, sf, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("principal_id"), F.col("s_name").alias("display_name"))
+    found = records.commitments_of_event(commitments, incidents, _agencies(spark, sf), principals, F.lit(7))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "agency_name", "assignee")
+
+
+@query("""WITH b AS (SELECT user_id, CASE WHEN event_type <> 'error' THEN 'c' || event_id END AS metadata, ts, event_id FROM events), n AS (SELECT user_id, arg_max(metadata, (ts, event_id)) AS metadata, arg_max(ts, (ts, event_id)) AS updated FROM b WHERE metadata IS NOT NULL GROUP BY 1),
+o AS (SELECT c_custkey AS user_id, 'old' || c_custkey AS metadata, TIMESTAMP '2023-12-31' AS updated FROM customer WHERE c_custkey % 2 = 0)
+SELECT coalesce(n.user_id, o.user_id) AS source_id, coalesce(n.metadata, o.metadata) AS metadata, coalesce(n.updated, o.updated) AS updated_at FROM o FULL JOIN n ON n.user_id = o.user_id""")
+def checkpoint_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each source goes on, after the batches of a month."""
+    e, c = table(spark, sf, "events"), table(spark, sf, "customer").where("c_custkey % 2 = 0")
+    batches = e.select(F.col("user_id").alias("source_id"), F.when(F.col("event_type") != "error", F.concat(F.lit("c"), "event_id")).alias("metadata"), F.col("ts").alias("updated_at"), "event_id")
+    old = c.select(F.col("c_custkey").alias("source_id"), F.concat(F.lit("old"), "c_custkey").alias("metadata"), F.lit("2023-12-31").cast("timestamp_ntz").alias("updated_at"))
+    return records.checkpointed(old, batches, ["updated_at", "event_id"])
+
+
+@query("""SELECT 'fresh_feeds' AS measure, CAST(count(*) FILTER (value >= 20) AS DOUBLE) / count(*) AS share FROM events UNION ALL SELECT 'open_corridors', CAST(count(*) FILTER (o_orderstatus = 'O') AS DOUBLE) / count(*) FROM orders
+UNION ALL SELECT 'resolved_exceptions', CAST(count(*) FILTER (l_linestatus = 'F') AS DOUBLE) / count(*) FROM lineitem WHERE l_returnflag = 'R'""")
+def service_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of fresh feeds, open corridors and resolved exceptions."""
+    e, o, l = (table(spark, sf, t) for t in ("events", "orders", "lineitem"))
+    return records.service_measures(e.select((F.col("value") >= 20).alias("fresh")), o.select((F.col("o_orderstatus") == "O").alias("open")), l.where("l_returnflag = 'R'").select((F.col("l_linestatus") == "F").alias("resolved")))
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'O') DESC, o_orderdate DESC, o_orderkey) AS rn FROM orders) SELECT o_custkey AS event_id, o_orderkey AS incident_id FROM r WHERE rn = 1""")
