@@ -11,13 +11,21 @@ LOCAL_FOLDER = "file:///tmp/checkpoints/mobilis"
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; local sessions without one get their own."""
+    """A new path below ``spark.checkpoint.dir``, in the folder of this application; local sessions without one get their own.
+
+    What lies there serves one application: its folder goes when the driver ends.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = LOCAL_FOLDER
-    return f"{root.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    home = f"{root.rstrip('/')}/{kind}/{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(home)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{home}/{uuid.uuid4().hex}"
 
 
 def stored(rows: DataFrame) -> DataFrame:
