@@ -152,10 +152,7 @@ _BETWEEN = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 
 
 def terms(text: str) -> list[str]:
-    return _TERM.findall(text.translate(_LOWER))
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
+    return _TERM.findall(text.encode().lower().decode())  # bytes lower A-Z only
 
 
 def _forms() -> Iterator[tuple[str, bool, list[str]]]:
@@ -213,7 +210,6 @@ class Weights:
     rarity: dict[str, float]
     unseen: float
     forms: list[Form]
-    anchors: list[str]
 
 
 def _negations(words: list[str]) -> int:
@@ -240,7 +236,7 @@ def weigh(n: int, counts: dict[str, int], threshold: float) -> Weights:
             anchors.add(t)
             left -= v * v
         forms.append(Form(name, opening, len(own), vector, frozenset(anchors), *deciding(name, own), _negations(own)))
-    return Weights(rarity, 1 + math.log(n + 1), sorted(forms, key=lambda f: f.name), sorted({t for f in forms for t in f.anchors}))
+    return Weights(rarity, 1 + math.log(n + 1), sorted(forms, key=lambda f: f.name))
 
 
 def cosine(words: list[str], form: Form, w: Weights) -> float:
@@ -308,20 +304,28 @@ def best_window(words: list[str], at: list[int], form: Form, w: Weights) -> tupl
     return (cosine(words[where : where + size], form, w), where) if where >= 0 else (0.0, 0)
 
 
+def reachable(own: set[str], form: Form, threshold: float) -> bool:
+    """Whether a window of a text with these terms can reach the threshold.
+
+    No cosine is above the length of the form's vector over the terms that are there.
+    """
+    return form.required <= own and sum(v * v for t, v in form.vector.items() if t in own) >= threshold * threshold * 0.999
+
+
 def best_match(text: str, w: Weights, threshold: float) -> tuple[float, str | None, bool]:
-    """Score and name of the best template (of equal ones the longest, then the first by name), and whether the text is a licence file."""
+    """Score and name of the best template that reaches the threshold (of equal ones the longest, then the first by name), and whether the text is a licence file."""
     words = terms(text)
-    known = set(w.anchors)
+    own = set(words)
+    forms = [f for f in w.forms if reachable(own, f, threshold)]
+    known = {t for f in forms for t in f.anchors}
     positions: dict[str, list[int]] = {}
-    for k, t in enumerate(words):
+    for k, t in enumerate(words) if forms else ():
         if t in known:
             positions.setdefault(t, []).append(k)
     best, length, found = 0.0, 0, None
     file = False
-    for form in w.forms if positions else ():
+    for form in forms:
         at = sorted(p for t in form.anchors for p in positions.get(t, ()))
-        if not at:
-            continue
         score, start = best_window(words, at, form, w)
         if len(words) <= form.length + OTHER_TERMS:  # the licence and hardly a word more
             whole = cosine(words, form, w) if score and admitted(words, 0, len(words), form) else 0.0
@@ -348,11 +352,7 @@ def scan(docs: DataFrame, path_col: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             names, scores, files = [], [], []
             for text in batch.column("text").to_pylist():
-                score, name, file = 0.0, None, False
-                if text:
-                    low = text.translate(_LOWER) if not text.isascii() else text.lower()
-                    if any(a in low for a in weights.anchors):
-                        score, name, file = best_match(text, weights, threshold)
+                score, name, file = best_match(text or "", weights, threshold)
                 own = score >= threshold
                 names.append(name if own else None)
                 scores.append(round(score, 6) if own else None)
