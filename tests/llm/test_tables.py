@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from mobilis.llm import urls, vectors
@@ -126,3 +127,17 @@ def test_search_follows_edges_only():
     none = np.full((len(x), 1), -1)
     q, v = vectors.range_search(x, *vectors.both_ways(none), 0, 0.95)
     assert set(v.tolist()) <= {0}
+
+
+@pytest.mark.parametrize("scale, rows", [("0.01", 500), ("0.1", 2000)])
+def test_links_of_given_tables(spark, scale, rows):
+    """Ids divisible by 50 against all rows, at two sizes: nearly all links are found, and none that is not there."""
+    table = spark.read.parquet(f"/root/testdata/sf{scale}/embeddings.parquet")
+    made = {r.vec_id: r.embedding for r in table.collect()}
+    assert len(made) == rows
+    x = np.array([made[k] for k in sorted(made)], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = {k: int((x @ x[at] >= 0.95).sum()) - 1 for at, k in enumerate(sorted(made)) if k % 50 == 0}
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(table).collect()}
+    assert sum(got[k] for k in true) >= 0.9 * sum(true.values())
+    assert all(got[k] <= n for k, n in true.items())
