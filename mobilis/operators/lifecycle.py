@@ -153,7 +153,27 @@ def close_window(incidents: DataFrame, recommendations: DataFrame) -> tuple[Data
     return closed, touched.withColumn("state", F.when(F.col("hit") & ~F.col("state").isin(decided_), "expired").otherwise(F.col("state"))).drop("hit")
 
 
-def once(commands: DataFrame, key: list[str], at: str, hours: int = 24) -> DataFrame:
-    """Commands with ``replayed``: whether the same key ran within ``hours`` before."""
-    w = Window.partitionBy(*key).orderBy(at, "command_id")
-    return commands.withColumn("replayed", F.coalesce(F.lag(at).over(w) > F.col(at) - F.expr(f"INTERVAL {hours} HOURS"), F.lit(False)))
+def once(commands: DataFrame, key: list[str], at: str, hours: int = 24, body: str | None = None) -> DataFrame:
+    """Commands with ``outcome``: applied, replayed, or conflict where the body is another, and ``replayed``.
+
+    The first command of a key is applied and remembered for ``hours``; what comes in that
+    time is answered from memory, and the first after it is applied anew.  Time runs from the
+    command that was applied, not from its replays.  commands(command_id, ...); a key names
+    one request of one client, so its commands are few and are folded in one row;
+    :func:`mobilis.streaming.commands.answered` holds for keys of any size.
+    """
+    said = F.col(body) if body else F.lit(None).cast("string")
+    row = F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.col("command_id"), said.cast("string").alias("body"))
+    listed = commands.groupBy(*key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    kind = listed.schema["rows"].dataType.elementType["command_id"].dataType.simpleString()
+    live = hours * 3_600_000_000
+    none = F.struct(F.lit(None).cast("long").alias("since"), F.lit(None).cast("string").alias("body"), F.array().cast(f"array<struct<command_id:{kind},outcome:string>>").alias("out"))
+
+    def step(now: Column, c: Column) -> Column:
+        known = F.coalesce(c["at"] < now["since"] + live, F.lit(False))
+        outcome = F.when(~known, "applied").when(now["body"].eqNullSafe(c["body"]), "replayed").otherwise("conflict")
+        told = F.struct(c["command_id"].alias("command_id"), outcome.alias("outcome"))
+        return F.struct(F.when(known, now["since"]).otherwise(c["at"]).alias("since"), F.when(known, now["body"]).otherwise(c["body"]).alias("body"), F.array_append(now["out"], told).alias("out"))
+
+    told = listed.select(F.inline(F.aggregate("rows", none, step)["out"]))
+    return commands.join(told, "command_id").withColumn("replayed", F.col("outcome") == "replayed")

@@ -274,9 +274,12 @@ def keyset_audit_page(spark: SparkSession, sf: str) -> DataFrame:
     return views.keyset_page(table(spark, sf, "events").select("event_id", "event_type", "user_id"), "event_id", 300, 9999)
 
 
-@query("""WITH c AS (SELECT event_id AS command_id, event_type, user_id, ts, lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS before FROM events)
-SELECT command_id, coalesce(before > ts - INTERVAL 24 HOUR, false) AS replayed FROM c""")
+@query("""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT event_id, event_type, user_id, rn, ts AS since, false AS replayed FROM c WHERE rn = 1
+  UNION ALL SELECT c.event_id, c.event_type, c.user_id, c.rn, CASE WHEN c.ts < f.since + INTERVAL 24 HOUR THEN f.since ELSE c.ts END, c.ts < f.since + INTERVAL 24 HOUR FROM f JOIN c ON c.event_type = f.event_type AND c.user_id = f.user_id AND c.rn = f.rn + 1)
+SELECT event_id AS command_id, replayed FROM f""")
 def idempotent_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Commands that are answered from memory: their key was applied within a day before."""
     from mobilis.operators.lifecycle import once
 
     commands = table(spark, sf, "events").select(F.col("event_id").alias("command_id"), "event_type", "user_id", "ts")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobilis.plans.common import EV, as_of, catalogue, evidence, table
+from mobilis.plans.common import CONNECTORS, EV, as_of, catalogue, evidence, table
 from mobilis.sources.folders import landed, new_folder
-from mobilis.streaming import expiry, jobs, lookback, worker
+from mobilis.streaming import commands, expiry, jobs, lookback, worker
 
 Q, SQL, query = catalogue()
 
@@ -139,3 +139,38 @@ def worker_liveness(spark: SparkSession, sf: str) -> DataFrame:
         F.when(kind == "error", F.concat(F.lit("no answer in "), F.round("value").cast("long").cast("string"), F.lit(" s"))).alias("error"),
     )
     return worker.liveness(progress, as_of(), 8640)
+
+
+@query("""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT event_id, user_id, rn, ts AS since, event_type AS body, 'applied' AS outcome FROM c WHERE rn = 1
+  UNION ALL SELECT c.event_id, c.user_id, c.rn, CASE WHEN c.ts < f.since + INTERVAL 24 HOUR THEN f.since ELSE c.ts END, CASE WHEN c.ts < f.since + INTERVAL 24 HOUR THEN f.body ELSE c.event_type END,
+    CASE WHEN c.ts >= f.since + INTERVAL 24 HOUR THEN 'applied' WHEN f.body = c.event_type THEN 'replayed' ELSE 'conflict' END FROM f JOIN c ON c.user_id = f.user_id AND c.rn = f.rn + 1)
+SELECT event_id AS command_id, outcome FROM f""")
+def stream_commands_once(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of commands in a stream: a key is remembered for a day from when its request was applied."""
+    rows = table(spark, sf, "events").select("user_id", F.col("event_id").alias("command_id"), F.col("event_type").alias("body"), "ts")
+    slices = [s.withColumn("at", F.col("ts").cast("timestamp")).drop("ts") for s in _slices(rows, "ts")]
+    return _fed(spark, slices, lambda stream, folder: commands.answered(stream, ["user_id"], folder)).select("command_id", "outcome")
+
+
+@query(f"""WITH {EV}, l AS (SELECT connector_code, source_event_id, max(received_at) AS r FROM ev GROUP BY ALL)
+SELECT connector_code, CASE WHEN connector_code = 'error' THEN 'no answer' END AS failure, CASE WHEN connector_code = 'error' THEN 0 ELSE count(*) END AS n_current FROM l GROUP BY 1""")
+def sources_side_by_side(spark: SparkSession, sf: str) -> DataFrame:
+    """The intake of every connector as a stream of its own; one fails, and the others are taken in."""
+    rows = evidence(spark, sf)
+    feeds = {c: new_folder(spark, "landed") for c in CONNECTORS}
+    folders = {c: new_folder(spark, "jobs") for c in CONNECTORS}
+    counts: dict[str, int] = {}
+
+    def intake(c: str) -> Callable[[], None]:
+        def run() -> None:
+            if c == "error":
+                raise ConnectionError("no answer")
+            counts[c] = jobs.upsert_stream(jobs.files(spark, feeds[c], rows.schema), folders[c]).count()
+
+        return run
+
+    for c, feed in feeds.items():
+        landed(rows.where(F.col("connector_code") == c), feed)
+    failed = jobs.isolated({c: intake(c) for c in CONNECTORS}, lambda: None)
+    return spark.createDataFrame([(c, failed.get(c), counts.get(c, 0)) for c in CONNECTORS], "connector_code string, failure string, n_current long")

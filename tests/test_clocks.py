@@ -7,8 +7,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from mobilis.operators import lifecycle
 from mobilis.sources.folders import landed, new_folder
-from mobilis.streaming import expiry, jobs, lookback, worker
+from mobilis.streaming import commands, expiry, jobs, lookback, worker
 
 T0 = datetime(2024, 3, 1)
 RECS = "incident_id long, evidence_hash string, decided boolean, at timestamp, place long"
@@ -130,3 +131,14 @@ def test_five_intervals_make_a_worker_silent(spark, seconds, status):
 def test_sources_run_side_by_side():
     met = threading.Barrier(3, timeout=20)
     assert jobs.isolated({n: met.wait for n in "abc"}, lambda: None) == {}
+
+
+def test_a_key_is_remembered_for_a_day_from_when_it_was_applied(spark):
+    rows = [(1, "a", "x", hours(0)), (2, "a", "x", hours(20)), (3, "a", "y", hours(23)), (4, "a", "x", hours(25)), (5, "a", "x", hours(40)), (6, "b", None, hours(1)), (7, "b", None, hours(2)), (8, "b", "z", hours(25)), (9, "b", "z", hours(50))]
+    want = {1: "applied", 2: "replayed", 3: "conflict", 4: "applied", 5: "replayed", 6: "applied", 7: "replayed", 8: "applied", 9: "applied"}
+    schema = "command_id long, key string, body string, at timestamp"
+    batch = lifecycle.once(spark.createDataFrame(rows, schema), ["key"], "at", body="body")
+    assert {r.command_id: r.outcome for r in batch.collect()} == want
+    slices = [[r for r in rows if a <= r[3] < b] for a, b in ((hours(0), hours(22)), (hours(22), hours(26)), (hours(26), hours(99)))]
+    *_, out = fed(spark, slices, schema, lambda stream, folder: commands.answered(stream, ["key"], folder))
+    assert {r.command_id: r.outcome for r in out.collect()} == want
