@@ -272,13 +272,14 @@ def _lineage(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     status = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "awaiting_approval").otherwise("delegated")
     recommendations = o.select(text(F.lit("r"), "o_orderkey").alias("recommendation_id"), text(F.lit("i"), "o_custkey").alias("incident_id"), F.col("o_orderkey").alias("rank"), F.col("o_orderpriority").alias("action"), status.alias("state"))
     incidents = c.where("c_acctbal >= 0").select(text(F.lit("i"), "c_custkey").alias("incident_id"), F.col("c_name").alias("title"))
+    place = F.struct("_metadata.file_name", "_metadata.row_index").alias("place")
     part, supplier = (text(F.lit("e"), F.col(k) % n) for k, n in (("l_partkey", 500), ("l_suppkey", 700)))
     evidence = l.where("l_returnflag <> 'N'").select(rid.alias("recommendation_id"), part.alias("evidence_id"), part.alias("summary")).distinct()
     findings = l.where("l_linenumber <= 2").select(
-        rid.alias("recommendation_id"), text("l_linestatus", "l_linenumber").alias("desk_code"), F.when(F.col("l_quantity") > 25, "contributed").otherwise("abstained").alias("status"), F.col("l_shipdate").alias("created_at"), F.array(part, supplier).alias("cited")
+        rid.alias("recommendation_id"), text("l_linestatus", "l_linenumber").alias("desk_code"), F.when(F.col("l_quantity") > 25, "contributed").otherwise("abstained").alias("status"), F.col("l_shipdate").alias("created_at"), F.array(part, supplier).alias("cited"), place
     )
     decisions = l.where("l_linenumber IN (2, 3)").select(
-        text(F.lit("d"), "l_orderkey", F.lit("-"), "l_linenumber").alias("decision_id"), rid.alias("recommendation_id"), F.when(F.col("l_returnflag") == "A", "approve").otherwise("request_revision").alias("action"), F.col("l_linestatus").alias("actor"), F.col("l_shipdate").alias("decided_at")
+        text(F.lit("d"), "l_orderkey", F.lit("-"), "l_linenumber").alias("decision_id"), rid.alias("recommendation_id"), F.when(F.col("l_returnflag") == "A", "approve").otherwise("request_revision").alias("action"), F.col("l_linestatus").alias("actor"), F.col("l_shipdate").alias("decided_at"), place
     )
     state = F.when(F.col("l_tax") < 0.02, "verified").when(F.col("l_tax") < 0.04, "expired").otherwise("requested")
     commitments = l.where("l_linenumber >= 3").select(

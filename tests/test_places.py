@@ -150,6 +150,23 @@ def test_numbers_within_keys_of_any_size(spark):
     assert numbering.numbered(wide.limit(0), ["key"], ["id"]).count() == 0
 
 
+def test_findings_and_decisions_alike_in_their_order(spark):
+    when = datetime(2024, 1, 1)
+    incidents = spark.createDataFrame([("i", "t")], "incident_id string, title string")
+    recommendations = spark.createDataFrame([("r1", "i", 1, "a", "approved"), ("r2", "i", 2, "a", "approved")], "recommendation_id string, incident_id string, rank long, action string, state string")
+    evidence = spark.createDataFrame([], "recommendation_id string, evidence_id string, summary string")
+    commitments = spark.createDataFrame([], "commitment_id string, decision_id string, recommendation_id string, outcome string, state string, rule string")
+    findings = [("r2", "d", "abstained", when, [], 0), ("r1", "d", "contributed", when, [], 5), ("r1", "d", "pending", when, [], 9)]
+    decisions = [("d1", "r1", "approve", "first", when, 3), ("d1", "r1", "approve", "second", when, 4)]
+    for turn in (1, -1):
+        said = spark.createDataFrame(findings[::turn], "recommendation_id string, desk_code string, status string, created_at timestamp_ntz, cited array<string>, place long").coalesce(1)
+        decided = spark.createDataFrame(decisions[::turn], "decision_id string, recommendation_id string, action string, actor string, decided_at timestamp_ntz, place long").coalesce(1)
+        nodes, _ = graph.lineage(incidents, recommendations, evidence, said, decided, commitments)
+        got = [(r.node_type, r.label, r.flag) for r in nodes.collect()]
+        assert [g for g in got if g[0] == "finding"] == [("finding", "d · contributed", "contributed")]
+        assert sorted(g for g in got if g[0] == "decision") == [("decision", "approve · first", "current"), ("decision", "approve · second", "historical")]
+
+
 def test_a_lineage_in_columns(spark):
     edges = [("e1", "f1", 1), ("e2", "f1", 2), ("e2", "f1", 1), ("e1", "f2", 1), ("f1", "i", 1), ("f2", "i", 1), ("e9", "i", 4), ("i", "r", 3)]
     rows = spark.createDataFrame(edges, "src string, dst string, weight long")
