@@ -12,9 +12,19 @@ from mobilis.llm.shared import stored
 #: Sources count by their characters to this power: large ones weigh less than they are.
 SOURCE_POWER = 0.7
 
+#: Rows and bytes that go to a Python worker at once.  Batches lie outside the heap of an
+#: executor and again in its workers, so with Spark's 10,000 rows texts take hundreds of MB there.
+BATCH_ROWS, BATCH_BYTES = 1000, "4m"
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
+    _in_small_batches(spark)
     return quality.keep_good(docs)
 
 
@@ -34,6 +44,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Where ids are missing or repeat, rows are compared by number: only their texts
     make them one, and rows without an id stay behind those with one.
     """
+    _in_small_batches(spark)
     if _names_rows(docs.select("doc_id")):
         rows, key = docs, "doc_id"
         dropped = stored(minhash.near_duplicates(rows, percent=80).where("NOT kept").select(key))
@@ -51,6 +62,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by marks."""
+    _in_small_batches(spark)
     return pii.mask(docs)
 
 
@@ -79,6 +91,7 @@ def _stretch(file: Column, at: Column) -> Column:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences; each group of sequences is a stretch of the mixed order."""
+    _in_small_batches(spark)
     import public_tokenizers
 
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")

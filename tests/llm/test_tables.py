@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mobilis.llm import urls, vectors
+from mobilis.llm import stages, urls, vectors
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"), ("a.example.com", "/", "block")]
 
@@ -141,3 +142,14 @@ def test_links_of_given_tables(spark, scale, rows):
     got = {r.vec_id: r.n_links for r in vectors.near_vectors(table).collect()}
     assert sum(got[k] for k in true) >= 0.9 * sum(true.values())
     assert all(got[k] <= n for k, n in true.items())
+
+
+def test_stages_hand_few_rows_to_a_worker_at_once(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        stages.quality_rules(spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), "")
+        sizes = spark.range(5000).coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+        assert sum(r.n for r in sizes) == 5000 and max(r.n for r in sizes) <= stages.BATCH_ROWS
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
