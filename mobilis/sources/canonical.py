@@ -21,8 +21,12 @@ def raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed(lines: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """(records with ``v``, the payload as VARIANT; lines that are no JSON)."""
-    read = lines.withColumn("v", F.try_parse_json(payload))
+    """(records with ``v``, the payload as VARIANT; lines that are no JSON).
+
+    A generator holds ``v`` apart from what reads it: a projection would be merged into its
+    readers, and each member that they read would parse the payload again.
+    """
+    read = lines.withColumn("v", F.explode(F.array(F.try_parse_json(payload))))
     return read.where("v IS NOT NULL"), read.where("v IS NULL").drop("v")
 
 

@@ -162,3 +162,11 @@ def test_reference_data(spark, now):
     assert [r["fields"] for r in layer] == [{"name": "A"}]
     ways = feeds.road_ways(records(spark, {"type": "way", "id": 1, "geometry": [{"lat": 1, "lon": 2}, {"lat": 1, "lon": 3}], "tags": {"ref": "US 29"}}, {"type": "way", "id": 2, "geometry": [{"lat": 1, "lon": 2}]}, {"type": "way", "id": 3, "geometry": [{"lat": 1, "lon": 2}, {"lat": 2, "lon": 2}]})).collect()
     assert {(r["way_id"], r["keeper"]) for r in ways} == {("1", "state"), ("3", "city")}
+
+
+def test_a_payload_is_parsed_once_whatever_reads_it(spark):
+    lines = spark.createDataFrame([('{"id":1,"name":"Exit 51","averageSpeedMph":30}',), ("no json",), (None,)], "payload string")
+    records, broken = canonical.parsed(lines)
+    found = feeds.travel_times(records, F.lit("2024-01-31T00:00:00Z").cast("timestamp")).select("source_event_id", "summary", "quality_flags")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert [r.source_event_id for r in found.collect()] == ["travel-time:1"] and broken.count() == 2
