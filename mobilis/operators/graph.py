@@ -297,6 +297,11 @@ def columns_of(edges: DataFrame, most: int = 64) -> DataFrame:
     return found.groupBy("node_id").agg(F.max("column").alias("column"))
 
 
+def merged_edges(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst, weight), those between the same two nodes as one with their weights summed."""
+    return edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
 def layered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a view in columns, of edges (src, dst, weight).
 
@@ -305,16 +310,16 @@ def layered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     are one, their weights summed.  The first column is in order of ids; in each later one a
     node stands by the weighted mean position of what leads to it, ties by id.
     """
-    merged_edges = stored(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    column = stored(columns_of(merged_edges))
+    summed = stored(merged_edges(edges))
+    column = stored(columns_of(summed))
     last = column.agg(F.max("column")).first()[0]
     placed = stored(numbered(column.where("column = 0"), ["column"], ["node_id"], "position"))
     for c in range(1, (last or 0) + 1):
         own = column.where(F.col("column") == c)
-        into = merged_edges.join(own.withColumnRenamed("node_id", "dst"), "dst").join(placed.select(F.col("node_id").alias("src"), "position"), "src")
+        into = summed.join(own.withColumnRenamed("node_id", "dst"), "dst").join(placed.select(F.col("node_id").alias("src"), "position"), "src")
         mean = into.groupBy(F.col("dst").alias("node_id"), "column").agg((F.sum(F.col("weight") * F.col("position")) / F.sum("weight")).alias("mean"))
         placed = placed.unionByName(numbered(mean, ["column"], ["mean", "node_id"], "position").drop("mean"))
         placed = stored(placed) if c % 4 == 0 else placed
-    loads = merged_edges.select(F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.lit(0).cast("long").alias("n_in"), F.col("weight").alias("n_out")), F.struct(F.col("dst").alias("node_id"), F.col("weight").alias("n_in"), F.lit(0).cast("long").alias("n_out")))).alias("e"))
+    loads = summed.select(F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.lit(0).cast("long").alias("n_in"), F.col("weight").alias("n_out")), F.struct(F.col("dst").alias("node_id"), F.col("weight").alias("n_in"), F.lit(0).cast("long").alias("n_out")))).alias("e"))
     load = loads.groupBy("e.node_id").agg(F.sum("e.n_in").alias("n_in"), F.sum("e.n_out").alias("n_out"))
-    return placed.join(load, "node_id").select("node_id", "column", "position", "n_in", "n_out"), merged_edges
+    return placed.join(load, "node_id").select("node_id", "column", "position", "n_in", "n_out"), summed

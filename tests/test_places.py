@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mobilis.functions import arrays
 from mobilis.operators import graph, numbering, profiles, roads
+from mobilis.plans import graph_queries
 from mobilis.sources import canonical, feeds, layers
 from mobilis.sources.folders import new_folder, stored, versions
 from mobilis.sources.store import Store
@@ -213,3 +214,12 @@ def test_profiles_and_ordered_arrays(spark):
     same, other = (*draft[:-1], t1), ("echo", "x", None, None, None, None, None, None, t1)
     again = {r.desk_code: (r.updated_at, r.changed) for r in profiles.normalized(make(same, other), first.drop("changed"), ["a", "b", "c"], ["c"]).collect()}
     assert again == {"atlas": (t0, False), "echo": (t1, True)}
+
+
+def test_weights_of_a_lineage_need_no_columns(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("columns are not asked for")
+
+    monkeypatch.setattr(graph, "columns_of", refused)
+    found = graph_queries.lineage_weights(spark, "/root/testdata/sf0.001")
+    assert found.where("weight < 1 OR weight IS NULL").count() == 0 and found.count() == found.select("src", "dst").distinct().count()
