@@ -312,11 +312,12 @@ def layered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     summed = stored(merged_edges(edges))
     column = stored(columns_of(summed))
+    # each edge meets the column that it leads to once; a round reads only its own
+    placing = stored(summed.join(column.select(F.col("node_id").alias("dst"), "column"), "dst"))
     last = column.agg(F.max("column")).first()[0]
     placed = stored(numbered(column.where("column = 0"), ["column"], ["node_id"], "position"))
     for c in range(1, (last or 0) + 1):
-        own = column.where(F.col("column") == c)
-        into = summed.join(own.withColumnRenamed("node_id", "dst"), "dst").join(placed.select(F.col("node_id").alias("src"), "position"), "src")
+        into = placing.where(F.col("column") == c).join(placed.select(F.col("node_id").alias("src"), "position"), "src")
         mean = into.groupBy(F.col("dst").alias("node_id"), "column").agg((F.sum(F.col("weight") * F.col("position")) / F.sum("weight")).alias("mean"))
         placed = placed.unionByName(numbered(mean, ["column"], ["mean", "node_id"], "position").drop("mean"))
         placed = stored(placed) if c % 4 == 0 else placed
