@@ -96,9 +96,11 @@ heads AS (SELECT * FROM f WHERE CASE WHEN ring THEN member = least AND NOT back
 SELECT h.relation, h.m AS member, min(h.m) OVER (PARTITION BY h.relation, h.member, h.back) AS chain, CAST(h.n AS BIGINT) AS place, h.b AS reversed, ring OR w.a = w.b AS closed FROM heads h JOIN w ON w.relation = h.relation AND w.member = h.m""")
 def road_chains(spark: SparkSession, sf: str) -> DataFrame:
     """Where each way of each relation lies in its lines and rings, and whether it is passed backwards."""
-    l = table(spark, sf, "lineitem")
-    shape = F.struct(F.lit("way").alias("type"), F.col("l_suppkey").alias("ref"), F.array(*[F.struct(F.lit(0.0).alias("lat"), (F.col(c) % 6).cast("double").alias("lon")) for c in ("l_partkey", "l_suppkey")]).alias("geometry"))
-    members = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", shape.alias("way")))), lambda m: m["way"])
+    keys = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    # bare keys move, once, and are made into ways where an order's lines have met
+    l = table(spark, sf, "lineitem").select("l_orderkey", *keys).repartition("l_orderkey")
+    way = lambda m: F.struct(F.lit("way").alias("type"), m["l_suppkey"].alias("ref"), F.array(*[F.struct(F.lit(0.0).alias("lat"), (m[c] % 6).cast("double").alias("lon")) for c in ("l_partkey", "l_suppkey")]).alias("geometry"))
+    members = F.transform(F.array_sort(F.collect_list(F.struct(*keys))), way)
     elements = l.groupBy("l_orderkey").agg(members.alias("members")).select(F.to_json(F.struct(F.lit("relation").alias("type"), F.col("l_orderkey").alias("id"), "members")).alias("payload"))
     found = roads.chained(feeds.relation_members(canonical.parsed(elements)[0]))
     return found.withColumn("relation", F.col("relation").cast("long"))

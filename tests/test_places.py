@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mobilis.functions import arrays
 from mobilis.operators import graph, numbering, profiles, roads
-from mobilis.plans import graph_queries
+from mobilis.plans import graph_queries, place_queries
 from mobilis.sources import canonical, feeds, layers
 from mobilis.sources.folders import new_folder, stored, versions
 from mobilis.sources.store import Store
@@ -70,6 +70,50 @@ def test_chains(spark):
     assert roads.chained(rows.limit(0)).count() == 0
 
 
+def moved(spark, job):
+    """Bytes that the stages of a job shuffle, spill and write."""
+    context = spark.sparkContext._jsc.sc()
+
+    def stages():
+        context.listenerBus().waitUntilEmpty()
+        gateway = spark.sparkContext._gateway
+        listed = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in (listed.apply(i) for i in range(listed.size()))}
+
+    before = stages()
+    job()
+    return sum(n for stage, n in stages().items() if stage not in before)
+
+
+def test_chains_of_small_relations_move_their_members_once(spark):
+    job = lambda: place_queries.road_chains(spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
+    members = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
+    assert 0 < moved(spark, job) < 100 * members
+
+
+def test_chains_together_by_pointers_and_both(spark):
+    rng = random.Random(6)
+    members = [(None, 0, "a", "b"), ("all null", 0, None, None), ("all null", 1, None, None)]
+    for relation in range(60):  # few places make joints of three and more, many make gaps, and shuffled members run either way
+        places = rng.choice([3, 9, 40])
+        members += [(f"r{relation}", 3 * m, *(rng.choice([None, *"abcdefgh", *map(str, range(places))]) for _ in "ab")) for m in rng.sample(range(50), rng.randrange(1, 30))]
+    for name, n, turns in (("line", 200, 0), ("ring", 150, 1)):
+        order = rng.sample(range(n), n)
+        members += [(name, m, *((f"{k}", f"{(k + 1) % n if turns else k + 1}")[:: rng.choice([1, -1])])) for k, m in enumerate(order)]
+    rng.shuffle(members)
+    rows = spark.createDataFrame(members, "relation string, member long, a string, b string").repartition(5)
+    want = plain_chains([m for m in members if m[0] is not None])
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for together, batch in ((4_096, size), (4_096, "7"), (12, size), (0, size)):  # batches end inside relations
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            found = roads.chained(rows, together).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = {(r.relation, r.member): (r.chain, r.place, r.reversed, r.closed) for r in found}
+        assert len(found) == len(want) and got == want
+
+
 def test_relation_members_are_read_from_elements(spark):
     lines = [
         '{"type":"relation","id":7,"members":[{"type":"way","ref":1,"geometry":[{"lat":1.5,"lon":2},{"lat":1,"lon":3}]},{"type":"node","ref":2},{"type":"way","ref":3,"geometry":[{"lat":1,"lon":3}]}]}',
