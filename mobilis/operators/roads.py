@@ -14,7 +14,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from mobilis.sources.folders import stored
 
 #: A relation of so many members or fewer is chained by one task, beside others.
-MOST_TOGETHER = 4_096
+MOST_TOGETHER = 65_536
 
 
 def _followed(step: DataFrame, longest: int) -> DataFrame:
