@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +46,9 @@ LONG_DEGREE = 8
 CANDIDATES = 48
 RANDOM_POOL = 64
 ALPHA = 1.2
-#: Edges followed at once in a block: what a dense cluster may hold in memory, not what it may find.
-FRONTIER = 1 << 17
+#: Components of vectors compared at once, and queries of a block that search at once: what a dense cluster may hold in memory, not what it may find.
+FRONTIER = 1 << 21
+QUERIES = 256
 _SHARD_STEP = 1 << 20
 
 
@@ -116,28 +118,43 @@ def robust_pruned(x: np.ndarray, step: int = 256, seed: int = 5) -> np.ndarray:
     return out
 
 
-def both_ways(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts (n + 1) and targets of the edges of a padded list, each taken both ways, once."""
-    n = len(edges)
-    src, k = np.nonzero(edges >= 0)
-    dst = edges[src, k]
+def adjacent(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts (n + 1) and targets of edges among n nodes, each taken both ways, once."""
     key = np.unique(np.r_[src * n + dst, dst * n + src])
     return np.searchsorted(key, np.arange(n + 1) * n), key % n
 
 
-def range_search(x: np.ndarray, starts: np.ndarray, targets: np.ndarray, medoid: int, least: float, hops: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) of different nodes within the range, for every node as query.
+def both_ways(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`adjacent` of the edges of a padded list."""
+    src, k = np.nonzero(edges >= 0)
+    return adjacent(src, edges[src, k], len(edges))
+
+
+def range_search(x: np.ndarray, starts: np.ndarray, targets: np.ndarray, medoid: int, least: float, hops: int = 64, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, node) of different nodes within the range, for the nodes ``asked`` (all, if None) as queries.
 
     ``starts`` and ``targets`` are the edges of each node.  Only nodes that an edge
-    leads to are compared with a query.
+    leads to are compared with a query.  Memory goes with the queries asked times the
+    nodes and with ``FRONTIER``, whatever the degrees and however much lies in range.
     """
     n = len(x)
-    seen = np.zeros((n, n), dtype=bool)  # compared already
-    seen[np.arange(n), np.arange(n)] = True
+    asked = np.arange(n) if asked is None else asked
+    own = np.arange(len(asked))  # queries by their place
+    seen = np.zeros((len(asked), n), dtype=bool)  # compared already
+    seen[own, asked] = True
     found: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def ahead(query: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query, neighbour and cosine of every neighbour of the nodes not compared before."""
+    most = max(1, FRONTIER // x.shape[1])
+
+    def parts(node: np.ndarray) -> Iterator[slice]:
+        """Stretches of nodes with up to ``most`` edges, or one node with more."""
+        ends = np.cumsum(starts[node + 1] - starts[node])
+        at = 0
+        while at < len(node):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield slice(at, end)
+            at = end
+
+    def met(query: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         degree = starts[node + 1] - starts[node]
         q = np.repeat(query, degree)
         place = np.arange(len(q)) - np.repeat(np.cumsum(degree) - degree, degree)
@@ -145,14 +162,23 @@ def range_search(x: np.ndarray, starts: np.ndarray, targets: np.ndarray, medoid:
         key = np.unique(key[~seen.ravel()[key]])
         q, v = key // n, key % n
         seen[q, v] = True
-        return q, v, np.einsum("ij,ij->i", x[q], x[v])
+        return q, v, np.einsum("ij,ij->i", x[asked[q]], x[v])
+
+    def ahead(query: np.ndarray, node: np.ndarray, close: bool = False) -> tuple[np.ndarray, ...]:
+        """Query, neighbour and cosine of the neighbours of the nodes not compared before; with ``close``, of those in range."""
+        out = []
+        for part in parts(node):
+            q, v, score = met(query[part], node[part])
+            keep = score >= least if close else slice(None)
+            out.append((q[keep], v[keep], score[keep]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
     # what the walks pass by is remembered where it lies within the range
-    here, best = np.full(n, medoid), x @ x[medoid]
+    here, best = np.full(len(asked), medoid), x[asked] @ x[medoid]
     seen[:, medoid] = True
-    close = np.flatnonzero((best >= least) & (np.arange(n) != medoid))
-    frontier = [(close, np.full(len(close), medoid)), (np.arange(n), np.arange(n))]
-    walking = np.flatnonzero(np.arange(n) != medoid)
+    close = np.flatnonzero((best >= least) & (asked != medoid))
+    frontier = [(close, np.full(len(close), medoid)), (own, asked)]
+    walking = np.flatnonzero(asked != medoid)
     for _ in range(hops):
         q, v, score = ahead(walking, here[walking])
         near = score >= least
@@ -167,16 +193,28 @@ def range_search(x: np.ndarray, starts: np.ndarray, targets: np.ndarray, medoid:
         here[walking], best[walking] = v[top[better]], score[top[better]]
     query, node = (np.concatenate(c) for c in zip(*frontier, strict=True))
     while len(query):
-        inside = query != node
+        inside = asked[query] != node
         found.append((query[inside], node[inside]))
-        parts = []
-        step = max(1, FRONTIER // max(1, int((starts[node + 1] - starts[node]).mean())))
-        for at in range(0, len(query), step):
-            q, v, score = ahead(query[at : at + step], node[at : at + step])
-            near = score >= least
-            parts.append((q[near], v[near]))
-        query, node = (np.concatenate(c) for c in zip(*parts, strict=True))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        query, node, _ = ahead(query, node, close=True)
+    query, node = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    return asked[query], node
+
+
+def links_of(x: np.ndarray, starts: np.ndarray, targets: np.ndarray, medoid: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of :func:`range_search` over all nodes, found from either end as one, smaller node first, each once.
+
+    ``QUERIES`` nodes ask at once.  What they find is held as a bit a pair of nodes, not
+    as a list, so a block in which all are near takes no more memory than another.
+    """
+    n = len(x)
+    linked = np.zeros((n, n), dtype=bool)
+    for at in range(0, n, QUERIES):
+        q, v = range_search(x, starts, targets, medoid, least, asked=np.arange(at, min(at + QUERIES, n)))
+        linked[np.minimum(q, v), np.maximum(q, v)] = True
+    for at in range(0, n, QUERIES):
+        q, v = np.nonzero(linked[at : at + QUERIES])
+        if len(q):
+            yield q + at, v
 
 
 def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -245,52 +283,56 @@ def _graphs(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in joined], ["rep", "to"])
 
 
+def _local(table: pa.Table, a: int, b: int, reps: np.ndarray) -> np.ndarray:
+    """Edges (from, to) of a group by place, of the lists of its rows; those that lead out of it are left out."""
+    lists = table.column("edges").slice(a, b - a).combine_chunks()
+    to = lists.flatten().to_numpy()
+    src = np.repeat(np.arange(b - a), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    order = np.argsort(reps[a:b], kind="stable")
+    ranked = reps[a:b][order]
+    at = np.minimum(np.searchsorted(ranked, to), b - a - 1)
+    inside = ranked[at] == to
+    return np.stack([src[inside], order[at[inside]]])
+
+
 def _searched(least: float):
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         reps, counts, own = (table.column(c).to_numpy() for c in ("rep", "n", "own"))
         shard, i, j = (table.column(c).to_numpy() for c in ("shard", "i", "j"))
-        shards, lists = table.column("shards").to_pylist(), table.column("edges").to_pylist()
+        shards = table.column("shards").to_pylist()
         out_rep, out_n, out_to = [], [], []
         for a, b in _groups(table):
             size = b - a
             x = _unpacked(table, a, b)
-            place = {r: k for k, r in enumerate(reps[a:b].tolist())}
-            local = [[place[e] for e in row or () if e in place] for row in lists[a:b]]
-            wide = max(map(len, local), default=0)
-            edges = np.full((size, max(wide, 1)), -1, dtype=np.int64)
-            for k, row in enumerate(local):
-                edges[k, : len(row)] = row
             medoid = int((x @ x.mean(axis=0)).argmax())
-            q, v = range_search(x, *both_ways(edges), medoid, least)
-            # found from either end, a pair is one link
-            key = np.unique(np.minimum(q, v) * size + np.maximum(q, v))
-            q, v = key // size, key % size
-            keep = np.ones(len(q), dtype=bool)
-            if i[a] != j[a]:
-                keep &= own[a + q] != own[a + v]
-            q, v = q[keep], v[keep]
-            if not len(q):
-                continue
-            # the least common shard counts the pair
             mine = np.zeros((size, OVERLAP), dtype=np.int64)
             for k, row in enumerate(shards[a:b]):
                 mine[k] = (row + [-1 - k] * OVERLAP)[:OVERLAP]
-            common = (mine[q][:, :, None] == mine[v][:, None, :]).any(axis=2)
-            first = np.where(common, mine[q], np.iinfo(np.int64).max).min(axis=1)
-            counted = first == shard[a]
             total = np.zeros(size, dtype=np.int64)
-            np.add.at(total, q[counted], counts[a + v[counted]])
-            np.add.at(total, v[counted], counts[a + q[counted]])
+            forest = Forest(size)
+            for q, v in links_of(x, *adjacent(*_local(table, a, b, reps), size), medoid, least):
+                if i[a] != j[a]:
+                    cross = own[a + q] != own[a + v]
+                    q, v = q[cross], v[cross]
+                for at in range(0, len(q), FRONTIER // 32):
+                    y, z = q[at : at + FRONTIER // 32], v[at : at + FRONTIER // 32]
+                    # the least common shard counts the pair
+                    common = (mine[y][:, :, None] == mine[z][:, None, :]).any(axis=2)
+                    first = np.where(common, mine[y], np.iinfo(np.int64).max).min(axis=1)
+                    counted = first == shard[a]
+                    np.add.at(total, y[counted], counts[a + z[counted]])
+                    np.add.at(total, z[counted], counts[a + y[counted]])
+                    root = np.array([forest.find(k) for k in range(size)])
+                    apart = root[y] != root[z]
+                    for one, other in zip(y[apart].tolist(), z[apart].tolist(), strict=True):
+                        if forest.join(one, other):
+                            out_rep.append(int(reps[a + one]))
+                            out_n.append(0)
+                            out_to.append(int(reps[a + other]))
             some = np.flatnonzero(total)
             out_rep += reps[a + some].tolist()
             out_n += total[some].tolist()
             out_to += [None] * len(some)
-            forest = Forest(size)
-            for y, z in zip(q.tolist(), v.tolist(), strict=True):
-                if forest.join(y, z):
-                    out_rep.append(int(reps[a + y]))
-                    out_n.append(0)
-                    out_to.append(int(reps[a + z]))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (out_rep, out_n, out_to)], ["rep", "n", "to"])
 
     return run

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +131,26 @@ def test_search_follows_edges_only():
     assert set(v.tolist()) <= {0}
 
 
+def test_a_block_of_near_vectors_is_searched_in_bounded_memory():
+    rng = np.random.default_rng(8)
+    size = 2000
+    x = vectors.unit(rng.normal(size=(1, 64)) + rng.normal(size=(size, 64)) * 0.05)
+    edges = vectors.robust_pruned(x)
+    lists = [edges[row][edges[row] >= 0].tolist() for row in range(size)]
+    columns = {"shard": [0] * size, "i": [0] * size, "j": [0] * size, "own": [0] * size, "rep": range(size), "n": [1] * size, "raw": [row.tobytes() for row in x], "shards": [[0]] * size, "edges": lists}
+    table = pa.table({c: pa.array(list(v)) for c, v in columns.items()})
+    tracemalloc.start()
+    try:
+        (out,) = vectors._searched(0.95)(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    told = out.to_pydict()
+    near = x @ x.T >= 0.95
+    assert {r: n for r, n, to in zip(told["rep"], told["n"], told["to"], strict=True) if to is None} == {r: int(n) - 1 for r, n in enumerate(near.sum(axis=1)) if n > 1}
+    assert peak < 150e6
+
+
 @pytest.mark.parametrize("scale, rows", [("0.01", 500), ("0.1", 2000)])
 def test_links_of_given_tables(spark, scale, rows):
     """Ids divisible by 50 against all rows, at two sizes: nearly all links are found, and none that is not there."""
