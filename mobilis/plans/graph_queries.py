@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mobilis.operators import graph, ingest
+from mobilis.operators import chains, graph, ingest
 from mobilis.plans.common import AS_OF_TEXT, EDGES, EV, NODES, as_of, catalogue, evidence, geography, table
-from mobilis.sources.folders import new_folder, stored
+from mobilis.sources.folders import new_folder
 
 Q, SQL, query = catalogue()
 
@@ -335,15 +335,14 @@ p0 AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS pos FROM col
 )
 
 
-def _weighed(spark: SparkSession, sf: str) -> DataFrame:
-    edges = stored(_lineage(spark, sf)[1])
-    rests = edges.where("edge_type = 'supports' AND dst LIKE 'r%'").groupBy(F.col("dst").alias("rid")).agg(F.count(F.lit(1)).alias("n"))
-    shown = edges.where("NOT (edge_type IN ('supports', 'informed', 'assigned') AND (dst LIKE 'r%' OR src LIKE 'r%'))")
-    rid = F.when(F.col("edge_type") == "triggered", F.col("dst")).when(F.col("edge_type").isin("approved", "request_revision"), F.col("src"))
-    asked = shown.withColumn("rid", rid)
-    # most edges rest on nothing: they would all be one null key of the join
-    met = asked.where("rid IS NOT NULL").join(rests, "rid", "left").select("src", "dst", F.coalesce("n", F.lit(1).cast("long")).alias("weight"))
-    return met.unionByName(asked.where("rid IS NULL").select("src", "dst", F.lit(1).cast("long").alias("weight")))
+def _met(spark: SparkSession, sf: str) -> DataFrame:
+    l, o, c = (table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
+    line = F.col("l_linenumber")
+    lines = l.select(
+        F.col("l_orderkey").alias("rec"), line.alias("line"), (F.col("l_partkey") % 500).alias("part"), (F.col("l_suppkey") % 700).alias("also"), F.coalesce(F.col("l_returnflag") != "N", F.lit(False)).alias("evident"),
+        (line <= 2).alias("said"), F.concat("l_linestatus", line).alias("desk"), F.col("l_shipdate").alias("at"), F.coalesce((line >= 3) & (F.col("l_tax") < 0.02), F.lit(False)).alias("verified"),
+    )
+    return chains.met(lines, o.select(F.col("o_orderkey").alias("rec"), F.col("o_custkey").alias("incident")), c.where("c_acctbal >= 0").select(F.col("c_custkey").alias("incident")))
 
 
 @query(_WEIGHED + """
@@ -351,13 +350,13 @@ SELECT col.node_id, c AS "column", pos AS position, CAST(coalesce(n_in, 0) AS BI
 LEFT JOIN (SELECT dst AS node_id, sum(w) AS n_in FROM g GROUP BY 1) USING (node_id) LEFT JOIN (SELECT src AS node_id, sum(w) AS n_out FROM g GROUP BY 1) USING (node_id)""")
 def lineage_columns(spark: SparkSession, sf: str) -> DataFrame:
     """The lineage in seven columns: where each node stands and the weights that reach and leave it."""
-    return graph.layered(_weighed(spark, sf))[0]
+    return graph.layered(chains.weights(_met(spark, sf)))[0]
 
 
 @query(_WEIGHED + " SELECT src, dst, w AS weight FROM g")
 def lineage_weights(spark: SparkSession, sf: str) -> DataFrame:
     """The edges of that view, those between the same nodes as one with their weights summed."""
-    return graph.merged_edges(_weighed(spark, sf))
+    return chains.weights(_met(spark, sf))
 
 
 # ---- a batch as one ------------------------------------------------------------

@@ -31,7 +31,7 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 def stored(rows: DataFrame) -> DataFrame:
     """Write a table to a shared folder and read it: later plans begin at its files."""
     path = new_folder(rows.sparkSession, "tables")
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -267,3 +267,45 @@ def test_weights_of_a_lineage_need_no_columns(spark, monkeypatch):
     monkeypatch.setattr(graph, "columns_of", refused)
     found = graph_queries.lineage_weights(spark, "/root/testdata/sf0.001")
     assert found.where("weight < 1 OR weight IS NULL").count() == 0 and found.count() == found.select("src", "dst").distinct().count()
+
+
+def moved_bytes(spark, run):
+    """Bytes that the stages of ``run`` shuffle, spill and write."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def so_far():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before = so_far()
+    run()
+    return sum(n for k, n in so_far().items() if k not in before)
+
+
+@pytest.mark.parametrize("name, most", [("lineage_weights", 100)])
+def test_a_weighed_lineage_moves_keys_and_each_line_once(spark, name, most):
+    folder = "/root/testdata/sf0.01"
+    n_lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    spent = moved_bytes(spark, lambda: graph_queries.Q[name](spark, folder).write.format("noop").mode("overwrite").save())
+    assert 0 < spent / n_lines < most
+
+
+def test_a_weighed_lineage_of_odd_tables(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("SELECT setseed(0.5)")
+    # orders and customers repeat or are missing, orders have several customers or no lines, evidence is first known late
+    con.execute("CREATE TABLE orders AS SELECT CAST(k % 67 + 5 AS BIGINT) AS o_orderkey, CAST((k * 7) % (CASE WHEN k < 67 THEN 19 ELSE 4 END) AS BIGINT) AS o_custkey, 'F' AS o_orderstatus, '1' AS o_orderpriority FROM range(80) t(k)")
+    con.execute("CREATE TABLE customer AS SELECT CAST(k % 14 AS BIGINT) AS c_custkey, 'n' || k AS c_name, CASE WHEN k % 5 = 2 THEN -1.0 ELSE 1.0 END AS c_acctbal FROM range(17) t(k)")
+    con.execute(
+        """CREATE TABLE lineitem AS SELECT CAST(CASE WHEN k % 11 = 0 THEN 20 ELSE floor(random() * 66) END AS BIGINT) AS l_orderkey, CAST(floor(random() * 30) AS BIGINT) AS l_partkey, CAST(floor(random() * 40) AS BIGINT) AS l_suppkey, CAST(1 + floor(random() * 7) AS INTEGER) AS l_linenumber,
+        10.0 AS l_quantity, random() * 0.08 AS l_tax, CASE WHEN random() < 0.8 THEN 'N' WHEN random() < 0.5 THEN 'A' ELSE 'R' END AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP '2024-01-01' + to_days(CAST(floor(random() * 2) AS INTEGER)) AS l_shipdate FROM range(330) t(k)"""
+    )
+    for name in ("orders", "customer", "lineitem"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    for name in ("lineage_weights", "lineage_columns"):
+        want = con.execute(graph_queries.SQL[name])
+        names = [c[0] for c in want.description]
+        got = sorted(tuple(r) for r in graph_queries.Q[name](spark, str(tmp_path)).select(*names).collect())
+        assert got == sorted(want.fetchall()) and len(got) > 100
