@@ -350,7 +350,7 @@ SELECT col.node_id, c AS "column", pos AS position, CAST(coalesce(n_in, 0) AS BI
 LEFT JOIN (SELECT dst AS node_id, sum(w) AS n_in FROM g GROUP BY 1) USING (node_id) LEFT JOIN (SELECT src AS node_id, sum(w) AS n_out FROM g GROUP BY 1) USING (node_id)""")
 def lineage_columns(spark: SparkSession, sf: str) -> DataFrame:
     """The lineage in seven columns: where each node stands and the weights that reach and leave it."""
-    return graph.layered(chains.weights(_met(spark, sf)))[0]
+    return chains.columns(_met(spark, sf))
 
 
 @query(_WEIGHED + " SELECT src, dst, w AS weight FROM g")

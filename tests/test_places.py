@@ -283,7 +283,7 @@ def moved_bytes(spark, run):
     return sum(n for k, n in so_far().items() if k not in before)
 
 
-@pytest.mark.parametrize("name, most", [("lineage_weights", 100)])
+@pytest.mark.parametrize("name, most", [("lineage_weights", 100), ("lineage_columns", 300)])
 def test_a_weighed_lineage_moves_keys_and_each_line_once(spark, name, most):
     folder = "/root/testdata/sf0.01"
     n_lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
