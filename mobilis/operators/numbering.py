@@ -22,7 +22,8 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column | str], name:
     of = {k: f"_key_{i}" for i, k in enumerate(keys)}
     counts = placed.groupBy(F.col("_part").alias("_range"), *[F.col(k).alias(n) for k, n in of.items()]).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(*of.values()).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("_range", *of.values(), (F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")) - F.col("_first")).alias("_base"))
+    # stored, their size is known: a few are broadcast, and the rows stay where they are
+    bases = stored(counts.select("_range", *of.values(), (F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")) - F.col("_first")).alias("_base")))
     met = placed.join(bases, [F.col("_part") == F.col("_range"), *[F.col(k).eqNullSafe(F.col(n)) for k, n in of.items()]])
     return met.select(*rows.columns, (F.col("_at") + F.col("_base")).alias(name))
 

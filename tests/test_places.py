@@ -309,3 +309,14 @@ def test_a_weighed_lineage_of_odd_tables(spark, tmp_path):
         names = [c[0] for c in want.description]
         got = sorted(tuple(r) for r in graph_queries.Q[name](spark, str(tmp_path)).select(*names).collect())
         assert got == sorted(want.fetchall()) and len(got) > 100
+
+
+def test_numbered_rows_of_few_keys_stay_where_they_are(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")
+    try:
+        rows = spark.range(60_000).selectExpr("id % 2 AS key", "hash(id) AS h", "id")
+        spent = moved_bytes(spark, lambda: numbering.numbered(stored(rows), ["key"], ["h", "id"]).write.format("noop").mode("overwrite").save())
+        once = moved_bytes(spark, lambda: stored(stored(rows).repartitionByRange("key", "h", "id")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spent < 1.6 * once
